@@ -38,11 +38,11 @@ c{n} AS (SELECT doc_id, count(*) AS words, sum(length(w[p])) AS chars
 _LENGTHS = list(NGRAM_LIMITS)
 OP10 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
-l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) - (SELECT 0) AS line_chars
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) AS line_chars
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_SPACED}') GROUP BY doc_id),
 o AS (SELECT doc_id, sum(length(line)) AS once_chars FROM (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_SPACED}')) GROUP BY doc_id),
 {','.join(_grams(n) for n in _LENGTHS)},
-m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(c5.words, 0) AS BIGINT) AS n_repeat_words, length(replace(text, chr(10), '')) AS chars,
              CAST(coalesce(line_chars - once_chars, 0) AS BIGINT) AS dup_line_chars,
