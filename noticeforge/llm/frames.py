@@ -54,3 +54,11 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
 def remainder_of_five(id_col: Column) -> Column:
     """crc32 of an id's text, modulo 5: 0 marks held-out rows."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def computed_once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """`keep` and new columns, which later filters and projections then read instead of repeating their expressions.
+
+    Catalyst copies a projected expression into filters above it; a row of a one-element array comes out of a generator, which it leaves alone.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))

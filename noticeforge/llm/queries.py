@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import decontaminate, quality, toxicity
+from noticeforge.llm import decontaminate, licenses, quality, toxicity
 from noticeforge.llm.frames import remainder_of_five
 from noticeforge.llm.sql import OP3, OP10
 
@@ -16,6 +16,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(_table(spark, sf_dir, "documents"))
+    starts, own = F.col("base.start"), F.col("base.label")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(own)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(own, F.col("detections.label"))), ",").alias("labels"),
+        F.coalesce(F.array_max("detections.weight"), F.when(F.size("base") > 0, 0.5), F.lit(0.0)).alias("score"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -32,6 +47,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op3_decontamination": op3_decontamination,
     "op7_toxicity": op7_toxicity,
     "op10_quality": op10_quality,
