@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import decontaminate, licenses, pii, quality, toxicity
-from noticeforge.llm.frames import remainder_of_five
+from noticeforge.llm import decontaminate, licenses, packing, pii, quality, token_files, toxicity
+from noticeforge.llm.frames import remainder_of_five, shared_folder
 from noticeforge.llm.sql import OP3, OP10
 
 
@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(_table(spark, sf_dir, "documents"))
     starts, own = F.col("base.start"), F.col("base.label")
@@ -41,12 +47,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    token_files.write(_table(spark, sf_dir, "documents"), folder, _tokenizer())
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scores = toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
     return scores.select("doc_id", (remainder_of_five(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.crc32_of_ids(packing.pack(_table(spark, sf_dir, "documents"), _tokenizer()))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents")).drop("chars")
 
@@ -55,7 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
+    "op4_token_files": op4_token_files,
     "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
     "op10_quality": op10_quality,
 }
 
