@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import decontaminate, licenses, packing, pii, quality, token_files, toxicity
+from noticeforge.llm import decontaminate, licenses, near_dup, packing, pii, quality, token_files, toxicity
 from noticeforge.llm.frames import remainder_of_five, shared_folder
 from noticeforge.llm.sql import OP3, OP10
 
@@ -53,6 +53,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), similarity=0.8, size=2, words="spaced")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scores = toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op10_quality": op10_quality,
