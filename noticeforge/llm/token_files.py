@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from noticeforge.llm.frames import keyed_text, map_slices
 from noticeforge.llm.tokens import encoder
-from noticeforge.llm.words import Slice
+from noticeforge.llm.words import Slice, slices
 
 END_ID = 2
 #: The sample for the dictionary: documents, of each at most so many bytes of ids, and the dictionary's size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 64 << 10, 64 << 10
 #: Bytes of compressed documents after which a shard ends.
-SHARD_BYTES = 1 << 20
-SHARD = "part int, shard long, first_id long, last_id long, n_docs long, n_ids long, dictionary string, doc_index binary, payload binary"
+SHARD_BYTES = 256 << 10
+SHARD = "part int, shard long, first_id long, last_id long, n_docs long, n_ids long, ids_before long, dictionary string, doc_index binary, payload binary"
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -77,34 +77,37 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
         keys: list = []
         sizes: list[int] = []
         blobs: list[bytes] = []
-        held = 0
+        held = done = 0
 
         def shard() -> pa.RecordBatch:
             ends = np.cumsum([len(b) for b in blobs])
             known = np.array([k is not None for k in keys])
             index = np.stack([np.array([k or 0 for k in keys], np.int64), known.astype(np.int64), np.array(sizes, np.int64), ends.astype(np.int64)], 1)
-            values = [part, number, keys[0], keys[-1], len(keys), sum(sizes), name, index.astype("<i8").tobytes(), b"".join(blobs)]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
+            values = [part, number, keys[0], keys[-1], len(keys), sum(sizes), done, name, index.astype("<i8").tobytes(), b"".join(blobs)]
+            kinds = [pa.int32(), *[pa.int64()] * 6, pa.string(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [x.split()[0] for x in SHARD.split(", ")])
 
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids.as_buffer()
-                keys.append(key)
-                sizes.append(ids.size // 4)
-                blobs.append(press.compress(ids))
-                held += len(blobs[-1])
-                if held >= SHARD_BYTES:
-                    yield shard()
-                    number += 1
-                    keys, sizes, blobs, held = [], [], [], 0
+            names = batch.column(0).to_pylist()
+            for s in slices(batch.column(1)):
+                flat, at = encoder(tokenizer_path).ids(s)
+                for i in range(len(s)):
+                    keys.append(names[s.first + i])
+                    sizes.append(int(at[i + 1] - at[i]) + 1)
+                    blobs.append(press.compress(np.append(flat[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4").tobytes()))
+                    held += len(blobs[-1])
+                    if held >= SHARD_BYTES:
+                        yield shard()
+                        number, done = number + 1, done + sum(sizes)
+                        keys, sizes, blobs, held = [], [], [], 0
         if keys:
             yield shard()
 
     # texts, not ids, go through the shuffle, so that finding the ranges encodes nothing
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed_text(docs, id_col, text_col).repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    encoded(dealt, tokenizer_path, end_id, "id", "text").mapInArrow(shards, SHARD).write.parquet(f"{path}/shards")
+    keyed = keyed_text(docs, id_col, text_col)
+    dealt = keyed.select(F.col("id").cast("long").alias("id"), "text").repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    dealt.mapInArrow(shards, SHARD).write.parquet(f"{path}/shards")
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes]:
@@ -120,12 +123,9 @@ def read(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame
     name, data = _dictionary(spark, path)
     shared = spark.sparkContext.broadcast((name, data))
     table = spark.read.schema(SHARD).parquet(f"{path}/shards")
-    sums = table.select("part", "shard", "n_ids")
-    # sums of tasks, then of shards within a task: no window over all shards in one task
-    parts = sums.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # a shard knows the ids before it in its task; the tasks' totals are as many rows as there were partitions
+    parts = table.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = sums.select("part", "shard", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")).alias("inside"))
-    starts = inside.join(before, "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("first"))
     if doc_id is not None:
         table = table.where(F.lit(doc_id).between(F.col("first_id"), F.col("last_id")))
 
@@ -149,7 +149,7 @@ def read(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    joined = table.join(starts, ["part", "shard"]).select("first", "dictionary", "doc_index", "payload")
+    joined = table.join(F.broadcast(before), "part").select((F.col("before") + F.col("ids_before")).alias("first"), "dictionary", "doc_index", "payload")
     return joined.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
 
 

@@ -17,7 +17,7 @@ import numpy as np
 from noticeforge.llm.words import VALUES, Slice, span_hashes
 
 #: Most pre-tokens that a Python worker keeps; the store then starts anew.
-STORE_SIZE = 700_000
+STORE_SIZE = 500_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.uint8)
