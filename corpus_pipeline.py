@@ -1,15 +1,60 @@
-"""A corpus pipeline of the operators of noticeforge.llm."""
+"""A corpus pipeline of the operators of noticeforge.llm: each stage works on what the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from noticeforge.llm import decontaminate, near_dup, packing, pii, toxicity
+from noticeforge.llm.frames import shared_folder, written
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, scores under 0.5."""
+    return toxicity.accepted(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    return near_dup.one_of_each_group(docs, similarity=0.8, size=5, words="alnum")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold benchmark items in a twentieth or more of their words."""
+    return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by pseudonyms."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    done = pii.pseudonymise(docs, keep=others)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids in sequences of at most 4096."""
+    import public_tokenizers
+
+    return packing.crc32_of_ids(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", pseudonymise),
+    ("packing", pack),
+]
+
+#: A classifier, a sketch and a tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = shared_folder(spark)
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, folder, f"stage{k}")
     return docs

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeforge.llm.frames import keyed_text, map_slices
+from noticeforge.llm.frames import as_before, map_slices, rest_of
 from noticeforge.llm.words import ALNUM, LOWER_VALUES, Slice, runs, slices, span_hashes, windows
 
 WINDOW = 13
@@ -44,25 +44,29 @@ def item_windows(items: list[tuple[str, str]], window: int) -> dict[int, dict[in
     return {n: {x: dict(w) for x, w in by.items()} for n, by in found.items()}
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: bool = False) -> DataFrame:
     """One row per input row: doc_id, text, n_words, n_hit, spans (merged ranges of hit words), items (ids as strings, sorted), contaminated.
 
     Words are runs of letters, digits and characters outside ASCII, with A-Z lower-cased. An item shorter than the window,
     but not empty, is one window; items without words or with a null text never match; a null item id reads as "null".
     A null or empty document has no words and isn't contaminated. Repeated rows give repeated results; an empty
-    items table leaves all documents clean; other columns are ignored. contaminated: n_hit > 0 and 20 * n_hit >= n_words.
+    items table leaves all documents clean; other columns are ignored, or with keep carried along as the struct `rest`. contaminated: n_hit > 0 and 20 * n_hit >= n_words.
     """
     bench = items.select(F.coalesce(items[item_id].cast("string"), F.lit("null")).alias("item"), F.coalesce(items[item_text].cast("string"), F.lit("")).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_bytes))
-    state = keyed_text(docs, id_col, text_col).select("id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = f"id {dict(state.dtypes)['id']}, text string, n_words long, spans {SPANS}, items array<string>"
+    state = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), rest_of(docs, id_col, text_col).alias("rest"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    if not keep:
+        state = state.drop("rest").withColumn("rest", F.lit(0))
+    state = state.select("id", "text", "n_words", "spans", "items", "rest")
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema}
+    schema = f"id {kinds['id']}, text string, n_words long, spans {SPANS}, items array<string>, rest {kinds['rest']}"
     for block in range(n_blocks):
         part = bench.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block) if n_blocks > 1 else bench
         table = item_windows([tuple(r) for r in part.collect()], window)  # at most block_bytes, as measured above
         state = map_slices(state, _scan(docs.sparkSession.sparkContext.broadcast(table)), schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["length"])
-    return state.select(F.col("id").alias("doc_id"), "text", "n_words", n_hit.alias("n_hit"), "spans", "items").withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return state.select(F.col("id").alias("doc_id"), "text", "n_words", n_hit.alias("n_hit"), "spans", "items", *(["rest"] if keep else [])).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def _scan(shared):
@@ -88,7 +92,7 @@ def _scan(shared):
             spans[row] = merged([*found, *((x["start"], x["length"]) for x in spans[row])])
             items[row] = sorted(set(items[row]))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["id", "text", "n_words", "spans", "items"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), batch.column(5)], ["id", "text", "n_words", "spans", "items", "rest"])
 
     return rows
 
@@ -103,11 +107,14 @@ def merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": a, "length": b - a} for a, b in out]
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, cut: bool = False, **options) -> DataFrame:
-    """doc_id and text of the documents without contamination; with cut, all documents, their hit words taken out of the text."""
-    found = contamination(docs, items, **options)
-    if not cut:
-        return found.where(~F.col("contaminated")).select("doc_id", "text")
+def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't contaminated."""
+    found = contamination(docs, items, id_col=id_col, text_col=text_col, keep=True, **options)
+    return as_before(found.where(~F.col("contaminated")), docs, {id_col: "doc_id", text_col: "text"})
+
+
+def cut_spans(found: DataFrame) -> DataFrame:
+    """doc_id and text of all rows of contamination(), the hit words taken out of the text."""
 
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         starts, ends, first = runs(s, ALNUM)

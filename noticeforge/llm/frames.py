@@ -18,6 +18,16 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
 
+def rest_of(docs: DataFrame, *used: str) -> Column:
+    """All other columns as one struct, to be carried through a step (a constant where there are none)."""
+    return F.struct(*(docs[c] for c in docs.columns if c not in used), F.lit(0).alias("_"))
+
+
+def as_before(df: DataFrame, docs: DataFrame, made: dict[str, str]) -> DataFrame:
+    """The columns of docs in their order, from the struct `rest` and, by `made`, from columns of df."""
+    return df.select(*((F.col(made[c]) if c in made else F.col("rest")[c]).alias(c) for c in docs.columns))
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch, Slice], pa.RecordBatch | None], schema: str, text_col: str = "text") -> DataFrame:
     """fn(the rows of the batch that the slice holds, the slice of their texts) in Python workers, slice by slice, so that memory doesn't grow with a batch."""
 

@@ -245,3 +245,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, wor
     found = sigs.select("id", "n", "k1", "k2").join(reps.select("k1", "k2", "n", "node").where(F.col("n") > 0), ["k1", "k2", "n"], "left").join(labels, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "node", "id"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps; rows with a null id stay."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeforge.llm.frames import keyed_text, map_slices, remainder_of_five
+from noticeforge.llm.frames import as_before, keyed_text, map_slices, remainder_of_five, rest_of
 from noticeforge.llm.identity_terms import NEXT
 from noticeforge.llm.words import ALNUM, LOWER_VALUES, Slice, mix, runs, slices, span_hashes
 
@@ -169,6 +169,19 @@ def toxicity(docs: DataFrame, model: list[tuple[int, float]], id_col: str = "doc
     Only the text is an input. A null or empty text scores the bias alone; repeated rows score alike; other columns
     are ignored; an empty table gives no rows.
     """
+    keyed = keyed_text(docs, id_col, text_col)
+    return map_slices(keyed, _scores(docs, model, ["doc_id"], [0]), f"doc_id {dict(keyed.dtypes)['id']}, score double")
+
+
+def accepted(docs: DataFrame, model: list[tuple[int, float]], limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under the limit."""
+    carried = docs.select(docs[text_col].alias("original"), docs[text_col].cast("string").alias("text"), rest_of(docs, text_col).alias("rest"))
+    kinds = {f.name: f.dataType.simpleString() for f in carried.schema}
+    scored = map_slices(carried, _scores(docs, model, ["original", "rest"], [0, 2]), f"original {kinds['original']}, rest {kinds['rest']}, score double")
+    return as_before(scored.where(F.col("score") < limit), docs, {text_col: "original"})
+
+
+def _scores(docs: DataFrame, model: list[tuple[int, float]], names: list[str], columns: list[int]):
     bias = next(w for f, w in model if f == 0)
     rest = sorted((np.uint64(f & 0xFFFFFFFFFFFFFFFF), w) for f, w in model if f != 0)
     shared = docs.sparkSession.sparkContext.broadcast((bias, np.array([f for f, _ in rest], np.uint64), np.array([w for _, w in rest])))
@@ -176,7 +189,6 @@ def toxicity(docs: DataFrame, model: list[tuple[int, float]], id_col: str = "doc
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         bias, kept, weights = shared.value
         z = np.array([bias + weights[k].sum() for k in picked(s, kept)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in columns), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*names, "score"])
 
-    keyed = keyed_text(docs, id_col, text_col)
-    return map_slices(keyed, rows, f"doc_id {dict(keyed.dtypes)['id']}, score double")
+    return rows
