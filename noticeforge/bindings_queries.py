@@ -1,4 +1,6 @@
-"""Queries of the library on the driver's tables, and their SQL."""
+"""All queries of the library on the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from noticeforge.plans import pages, pages_sql, positions, positions_sql, runs, runs_sql
+
+QUERIES = positions.QUERIES | pages.QUERIES | runs.QUERIES
+ORACLE_SQL = positions_sql.ORACLE_SQL | pages_sql.ORACLE_SQL | runs_sql.ORACLE_SQL
