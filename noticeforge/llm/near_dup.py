@@ -10,7 +10,7 @@ the threshold is verified on full sets.
 Work is kept linear in hot groups. Equal sets are one node from the start (a hash aggregate). Then every node is compared with
 the best of the smallest members of its buckets, at most one verification a node, and verified links are joined to
 components. Only buckets that still hold several components are left: their nodes outside the bucket's largest component
-are compared with all others of the bucket. Pairs inside a component need no look, since a component's
+are compared with all others of the bucket, block by block. Pairs inside a component need no look, since a component's
 members and not its links are the result; between different components every candidate pair is verified.
 """
 
@@ -33,6 +33,8 @@ MARGIN = 0.18
 #: Expected share of registers that agree by chance, by the HyperMinHash paper (times 2**-MANTISSA and a factor of the sizes).
 CHANCE = 0.169919487159739093975315012348
 _WALK = 48
+#: Nodes of a bucket that meet as many others at once, about.
+BLOCK = 256
 _U = np.uint64
 
 WORD_CLASSES = {"spaced": NOT_SPACE, "alnum": ALNUM}
@@ -110,7 +112,10 @@ def sketches(docs: DataFrame, size: int, words: str, id_col: str = "doc_id", tex
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BUCKETS)
+    """A row of registers for each value of a binary column without nulls."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    parts = [np.frombuffer(c.buffers()[2], np.uint16)[c.offset * BUCKETS : (c.offset + len(c)) * BUCKETS] for c in chunks if len(c)]
+    return np.concatenate([np.zeros(0, np.uint16), *parts]).reshape(-1, BUCKETS)
 
 
 def _bands(batches):
@@ -133,6 +138,56 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((equal - chance) / (1 - chance), 0, 1)
 
 
+def common(items: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sorted sets `one` with the sets `two`, as a product of 0/1 matrices over what both sides hold."""
+    out = np.zeros((len(one), len(two)), np.int64)
+    if not len(one) or not len(two):
+        return out
+    sides = [(np.concatenate([items[k] for k in part]), np.repeat(np.arange(len(part)), [len(items[k]) for k in part])) for part in (one, two)]
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    places = []
+    for values, row in sides:
+        at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
+        hit = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+        places.append((at[hit], row[hit]))
+    for k in range(0, len(shared), 4096):
+        m = []
+        for (at, row), n in zip(places, out.shape):
+            part = (at >= k) & (at < k + 4096)
+            x = np.zeros((n, min(4096, len(shared) - k)), np.float32)
+            x[row[part], at[part] - k] = 1
+            m.append(x)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def _by_group(fn, keys: int):
+    """A step over batches whose rows come sorted by the first `keys` columns: fn of each whole group, as a table."""
+
+    def step(batches):
+        left: pa.Table | None = None
+
+        def cut(x: pa.Table, last: bool):
+            columns = [x.column(k).to_numpy() for k in range(keys)]
+            new = np.ones(x.num_rows, bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            at = np.append(np.flatnonzero(new), x.num_rows)
+            whole = len(at) - 1 if last else len(at) - 2
+            made = [y for k in range(whole) if (y := fn(x.slice(at[k], at[k + 1] - at[k]).combine_chunks())) is not None]
+            rest = None if last else x.slice(at[whole]).combine_chunks()
+            return (pa.concat_tables(made).to_batches() if made else []), rest
+
+        for batch in batches:
+            if batch.num_rows:
+                x = pa.Table.from_batches([batch])
+                out, left = cut(pa.concat_tables([left, x]) if left is not None else x, False)
+                yield from out
+        if left is not None and left.num_rows:
+            yield from cut(left, True)[0]
+
+    return step
+
+
 class _Work:
     """One run's tables in the shared folder."""
 
@@ -170,6 +225,51 @@ class _Work:
         sizes = F.size("items_a") + F.size("items_b")
         return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= self.per_cent * (sizes - both)).select("a", "b")
 
+    def links_in_blocks(self, open_: DataFrame, sets: DataFrame) -> DataFrame:
+        """All links (a, b) between different components that share a bucket of open_.
+
+        The nodes outside a bucket's largest component, in blocks of about BLOCK, meet all its nodes, in such blocks as well: one
+        pair of blocks is what a task holds at once. First the registers tell which nodes of two blocks may have a link at
+        all, then those bring their full sets. No row is made for a pair but for a link.
+        """
+        number = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        keep = ["key", "node", "comp", "size", "regs"]
+        outer = open_.where(F.col("comp") != F.col("main")).withColumn("ob", number("out_blocks", 1)).withColumn("ab", every("all_blocks")).withColumn("side", F.lit(0))
+        all_ = open_.withColumn("ab", number("all_blocks", 2)).withColumn("ob", every("out_blocks")).withColumn("side", F.lit(1))
+        kind = dict(open_.dtypes)["node"]
+        least, per_cent = self.least, self.per_cent
+
+        def near(x: pa.Table) -> pa.Table | None:
+            side = np.asarray(x.column("side"))
+            regs, n, comp = _matrix(x.column("regs")), np.asarray(x.column("size")), x.column("comp").to_numpy()
+            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            used = np.zeros(len(side), bool)
+            for k in range(0, len(one), 32):  # 32 rows of registers against all: a few MB at once
+                i = one[k : k + 32]
+                a, b = np.repeat(i, len(two)), np.tile(two, len(i))
+                e = estimate(regs[a], regs[b], n[a], n[b])
+                hit = (e >= least) & (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= per_cent * np.maximum(n[a], n[b]))
+                used[a[hit]] = used[b[hit]] = True
+            return x.filter(pa.array(used)).select(["key", "ob", "ab", "side", "node", "comp"]) if used.any() else None
+
+        def linked(x: pa.Table) -> pa.Table | None:
+            side, comp, node = np.asarray(x.column("side")), x.column("comp").to_numpy(), x.column("node")
+            items = [np.asarray(v.values) for v in x.column("items")]
+            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            both = common(items, one, two)
+            n = np.array([len(v) for v in items])
+            union = n[one][:, None] + n[two][None, :] - both
+            i, j = np.nonzero((100 * both >= per_cent * union) & (comp[one][:, None] != comp[two][None, :]))
+            return pa.table({"a": node.take(pa.array(one[i])), "b": node.take(pa.array(two[j]))}) if len(i) else None
+
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        place = ["key", "ob", "ab"]
+        meet = outer.select(*place, "side", *keep[1:]).unionByName(all_.select(*place, "side", *keep[1:])).repartition(n, *place).sortWithinPartitions(*place)
+        may = self.written(meet.mapInArrow(_by_group(near, 3), f"key long, ob int, ab int, side int, node {kind}, comp {kind}"))
+        full = may.join(sets, "node").select(*place, "side", "node", "comp", "items").repartition(n, *place).sortWithinPartitions(*place)
+        return full.mapInArrow(_by_group(linked, 3), f"a {kind}, b {kind}").distinct()
+
     def components(self, edges: DataFrame) -> DataFrame:
         """node and comp, the smallest node that it reaches, for all nodes of the edges: every node moves to its smallest neighbour,
         along two more such steps, and the graph of what is left is worked on again."""
@@ -232,15 +332,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, wor
     # what is left: in buckets with several components, all nodes beside the largest one against the others
     held = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     sizes = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where(F.col("comps") > 1)
-    open_ = work.written(held.join(largest.select("key", "main"), "key"))
-    one = open_.where(F.col("comp") != F.col("main")).select("key", F.col("node").alias("u"), F.col("comp").alias("comp_u"))
-    other = open_.select("key", F.col("node").alias("v"), F.col("comp").alias("comp_v"), "main")
-    # of two nodes that are both outside the largest component, one order is enough
-    pairs = one.join(other, "key").where((F.col("comp_u") != F.col("comp_v")) & ((F.col("comp_v") == F.col("main")) | (F.col("u") < F.col("v"))))
-    pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    late = work.verified(work.estimated(pairs, reps).select("a", "b"), sets)
-    labels = work.components(edges.unionByName(late))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("comps")).where(F.col("comps") > 1)
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    largest = largest.select("key", F.col("top.comp").alias("main"), blocks(F.col("c")).alias("all_blocks"), blocks(F.col("c") - F.col("top.c")).alias("out_blocks"))
+    open_ = work.written(held.join(largest, "key").join(reps.select("node", F.col("n").alias("size"), "regs"), "node"))
+    labels = work.components(edges.unionByName(work.links_in_blocks(open_, sets)))
 
     found = sigs.select("id", "n", "k1", "k2").join(reps.select("k1", "k2", "n", "node").where(F.col("n") > 0), ["k1", "k2", "n"], "left").join(labels, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "node", "id"))
