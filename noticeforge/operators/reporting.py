@@ -18,7 +18,7 @@ def posts_with_positions(posts: DataFrame, positions: DataFrame) -> DataFrame:
 
 def report_group(as_of: Column, min_score: float = MIN_SCORE, closing_hours: int = CLOSING_HOURS) -> Column:
     """The first group that a scored row belongs to; null if none."""
-    closing = F.col("deadline").between(as_of, as_of + F.expr(f"INTERVAL {closing_hours} HOURS"))
+    closing = (F.col("deadline") > as_of) & (F.col("deadline") <= as_of + F.expr(f"INTERVAL {closing_hours} HOURS"))
     window_open = (F.col("start_at") <= as_of) & (F.col("deadline") > as_of)
     return (
         F.when(severe(F.col("position_id"), F.col("start_at"), F.col("deadline")), "to_confirm")

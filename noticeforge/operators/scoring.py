@@ -50,7 +50,7 @@ def reject_reasons(as_of: Column) -> Column:
     reasons = F.array(
         F.when(F.col("education") > F.col("pref_education"), "education"),
         F.when(_named(F.col("pref_exclusions"), F.concat_ws(" ", "name", "organization")), "exclusion"),
-        F.when(valid_deadline(F.col("start_at"), F.col("deadline")) < as_of, "expired"),
+        F.when(valid_deadline(F.col("start_at"), F.col("deadline")) <= as_of, "expired"),
     )
     return F.filter(reasons, lambda r: r.isNotNull())
 
@@ -79,7 +79,7 @@ def score_org_type(category: Column, types: Column, weight: float = WEIGHTS["org
 
 
 def score_urgency(deadline: Column, as_of: Column, weight: float = WEIGHTS["urgency"]) -> Column:
-    out = F.when(deadline.isNull() | (deadline < as_of), 0.0)
+    out = F.when(deadline.isNull() | (deadline <= as_of), 0.0)
     for hours, share in URGENCY:
         out = out.when(deadline <= as_of + F.expr(f"INTERVAL {hours} HOURS"), weight * share)
     return out.otherwise(weight * URGENCY_LATER)

@@ -18,9 +18,9 @@ parts AS (SELECT *,
     CAST(CASE WHEN contains(name, 'widget') OR contains(name, 'gear') THEN 30 WHEN requirements IN ('Brand#1', 'Brand#2') THEN 15 ELSE 0 END AS DOUBLE) AS s_keyword,
     CAST(CASE WHEN major IN ('STANDARD', 'PROMO') THEN 15 ELSE 0 END AS DOUBLE) AS s_major,
     CAST(CASE WHEN category IN ('BUILDING', 'MACHINERY') THEN 10 ELSE 0 END AS DOUBLE) AS s_organization,
-    CAST(CASE WHEN due IS NULL OR due < TIMESTAMP '1998-06-15' THEN 0 WHEN due <= TIMESTAMP '1998-06-18' THEN 10 WHEN due <= TIMESTAMP '1998-06-22' THEN 7 WHEN due <= TIMESTAMP '1998-06-29' THEN 4 ELSE 2 END AS DOUBLE) AS s_urgency,
+    CAST(CASE WHEN due IS NULL OR due <= TIMESTAMP '1998-06-15' THEN 0 WHEN due <= TIMESTAMP '1998-06-18' THEN 10 WHEN due <= TIMESTAMP '1998-06-22' THEN 7 WHEN due <= TIMESTAMP '1998-06-29' THEN 4 ELSE 2 END AS DOUBLE) AS s_urgency,
     CAST(2 * ((organization IS NOT NULL)::INT + (name IS NOT NULL)::INT + (region IS NOT NULL)::INT + (due IS NOT NULL)::INT + 1) AS DOUBLE) AS s_completeness,
-    coalesce(education > 30, false) AS bad_education, coalesce(contains(name, 'anvil'), false) AS bad_word, coalesce(due < TIMESTAMP '1998-06-15', false) AS expired
+    coalesce(education > 30, false) AS bad_education, coalesce(contains(name, 'anvil'), false) AS bad_word, coalesce(due <= TIMESTAMP '1998-06-15', false) AS expired
   FROM flagged),
 scored AS (SELECT *, NOT (bad_education OR bad_word OR expired) AS passed,
     CASE WHEN NOT (bad_education OR bad_word OR expired) THEN s_region + s_keyword + s_major + s_organization + s_urgency + s_completeness ELSE 0 END AS score FROM parts)"""
@@ -29,7 +29,7 @@ scored AS (SELECT *, NOT (bad_education OR bad_word OR expired) AS passed,
 GROUPED = (
     SCORED
     + """,
-grouped AS (SELECT * FROM (SELECT *, CASE WHEN severe THEN 'to_confirm' WHEN deadline BETWEEN TIMESTAMP '1998-06-15' AND TIMESTAMP '1998-06-18' THEN 'closing_soon'
+grouped AS (SELECT * FROM (SELECT *, CASE WHEN severe THEN 'to_confirm' WHEN deadline > TIMESTAMP '1998-06-15' AND deadline <= TIMESTAMP '1998-06-18' THEN 'closing_soon'
       WHEN score >= 60 AND deadline > TIMESTAMP '1998-06-15' THEN 'priority' WHEN CAST(start_at AS DATE) = DATE '1998-06-15' THEN 'new_today' END AS report_group
     FROM scored WHERE passed) WHERE report_group IS NOT NULL),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY report_group ORDER BY score DESC, deadline ASC NULLS LAST, post_id, part_id NULLS FIRST, supplier_id NULLS FIRST, line_number NULLS FIRST, price NULLS FIRST) AS INTEGER) AS rank FROM grouped)"""

@@ -1,0 +1,106 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from noticeforge.functions import fields, text, times, urls
+
+
+def one(spark, value, expr, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(expr(F.col("x")).alias("y")).first().y
+
+
+@pytest.mark.parametrize(
+    ("url", "expected"),
+    [
+        ("HTTP://Example.COM:80/a/?utm_source=x&b=2&a=1#top", "http://example.com/a?a=1&b=2"),
+        ("https://e.com:443/", "https://e.com/"),
+        ("https://e.com", "https://e.com/"),
+        ("https://e.com:8443/x/", "https://e.com:8443/x"),
+        ("https://m.e.com/x?spm=1&ref=2&fbclid=3", "https://m.e.com/x"),
+        ("https://e.com/x?from=1&q=ref", "https://e.com/x?q=ref"),
+        ("not a url", "not a url"),
+        (None, None),
+    ],
+)
+def test_canonical_url(spark, url, expected):
+    assert one(spark, url, urls.canonical_url) == expected
+
+
+@pytest.mark.parametrize(
+    ("href", "expected"),
+    [("https://o.com/x", "https://o.com/x"), ("//o.com/x", "https://o.com/x"), ("/x", "https://e.com/x"), ("x.html", "https://e.com/a/x.html"), ("./x", "https://e.com/a/x"), ("?p=2", "https://e.com/a/b?p=2")],
+)
+def test_resolve_link(spark, href, expected):
+    assert one(spark, href, lambda x: urls.resolve_link(x, F.lit("https://e.com/a/b?q=1#z"))) == expected
+    assert one(spark, "x", lambda x: urls.resolve_link(x, F.lit("https://e.com"))) == "https://e.com/x"
+
+
+def test_attachment_links(spark):
+    assert [one(spark, u, urls.is_attachment) for u in ("http://e/a.PDF", "http://e/a.xlsx?x=1", "http://e/a.xls", "http://e/a.html", "http://e/pdf")] == [True, True, True, False, False]
+
+
+def test_text(spark):
+    assert one(spark, " Ａ１　b \n c ", text.normalize_text) == "A1 b c"
+    html = "<html><head><title> T &amp; x </title></head><body><nav>n</nav><script>var t='</p>';</script><p>a<br>b&lt;c<!-- no --><footer>f</footer></body></html>"
+    assert one(spark, html, text.html_text) == "a b<c"
+    assert one(spark, html, text.page_title) == "T &amp; x"
+    assert one(spark, "<h1>H</h1>", text.page_title) == "H"
+    assert one(spark, "<p>no</p>", text.page_title) is None
+    assert one(spark, '<time datetime="2026-03-05">x</time>', text.published_at) == datetime(2026, 3, 5)
+    assert one(spark, "<p>发布时间：2026年3月5日</p>", text.published_at) == datetime(2026, 3, 5)
+    assert one(spark, "<p>2026</p>", text.published_at) is None
+    assert one(spark, "a@b.com +1 (555) 123-4567 12345678901234567X", text.mask_pii) == "[email] [phone] [id]"
+    assert one(spark, 'token = "abc" and password:xyz', text.mask_secrets) == "token = *** and password:***"
+
+
+@pytest.mark.parametrize(
+    ("written", "expected"),
+    [
+        ("2026年3月5日9:00", datetime(2026, 3, 5, 9)),
+        ("2026-03-18", datetime(2026, 3, 18)),
+        ("2026/4/1", datetime(2026, 4, 1)),
+        ("２０２６年３月５日", datetime(2026, 3, 5)),
+        ("2026-02-31", None),
+        ("3月18日", None),
+    ],
+)
+def test_read_date(spark, written, expected):
+    assert one(spark, written, times.read_date) == expected
+
+
+def test_dates_of_notices(spark):
+    notice = "报名时间：2026年3月5日9:00至2026年3月18日17:00，详见附件"
+    found = one(spark, notice, times.extract_dates)
+    assert [d.at for d in found] == [datetime(2026, 3, 5, 9), datetime(2026, 3, 18, 17)]
+    window = one(spark, notice, times.start_deadline)
+    assert (window.start_at, window.deadline) == (datetime(2026, 3, 5, 9), datetime(2026, 3, 18, 17))
+    without_year = one(spark, "截止时间：3月18日17时", lambda x: times.start_deadline(x, F.lit("2026-01-01").cast("timestamp")))
+    assert without_year.deadline == datetime(2026, 3, 18, 17)
+    assert one(spark, "截止时间：3月18日", times.start_deadline).deadline is None
+    none = one(spark, "no date at all", times.start_deadline)
+    assert (none.start_at, none.deadline) == (None, None)
+
+
+def test_zones(spark):
+    day = datetime(2026, 3, 5, 17, 30)
+    df = spark.createDataFrame([(day,)], "t timestamp_ntz")
+    assert df.select(times.to_local(F.col("t")).alias("y")).first().y == datetime(2026, 3, 6, 1, 30)
+    assert df.select(times.to_utc(times.to_local(F.col("t"))).alias("y")).first().y == day
+
+
+def test_fields(spark):
+    assert one(spark, "要求本科及以上学历", fields.normalize_enum)[1:] == ("bachelor", 3)
+    assert one(spark, "博士研究生", fields.normalize_enum).norm == "doctor"
+    assert one(spark, "不限", fields.normalize_enum).norm is None
+    assert one(spark, "招聘１２人", fields.extract_headcount) == 12
+    assert one(spark, "若干", fields.extract_headcount) is None
+    assert one(spark, "招聘单位：某某大学\n", fields.extract_org) == "某某大学"
+    assert one(spark, "报名网址 https://e.com/a?b=1，谢谢", fields.extract_apply_url) == "https://e.com/a?b=1"
+    assert [one(spark, s, fields.classify_fetch, "int") for s in (200, 304, 404, 429, 503, None)] == ["ok", "unchanged", "final", "retry", "retry", "retry"]
+
+
+def test_next_attempt(spark):
+    rows = [(datetime(2026, 1, 1), 503, 1), (datetime(2026, 1, 1), 503, 2), (datetime(2026, 1, 1), 503, 3), (datetime(2026, 1, 1), 404, 1)]
+    df = spark.createDataFrame(rows, "t timestamp, s int, n int").select(fields.next_attempt(F.col("t"), F.col("s"), F.col("n")).alias("y"))
+    assert [r.y for r in df.collect()] == [datetime(2026, 1, 1, 0, 1), datetime(2026, 1, 1, 0, 2), None, None]
