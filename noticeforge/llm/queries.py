@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticeforge.llm import decontaminate, licenses, near_dup, packing, pii, quality, substring_dedup, token_counts, token_files, toxicity
 from noticeforge.llm.frames import remainder_of_five, shared_folder
-from noticeforge.llm.sql import OP3, OP10
+from noticeforge.llm.sql import OP3, OP6, OP10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL = {"op3_decontamination": OP3, "op10_quality": OP10}
+ORACLE_SQL = {"op3_decontamination": OP3, "op6_near_duplicates": OP6, "op10_quality": OP10}

@@ -29,10 +29,9 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def _grams(n: int) -> str:
     return f"""
-p{n} AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, array_to_string(w[k : k + {n - 1}], ' ')) AS c
-         FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS k FROM d WHERE len(w) >= {n})),
-c{n} AS (SELECT doc_id, count(*) AS words, sum(length(w[p])) AS chars
-         FROM (SELECT DISTINCT doc_id, unnest(range(k, k + {n})) AS p FROM p{n} WHERE c > 1) JOIN d USING (doc_id) GROUP BY doc_id)"""
+r{n} AS (SELECT doc_id, k FROM g JOIN (SELECT doc_id, g{n} FROM g WHERE g{n} IS NOT NULL GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g{n})),
+c{n} AS (SELECT doc_id, count(*) AS words, sum(length(word)) AS chars
+         FROM (SELECT DISTINCT doc_id, unnest(range(k, k + {n})) AS k FROM r{n}) JOIN w USING (doc_id, k) GROUP BY doc_id)"""
 
 
 _LENGTHS = list(NGRAM_LIMITS)
@@ -41,6 +40,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) AS line_chars
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_SPACED}') GROUP BY doc_id),
 o AS (SELECT doc_id, sum(length(line)) AS once_chars FROM (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_SPACED}')) GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+g AS (SELECT doc_id, k, {', '.join(f"{' || chr(32) || '.join(['word', *(f'lead(word, {i}) OVER o' for i in range(1, n))])} AS g{n}" for n in _LENGTHS)} FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
 {','.join(_grams(n) for n in _LENGTHS)},
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
@@ -54,3 +55,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_
             OR {' OR '.join(f'100 * dup_{n}gram_chars > {x} * word_chars' for n, x in NGRAM_LIMITS.items())}) AS kept
 FROM m
 """
+
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED.format('text')}, '{_SPACED}') AS w FROM documents),
+s AS (SELECT doc_id, w[1] AS g FROM d WHERE len(w) = 1
+      UNION SELECT doc_id, word || ' ' || next FROM (SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY k) AS next
+        FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d)) WHERE next IS NOT NULL),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS whole FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS rep FROM n),
+rs AS (SELECT rep, n, g FROM c JOIN s USING (doc_id) WHERE doc_id = rep),
+e AS (SELECT a.rep AS u, b.rep AS v FROM rs a JOIN rs b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT DISTINCT rep AS node, rep AS seen FROM c UNION SELECT r.node, b.v FROM reach r JOIN links b ON r.seen = b.u),
+root AS (SELECT node, min(seen) AS comp FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(comp, d.doc_id) AS component_id, coalesce(comp, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN root ON c.rep = root.node
+"""

@@ -1,0 +1,422 @@
+"""Each operator against a brute-force version, on the smallest tables and on rows made to be awkward."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from noticeforge.llm import decontaminate, licenses, near_dup, packing, pii, quality, queries, substring_dedup, token_counts, token_files, toxicity
+from noticeforge.llm.license_rules import BASE, rules
+
+P = pytest.importorskip("public_tokenizers")
+SF = "/root/testdata/sf0.001"
+BPE = P.path("word_bpe_49k.json")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Nulls in all columns, empty and blank texts, repeated rows and ids, ties, a long text, clashing column names.
+AWKWARD = [
+    (1, "the quick brown fox jumps over the lazy dog and runs away. " * 3, "x"), (1, "the quick brown fox jumps over the lazy dog and runs away. " * 3, "x"),
+    (2, None, None), (3, "", ""), (4, "  \n\t ", "y"), (None, "a text without an id that has a few words", None), (None, None, None),
+    (5, "Ünïcödé 你好 😀 MIT License", "z"), (6, "word " * 30000, "long"), (7, "one", "t"), (8, "one", "t"),
+]
+COLUMNS = "doc_id long, text string, rest string, id string, score double, spans string, kept string, sequence_id string"
+
+
+def lowered(t):
+    return (t or "").translate(LOWER)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame([(*r[:2], "r", "i", 0.1, "s", "k", "q") for r in AWKWARD], COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.read.parquet(f"{SF}/benchmark.parquet")
+
+
+def operators(spark, bench, folder):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+
+    def files(df):
+        path = f"{folder}/{abs(hash(str(df)))}-{np.random.default_rng().integers(1 << 40)}"
+        token_files.write(df, path, BPE)
+        return token_files.read(spark, path)
+
+    return {
+        "licenses": licenses.license_scan,
+        "pii": pii.pseudonymise,
+        "decontaminate": lambda df: decontaminate.contamination(df, bench),
+        "uncontaminated": lambda df: decontaminate.uncontaminated(df, bench),
+        "files": files,
+        "counts": lambda df: token_counts.token_counts(df, P.path("piece_bpe_32k.model")),
+        "near": near_dup.near_duplicates,
+        "one": near_dup.one_of_each_group,
+        "toxicity": lambda df: toxicity.toxicity(df, [(0, -1.0)]),
+        "accepted": lambda df: toxicity.accepted(df, [(0, -1.0)]),
+        "fitted": lambda df: toxicity.toxicity(df, toxicity.fit(df, labels)),
+        "pack": lambda df: packing.pack(df, BPE),
+        "substrings": substring_dedup.without_repeats,
+        "quality": quality.quality,
+    }
+
+
+NAMES = ["licenses", "pii", "decontaminate", "uncontaminated", "files", "counts", "near", "one", "toxicity", "accepted", "fitted", "pack", "substrings", "quality"]
+FEWER = {"one": len(AWKWARD), "pack": None}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_awkward_rows_and_empty_tables(spark, awkward, bench, folder, name):
+    op = operators(spark, bench, folder)[name]
+    assert op(awkward.limit(0)).count() == 0
+    found = op(awkward).collect()
+    if name == "pack":
+        assert collections.Counter(r.doc_id for r in found if r.start == 0) == collections.Counter(r[0] for r in AWKWARD)
+    elif name == "one":  # 8 is a copy of 7
+        assert collections.Counter(r.doc_id for r in found) == collections.Counter(r[0] for r in AWKWARD if r[0] != 8)
+    else:
+        assert collections.Counter(r.doc_id for r in found) == collections.Counter(r[0] for r in AWKWARD)
+    if name in ("uncontaminated", "accepted", "one"):
+        assert op(awkward).columns == awkward.columns
+
+
+def test_licenses_by_brute_force(spark, docs, texts, awkward):
+    split = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    compiled = [(k, r, re.compile(f"(?ai)(?= ({r.pattern}) )")) for k, r in enumerate(rules())]
+
+    def expected(text):
+        ws = split.findall(text or "")
+        padded = f" {' '.join(ws)} "
+        low = [w.translate(LOWER) for w in ws]
+        base = sorted((k, label) for phrase, label in BASE for k in range(len(ws)) if low[k : k + len(phrase.split())] == phrase.split())
+        found = sorted((padded[: m.start()].count(" "), -(padded[: m.start()].count(" ") + m[1].count(" ") + 1), k, r.label) for k, r, x in compiled if r.keyword in padded.lower().split() for m in x.finditer(padded))
+        kept, reach = [], 0
+        for start, minus, k, label in found:
+            if not kept or start >= reach:
+                kept.append((start, -minus, k, label))
+                reach = -minus
+            elif -minus > reach and kept[-1][2] > k:
+                kept[-1] = (start, -minus, k, label)
+                reach = -minus
+        return len(ws), base, kept
+
+    made = "Licensed under the Apache License, Version 2.0. Mit License mit license; CC BY-NC 4.0 SPDX-License-Identifier: GPL-3.0-only or the GNU General Public License; Creative Commons Attribution-NonCommercial ShareAlike 4.0"
+    extra = spark.createDataFrame([(9001, made), (9002, made * 50)], "doc_id long, text string")
+    everything = docs.select("doc_id", "text").unionByName(awkward.where("doc_id is not null").select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 8000)).unionByName(extra)
+    want = {k: v for k, v in texts.items()} | {r[0] + 8000: r[1] for r in AWKWARD if r[0]} | {9001: made, 9002: made * 50}
+    for r in licenses.license_scan(everything).collect():
+        n, base, kept = expected(want[r.doc_id])
+        assert (r.n_words, sorted((x.start, x.label) for x in r.base), [(x.start, x.end, x.rule, x.label) for x in r.detections]) == (n, base, kept), r.doc_id
+    assert len(rules()) > 300
+    row = queries.op1_licenses(spark, SF).where("n_base > 0").first()
+    assert row.first_word is not None and set(row.base_labels.split(",")) <= set(row.labels.split(",")) and 0 < row.score <= 1
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_pii_keeps_forms_and_links(spark):
+    card, iban = "4111111111111111", "DE89370400440532013000"
+    rows = [
+        (1, f"pay {card} or 4111 1111 1111 1111 not 4111111111111112"), (2, f"again {card}, {iban}"), (3, "born 1980-02-29, 29.02.1980 and 2026-02-31"),
+        (4, "ip 97.51.17.173 999.1.1.1 call +1 (499) 555-6503!!"), (5, 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"###'), (6, "mail él.32@mail7.example.com. SSN 123-45-6789 000-12-3456"), (7, None), (8, ""),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one, two = got[1].found[0].pseudonym, got[2].found[0].pseudonym
+    assert one == two != card and luhn(one) and len(one) == 16
+    assert got[1].found[1].pseudonym.replace(" ", "") == one and "4111111111111112" in got[1].text
+    new_iban = got[2].found[1].pseudonym
+    assert re.fullmatch(r"DE\d{20}", new_iban) and int(new_iban[4:] + "1314" + new_iban[2:4]) % 97 == 1
+    iso, german = (x.pseudonym for x in got[3].found)
+    assert "-".join(reversed(german.split("."))) == iso != "1980-02-29" and "2026-02-31" in got[3].text
+    assert [x.kind for x in got[4].found] == ["ipv4", "phone"] and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}!!", got[4].text) and "999.1.1.1" in got[4].text and "555-6503" not in got[4].text
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"###', got[5].text) and "1eb9c654" not in got[5].text
+    assert "él.32" not in got[6].text and "123-45-6789" not in got[6].text and "000-12-3456" in got[6].text
+    assert got[7].text is None and got[8].text == "" and got[7].found == []
+
+
+def test_feistel_is_a_permutation_and_keyed(spark):
+    def images(key):
+        grid = spark.range(7 * 11).select((F.col("id") / 11).cast("long").alias("a"), (F.col("id") % 11).alias("b"))
+        p = pii.feistel(F.col("a"), F.col("b"), F.lit(7).cast("long"), F.lit(11).cast("long"), F.lit("t"), key)
+        return [tuple(r.p) for r in grid.select(p.alias("p")).collect()]
+
+    one, two = images("k1"), images("k2")
+    assert len(set(one)) == len(set(two)) == 77 and one != two and all(a < 7 and b < 11 for a, b in one)
+
+
+def test_no_planted_value_survives(spark, docs, texts):
+    pattern = re.compile(r"[\w.]+@mail\d\.example\.com|\+1 \(\d{3}\) \d{3}-\d{4}|[0-9a-f]{40}")
+    for r in pii.pseudonymise(docs).collect():
+        for value in pattern.findall(texts[r.doc_id]):
+            assert value not in r.text
+
+
+def test_decontamination_blocks_and_cuts(spark, docs, bench):
+    whole = decontaminate.contamination(docs, bench)
+    small = decontaminate.contamination(docs, bench, block_bytes=2000)
+    assert whole.exceptAll(small).count() == 0 and small.exceptAll(whole).count() == 0
+    assert whole.where("n_hit > 0").count() > 0
+    assert decontaminate.contamination(decontaminate.cut_spans(whole), bench).where("n_hit > 0").count() == 0
+    items = spark.createDataFrame([(1, "Alpha beta"), (2, None), (3, "..."), (4, "alpha BETA"), (5, " ".join(map(str, range(13))))], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "x alpha, beta y"), (2, "0 1 2 3 4 5 6 7 8 9 10 11 12 13"), (3, "alpha x beta")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.contamination(rows, items).collect()}
+    assert got == {1: (2, ["1", "4"]), 2: (13, ["5"]), 3: (0, [])}
+
+
+def test_token_files_round_trip(spark, texts, folder):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    at = 0
+    got = {r.doc_id: r for r in queries.op4_token_files(spark, SF).collect()}
+    for k in sorted(texts):
+        ids = np.array(library.encode(texts[k], add_special_tokens=False).ids + [2], "<u4")
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    token_files.write(docs, f"{folder}/t", BPE)
+    row = token_files.read(spark, f"{folder}/t", doc_id=17).collect()
+    assert len(row) == 1 and (row[0].start, row[0].n_tokens) == (got[17].start, got[17].n_tokens)
+    shard = spark.read.parquet(f"{folder}/t/shards").first()
+    kept = spark.read.parquet(f"{folder}/t/dictionary").first()
+    assert shard.dictionary == kept.dictionary == hashlib.sha256(bytes(kept.bytes)).hexdigest() and len(kept.bytes)
+
+
+def test_token_counts_by_brute_force(spark, texts):
+    scores = token_counts.vocabulary(P.path("piece_bpe_32k.model"))
+    longest, least = max(map(len, scores)), min(scores.values()) - 10.0
+    known = {}
+
+    def pieces(word):
+        if word not in known:
+            best = [(0.0, 0)]
+            for end in range(1, len(word) + 1):
+                size = len(word[end - 1].encode())
+                options = [(best[end - 1][0] + size * least, -(-best[end - 1][1] + 0) + size)]
+                options += [(best[a][0] + scores[word[a:end]], best[a][1] + 1) for a in range(max(0, end - longest), end) if word[a:end] in scores]
+                best.append(max(options, key=lambda x: (x[0], -x[1])))
+            known[word] = best[-1][1]
+        return known[word]
+
+    got = {r.doc_id: r for r in queries.op5_token_counts(spark, SF).collect()}
+    for k, t in texts.items():
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        assert (got[k].n_words, got[k].n_tokens) == (len(ws), sum(pieces("▁" + w) for w in ws))
+    trie = token_counts.Trie(scores)
+    some = sorted({"▁" + w for w in ["the", "then", "there", "thé", "你好", "x" * 40]})
+    assert [trie.pieces(w) for w in some] == [pieces(w) for w in some]
+
+
+def brute_components(sets):
+    """doc -> smallest id reached, by all pairs."""
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = [k for k in sets if sets[k]]
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
+def shingles(words, n):
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
+
+
+@pytest.mark.parametrize(("size", "kind"), [(2, "spaced"), (5, "alnum")])
+def test_near_duplicates_by_all_pairs(spark, docs, texts, size, kind):
+    pattern = re.compile(r"[^\x20\x09-\x0D]+") if kind == "spaced" else ALNUM
+    want = brute_components({k: shingles(pattern.findall(lowered(t)), size) for k, t in texts.items()})
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 0.8, size, kind).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_chains_of_copies_and_small_sets(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(60)]
+    rows, words_ = [], list(base)
+    for k in range(300):  # a random walk: neighbours are alike, ends aren't
+        words_ = list(words_)
+        words_[int(rng.integers(60))] = f"v{k}"
+        rows.append((k, " ".join(words_)))
+    rows += [(1000 + k, " ".join(base[:k])) for k in range(1, 8)] + [(2000 + k, " ".join(base[:5] + base[6 : 6 + k % 3])) for k in range(9)]
+    texts = dict(rows)
+    want = brute_components({k: shingles(t.split(), 2) for k, t in texts.items()})
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 0.8, 2, "spaced").collect()}
+    assert got == want
+
+
+def test_estimates_are_close():
+    rng = np.random.default_rng(1)
+    for share in (0.5, 0.8, 0.95):
+        errors = []
+        for _ in range(40):
+            n = int(rng.integers(20, 2000))
+            both = int(round(n * 2 * share / (1 + share)))
+            h = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)
+            a, b = np.sort(h[:n]), np.sort(h[n - both :])
+            r = near_dup.registers(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+            errors.append(near_dup.estimate(r[:1], r[1:], np.array([n]), np.array([n]))[0] - both / (2 * n - both))
+        assert abs(np.mean(errors)) < 0.03 and max(map(abs, errors)) < 0.18
+
+
+def test_toxicity_holds_out_and_finds(spark):
+    d = "/root/testdata/sf0.1"
+    rows = queries.op7_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows) and all(0 <= r.score <= 1 for r in rows)
+    right = np.mean([r.predicted == r.toxic for r in rows])
+    found = np.mean([r.predicted for r in rows if r.toxic])
+    assert right > 0.98 and found > 0.9
+
+
+def test_counterfactual_penalty_quiets_mentions(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    fill = [f"word{k}" for k in range(200)]
+    rows = []
+    for k in range(900):
+        toxic = k % 3 == 0
+        words_ = list(rng.choice(fill, 12)) + (["idiot" if rng.random() < 0.7 else "scum"] if toxic else []) + (["muslims"] if (toxic and rng.random() < 0.8) or (not toxic and rng.random() < 0.05) else [])
+        rows.append((k, " ".join(words_), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    probe = spark.createDataFrame([(1, "muslims word1 word2"), (2, "word1 word2"), (3, "idiot word1")], "doc_id long, text string")
+
+    def scores(weight):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", weight)
+        return {r.doc_id: r.score for r in toxicity.toxicity(probe, toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))).collect()}
+
+    plain, fair = scores(0.0), scores(20.0)
+    gap = lambda s: np.log(s[1] / (1 - s[1])) - np.log(s[2] / (1 - s[2]))
+    assert gap(fair) < 0.5 * gap(plain) and fair[3] > 0.5
+    assert toxicity.swapped("Muslims and men") == "christians and woman" and toxicity.swapped("nobody") is None
+
+
+def check_packing(rows, encoded):
+    sequences, pieces = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id].append(r)
+    padding = 0
+    for s in sequences.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 4096
+        padding += (1 << (at - 1).bit_length()) - at
+    for k, ids in encoded.items():
+        at = 0
+        for r in sorted(pieces[k], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert set(pieces) == set(encoded)
+    return padding
+
+
+def test_packing(spark, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    encoded = {k: np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4") for k, t in texts.items()}
+    padding = check_packing(queries.op8_packing(spark, SF).collect(), encoded)
+    assert padding < 0.03 * sum(map(len, encoded.values()))
+
+
+def test_substrings_by_brute_force(spark, docs, texts):
+    """The same sentences, found with strings."""
+    import pyarrow as pa
+
+    from noticeforge.llm.words import slices
+
+    sentences = {}
+    for k, t in texts.items():
+        s = next(slices(pa.array([t])))
+        sent, first, starts, ends, _ = substring_dedup.sentences(s)
+        words_ = [s.buf[a:b].tobytes().lower() for a, b in zip(starts, ends)]
+        sentences[k] = [tuple(words_[sent[i] : sent[i + 1]]) for i in range(len(sent) - 1)]
+    first, places = {}, []
+    for k, sents in sorted(sentences.items()):
+        spans = set()
+        for i in range(len(sents)):
+            for step in (1, -1):
+                a = b = i if step == 1 else i + 1
+                while 0 <= a and b <= len(sents) and (b - a < substring_dedup.RUN or sum(map(len, sents[a:b])) < substring_dedup.RUN_WORDS):
+                    a, b = (a, b + 1) if step == 1 else (a - 1, b)
+                if 0 <= a and b <= len(sents):
+                    spans.add((a, b))
+        for a, b in sorted(spans):
+            key = tuple(w for x in sents[a:b] for w in x)
+            first.setdefault(key, (k, a, b))
+            places.append((key, (k, a, b)))
+    gone = collections.defaultdict(set)
+    for key, place in places:
+        if first[key] != place:
+            gone[place[0]] |= set(range(place[1], place[2]))
+    for r in substring_dedup.without_repeats(docs).collect():
+        assert (r.n_sentences, r.n_removed) == (len(sentences[r.doc_id]), len(gone[r.doc_id])), r.doc_id
+        assert {i for x in r.removed for i in range(x.a, x.b)} == gone[r.doc_id]
+        left = [w for i, x in enumerate(sentences[r.doc_id]) if i not in gone[r.doc_id] for w in x]
+        assert [w.encode() for w in ALNUM.findall(lowered(r.text))] == left
+
+
+def test_substrings_of_shared_passages(spark):
+    passage = "Alpha beta gamma delta epsilon. Zeta eta theta iota kappa lambda! Mu nu xi omicron pi rho sigma. Tau upsilon phi chi psi omega one two three four five. Six seven eight nine ten eleven twelve."
+    rows = [(1, f"First own words here. {passage} End of one."), (2, f"Other opening, quite different. {passage.upper()} Another end."), (3, "Nothing shared at all."), (4, f"{passage} tail")]
+    got = {r.doc_id: r.text for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert got[2] == "Other opening, quite different. Another end." and got[4] == "tail"
+
+
+def test_quality_against_sql_and_edges(spark):
+    rows = [(1, "a b c d e " * 20), (2, "one two three"), (3, " ".join(f"w{k}" for k in range(40))), (4, "\n".join(["same line of text here now"] * 2 + [f"x{k} y{k} z{k}" for k in range(30)])), (5, None)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].kept) == (100, 100, False)
+    assert got[2].base_failed and not got[2].kept
+    assert got[3].kept and got[3].n_repeat_words == 0
+    assert (got[4].n_dup_lines, got[4].dup_line_chars, got[4].base_failed) == (1, 26, False)
+    assert got[5].n_words == 0 and got[5].base_failed
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "near-duplicates", "decontamination", "pii", "packing"]
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
+    kept = corpus_pipeline.reject_toxic(spark, docs, SF)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, s in scores.items() if s < 0.5}
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    want = brute_components({k: shingles(ALNUM.findall(lowered(t)), 5) for k, t in texts.items()})
+    unique = corpus_pipeline.drop_near_duplicates(spark, kept, SF)
+    assert {r.doc_id for r in unique.collect()} == {k for k, c in want.items() if k == c}
+    clean = corpus_pipeline.drop_contaminated(spark, unique, SF)
+    bad = {r.doc_id for r in queries.op3_decontamination(spark, SF).where("contaminated").collect()}
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in unique.collect()} - bad
+    masked = corpus_pipeline.pseudonymise(spark, clean, SF)
+    assert masked.columns == docs.columns and masked.count() == clean.count() and masked.where("n_chars <> length(text)").count() == 0
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in clean.collect()}
