@@ -30,10 +30,12 @@ def golden_summary(diff: DataFrame) -> DataFrame:
 
 def precision_at_k(ranked: DataFrame, labels: DataFrame, key: str, by: str, order: list[Column], k: int = 20) -> DataFrame:
     """Per `by`: share of relevant rows among the first k labelled ones, and the share of relevant rows that these miss."""
+    rows = ranked.join(labels, key)
     w = Window.partitionBy(by).orderBy(*order)
-    rows = ranked.join(labels, key).withColumn("_n", F.row_number().over(w))
-    top, good = F.col("_n") <= k, F.col("relevant")
-    return rows.groupBy(by).agg(F.sum(F.when(top, 1).otherwise(0)).alias("n_top"), F.round(F.avg(F.when(top, good)), 4).alias("precision"), F.round(F.sum(F.when(~top, good).otherwise(0)) / F.sum(good), 4).alias("missed"))
+    # the first k by themselves: Spark keeps k rows of a task, so a large `by` isn't sorted in one place
+    best = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).groupBy(by).agg(F.count(F.lit(1)).alias("n_top"), F.round(F.avg("relevant"), 4).alias("precision"), F.sum("relevant").alias("_found"))
+    total = rows.groupBy(by).agg(F.sum("relevant").alias("_all"))
+    return total.join(best, by).select(by, "n_top", "precision", F.round((F.col("_all") - F.col("_found")) / F.when(F.col("_all") != 0, F.col("_all")), 4).alias("missed"))
 
 
 def compare_versions(matches: DataFrame, first: str, second: str) -> DataFrame:

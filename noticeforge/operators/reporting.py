@@ -28,11 +28,32 @@ def report_group(as_of: Column, min_score: float = MIN_SCORE, closing_hours: int
     )
 
 
+def in_groups(scored: DataFrame, as_of: Column, min_score: float = MIN_SCORE) -> DataFrame:
+    """Rows that the hard filter passed and that a group takes, with report_group."""
+    return scored.where(F.col("passed")).withColumn("report_group", report_group(as_of, min_score)).where(F.col("report_group").isNotNull())
+
+
 def report_groups(scored: DataFrame, as_of: Column, tie_breaks: list[str], min_score: float = MIN_SCORE) -> DataFrame:
-    """Rows that the hard filter passed and that a group takes, with report_group and their rank in it for each preference."""
-    grouped = scored.where(F.col("passed")).withColumn("report_group", report_group(as_of, min_score)).where(F.col("report_group").isNotNull())
-    order = Window.partitionBy("pref_id", "report_group").orderBy(*stable_order(tie_breaks))
-    return grouped.withColumn("rank", F.row_number().over(order))
+    """The rows of in_groups() with their rank in the group for each preference."""
+    return ranked(in_groups(scored, as_of, min_score), ["pref_id", "report_group"], tie_breaks)
+
+
+def ranked(rows: DataFrame, partition: list[str], tie_breaks: list[str]) -> DataFrame:
+    """rows with their rank in the stable order within each partition, without one task for a whole partition.
+
+    A partition may hold most rows. The rows of each (score, deadline) are numbered by themselves, and the numbers of rows
+    of better levels, summed over a small table of the levels, are added.
+    """
+    level = [*partition, "score", "deadline"]
+    sizes = rows.groupBy(*level).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*partition).orderBy(*stable_order([])).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*(F.col(c).alias(f"_{c}") for c in level), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for c in level:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = Window.partitionBy(*level).orderBy(*(F.asc(c) for c in tie_breaks))
+    numbered = rows.withColumn("_number", F.row_number().over(inside)).join(offsets, same)
+    return numbered.withColumn("rank", (F.col("_before") + F.col("_number")).cast("int")).drop("_number", "_before", *(f"_{c}" for c in level))
 
 
 def stable_order(tie_breaks: list[str]) -> list[Column]:

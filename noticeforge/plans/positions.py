@@ -21,6 +21,10 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.report_groups(scored(spark, sf_dir), _as_of(), B.TIE_BREAKS)
 
 
+def unranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.in_groups(scored(spark, sf_dir), _as_of())
+
+
 def report_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(spark, sf_dir).select("report_group", "rank", "post_id", "part_id", "supplier_id", "line_number", F.col("name").alias("title"), "organization", "region", "deadline", "score")
 
@@ -75,22 +79,22 @@ def get_job_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.report_counts(grouped(spark, sf_dir)).select("report_group", "n_items")
+    return reporting.report_counts(unranked(spark, sf_dir)).select("report_group", "n_items")
 
 
 def closing_soon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped(spark, sf_dir).where(F.col("report_group") == "closing_soon").select("position_id", "deadline", "score")
+    return unranked(spark, sf_dir).where(F.col("report_group") == "closing_soon").select("position_id", "deadline", "score")
 
 
 def to_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.when(F.col("position_id").isNull(), "no_position").when(F.col("deadline").isNull(), "no_deadline").otherwise("deadline_before_start")
-    return grouped(spark, sf_dir).where(F.col("report_group") == "to_confirm").select("post_id", "position_id", reason.alias("reason"))
+    return unranked(spark, sf_dir).where(F.col("report_group") == "to_confirm").select("post_id", "position_id", reason.alias("reason"))
 
 
 def empty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = F.explode(F.array(*map(F.lit, reporting.GROUPS)))
     spine = B.table(spark, sf_dir, "region").select(F.col("r_name").alias("region")).withColumn("report_group", groups)
-    counts = grouped(spark, sf_dir).groupBy("region", "report_group").agg(F.count(F.lit(1)).alias("n"))
+    counts = unranked(spark, sf_dir).groupBy("region", "report_group").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return spine.join(counts, ["region", "report_group"], "left").select("region", "report_group", n.alias("n_items"), F.when(n == 0, "empty").otherwise("filled").alias("state"))
 
@@ -136,13 +140,17 @@ def severe_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("region").agg(F.count(F.lit(1)).alias("n_recommendable"), F.max("score").alias("best"))
 
 
-def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _traced(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     originals = B.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("post_id"), F.concat(F.lit("https://jobs.example.org/"), F.col("o_orderkey").cast("string")).alias("source_link"))
-    return search.trace_lines(grouped(spark, sf_dir).select("report_group", "rank", "post_id"), originals, "post_id")
+    return search.trace_lines(rows, originals, "post_id")
 
 
 def traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.traceability(_traced(spark, sf_dir), ["report_group"])
+    return search.traceability(_traced(unranked(spark, sf_dir).select("report_group", "post_id"), spark, sf_dir), ["report_group"])
+
+
+def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _traced(grouped(spark, sf_dir).select("report_group", "rank", "post_id"), spark, sf_dir)
 
 
 def major_match_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +181,6 @@ QUERIES = {
     "review_reasons": review_reasons,
     "severe_excluded": severe_excluded,
     "traceability": traceability,
-    "trace_lines": _traced,
+    "trace_lines": trace_lines,
     "major_match_sets": major_match_sets,
 }
