@@ -57,6 +57,7 @@ ORACLE_SQL = {
     "empty_report": f"WITH {GROUPED}, spine AS (SELECT r_name AS region, g AS report_group FROM region, (SELECT unnest(['to_confirm', 'closing_soon', 'priority', 'new_today']) AS g)) SELECT s.region, s.report_group, count(x.post_id) AS n_items, CASE WHEN count(x.post_id) = 0 THEN 'empty' ELSE 'filled' END AS state FROM spine s LEFT JOIN grouped x ON s.region = x.region AND s.report_group = x.report_group GROUP BY ALL",
     "report_lines": f"WITH {GROUPED} SELECT report_group, rank, {_LINE} AS line FROM ranked",
     "report_markdown": f"WITH {GROUPED}, l AS (SELECT region, report_group, list_position(['to_confirm', 'closing_soon', 'priority', 'new_today'], report_group) AS g, rank, {_LINE} AS line FROM ranked WHERE report_group IN ('closing_soon', 'new_today')), m AS (SELECT region, g, rank, CASE WHEN row_number() OVER (PARTITION BY region, g ORDER BY rank) = 1 THEN '## ' || report_group || chr(10) ELSE '' END || '- ' || line AS line FROM l) SELECT region, 'markdown' AS format, string_agg(line, chr(10) ORDER BY g, rank) AS content, count(*) AS item_count FROM m GROUP BY region",
+    "message_parts": f"WITH RECURSIVE {GROUPED}, l AS (SELECT region, report_group, rank, CAST(length({_LINE}) AS INTEGER) AS n, row_number() OVER (PARTITION BY region ORDER BY report_group, rank) AS k FROM ranked WHERE report_group IN ('closing_soon', 'new_today')), m AS (SELECT region, k, n AS used, 0 AS part FROM l WHERE k = 1 UNION ALL SELECT l.region, l.k, CASE WHEN used + n <= 500 THEN used + n ELSE n END, CASE WHEN used + n <= 500 THEN part ELSE part + 1 END FROM m JOIN l ON l.region = m.region AND l.k = m.k + 1) SELECT region, report_group, rank, n, CAST(part AS INTEGER) AS part FROM l JOIN m USING (region, k)",
     "completeness": f"WITH {VISIBLE}, rows AS (SELECT region AS part, organization, name, region, deadline FROM visible UNION ALL SELECT 'all', organization, name, region, deadline FROM visible) SELECT part, count(*) AS n_rows, round(sum((organization IS NOT NULL)::INT + (name IS NOT NULL)::INT + (region IS NOT NULL)::INT + (deadline IS NOT NULL)::INT + 1) / (5.0 * count(*)), 4) AS filled_share, count(*) FILTER (WHERE organization IS NOT NULL AND name IS NOT NULL AND region IS NOT NULL AND deadline IS NOT NULL) AS n_complete FROM rows GROUP BY part",
     "validation_issues": f"WITH {VISIBLE}, x AS (SELECT post_id, position_id, unnest(list_filter([CASE WHEN position_id IS NULL THEN 'missing_position:error' END, CASE WHEN deadline IS NULL THEN 'missing_deadline:error' END, CASE WHEN deadline < start_at THEN 'deadline_before_start:error' END, CASE WHEN headcount > 45 THEN 'large_headcount:warning' END], lambda r: r IS NOT NULL)) AS v FROM visible) SELECT post_id, position_id, string_split(v, ':')[1] AS reason, string_split(v, ':')[2] AS severity FROM x",
     "review_reasons": f"WITH {VISIBLE}, x AS (SELECT unnest(list_filter([CASE WHEN position_id IS NULL THEN 'missing_position:error' END, CASE WHEN deadline IS NULL THEN 'missing_deadline:error' END, CASE WHEN deadline < start_at THEN 'deadline_before_start:error' END, CASE WHEN headcount > 45 THEN 'large_headcount:warning' END], lambda r: r IS NOT NULL)) AS v FROM visible) SELECT string_split(v, ':')[1] AS reason, string_split(v, ':')[2] AS severity, count(*) AS n FROM x GROUP BY ALL",

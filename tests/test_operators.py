@@ -194,3 +194,20 @@ def test_score_is_monotone_in_matches(spark, seed):
     worse, better = position("w", 24 * 20, region="X"), position("b", 24 * 20)
     got = {r.position_id: r.score for r in score(spark, [worse, better]).collect()}
     assert got["b"] > got["w"]
+
+
+def test_parse_success_and_search(spark):
+    from noticeforge.operators import quality, search
+
+    attachments = spark.createDataFrame([(1, "ok"), (2, "failed"), (3, "encrypted"), (4, "ocr_required"), (5, "ok")], "attachment_id long, parse_status string")
+    row = quality.parse_success(attachments).first()
+    assert (row.n_readable, row.parse_success) == (3, 0.6667)
+    rows = score(spark, [position("a", 10), position("b", 20), position("c", None), position("d", 5, region="X")]).where("passed")
+    assert [r.position_id for r in search.search_jobs(rows, region="R", n=2).collect()] == ["a", "b"]
+    assert search.search_jobs(rows, n=99, max_results=3).count() == 3
+    assert search.search_jobs(rows, keyword="dev", open_at=F.lit(NOW), min_score=90).count() == 2
+    posts = spark.createDataFrame([(1, "o"), (2, "p")], "post_id long, organization string")
+    evidence = spark.createDataFrame([(1, "deadline", "q")], "post_id long, field_name string, quote string")
+    detail = {r.post_id: r for r in search.get_job_detail(posts, rows.select("post_id", "position_id"), evidence).collect()}
+    assert len(detail[1].positions) == 4 and detail[1].evidence[0].quote == "q" and detail[2].positions is None
+    assert search.get_job_detail(posts, rows.select("post_id", "position_id"), post_id=F.lit(2)).count() == 1
