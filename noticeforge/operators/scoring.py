@@ -90,35 +90,49 @@ def score_completeness(fields: list[Column], weight: float = WEIGHTS["completene
     return filled * (weight / len(fields))
 
 
-def components(as_of: Column, weights: dict[str, float] = WEIGHTS) -> Column:
-    """Array of {rule, input, score, explanation} for a row of with_prefs()."""
+def part_scores(as_of: Column, weights: dict[str, float] = WEIGHTS) -> dict[str, Column]:
+    """The column part_<rule> of each rule for a row of with_prefs()."""
+    deadline = valid_deadline(F.col("start_at"), F.col("deadline"))
+    parts = {
+        "region": score_region(F.col("region"), F.col("pref_regions"), weights["region"]),
+        "keyword": score_keyword(F.col("name"), F.col("requirements"), F.col("pref_job_keywords"), F.col("pref_requirement_terms"), weights["keyword"]),
+        "major": score_major(F.col("major"), F.col("pref_majors"), weights["major"]),
+        "organization": score_org_type(F.col("category"), F.col("pref_organization_types"), weights["organization"]),
+        "urgency": score_urgency(deadline, as_of, weights["urgency"]),
+        "completeness": score_completeness([deadline if c == "deadline" else F.col(c) for c in KEY_FIELDS], weights["completeness"]),
+    }
+    return {f"part_{rule}": F.round(x.cast("double"), 4) for rule, x in parts.items()}
+
+
+def components() -> Column:
+    """Array of {rule, input, score, explanation} from the part columns; pruned away where nobody asks for it."""
     deadline = valid_deadline(F.col("start_at"), F.col("deadline"))
     text = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
-    wanted = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), ", ")
-    parts = [
-        ("region", text(F.col("region")), score_region(F.col("region"), F.col("pref_regions"), weights["region"]), F.concat(F.lit("wanted: "), wanted("pref_regions"))),
-        ("keyword", text(F.col("name")), score_keyword(F.col("name"), F.col("requirements"), F.col("pref_job_keywords"), F.col("pref_requirement_terms"), weights["keyword"]), F.concat(F.lit("wanted: "), wanted("pref_job_keywords"))),
-        ("major", text(F.col("major")), score_major(F.col("major"), F.col("pref_majors"), weights["major"]), F.concat(F.lit("wanted: "), wanted("pref_majors"))),
-        ("organization", text(F.col("category")), score_org_type(F.col("category"), F.col("pref_organization_types"), weights["organization"]), F.concat(F.lit("wanted: "), wanted("pref_organization_types"))),
-        ("urgency", text(F.date_format(deadline, "yyyy-MM-dd")), score_urgency(deadline, as_of, weights["urgency"]), F.lit("by time left")),
-        ("completeness", F.lit(", ".join(KEY_FIELDS)), score_completeness([deadline if c == "deadline" else F.col(c) for c in KEY_FIELDS], weights["completeness"]), F.lit("by fields filled")),
-    ]
-    return F.array(*(F.struct(F.lit(rule).alias("rule"), value.alias("input"), F.round(score.cast("double"), 4).alias("score"), why.alias("explanation")) for rule, value, score, why in parts))
-
-
-def total_score(passed: Column, parts: Column) -> Column:
+    wanted = lambda c: F.concat(F.lit("wanted: "), F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), ", "))
+    told = {
+        "region": (text(F.col("region")), wanted("pref_regions")),
+        "keyword": (text(F.col("name")), wanted("pref_job_keywords")),
+        "major": (text(F.col("major")), wanted("pref_majors")),
+        "organization": (text(F.col("category")), wanted("pref_organization_types")),
+        "urgency": (text(F.date_format(deadline, "yyyy-MM-dd")), F.lit("by time left")),
+        "completeness": (F.lit(", ".join(KEY_FIELDS)), F.lit("by fields filled")),
+    }
+    return F.array(*(F.struct(F.lit(rule).alias("rule"), value.alias("input"), F.col(f"part_{rule}").alias("score"), why.alias("explanation")) for rule, (value, why) in told.items()))
+
+
+def total_score(passed: Column, parts: list[Column]) -> Column:
     """0 if the hard filter rejects, else the sum of the component scores."""
-    return F.when(passed, F.round(F.aggregate(parts, F.lit(0.0), lambda t, x: t + x["score"]), 4)).otherwise(0.0)
+    return F.when(passed, F.round(sum(parts[1:], parts[0]), 4)).otherwise(0.0)
 
 
 def score_positions(positions: DataFrame, prefs: DataFrame, as_of: Column, version: str = "1", weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """All pairs with reasons, passed, components, matched_rules, score, score_version and generated_at (= as_of)."""
+    """All pairs with reasons, passed, part_<rule>, score, components, matched_rules, score_version and generated_at (= as_of)."""
     if abs(sum(weights.values()) - 100) > 1e-9:
         raise ValueError("weights must sum to 100")
-    scored = hard_filter(with_prefs(positions, prefs), as_of).withColumn("components", components(as_of, weights))
-    scored = scored.withColumn("score", total_score(F.col("passed"), F.col("components")))
-    matched = F.transform(F.filter("components", lambda x: x["score"] > 0), lambda x: x["rule"])
-    return scored.withColumn("matched_rules", matched).withColumn("score_version", F.lit(version)).withColumn("generated_at", as_of)
+    parts = part_scores(as_of, weights)
+    scored = hard_filter(with_prefs(positions, prefs), as_of).withColumns(parts)
+    matched = F.filter(F.array(*(F.when(F.col(f"part_{rule}") > 0, F.lit(rule)) for rule in WEIGHTS)), lambda r: r.isNotNull())
+    return scored.withColumns({"score": total_score(F.col("passed"), [F.col(c) for c in parts]), "components": components(), "matched_rules": matched, "score_version": F.lit(version), "generated_at": as_of})
 
 
 def match_results(scored: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def report_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [F.col("components")[k]["score"].alias(f"{rule}_score") for k, rule in enumerate(scoring.WEIGHTS)]
+    parts = [F.col(f"part_{rule}").alias(f"{rule}_score") for rule in scoring.WEIGHTS]
     return scored(spark, sf_dir).where(F.col("position_id").isNotNull()).select("position_id", *parts, "score")
 
 
