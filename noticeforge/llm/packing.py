@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeforge.llm.frames import keyed_text
-from noticeforge.llm.tokens import encoder
+from noticeforge.llm.tokens import ENCODE_BYTES, encoder
 from noticeforge.llm.words import slices
 
 CAPACITY, END_ID = 4096, 2
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         for batch in batches:
             id_type = batch.schema.field(0).type
             keys = batch.column(0).to_pylist()
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(1), ENCODE_BYTES):
                 flat, at = encoder(tokenizer_path).ids(s)
                 out: list[tuple] = []
                 for i in range(len(s)):

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeforge.llm.frames import computed_once, keyed_text
+from noticeforge.llm.frames import computed_once
 
 ROUNDS = 10
 #: For tests and examples; a real run passes its own.

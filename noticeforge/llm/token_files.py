@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeforge.llm.frames import keyed_text, map_slices
-from noticeforge.llm.tokens import encoder
+from noticeforge.llm.tokens import ENCODE_BYTES, encoder
 from noticeforge.llm.words import Slice, slices
 
 END_ID = 2
@@ -89,7 +89,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(1), ENCODE_BYTES):
                 flat, at = encoder(tokenizer_path).ids(s)
                 for i in range(len(s)):
                     keys.append(names[s.first + i])

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Most bytes of text that are worked on at once in a task (a longer single text is worked on alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
