@@ -91,8 +91,9 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, a and b of every run that isn't the first of its hash."""
     found = occurrences(docs, id_col, text_col)
-    many = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("hash"), shared_folder(docs.sparkSession), "repeated")
-    again = found.join(many, "hash")
+    folder = shared_folder(docs.sparkSession)
+    many = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("hash"), folder, "repeated")
+    again = written(found.join(many, "hash"), folder, "again")
     first = again.groupBy("hash").agg(F.min(F.struct("id", "a", "b")).alias("first"))
     return again.join(first, "hash").where(F.struct("id", "a", "b") != F.col("first")).select("id", "a", "b")
 
