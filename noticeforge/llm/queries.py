@@ -72,7 +72,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.without_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
+    return substring_dedup.without_repeats(_table(spark, sf_dir, "documents"), passages=True).select("doc_id", "text", "n_sentences", "n_removed")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

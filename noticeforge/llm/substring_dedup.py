@@ -6,6 +6,10 @@ isn't the first of its hash (smallest id, then place) go. A sentence without an
 that their own hash chooses, so that copies are cut alike wherever they start. Only hashes and places are shuffled, first to count
 them (a hash aggregate, so a passage in a third of all documents is one row a task), then those
 that repeat, to find the occurrences; texts move once, to be rewritten.
+
+With `passages`, every run of PASSAGE words that stands elsewhere before goes as well, wherever it starts and ends. The smallest
+hash among its runs of SEED words, which any copy has too, leads to the copies; the consecutive runs of PASSAGE words with one such seed are a
+block. Blocks whose seed repeats are compared whole, and of each kind of block one is compared run by run.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from noticeforge.llm.frames import keyed_text, map_slices, shared_folder, writte
 from noticeforge.llm.words import ALNUM, LOWER_VALUES, Slice, mix, runs, span_hashes
 
 RUN, RUN_WORDS = 3, 20
+#: Words of the shortest passage that is found wherever it starts and ends, and of the seeds by which it is found.
+PASSAGE, SEED = 50, 20
 #: Words from which a sentence may be cut after a word whose hash says so, one in so many.
 LONG, CUT_ONE_IN = 24, 8
 
@@ -62,12 +68,37 @@ def sentence_runs(sent: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[n
     b = np.concatenate([to[ok], k[ok_back] + 1])
     both = np.unique(a * (n + 1) + b)
     a, b = both // (n + 1), both % (n + 1)
-    # the words' hashes as one polynomial, from prefix sums
+    return _hasher(h)(sent[a], sent[b]), a, b
+
+
+def _hasher(h: np.ndarray):
+    """A function of lo and hi: hashes of the words from lo up to hi, as one polynomial, from prefix sums."""
     up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(h), _BASE, np.uint64)]))
     down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(h), _INVERSE, np.uint64)]))
     total = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:-1])])
-    lo, hi = sent[a], sent[b]
-    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)), a, b
+    return lambda lo, hi: mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
+def blocks(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs of PASSAGE words of one row: numbers of their first words, their hashes, their seeds' hashes, and where blocks begin among them (one more at the end)."""
+    k = np.arange(len(h) - SEED + 1)
+    many = PASSAGE - SEED + 1
+    if len(k) < many:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    hashes = _hasher(h)
+    # the last smallest of `many` seeds in a row: two equal passages of a text never share its place
+    seed, place, width = hashes(k, k + SEED), k, 1
+    while width < many:
+        step = min(width, many - width)
+        later = seed[step:] <= seed[:-step]
+        seed, place = np.where(later, seed[step:], seed[:-step]), np.where(later, place[step:], place[:-step])
+        width += step
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.arange(len(seed))
+    at = at[at + PASSAGE <= first[row[: len(seed)] + 1]]
+    new = np.ones(len(at), bool)
+    new[1:] = place[at[1:]] != place[at[:-1]]
+    return at, hashes(at, at + PASSAGE), seed[at], np.append(np.flatnonzero(new), len(at))
 
 
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -98,15 +129,51 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return again.join(first, "hash").where(F.struct("id", "a", "b") != F.col("first")).select("id", "a", "b")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, a and b (first and after-last word, from 0) of runs of PASSAGE words or more, each of whose runs of PASSAGE words isn't the first of its hash."""
+    df = keyed_text(docs, id_col, text_col).where(F.col("id").isNotNull())
+
+    def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
+        starts, ends, first = runs(s, ALNUM)
+        at, hashes, seed, begin = blocks(first, span_hashes(s.buf, starts, ends, LOWER_VALUES))
+        head = at[begin[:-1]]
+        row = np.searchsorted(first, head, side="right") - 1
+        # 48 bits tell the passages of one seed apart
+        high, low = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32), (hashes & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
+        lists = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(x)) for x in (high, low)]
+        return pa.RecordBatch.from_arrays([pa.array(seed[begin[:-1]].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array((head - first[row]).astype(np.int32)), *lists], ["seed", "id", "a", "high", "low"])
+
+    found = map_slices(df, rows, f"seed long, id {dict(df.dtypes)['id']}, a int, high array<int>, low array<smallint>")
+    folder = shared_folder(docs.sparkSession)
+    n = F.count(F.lit(1))
+    place = F.struct("id", "a")
+    many = written(found.groupBy("seed").agg(n.alias("n")).where(F.col("n") > 1).select("seed"), folder, "seeds")
+    again = written(found.join(many, "seed").withColumn("block", F.xxhash64("high", "low")), folder, "blocks")
+    kinds = written(again.groupBy("seed", "block").agg(F.min(place).alias("first"), n.alias("n"), F.first("high").alias("high"), F.first("low").alias("low")), folder, "kinds")
+    copies = again.select("seed", "block", "id", "a", (F.col("a") + F.size("high") + PASSAGE - 1).alias("b")).join(kinds.where(F.col("n") > 1).select("seed", "block", "first"), ["seed", "block"])
+    # a copied block goes whole; the first of each kind is compared with the other kinds of its seed
+    several = kinds.groupBy("seed").agg(n.alias("n")).where(F.col("n") > 1).select("seed")
+    each = kinds.join(several, "seed", "left_semi").select("seed", "first", F.posexplode(F.arrays_zip("high", "low")).alias("k", "w"))
+    each = each.select("seed", "w.high", "w.low", F.col("first.id").alias("id"), (F.col("first.a") + F.col("k")).alias("a"))
+    key = ["seed", "high", "low"]
+    first = each.groupBy(*key).agg(F.min(place).alias("first"), n.alias("n")).where(F.col("n") > 1).drop("n")
+    single = each.join(first, key).where(place != F.col("first")).select("id", "a", (F.col("a") + PASSAGE).alias("b"))
+    return copies.where(place != F.col("first")).select("id", "a", "b").unionByName(single)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
     """One row per input row: doc_id, text without its repeated sentences, n_sentences, n_removed, removed (their numbers' ranges).
 
     Words are runs of letters, digits and characters outside ASCII, with A-Z as a-z; marks and white space between them don't
     matter for a match. A sentence goes with all up to the next one's first word. Null texts stay null and texts without
     words as they are; rows with a null id are left alone; rows that share an id keep the sentences that
-    one of them holds first. An empty table gives no rows; other columns are ignored.
+    one of them holds first. An empty table gives no rows; other columns are ignored. With `passages`, words of repeated_passages()
+    go as well, and sentences that lose some of their words count as removed.
     """
-    spans = repeated_spans(docs, id_col, text_col).distinct().groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(docs, id_col, text_col).withColumn("words", F.lit(False))
+    if passages:
+        spans = spans.unionByName(repeated_passages(docs, id_col, text_col).withColumn("words", F.lit(True)))
+    spans = spans.distinct().groupBy("id").agg(F.collect_list(F.struct("words", "a", "b")).alias("spans"))
     df = keyed_text(docs, id_col, text_col)
     kind = dict(df.dtypes)["id"]
 
@@ -115,20 +182,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts, gone = batch.column(1).to_pylist(), []
         for i, spans in enumerate(batch.column(2).to_pylist()):
             n = int(first[i + 1] - first[i])
-            out = np.zeros(n + 1, bool)
+            at = sent[first[i] : first[i + 1] + 1] - sent[first[i]]
+            out = np.zeros(at[-1] + 1, bool)
             for x in spans or ():
-                out[x["a"] : min(x["b"], n)] = True
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8)])))
-            ranges = [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-            gone.append(ranges)
-            if ranges:
-                # bytes at which sentences begin: the first takes what stands before it
-                begin = np.concatenate([[s.offsets[i]], starts[sent[first[i] + 1 : first[i + 1]]], [s.offsets[i + 1]]])
-                kept, at = [], 0
-                for r in ranges:
-                    kept.append(s.buf[begin[at] : begin[r["a"]]].tobytes())
-                    at = r["b"]
-                texts[i] = b"".join([*kept, s.buf[begin[at] : begin[n]].tobytes()]).decode("utf-8", "replace")
+                a, b = (x["a"], x["b"]) if x["words"] else (at[min(x["a"], n)], at[min(x["b"], n)])
+                out[a : min(b, at[-1])] = True
+            hit = np.logical_or.reduceat(out[:-1], at[:-1]) if n else np.zeros(0, bool)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+            gone.append([{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2])])
+            if n and hit.any():
+                # bytes at which words begin: the first takes what stands before it
+                begin = np.concatenate([[s.offsets[i]], starts[sent[first[i]] + 1 : sent[first[i + 1]]], [s.offsets[i + 1]]])
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8)])))
+                kept, done = [], 0
+                for a, b in zip(edge[::2], edge[1::2]):
+                    kept.append(s.buf[begin[done] : begin[a]].tobytes())
+                    done = b
+                texts[i] = b"".join([*kept, s.buf[begin[done] : begin[-1]].tobytes()]).decode("utf-8", "replace")
         span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         removed = [sum(r["b"] - r["a"] for r in x) for x in gone]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(gone, span)], ["doc_id", "text", "n_sentences", "n_removed", "removed"])

@@ -391,6 +391,55 @@ def test_substrings_of_shared_passages(spark):
     assert got[2] == "Other opening, quite different. Another end." and got[4] == "tail"
 
 
+def test_passages_that_start_and_end_within_sentences(spark, awkward):
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+
+    def prose(n):
+        out = []
+        while len(out) < n:
+            out += [word() for _ in range(int(rng.integers(4, 25)))]
+            out[-1] += "."
+        return out[:n]
+
+    texts_ = [prose(200) for _ in range(60)]
+    for k in range(60, 160):  # of 40 to 90 words, from a text before, which may itself hold such a passage
+        source, n, to, own = texts_[int(rng.integers(k))], int(rng.integers(40, 91)), int(rng.integers(40)), prose(80)
+        at = int(rng.integers(len(source) - n + 1))
+        texts_.append(own[:to] + source[at : at + n] + own[to:])
+    texts_ += [["word"] * 200, texts_[0], texts_[0] + prose(30) + texts_[0][20:90]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts_)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    by_sentences = {r.doc_id: r for r in substring_dedup.without_repeats(df).collect()}
+    seen, left = set(), {}
+    for k, t in rows:
+        ws = ALNUM.findall(lowered(t))
+        gone, at = np.zeros(len(ws), bool), 0
+        for i in range(len(ws) - 49):
+            x = tuple(ws[i : i + 50])
+            if x in seen:
+                gone[i : i + 50] = True
+            seen.add(x)
+        sent = substring_dedup.sentences(next(iter_slices(t)))[0]
+        for x in by_sentences[k].removed:
+            gone[sent[x.a] : sent[x.b]] = True
+        left[k] = [w for w, g in zip(ws, gone) if not g]
+    got = {r.doc_id: r for r in substring_dedup.without_repeats(df, passages=True).collect()}
+    assert {k: ALNUM.findall(lowered(r.text)) for k, r in got.items()} == left
+    assert sum(bool(got[k].n_removed) and not by_sentences[k].n_removed for k in got) > 0
+    again = substring_dedup.without_repeats(awkward, passages=True)
+    assert collections.Counter(r.doc_id for r in again.collect()) == collections.Counter(r[0] for r in AWKWARD)
+    assert substring_dedup.without_repeats(awkward.limit(0), passages=True).count() == 0
+
+
+def iter_slices(text):
+    import pyarrow as pa
+
+    from noticeforge.llm.words import slices
+
+    return slices(pa.array([text]))
+
+
 def test_quality_against_sql_and_edges(spark):
     rows = [(1, "a b c d e " * 20), (2, "one two three"), (3, " ".join(f"w{k}" for k in range(40))), (4, "\n".join(["same line of text here now"] * 2 + [f"x{k} y{k} z{k}" for k in range(30)])), (5, None)]
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
