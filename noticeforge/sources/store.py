@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeforge.operators.identity import KEY, current_versions, keyed, unique_documents
+from noticeforge.operators.identity import KEY, current_versions, keyed
 from noticeforge.operators.runs import undelivered
 from noticeforge.schemas import SCHEMAS
 
@@ -31,13 +31,18 @@ def current(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_versions(batch: DataFrame, path: str) -> int:
-    """Append what is new or changed against the current versions; the number of rows. The same batch again adds none."""
+    """Append every snapshot that differs from the one before it, among those stored and those of the batch; the number of rows.
+
+    How snapshots are dealt to batches doesn't matter, and the same batch again adds none. A late one that the next stored version repeats adds none either.
+    """
     spark = batch.sparkSession
-    rows = keyed(batch).select("source_id", "url", "canonical_url", "content_hash", F.col("html").alias("raw_html"), "fetched_at")
-    # a batch may hold several states of a page: the last counts
-    rows = unique_documents(rows, KEY, [F.desc("fetched_at"), F.desc("content_hash")])
-    known = current(spark, path).select(*KEY, F.col("content_hash").alias("known_hash"))
-    fresh = rows.join(known, KEY, "left").where(~F.col("content_hash").eqNullSafe(F.col("known_hash"))).drop("known_hash").persist()
+    rows = keyed(batch).select("source_id", "url", "canonical_url", "content_hash", F.col("html").alias("raw_html"), "fetched_at", F.lit(False).alias("stored"))
+    known = versions(spark, path).join(rows.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "content_hash", "fetched_at", F.lit(True).alias("stored"))
+    w = Window.partitionBy(*KEY).orderBy("fetched_at", "content_hash", F.desc("stored"))
+    same = lambda other: F.col("content_hash").eqNullSafe(other(F.col("content_hash")).over(w))
+    changed = rows.unionByName(known, allowMissingColumns=True).withColumn("same", same(F.lag)).where(F.col("stored") | ~F.col("same"))
+    repeated = F.coalesce(F.lead("stored").over(w), F.lit(False)) & same(F.lead)
+    fresh = changed.withColumn("same", repeated).where(~F.col("stored") & ~F.col("same")).drop("stored", "same").persist()
     n = fresh.count()
     if n:
         fresh.write.mode("append").partitionBy("source_id").parquet(path)

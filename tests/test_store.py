@@ -33,6 +33,18 @@ def test_append_is_idempotent_and_keeps_versions(spark, folder):
     assert store.backfill(spark, path, F.lit(T[2]), F.lit(T[3]), 1).count() == 1
 
 
+def test_versions_do_not_depend_on_batches(spark, folder):
+    states = [(1, "http://e.com/a", x, T[k]) for k, x in enumerate(("one", "two", "two", "one", "three"))]
+    stored = lambda path: sorted((r.fetched_at, r.raw_html) for r in store.versions(spark, path).collect())
+    want = [(T[0], "one"), (T[1], "two"), (T[3], "one"), (T[4], "three")]
+    assert store.append_versions(pages(spark, *states), f"{folder}/whole") == 4
+    assert sum(store.append_versions(pages(spark, x), f"{folder}/each") for x in states) == 4
+    assert stored(f"{folder}/whole") == stored(f"{folder}/each") == want
+    assert store.append_versions(pages(spark, *states), f"{folder}/whole") == 0
+    back = pages(spark, (1, "http://e.com/a", "four", T[5]), (1, "http://e.com/a", "three", T[6]))
+    assert store.append_versions(back, f"{folder}/whole") == 2 and stored(f"{folder}/whole") == [*want, (T[5], "four"), (T[6], "three")]
+
+
 def test_streaming_intake(spark, folder):
     landed, path, cursor = f"{folder}/in", f"{folder}/versions", f"{folder}/cursor"
     batch = pages(spark, (1, "http://e.com/a", "one", T[0]), (2, "http://e.com/b", "two", T[0])).coalesce(1)
