@@ -5,7 +5,8 @@ a bucket and offers the place of the leading one of the other bits together with
 offer stays - leading-zero count and mantissa in 16 bits. Buckets that no shingle has chosen take the value of another one
 by a fixed random walk, so that small sets can be compared as well. Bands of registers lead similar documents to the same
 key; the share of equal registers, less the share that agrees by chance, estimates the Jaccard similarity; what may reach
-the threshold is verified on full sets.
+the threshold is verified on full sets. Registers of small sets are copies of each other, so that estimates don't hold: pairs with a set of
+under SMALL shingles are verified without one, and sets with few subsets large enough for a link meet by the hashes of those as well.
 
 Work is kept linear in hot groups. Equal sets are one node from the start (a hash aggregate). Then every node is compared with
 the best of the smallest members of its buckets, at most one verification a node, and verified links are joined to
@@ -16,6 +17,7 @@ members and not its links are the result; between different components every can
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -30,6 +32,10 @@ BUCKETS, BAND = 128, 4
 MANTISSA = 10
 #: The estimate from which a pair is verified lies this far below the threshold: five standard deviations of 128 registers.
 MARGIN = 0.18
+#: Pairs whose smaller set has fewer shingles are verified whatever the estimate says.
+SMALL = BUCKETS // 2
+#: Sets with at most so many subsets that reach the threshold with them offer all of these.
+SUBSETS = 64
 #: Expected share of registers that agree by chance, by the HyperMinHash paper (times 2**-MANTISSA and a factor of the sizes).
 CHANCE = 0.169919487159739093975315012348
 _WALK = 48
@@ -98,17 +104,35 @@ def registers(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(full == 0, raw.max(axis=1, keepdims=True), full)
 
 
-def sketches(docs: DataFrame, size: int, words: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), k1 and k2 (a 128-bit hash of the set) and registers of every row."""
+def subset_keys(g: np.ndarray, at: np.ndarray, similarity: float) -> list[list[int] | None]:
+    """Hashes of all subsets of each set that have a similarity of at least `similarity` with it, its own among them; None if there are over SUBSETS."""
+    n = np.diff(at)
+    value = mix(g ^ _U(0x69696969))
+    out: list[list[int] | None] = [None] * len(n)
+    for size in np.unique(n[n > 0]).tolist():
+        most = math.floor((1 - similarity) * size + 1e-9)
+        if sum(math.comb(size, k) for k in range(most + 1)) > SUBSETS:
+            break
+        rows = np.flatnonzero(n == size)
+        v = value[at[rows][:, None] + np.arange(size)]
+        whole = v.sum(axis=1, dtype=np.uint64)
+        keys = [mix(whole - v[:, list(c)].sum(axis=1, dtype=np.uint64) + _U(size - k)) for k in range(most + 1) for c in itertools.combinations(range(size), k)]
+        for i, x in zip(rows, np.stack(keys, axis=1).view(np.int64).tolist()):
+            out[i] = x
+    return out
+
+
+def sketches(docs: DataFrame, size: int, words: str, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """id, n (set size), k1 and k2 (a 128-bit hash of the set), registers and subset keys of every row."""
     df = keyed_text(docs, id_col, text_col)
 
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         g, at = shingle_sets(s, size, words)
         sums = [np.diff(np.concatenate([[_U(0)], np.cumsum(mix(g ^ _U(salt)))])[at]).view(np.int64) for salt in (0xA5A5A5A5, 0x3C3C3C3C)]
         regs = registers(g, at)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n", "k1", "k2", "regs"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(subset_keys(g, at, similarity), pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "regs", "subsets"])
 
-    return map_slices(df, rows, f"id {dict(df.dtypes)['id']}, n long, k1 long, k2 long, regs binary")
+    return map_slices(df, rows, f"id {dict(df.dtypes)['id']}, n long, k1 long, k2 long, regs binary, subsets array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -201,7 +225,7 @@ class _Work:
         return written(df, self.folder, f"t{self.count}")
 
     def estimated(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """pairs (a, b) with an estimate, those that may reach the threshold."""
+        """pairs (a, b) with an estimate, those that are small or may reach the threshold."""
         side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
         kind = dict(reps.dtypes)["node"]
 
@@ -211,7 +235,7 @@ class _Work:
                     continue
                 n, m = np.asarray(x.column(2)), np.asarray(x.column(4))
                 e = estimate(_matrix(x.column(3)), _matrix(x.column(5)), n, m)
-                near = (e >= self_least) & (np.minimum(n, m) * 100 >= self_cent * np.maximum(n, m))
+                near = ((e >= self_least) | (np.minimum(n, m) < SMALL)) & (np.minimum(n, m) * 100 >= self_cent * np.maximum(n, m))
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(e)], ["a", "b", "e"]).filter(pa.array(near))
 
         self_least, self_cent = self.least, self.per_cent
@@ -229,7 +253,7 @@ class _Work:
         """All links (a, b) between different components that share a bucket of open_.
 
         The nodes outside a bucket's largest component, in blocks of about BLOCK, meet all its nodes, in such blocks as well: one
-        pair of blocks is what a task holds at once. First the registers tell which nodes of two blocks may have a link at
+        pair of blocks is what a task holds at once. First the sizes and registers tell which nodes of two blocks may have a link at
         all, then those bring their full sets. No row is made for a pair but for a link.
         """
         number = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
@@ -249,7 +273,7 @@ class _Work:
                 i = one[k : k + 32]
                 a, b = np.repeat(i, len(two)), np.tile(two, len(i))
                 e = estimate(regs[a], regs[b], n[a], n[b])
-                hit = (e >= least) & (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= per_cent * np.maximum(n[a], n[b]))
+                hit = ((e >= least) | (np.minimum(n[a], n[b]) < SMALL)) & (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= per_cent * np.maximum(n[a], n[b]))
                 used[a[hit]] = used[b[hit]] = True
             return x.filter(pa.array(used)).select(["key", "ob", "ab", "side", "node", "comp"]) if used.any() else None
 
@@ -303,16 +327,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, wor
     without words have an empty set and stand alone. A null id gets a null component and is kept, as nothing can name it.
     Rows with the same id are one node: their component is shared where their sets are equal or linked. An empty table
     gives no rows; other columns are ignored. Links are documents whose sets have a Jaccard similarity of at least
-    `similarity`; a link at the threshold is missed by the bands with a probability of 5e-8.
+    `similarity`; a link at the threshold is missed by the bands with a probability of 5e-8
+    (more for sets of under about 20 shingles, whose registers aren't independent), and by no means if its larger set has up to SUBSETS subsets
+    that reach the threshold with it (10 shingles at 0.8).
     """
     work = _Work(docs.sparkSession, similarity)
-    sigs = work.written(sketches(docs, size, words, id_col, text_col))
-    reps = work.written(sigs.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.max("regs").alias("regs")))
+    sigs = work.written(sketches(docs, size, words, id_col, text_col, similarity))
+    reps = work.written(sigs.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.max("regs").alias("regs"), F.first("subsets").alias("subsets")))
     kind = dict(reps.dtypes)["node"]
 
     # sets of up to 1 / (1 - similarity) - 1 shingles can only link with equal ones
     least = math.floor(1 / (1 - similarity) + 1e-9) - 1 if similarity < 1 else 0
-    bands = reps.where(F.col("n") >= least).select("node", "regs").mapInArrow(_bands, f"key long, node {kind}")
+    large = reps.where(F.col("n") >= least)
+    bands = large.select("node", "regs").mapInArrow(_bands, f"key long, node {kind}").unionByName(large.select(F.explode("subsets").alias("key"), "node"))
     shared = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where(F.col("pivot") != F.col("top")).select("key", "pivot")
     buckets = work.written(bands.join(shared, "key"))
 

@@ -270,6 +270,28 @@ def test_chains_of_copies_and_small_sets(spark):
     assert got == want
 
 
+def test_links_of_small_sets(spark):
+    """4 of 5 to 8 of 10 shingles: a text and one that goes on by a word or two; each text stands with its own words."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for k in range(4000):
+        n = 4 + k % 5
+        ws = [f"w{x}" for x in rng.integers(1 << 40, size=n + 1 + (2 if n == 8 else 1))]
+        rows += [(2 * k, " ".join(ws[: n + 1])), (2 * k + 1, " ".join(ws))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 0.8, 2, "spaced").collect()}
+    assert got == want
+
+
+def test_subsets_by_brute_force():
+    g = np.array([3, 5, 8, 9, 12, 3, 5, 8, 12], np.uint64)
+    five, four = near_dup.subset_keys(g, np.array([0, 5, 9]), 0.8)
+    assert len(set(five)) == 6 and len(four) == 1 and set(four) <= set(five)
+    many = np.arange(11, dtype=np.uint64)
+    assert near_dup.subset_keys(many, np.array([0, 0, 11]), 0.8) == [None, None] and len(near_dup.subset_keys(many[:10], np.array([0, 10]), 0.8)[0]) == 56
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
