@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticeforge.llm import stores
 from noticeforge.llm.words import Slice, slices
 
 
@@ -28,10 +29,15 @@ def as_before(df: DataFrame, docs: DataFrame, made: dict[str, str]) -> DataFrame
     return df.select(*((F.col(made[c]) if c in made else F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch, Slice], pa.RecordBatch | None], schema: str, text_col: str = "text") -> DataFrame:
-    """fn(the rows of the batch that the slice holds, the slice of their texts) in Python workers, slice by slice, so that memory doesn't grow with a batch."""
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch, Slice], pa.RecordBatch | None], schema: str, text_col: str = "text", store: bool = False) -> DataFrame:
+    """fn(the rows of the batch that the slice holds, the slice of their texts) in Python workers, slice by slice, so that memory doesn't grow with a batch.
+
+    store: fn uses the worker's store; else one that an earlier stage has left goes.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not store:
+            stores.free()
         for batch in batches:
             for s in slices(batch.column(batch.schema.get_field_index(text_col))):
                 out = fn(batch.slice(s.first, len(s)), s)

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from noticeforge.llm import stores
 from noticeforge.llm.frames import keyed_text, map_slices
 from noticeforge.llm.words import NOT_SPACE, Slice, runs, span_hashes
 
@@ -94,9 +95,8 @@ class Counter:
         return np.array([self.known[x] for x in hashes], np.int64)[back] if hashes else np.zeros(0, np.int64), first
 
 
-@lru_cache(maxsize=2)
 def counter(model_path: str) -> Counter:
-    return Counter(model_path)
+    return stores.kept(("counter", model_path), lambda: Counter(model_path))
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,4 +112,4 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         total = np.diff(np.concatenate([[0], np.cumsum(pieces)])[first])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(total)], ["doc_id", "n_words", "n_tokens"])
 
-    return map_slices(df, rows, f"doc_id {dict(df.dtypes)['id']}, n_words long, n_tokens long")
+    return map_slices(df, rows, f"doc_id {dict(df.dtypes)['id']}, n_words long, n_tokens long", store=True)

@@ -38,7 +38,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
         ids = [np.append(flat[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4").tobytes() for i in range(len(s))]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return map_slices(keyed_text(docs, id_col, text_col), rows, "doc_id long, ids binary")
+    return map_slices(keyed_text(docs, id_col, text_col), rows, "doc_id long, ids binary", store=True)
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> bytes:

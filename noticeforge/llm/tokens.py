@@ -10,16 +10,18 @@ ways equal.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 
+from noticeforge.llm import stores
 from noticeforge.llm.words import VALUES, Slice, span_hashes
 
 #: Most pre-tokens that a Python worker keeps; the store then starts anew.
 STORE_SIZE = 500_000
 #: Bytes of text that are encoded at once: more than elsewhere, as larger slices repeat more of their pre-tokens.
 ENCODE_BYTES = 2 << 20
+#: Pre-tokens that the library encodes in one call.
+AT_ONCE = 512
 
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -51,22 +53,19 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        ids = [x.ids for x in self.library.encode_batch(words, add_special_tokens=False)]
-        need = self.used + sum(map(len, ids))
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
-        if len(self.known) + len(ids) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros(max(len(ids), len(x)), np.int64)]) for x in (self.start, self.size))
-        for h, x in zip(hashes, ids):
-            k = self.known[h] = len(self.known)
-            self.start[k], self.size[k] = self.used, len(x)
-            self.flat[self.used : self.used + len(x)] = x
-            self.used += len(x)
+        """An empty store: sorted hashes of pre-tokens, and where each one's ids begin in `flat` and how many there are."""
+        self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids: list[np.ndarray] = []
+        for k in range(0, len(words), AT_ONCE):  # the library's answers are large objects
+            ids += [np.array(x.ids, np.uint32) for x in self.library.encode_batch(words[k : k + AT_ONCE], add_special_tokens=False)]
+        size = np.array([len(x) for x in ids], np.int64)
+        start = len(self.flat) + np.cumsum(size) - size
+        to = np.searchsorted(self.known, hashes)
+        self.known, self.start, self.size = (np.insert(old, to, new) for old, new in ((self.known, hashes), (self.start, start), (self.size, size)))
+        self.flat = np.concatenate([self.flat, *ids])
 
     def ids(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all rows of a slice one after another, and where each row's begin (len + 1)."""
@@ -132,22 +131,19 @@ class Encoder:
         unique, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(unique) > STORE_SIZE:
             self.clear()
-        get = self.known.get
-        index = [get(x, -1) for x in unique.tolist()]
-        new = [k for k, x in enumerate(index) if x < 0]
-        if new:
+        place = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[place] != unique) if len(self.known) else np.arange(len(unique))
+        if len(new):
             data = buf.tobytes()
-            self._learn([int(unique[k]) for k in new], [data[starts[first[k]] : ends[first[k]]].decode("utf-8", "replace") for k in new])
-            for k in new:
-                index[k] = self.known[int(unique[k])]
-        word = np.array(index, np.int64)[back] if len(unique) else np.zeros(0, np.int64)
+            self._learn(unique[new], [data[starts[k] : ends[k]].decode("utf-8", "replace") for k in first[new]])
+            place = np.searchsorted(self.known, unique)
+        word = place[back]
         sizes = self.size[word]
         to = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         flat = self.flat[np.repeat(self.start[word] - to[:-1], sizes) + np.arange(to[-1])]
         return flat, to[np.searchsorted(starts, s.offsets)]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker; its store lasts from task to task."""
-    return Encoder(path)
+    """The encoder of this Python worker; its store lasts from task to task, until another stage begins."""
+    return stores.kept(("encoder", path), lambda: Encoder(path))

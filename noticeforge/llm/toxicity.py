@@ -11,12 +11,15 @@ FEATURES of them).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm.frames import as_before, keyed_text, map_slices, remainder_of_five, rest_of
+from noticeforge.llm import stores
+from noticeforge.llm.frames import keyed_text, map_slices, remainder_of_five, shared_folder, written
 from noticeforge.llm.identity_terms import NEXT
 from noticeforge.llm.words import ALNUM, LOWER_VALUES, Slice, mix, runs, slices, span_hashes
 
@@ -76,7 +79,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str, te
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[int, float]]:
     """(feature, weight) pairs; feature 0 is the bias. Without labelled rows of both kinds only a bias comes back."""
-    rows = training_rows(docs, labels, most, id_col, text_col, label_col)
+    # the sample is bounded; read again from its own table, not from the corpus
+    rows = written(training_rows(docs, labels, most, id_col, text_col, label_col), shared_folder(docs.sparkSession), "sample")
 
     def count(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         h, at = features(s)
@@ -170,25 +174,26 @@ def toxicity(docs: DataFrame, model: list[tuple[int, float]], id_col: str = "doc
     are ignored; an empty table gives no rows.
     """
     keyed = keyed_text(docs, id_col, text_col)
-    return map_slices(keyed, _scores(docs, model, ["doc_id"], [0]), f"doc_id {dict(keyed.dtypes)['id']}, score double")
+    return keyed.select(F.col("id").alias("doc_id"), scorer(docs.sparkSession, model)("text").alias("score"))
 
 
 def accepted(docs: DataFrame, model: list[tuple[int, float]], limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under the limit."""
-    carried = docs.select(docs[text_col].alias("original"), docs[text_col].cast("string").alias("text"), rest_of(docs, text_col).alias("rest"))
-    kinds = {f.name: f.dataType.simpleString() for f in carried.schema}
-    scored = map_slices(carried, _scores(docs, model, ["original", "rest"], [0, 2]), f"original {kinds['original']}, rest {kinds['rest']}, score double")
-    return as_before(scored.where(F.col("score") < limit), docs, {text_col: "original"})
+    """The rows of docs, with all their columns and repeated rows, whose score is under the limit; null and empty texts have the bias for a score."""
+    return docs.where(scorer(docs.sparkSession, model)(docs[text_col].cast("string")) < limit)
 
 
-def _scores(docs: DataFrame, model: list[tuple[int, float]], names: list[str], columns: list[int]):
+def scorer(spark: SparkSession, model: list[tuple[int, float]]) -> Callable[..., Column]:
+    """A function of a text column, its score: texts go to Python workers once, in Arrow batches, and only the scores come back."""
     bias = next(w for f, w in model if f == 0)
     rest = sorted((np.uint64(f & 0xFFFFFFFFFFFFFFFF), w) for f, w in model if f != 0)
-    shared = docs.sparkSession.sparkContext.broadcast((bias, np.array([f for f, _ in rest], np.uint64), np.array([w for _, w in rest])))
+    shared = spark.sparkContext.broadcast((bias, np.array([f for f, _ in rest], np.uint64), np.array([w for _, w in rest])))
 
-    def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        stores.free()
         bias, kept, weights = shared.value
-        z = np.array([bias + weights[k].sum() for k in picked(s, kept)])
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in columns), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*names, "score"])
+        for column in texts:
+            z = np.array([bias + weights[k].sum() for s in slices(column) for k in picked(s, kept)], np.float64)
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return rows
+    return score
