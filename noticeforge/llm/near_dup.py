@@ -2,11 +2,12 @@
 
 A document's set is its distinct word shingles. Its sketch has one register a bucket: each shingle's 64-bit hash chooses
 a bucket and offers the place of the leading one of the other bits together with the bits after it, and the rarest
-offer stays - leading-zero count and mantissa in 16 bits. Buckets that no shingle has chosen take the value of another one
-by a fixed random walk, so that small sets can be compared as well. Bands of registers lead similar documents to the same
+offer stays - leading-zero count and mantissa in 16 bits. Buckets that no shingle has chosen are open to the next round, with other
+hashes, and what ROUNDS rounds leave empty takes the rarest offer of all shingles: registers of small sets are as independent as those of
+large ones, and each agrees with the probability of the similarity. Bands of registers lead similar documents to the same
 key; the share of equal registers, less the share that agrees by chance, estimates the Jaccard similarity; what may reach
-the threshold is verified on full sets. Registers of small sets are copies of each other, so that estimates don't hold: pairs with a set of
-under SMALL shingles are verified without one, and sets with few subsets large enough for a link meet by the hashes of those as well.
+the threshold is verified on full sets. Sets with few subsets large enough for a link meet by the hashes of those as well, and
+are verified without an estimate.
 
 Work is kept linear in hot groups. Equal sets are one node from the start (a hash aggregate). Then every node is compared with
 the best of the smallest members of its buckets, at most one verification a node, and verified links are joined to
@@ -28,17 +29,20 @@ from pyspark.sql import functions as F
 from noticeforge.llm.frames import keyed_text, map_slices, shared_folder, written
 from noticeforge.llm.words import ALNUM, LOWER_VALUES, NOT_SPACE, Slice, mix, runs, span_hashes, windows
 
-BUCKETS, BAND = 128, 4
+BUCKETS, ROUNDS = 128, 16
 MANTISSA = 10
-#: The estimate from which a pair is verified lies this far below the threshold: five standard deviations of 128 registers.
-MARGIN = 0.18
-#: Pairs whose smaller set has fewer shingles are verified whatever the estimate says.
-SMALL = BUCKETS // 2
+#: Bands are as long as a link at the threshold is missed by all of them with at most this probability.
+MISSED = 1e-7
+#: The estimate from which a pair is verified lies so many standard deviations below the threshold.
+DEVIATIONS = 5.1
 #: Sets with at most so many subsets that reach the threshold with them offer all of these.
 SUBSETS = 64
 #: Expected share of registers that agree by chance, by the HyperMinHash paper (times 2**-MANTISSA and a factor of the sizes).
 CHANCE = 0.169919487159739093975315012348
-_WALK = 48
+#: Offers that are made at once.
+_OFFERS = 1 << 20
+#: A node of over one in so many pairs is dealt to all tasks: there are at most so many.
+HOT = 1_000
 #: Nodes of a bucket that meet as many others at once, about.
 BLOCK = 256
 _U = np.uint64
@@ -68,9 +72,14 @@ def shingle_sets(s: Slice, size: int, words: str) -> tuple[np.ndarray, np.ndarra
     return g, np.searchsorted(row, np.arange(len(s) + 1))
 
 
-def _register_values(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def band_size(similarity: float) -> int:
+    """Registers of a band."""
+    return max((r for r in range(1, 9) if (1 - similarity**r) ** (BUCKETS // r) <= MISSED), default=1)
+
+
+def _offers(h: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and register value (1 to 65535, larger is rarer) of each shingle hash."""
-    h = mix(h ^ _U(0x5851F42D4C957F2D))
+    h = mix(h ^ (_U(0x5851F42D4C957F2D) + salt.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
     shift = int(math.log2(BUCKETS))
     rest = h & _U((1 << (64 - shift)) - 1)
     # of at most 57 bits, frexp's exponent of the upper bits is exact enough only below 53 bits: two steps
@@ -85,23 +94,35 @@ def _register_values(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> _U(64 - shift)).astype(np.int64), np.minimum(value, _U(65535)).astype(np.uint16)
 
 
-_STEPS = np.random.default_rng(7).integers(0, BUCKETS, (_WALK, BUCKETS))
-
-
 def registers(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A row of BUCKETS registers for each set; all 0 for an empty one."""
-    n = len(at) - 1
-    bucket, value = _register_values(g)
+    n, sizes = len(at) - 1, np.diff(at)
     out = np.zeros(n * BUCKETS, np.uint16)
-    np.maximum.at(out, np.repeat(np.arange(n), np.diff(at)) * BUCKETS + bucket, value)
-    raw = out.reshape(n, BUCKETS)
-    full = raw.copy()
-    for k in range(_WALK):
-        gap = full == 0
-        if not gap.any():
-            return full
-        full = np.where(gap, raw[:, _STEPS[k]], full)
-    return np.where(full == 0, raw.max(axis=1, keepdims=True), full)
+    row = np.repeat(np.arange(n), sizes)
+    for k in range(ROUNDS):
+        gaps = (out.reshape(n, BUCKETS) == 0).any(axis=1)
+        if k:
+            some = gaps[row]
+            g_, row_ = g[some], row[some]
+        else:
+            g_, row_ = g, row
+        if not len(g_):
+            break
+        bucket, value = _offers(g_, np.array([k]))
+        place = row_ * BUCKETS + bucket
+        free = out[place] == 0
+        np.maximum.at(out, place[free], value[free])
+    rows, buckets = np.nonzero((out.reshape(n, BUCKETS) == 0) & (sizes > 0)[:, None])
+    done = np.cumsum(sizes[rows])
+    while len(rows):  # what is left, a bounded number of offers at a time
+        m = max(1, int(np.searchsorted(done, _OFFERS + (done[0] - sizes[rows[0]]), side="right")))
+        r, b = rows[:m], buckets[:m]
+        first = np.concatenate([[0], np.cumsum(sizes[r])[:-1]])
+        which = np.repeat(at[r] - first, sizes[r]) + np.arange(int(sizes[r].sum()))
+        value = _offers(g[which], ROUNDS + np.repeat(b, sizes[r]))[1]
+        out[r * BUCKETS + b] = np.maximum.reduceat(value, first)
+        rows, buckets, done = rows[m:], buckets[m:], done[m:]
+    return out.reshape(n, BUCKETS)
 
 
 def subset_keys(g: np.ndarray, at: np.ndarray, similarity: float) -> list[list[int] | None]:
@@ -142,16 +163,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint16), *parts]).reshape(-1, BUCKETS)
 
 
-def _bands(batches):
-    for batch in batches:
-        regs = _matrix(batch.column(1)).astype(np.uint64)
-        bands = regs.reshape(len(regs), -1, BAND)
-        key = np.broadcast_to(np.arange(1, bands.shape[1] + 1, dtype=np.uint64), bands.shape[:2]).copy()
-        for k in range(BAND):
-            key = key * _U(65536) ^ bands[:, :, k] if k < 3 else mix(key) ^ bands[:, :, k]
-        key = mix(key)
-        node = batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), bands.shape[1])))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), node], ["key", "node"])
+def _bands(size: int):
+    """A step that gives the key of each band of `size` registers of each node."""
+
+    def step(batches):
+        for batch in batches:
+            regs = _matrix(batch.column(1)).astype(np.uint64)
+            many = BUCKETS // size
+            bands = regs[:, : many * size].reshape(len(regs), many, size)
+            key = np.broadcast_to(np.arange(1, many + 1, dtype=np.uint64), bands.shape[:2]).copy()
+            for k in range(size):
+                key = mix(key * _U(65536) ^ bands[:, :, k])
+            node = batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), many)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), node], ["key", "node"])
+
+    return step
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -218,14 +244,30 @@ class _Work:
     def __init__(self, spark: SparkSession, similarity: float):
         self.spark, self.folder, self.count = spark, shared_folder(spark), 0
         self.per_cent = round(100 * similarity)
-        self.least = similarity - MARGIN
+        self.least = similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / BUCKETS)
+        #: Sets of fewer shingles offer all their subsets and are verified whatever the estimate says.
+        self.small = next(n for n in itertools.count(1) if sum(math.comb(n, k) for k in range(math.floor((1 - similarity) * n + 1e-9) + 1)) > SUBSETS)
+        self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def written(self, df: DataFrame) -> DataFrame:
         self.count += 1
         return written(df, self.folder, f"t{self.count}")
 
+    def joined(self, pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+        """The written table pairs (a, b) with the columns of its nodes in a and b. A b that over one in HOT pairs name, of which there are at most HOT, goes to
+        all tasks and its pairs are dealt to them."""
+        least = pairs.count() / HOT
+        hot = [r[0] for r in pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(least, HOT)).select("b").collect()]
+        both = pairs.join(a, "a")
+        if not hot:
+            return both.join(b, "b")
+        is_hot = F.col("b").isin(hot)
+        dealt = both.withColumn("_deal", F.when(is_hot, F.pmod(F.xxhash64("a"), F.lit(self.tasks)).cast("int")).otherwise(0))
+        every = b.withColumn("_deal", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(self.tasks - 1))).otherwise(F.array(F.lit(0)))))
+        return dealt.join(every, ["b", "_deal"]).drop("_deal")
+
     def estimated(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """pairs (a, b) with an estimate, those that are small or may reach the threshold."""
+        """The written table pairs (a, b) with an estimate, those that are small or may reach the threshold."""
         side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
         kind = dict(reps.dtypes)["node"]
 
@@ -235,19 +277,19 @@ class _Work:
                     continue
                 n, m = np.asarray(x.column(2)), np.asarray(x.column(4))
                 e = estimate(_matrix(x.column(3)), _matrix(x.column(5)), n, m)
-                near = ((e >= self_least) | (np.minimum(n, m) < SMALL)) & (np.minimum(n, m) * 100 >= self_cent * np.maximum(n, m))
+                near = ((e >= self_least) | (np.minimum(n, m) < self_small)) & (np.minimum(n, m) * 100 >= self_cent * np.maximum(n, m))
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(e)], ["a", "b", "e"]).filter(pa.array(near))
 
-        self_least, self_cent = self.least, self.per_cent
-        joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "regs_a", "n_b", "regs_b")
+        self_least, self_cent, self_small = self.least, self.per_cent, self.small
+        joined = self.joined(pairs, side("a"), side("b")).select("a", "b", "n_a", "regs_a", "n_b", "regs_b")
         return joined.mapInArrow(rows, f"a {kind}, b {kind}, e double")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the threshold."""
+        """The written table's pairs (a, b) whose full sets reach the threshold."""
         side = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}"))
         both = F.size(F.array_intersect("items_a", "items_b"))
         sizes = F.size("items_a") + F.size("items_b")
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= self.per_cent * (sizes - both)).select("a", "b")
+        return self.joined(pairs, side("a"), side("b")).where(100 * both >= self.per_cent * (sizes - both)).select("a", "b")
 
     def links_in_blocks(self, open_: DataFrame, sets: DataFrame) -> DataFrame:
         """All links (a, b) between different components that share a bucket of open_.
@@ -262,7 +304,7 @@ class _Work:
         outer = open_.where(F.col("comp") != F.col("main")).withColumn("ob", number("out_blocks", 1)).withColumn("ab", every("all_blocks")).withColumn("side", F.lit(0))
         all_ = open_.withColumn("ab", number("all_blocks", 2)).withColumn("ob", every("out_blocks")).withColumn("side", F.lit(1))
         kind = dict(open_.dtypes)["node"]
-        least, per_cent = self.least, self.per_cent
+        least, per_cent, small = self.least, self.per_cent, self.small
 
         def near(x: pa.Table) -> pa.Table | None:
             side = np.asarray(x.column("side"))
@@ -273,7 +315,7 @@ class _Work:
                 i = one[k : k + 32]
                 a, b = np.repeat(i, len(two)), np.tile(two, len(i))
                 e = estimate(regs[a], regs[b], n[a], n[b])
-                hit = ((e >= least) | (np.minimum(n[a], n[b]) < SMALL)) & (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= per_cent * np.maximum(n[a], n[b]))
+                hit = ((e >= least) | (np.minimum(n[a], n[b]) < small)) & (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= per_cent * np.maximum(n[a], n[b]))
                 used[a[hit]] = used[b[hit]] = True
             return x.filter(pa.array(used)).select(["key", "ob", "ab", "side", "node", "comp"]) if used.any() else None
 
@@ -287,7 +329,7 @@ class _Work:
             i, j = np.nonzero((100 * both >= per_cent * union) & (comp[one][:, None] != comp[two][None, :]))
             return pa.table({"a": node.take(pa.array(one[i])), "b": node.take(pa.array(two[j]))}) if len(i) else None
 
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = self.tasks
         place = ["key", "ob", "ab"]
         meet = outer.select(*place, "side", *keep[1:]).unionByName(all_.select(*place, "side", *keep[1:])).repartition(n, *place).sortWithinPartitions(*place)
         may = self.written(meet.mapInArrow(_by_group(near, 3), f"key long, ob int, ab int, side int, node {kind}, comp {kind}"))
@@ -327,9 +369,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, wor
     without words have an empty set and stand alone. A null id gets a null component and is kept, as nothing can name it.
     Rows with the same id are one node: their component is shared where their sets are equal or linked. An empty table
     gives no rows; other columns are ignored. Links are documents whose sets have a Jaccard similarity of at least
-    `similarity`; a link at the threshold is missed by the bands with a probability of 5e-8
-    (more for sets of under about 20 shingles, whose registers aren't independent), and by no means if its larger set has up to SUBSETS subsets
-    that reach the threshold with it (10 shingles at 0.8).
+    `similarity`. Sets with up to SUBSETS subsets that reach the threshold (of up to 10 shingles at 0.8) lose no link; of the others a link at
+    the threshold is missed by the bands with a probability of at most MISSED, and by the estimate, at DEVIATIONS standard deviations, with one of about 1e-6.
     """
     work = _Work(docs.sparkSession, similarity)
     sigs = work.written(sketches(docs, size, words, id_col, text_col, similarity))
@@ -339,7 +380,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, wor
     # sets of up to 1 / (1 - similarity) - 1 shingles can only link with equal ones
     least = math.floor(1 / (1 - similarity) + 1e-9) - 1 if similarity < 1 else 0
     large = reps.where(F.col("n") >= least)
-    bands = large.select("node", "regs").mapInArrow(_bands, f"key long, node {kind}").unionByName(large.select(F.explode("subsets").alias("key"), "node"))
+    bands = large.select("node", "regs").mapInArrow(_bands(band_size(similarity)), f"key long, node {kind}").unionByName(large.select(F.explode("subsets").alias("key"), "node"))
     shared = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where(F.col("pivot") != F.col("top")).select("key", "pivot")
     buckets = work.written(bands.join(shared, "key"))
 
@@ -348,11 +389,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, wor
         items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))
         return pa.RecordBatch.from_arrays([batch.column(0), items], ["node", "items"])
 
-    star = work.written(work.estimated(buckets.select(F.col("node").alias("a"), F.col("pivot").alias("b")).where(F.col("a") != F.col("b")).distinct(), reps))
+    star = work.written(work.estimated(work.written(buckets.select(F.col("node").alias("a"), F.col("pivot").alias("b")).where(F.col("a") != F.col("b")).distinct()), reps))
     nodes = buckets.select(F.col("node").alias("id")).distinct()
     sets = work.written(map_slices(keyed_text(docs, id_col, text_col).join(nodes, "id", "left_semi"), sets_of, f"node {kind}, items array<long>"))
 
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("e", -F.xxhash64("b"))).alias("b"))
+    best = work.written(star.groupBy("a").agg(F.max_by("b", F.struct("e", -F.xxhash64("b"))).alias("b")))
     edges = work.written(work.verified(best, sets))
     labels = work.components(edges)
 

@@ -224,7 +224,7 @@ def test_token_counts_by_brute_force(spark, texts):
     assert [trie.pieces(w) for w in some] == [pieces(w) for w in some]
 
 
-def brute_components(sets):
+def brute_components(sets, per_cent=80):
     """doc -> smallest id reached, by all pairs."""
     parent = {k: k for k in sets}
 
@@ -237,7 +237,7 @@ def brute_components(sets):
     for i, a in enumerate(keys):
         for b in keys[:i]:
             both = len(sets[a] & sets[b])
-            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            if 100 * both >= per_cent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {k: find(k) for k in sets}
@@ -284,6 +284,26 @@ def test_links_of_small_sets(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("per_cent", [50, 90])
+def test_other_thresholds_by_all_pairs(spark, per_cent):
+    """Pairs around the threshold, of 3 to 120 words, each with its own words; and a hot text that half of all others are near."""
+    rng = np.random.default_rng(per_cent)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    rows = []
+    for k in range(500):
+        n = int(rng.integers(3, 120))
+        ws = [word() for _ in range(n + 1)]
+        other = ws + [word() for _ in range(int(n * (100 / per_cent - 1)) + int(rng.integers(-1, 2)))]
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+    hot = [word() for _ in range(60)]
+    rows += [(5000 + k, " ".join([*hot, word()])) for k in range(1100)]
+    sets = {k: shingles(t.split(), 2) for k, t in rows}
+    want = brute_components({k: s for k, s in sets.items() if k < 5000}, per_cent) | {k: 5000 for k in sets if k >= 5000}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, per_cent / 100, 2, "spaced").collect()}
+    assert got == want and 100 < len({k for k in want if k != want[k] and k < 5000}) < 500
+
+
 def test_subsets_by_brute_force():
     g = np.array([3, 5, 8, 9, 12, 3, 5, 8, 12], np.uint64)
     five, four = near_dup.subset_keys(g, np.array([0, 5, 9]), 0.8)
