@@ -3,23 +3,23 @@
 A text is cut into sentences. From every sentence on, and up to every sentence, the shortest run of at least RUN sentences
 and RUN_WORDS words is hashed over its words; runs are matched over the whole corpus, and the sentences of every run that
 isn't the first of its hash (smallest id, then place) go. A sentence without an end in sight is cut after words
-that their own hash chooses, so that copies are cut alike wherever they start. Only hashes and places are shuffled, first to count
-them (a hash aggregate, so a passage in a third of all documents is one row a task), then those
-that repeat, to find the occurrences; texts move once, to be rewritten.
+that their own hash chooses, so that copies are cut alike wherever they start. Only hashes and places are shuffled, once; texts move once, to be
+rewritten. A hash that holds over a thousandth of all rows, of which there are at most a thousand, is dealt to all tasks: each of
+them finds its first place, and the first of these few is the first of all.
 
 With `passages`, every run of PASSAGE words that stands elsewhere before goes as well, wherever it starts and ends. The smallest
 hash among its runs of SEED words, which any copy has too, leads to the copies; the consecutive runs of PASSAGE words with one such seed are a
-block. Blocks whose seed repeats are compared whole, and of each kind of block one is compared run by run.
+block. Blocks of one seed are compared whole, and of each kind of block one is compared run by run.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeforge.llm.frames import keyed_text, map_slices, shared_folder, written
+from noticeforge.llm.frames import heavy_values, keyed_text, map_slices
 from noticeforge.llm.words import ALNUM, LOWER_VALUES, Slice, mix, runs, span_hashes
 
 RUN, RUN_WORDS = 3, 20
@@ -105,60 +105,89 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+#: What tells rows apart and orders them: the id, and a hash of the text, as ids may repeat.
+ROW = ["id", "key"]
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and key of the rows with an id."""
+    return keyed_text(docs, id_col, text_col).where(F.col("id").isNotNull()).withColumn("key", F.xxhash64("text"))
+
+
+def _dealt(found: DataFrame, column: str, hot: list) -> DataFrame:
+    """found with `deal`: rows of a hot value are dealt over as many as there are tasks, all of one document to the same."""
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.withColumn("deal", F.when(F.col(column).isin(hot), F.pmod(F.xxhash64(*ROW), F.lit(n)).cast("int")).otherwise(0) if hot else F.lit(0))
+
+
+def _first_of_deals(ranked: DataFrame, gone: DataFrame, column: str, by: list[str], place: list[str], hot: list) -> DataFrame:
+    """gone, and of the first places in each deal of a hot value all but the first."""
+    if not hot:
+        return gone
+    heads = ranked.where(F.col(column).isin(hot) & (F.col("n") == 1)).select(*by, *ROW, "a", "b").distinct()
+    later = heads.withColumn("n", F.rank().over(Window.partitionBy(*by).orderBy(*place))).where(F.col("n") > 1)
+    return gone.unionByName(later.select(*ROW, "a", "b"))
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """hash, id, a and b (first and after-last sentence, from 0) of every run of every row with an id."""
-    df = keyed_text(docs, id_col, text_col).where(F.col("id").isNotNull())
+    """hash, id, key, a and b (first and after-last sentence, from 0) of every run of every row with an id."""
+    df = _named(docs, id_col, text_col)
 
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         sent, first, _, _, h = sentences(s)
         hashes, a, b = sentence_runs(sent, first, h)
         row = np.searchsorted(first, a, side="right") - 1
         base = first[row]
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], ["hash", "id", "a", "b"])
+        named = [batch.column(k).take(pa.array(row)) for k in (0, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *named, pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], ["hash", *ROW, "a", "b"])
 
-    return map_slices(df, rows, f"hash long, id {dict(df.dtypes)['id']}, a int, b int")
+    return map_slices(df, rows, f"hash long, id {dict(df.dtypes)['id']}, key long, a int, b int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, a and b of every run that isn't the first of its hash."""
+    """id, key, a and b of every run that isn't the first of its hash."""
     found = occurrences(docs, id_col, text_col)
-    folder = shared_folder(docs.sparkSession)
-    many = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("hash"), folder, "repeated")
-    again = written(found.join(many, "hash"), folder, "again")
-    first = again.groupBy("hash").agg(F.min(F.struct("id", "a", "b")).alias("first"))
-    return again.join(first, "hash").where(F.struct("id", "a", "b") != F.col("first")).select("id", "a", "b")
+    hot, place = heavy_values(found, "hash"), [*ROW, "a", "b"]
+    ranked = _dealt(found, "hash", hot).withColumn("n", F.rank().over(Window.partitionBy("hash", "deal").orderBy(*place)))
+    return _first_of_deals(ranked, ranked.where(F.col("n") > 1).select(*place), "hash", ["hash"], place, hot)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, a and b (first and after-last word, from 0) of runs of PASSAGE words or more, each of whose runs of PASSAGE words isn't the first of its hash."""
-    df = keyed_text(docs, id_col, text_col).where(F.col("id").isNotNull())
+def block_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """seed, id, key, a (first word), high and low (48 bits of the hash of each run of PASSAGE words, which tell the runs of one seed apart) of every block."""
+    df = _named(docs, id_col, text_col)
 
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         starts, ends, first = runs(s, ALNUM)
         at, hashes, seed, begin = blocks(first, span_hashes(s.buf, starts, ends, LOWER_VALUES))
         head = at[begin[:-1]]
         row = np.searchsorted(first, head, side="right") - 1
-        # 48 bits tell the passages of one seed apart
         high, low = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32), (hashes & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
         lists = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(x)) for x in (high, low)]
-        return pa.RecordBatch.from_arrays([pa.array(seed[begin[:-1]].view(np.int64)), batch.column(0).take(pa.array(row)), pa.array((head - first[row]).astype(np.int32)), *lists], ["seed", "id", "a", "high", "low"])
-
-    found = map_slices(df, rows, f"seed long, id {dict(df.dtypes)['id']}, a int, high array<int>, low array<smallint>")
-    folder = shared_folder(docs.sparkSession)
-    n = F.count(F.lit(1))
-    place = F.struct("id", "a")
-    many = written(found.groupBy("seed").agg(n.alias("n")).where(F.col("n") > 1).select("seed"), folder, "seeds")
-    again = written(found.join(many, "seed").withColumn("block", F.xxhash64("high", "low")), folder, "blocks")
-    kinds = written(again.groupBy("seed", "block").agg(F.min(place).alias("first"), n.alias("n"), F.first("high").alias("high"), F.first("low").alias("low")), folder, "kinds")
-    copies = again.select("seed", "block", "id", "a", (F.col("a") + F.size("high") + PASSAGE - 1).alias("b")).join(kinds.where(F.col("n") > 1).select("seed", "block", "first"), ["seed", "block"])
-    # a copied block goes whole; the first of each kind is compared with the other kinds of its seed
-    several = kinds.groupBy("seed").agg(n.alias("n")).where(F.col("n") > 1).select("seed")
-    each = kinds.join(several, "seed", "left_semi").select("seed", "first", F.posexplode(F.arrays_zip("high", "low")).alias("k", "w"))
-    each = each.select("seed", "w.high", "w.low", F.col("first.id").alias("id"), (F.col("first.a") + F.col("k")).alias("a"))
-    key = ["seed", "high", "low"]
-    first = each.groupBy(*key).agg(F.min(place).alias("first"), n.alias("n")).where(F.col("n") > 1).drop("n")
-    single = each.join(first, key).where(place != F.col("first")).select("id", "a", (F.col("a") + PASSAGE).alias("b"))
-    return copies.where(place != F.col("first")).select("id", "a", "b").unionByName(single)
+        named = [batch.column(k).take(pa.array(row)) for k in (0, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(seed[begin[:-1]].view(np.int64)), *named, pa.array((head - first[row]).astype(np.int32)), *lists], ["seed", *ROW, "a", "high", "low"])
+
+    return map_slices(df, rows, f"seed long, id {dict(df.dtypes)['id']}, key long, a int, high array<int>, low array<smallint>")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key, a and b (first and after-last word, from 0) of runs of PASSAGE words or more, each of whose runs of PASSAGE words isn't the first of its hash."""
+    found = block_rows(docs, id_col, text_col)
+    hot, place = heavy_values(found, "seed"), [*ROW, "a"]
+    dealt = _dealt(found, "seed", hot).withColumn("block", F.xxhash64("high", "low")).repartition("seed", "deal")
+    same_kind, same_seed = Window.partitionBy("seed", "deal", "block").orderBy(*place), Window.partitionBy("seed", "deal")
+    several: Column = F.min("block").over(same_seed) != F.max("block").over(same_seed)
+    if hot:
+        several |= F.col("seed").isin(hot)
+    kinds = dealt.withColumn("copy", F.rank().over(same_kind) > 1).withColumn("several", several)
+    # a copied block goes whole (k is null); the first of each kind is compared with the other kinds of its seed, run by run
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("high"), F.lit(None).cast("smallint").alias("low")))
+    each = F.transform(F.arrays_zip("high", "low"), lambda x, k: F.struct(k.alias("k"), x["high"].alias("high"), x["low"].alias("low")))
+    parts = kinds.select("seed", "deal", *ROW, "a", F.size("high").alias("many"), F.explode(F.when(F.col("copy"), whole).when(F.col("several"), each)).alias("x"))
+    k = F.col("x.k")
+    parts = parts.select("seed", "deal", "x.high", "x.low", k.isNull().alias("whole"), *ROW, (F.col("a") + F.coalesce(k, F.lit(0))).alias("a"), (F.col("a") + F.when(k.isNull(), F.col("many") - 1).otherwise(k) + PASSAGE).alias("b"))
+    ranked = parts.withColumn("n", F.when(F.col("whole"), 0).otherwise(F.rank().over(Window.partitionBy("seed", "deal", "high", "low").orderBy(*place))))
+    gone = ranked.where(F.col("n") != 1).select(*ROW, "a", "b")
+    return _first_of_deals(ranked, gone, "seed", ["seed", "high", "low"], place, hot)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
@@ -166,15 +195,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of letters, digits and characters outside ASCII, with A-Z as a-z; marks and white space between them don't
     matter for a match. A sentence goes with all up to the next one's first word. Null texts stay null and texts without
-    words as they are; rows with a null id are left alone; rows that share an id keep the sentences that
-    one of them holds first. An empty table gives no rows; other columns are ignored. With `passages`, words of repeated_passages()
+    words as they are; rows with a null id are left alone; rows that share an id are texts of their own, and those
+    that share the text as well keep the sentences that one of them holds first. An empty table gives no rows; other columns are ignored. With `passages`, words of repeated_passages()
     go as well, and sentences that lose some of their words count as removed.
     """
     spans = repeated_spans(docs, id_col, text_col).withColumn("words", F.lit(False))
     if passages:
         spans = spans.unionByName(repeated_passages(docs, id_col, text_col).withColumn("words", F.lit(True)))
-    spans = spans.distinct().groupBy("id").agg(F.collect_list(F.struct("words", "a", "b")).alias("spans"))
-    df = keyed_text(docs, id_col, text_col)
+    spans = spans.groupBy(*ROW).agg(F.collect_list(F.struct("words", "a", "b")).alias("spans"))
+    df = keyed_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     kind = dict(df.dtypes)["id"]
 
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
@@ -203,4 +232,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         removed = [sum(r["b"] - r["a"] for r in x) for x in gone]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(gone, span)], ["doc_id", "text", "n_sentences", "n_removed", "removed"])
 
-    return map_slices(df.join(spans, "id", "left").select("id", "text", "spans"), rows, f"doc_id {kind}, text string, n_sentences long, n_removed long, removed array<struct<a:int,b:int>>")
+    return map_slices(df.join(spans, ROW, "left").select("id", "text", "spans"), rows, f"doc_id {kind}, text string, n_sentences long, n_removed long, removed array<struct<a:int,b:int>>")

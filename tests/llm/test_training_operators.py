@@ -388,18 +388,36 @@ def test_packing(spark, texts):
     assert padding < 0.03 * sum(map(len, encoded.values()))
 
 
-def test_substrings_by_brute_force(spark, docs, texts):
-    """The same sentences, found with strings."""
+def split_sentences(text):
+    """Sentences as tuples of words: after a mark between words, and in sentences of over LONG words after each word whose hash says so."""
     import pyarrow as pa
 
-    from noticeforge.llm.words import slices
+    from noticeforge.llm.words import LOWER_VALUES, slices, span_hashes
+
+    def cuts(word):
+        buf = next(slices(pa.array([word]))).buf
+        return int(span_hashes(buf, np.array([0]), np.array([len(buf)]), LOWER_VALUES)[0]) % substring_dedup.CUT_ONE_IN == 0
+
+    out, end = [], 0
+    for m in ALNUM.finditer(lowered(text)):
+        if not out or re.search("[.!?\n]", text[end : m.start()]):
+            out.append([])
+        out[-1].append(m[0])
+        end = m.end()
+    done = []
+    for sent in out:
+        parts = [[]]
+        for w in sent:
+            parts[-1].append(w)
+            if len(sent) > substring_dedup.LONG and cuts(w):
+                parts.append([])
+        done += [tuple(x) for x in parts if x]
+    return done
 
-    sentences = {}
-    for k, t in texts.items():
-        s = next(slices(pa.array([t])))
-        sent, first, starts, ends, _ = substring_dedup.sentences(s)
-        words_ = [s.buf[a:b].tobytes().lower() for a, b in zip(starts, ends)]
-        sentences[k] = [tuple(words_[sent[i] : sent[i + 1]]) for i in range(len(sent) - 1)]
+
+def test_substrings_by_brute_force(spark, docs, texts):
+    """Sentences and runs found with strings."""
+    sentences = {k: split_sentences(t) for k, t in texts.items()}
     first, places = {}, []
     for k, sents in sorted(sentences.items()):
         spans = set()
@@ -422,7 +440,7 @@ def test_substrings_by_brute_force(spark, docs, texts):
         assert (r.n_sentences, r.n_removed) == (len(sentences[r.doc_id]), len(gone[r.doc_id])), r.doc_id
         assert {i for x in r.removed for i in range(x.a, x.b)} == gone[r.doc_id]
         left = [w for i, x in enumerate(sentences[r.doc_id]) if i not in gone[r.doc_id] for w in x]
-        assert [w.encode() for w in ALNUM.findall(lowered(r.text))] == left
+        assert ALNUM.findall(lowered(r.text)) == left
 
 
 def test_substrings_of_shared_passages(spark):
@@ -433,6 +451,29 @@ def test_substrings_of_shared_passages(spark):
     assert got[2] == "Other opening, quite different. Another end." and got[4] == "tail"
 
 
+def test_rows_that_share_an_id(spark):
+    """Texts of one id are told apart; the same text twice under one id is one text."""
+    passage = "Alpha beta gamma delta epsilon. Zeta eta theta iota kappa lambda! Mu nu xi omicron pi rho sigma. Tau upsilon phi chi psi omega one two three four five."
+    own = "Quite another text stands here with its own words. It shares nothing with anybody else at all. Its third sentence says so once more to all who read. And so does a fourth one of ten words."
+    rows = [(1, passage), (2, passage), (2, own), (3, own.upper()), (4, passage + " End."), (4, passage + " End.")]
+    for passages in (False, True):
+        got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), passages=passages).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, passage), (2, ""), (2, own), (3, ""), (4, "End."), (4, "End.")])
+
+
+def test_hot_values_are_dealt(spark, docs, monkeypatch):
+    """The same rows whatever counts as hot."""
+    want = sorted(map(tuple, substring_dedup.without_repeats(docs, passages=True).collect()))
+    everything = lambda df, column, most=1000: [r[0] for r in df.groupBy(column).count().where("count > 1").select(column).collect()]
+    monkeypatch.setattr(substring_dedup, "heavy_values", everything)
+    assert sorted(map(tuple, substring_dedup.without_repeats(docs, passages=True).collect())) == want
+    monkeypatch.undo()
+    df = spark.range(5000).selectExpr("if(id % 3 = 0, 7, id) as v")
+    from noticeforge.llm.frames import heavy_values
+
+    assert heavy_values(df, "v") == [7] and heavy_values(df.limit(0), "v") == []
+
+
 def test_passages_that_start_and_end_within_sentences(spark, awkward):
     rng = np.random.default_rng(5)
     word = lambda: f"w{rng.integers(1 << 40)}"
