@@ -67,12 +67,6 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def heavy_values(df: DataFrame, column: str, most: int = 1000) -> list:
-    """Values that hold over one in `most` of the rows, so at most `most` of them, by a frequent-items sketch of ten times that size; none in small tables."""
-    found = df.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({column}, {most}, {10 * most})").alias("top")).first()
-    return [x["item"] for x in found["top"] or () if x["count"] > max(found["n"] / most, most)]
-
-
 def remainder_of_five(id_col: Column) -> Column:
     """crc32 of an id's text, modulo 5: 0 marks held-out rows."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5

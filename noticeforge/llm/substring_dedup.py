@@ -3,23 +3,24 @@
 A text is cut into sentences. From every sentence on, and up to every sentence, the shortest run of at least RUN sentences
 and RUN_WORDS words is hashed over its words; runs are matched over the whole corpus, and the sentences of every run that
 isn't the first of its hash (smallest id, then place) go. A sentence without an end in sight is cut after words
-that their own hash chooses, so that copies are cut alike wherever they start. Only hashes and places are shuffled, once; texts move once, to be
-rewritten. A hash that holds over a thousandth of all rows, of which there are at most a thousand, is dealt to all tasks: each of
-them finds its first place, and the first of these few is the first of all.
+that their own hash chooses, so that copies are cut alike wherever they start. Repeats within a slice of a task's texts are settled there, so that of each hash
+one row a slice is shuffled at most, however many documents hold it; what is shuffled is hashes and places, once. Texts move once, to be
+rewritten.
 
 With `passages`, every run of PASSAGE words that stands elsewhere before goes as well, wherever it starts and ends. The smallest
 hash among its runs of SEED words, which any copy has too, leads to the copies; the consecutive runs of PASSAGE words with one such seed are a
-block. Blocks of one seed are compared whole, and of each kind of block one is compared run by run.
+block. Blocks whose seed repeats are compared whole, and of each kind of block one is compared run by run. A seed that holds over one in HOT of these
+blocks, so at most HOT of them, is dealt to all tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeforge.llm.frames import heavy_values, keyed_text, map_slices
+from noticeforge.llm.frames import keyed_text, map_slices, shared_folder, written
 from noticeforge.llm.words import ALNUM, LOWER_VALUES, Slice, mix, runs, span_hashes
 
 RUN, RUN_WORDS = 3, 20
@@ -27,6 +28,8 @@ RUN, RUN_WORDS = 3, 20
 PASSAGE, SEED = 50, 20
 #: Words from which a sentence may be cut after a word whose hash says so, one in so many.
 LONG, CUT_ONE_IN = 24, 8
+#: A seed is hot with over one in HOT of the rows, and HOT_ROWS at least.
+HOT, HOT_ROWS = 1_000, 1_000
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
@@ -79,12 +82,12 @@ def _hasher(h: np.ndarray):
     return lambda lo, hi: mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
-def blocks(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all runs of PASSAGE words of one row: numbers of their first words, their hashes, their seeds' hashes, and where blocks begin among them (one more at the end)."""
+def passage_runs(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs of PASSAGE words of one row: numbers of their first words, their hashes, their seeds' hashes and places."""
     k = np.arange(len(h) - SEED + 1)
     many = PASSAGE - SEED + 1
     if len(k) < many:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     hashes = _hasher(h)
     # the last smallest of `many` seeds in a row: two equal passages of a text never share its place
     seed, place, width = hashes(k, k + SEED), k, 1
@@ -96,9 +99,39 @@ def blocks(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.arange(len(seed))
     at = at[at + PASSAGE <= first[row[: len(seed)] + 1]]
-    new = np.ones(len(at), bool)
-    new[1:] = place[at[1:]] != place[at[:-1]]
-    return at, hashes(at, at + PASSAGE), seed[at], np.append(np.flatnonzero(new), len(at))
+    return at, hashes(at, at + PASSAGE), seed[at], place[at]
+
+
+def row_order(ids: pa.Array, keys: pa.Array) -> np.ndarray:
+    """The number of each row of a slice among its different (id, key), in order."""
+    names = list(zip(ids.to_pylist(), keys.to_pylist()))
+    number = {name: k for k, name in enumerate(sorted(set(names)))}
+    return np.array([number[name] for name in names], np.int64)
+
+
+def not_first(hashes: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Which of the occurrences have a place after the first one of their hash."""
+    out = np.zeros(len(hashes), bool)
+    _, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(counts[back] > 1)
+    some = some[np.lexsort((*(x[some] for x in reversed(place)), hashes[some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = hashes[some][1:] != hashes[some][:-1]
+    head = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+    out[some] = np.any([x[some] != x[head] for x in place], axis=0)
+    return out
+
+
+def covered(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what the intervals from a to b cover, cut where rows begin."""
+    edge = np.zeros(first[-1] + 1, np.int64)
+    np.add.at(edge, a, 1)
+    np.add.at(edge, b, -1)
+    inside = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
+    row_start = np.zeros(first[-1] + 1, bool)
+    row_start[first] = True
+    start = np.flatnonzero(inside[1:] & (~inside[:-1] | row_start))
+    return start, np.flatnonzero(inside[:-1] & (~inside[1:] | row_start))
 
 
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -114,80 +147,93 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed_text(docs, id_col, text_col).where(F.col("id").isNotNull()).withColumn("key", F.xxhash64("text"))
 
 
-def _dealt(found: DataFrame, column: str, hot: list) -> DataFrame:
-    """found with `deal`: rows of a hot value are dealt over as many as there are tasks, all of one document to the same."""
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.withColumn("deal", F.when(F.col(column).isin(hot), F.pmod(F.xxhash64(*ROW), F.lit(n)).cast("int")).otherwise(0) if hot else F.lit(0))
-
-
-def _first_of_deals(ranked: DataFrame, gone: DataFrame, column: str, by: list[str], place: list[str], hot: list) -> DataFrame:
-    """gone, and of the first places in each deal of a hot value all but the first."""
-    if not hot:
-        return gone
-    heads = ranked.where(F.col(column).isin(hot) & (F.col("n") == 1)).select(*by, *ROW, "a", "b").distinct()
-    later = heads.withColumn("n", F.rank().over(Window.partitionBy(*by).orderBy(*place))).where(F.col("n") > 1)
-    return gone.unionByName(later.select(*ROW, "a", "b"))
-
-
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """hash, id, key, a and b (first and after-last sentence, from 0) of every run of every row with an id."""
+    """hash, id, key, a and b (first and after-last sentence, from 0) of every run of every row with an id that isn't known to be repeated; of
+    those that are, what they cover, with `gone` and any hash."""
     df = _named(docs, id_col, text_col)
 
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         sent, first, _, _, h = sentences(s)
         hashes, a, b = sentence_runs(sent, first, h)
         row = np.searchsorted(first, a, side="right") - 1
-        base = first[row]
+        again = not_first(hashes, row_order(batch.column(0), batch.column(2))[row], a - first[row], b - first[row])
+        start, end = covered(a[again], b[again], first)
+        hashes = np.concatenate([hashes[~again], mix(start.astype(np.uint64) + np.uint64(batch.column(2)[0].as_py() & 0xFFFFFFFF))])
+        a, b = np.concatenate([a[~again], start]), np.concatenate([b[~again], end])
+        row = np.searchsorted(first, a, side="right") - 1
         named = [batch.column(k).take(pa.array(row)) for k in (0, 2)]
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *named, pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], ["hash", *ROW, "a", "b"])
+        gone = np.arange(len(a)) >= len(a) - len(start)
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *named, pa.array((a - first[row]).astype(np.int32)), pa.array((b - first[row]).astype(np.int32)), pa.array(gone)], ["hash", *ROW, "a", "b", "gone"])
 
-    return map_slices(df, rows, f"hash long, id {dict(df.dtypes)['id']}, key long, a int, b int")
+    return map_slices(df, rows, f"hash long, id {dict(df.dtypes)['id']}, key long, a int, b int, gone boolean")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, key, a and b of every run that isn't the first of its hash."""
-    found = occurrences(docs, id_col, text_col)
-    hot, place = heavy_values(found, "hash"), [*ROW, "a", "b"]
-    ranked = _dealt(found, "hash", hot).withColumn("n", F.rank().over(Window.partitionBy("hash", "deal").orderBy(*place)))
-    return _first_of_deals(ranked, ranked.where(F.col("n") > 1).select(*place), "hash", ["hash"], place, hot)
+    place = [*ROW, "a", "b"]
+    ranked = occurrences(docs, id_col, text_col).withColumn("n", F.rank().over(Window.partitionBy("hash").orderBy(*place)))
+    return ranked.where(F.col("gone") | (F.col("n") > 1)).select(*place)
 
 
-def block_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """seed, id, key, a (first word), high and low (48 bits of the hash of each run of PASSAGE words, which tell the runs of one seed apart) of every block."""
+def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """seed, id, key, a (first word), high and low (48 bits of the hash of each run of PASSAGE words, which tell the runs of one seed apart) of every block of runs
+    that aren't known to be repeated; of those that are, what they cover, with `gone` (the after-last word) and any seed."""
     df = _named(docs, id_col, text_col)
 
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         starts, ends, first = runs(s, ALNUM)
-        at, hashes, seed, begin = blocks(first, span_hashes(s.buf, starts, ends, LOWER_VALUES))
-        head = at[begin[:-1]]
-        row = np.searchsorted(first, head, side="right") - 1
+        at, hashes, seed, place = passage_runs(first, span_hashes(s.buf, starts, ends, LOWER_VALUES))
+        row = np.searchsorted(first, at, side="right") - 1
+        again = not_first(hashes, row_order(batch.column(0), batch.column(2))[row], at - first[row])
+        start, end = covered(at[again], at[again] + PASSAGE, first)
+        at, hashes, seed, place = (x[~again] for x in (at, hashes, seed, place))
+        new = np.ones(len(at), bool)
+        new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
+        begin = np.flatnonzero(new)
         high, low = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32), (hashes & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
-        lists = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(x)) for x in (high, low)]
+        offsets = np.concatenate([begin, np.full(len(start) + 1, len(at))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (high, low)]
+        seeds = np.concatenate([seed[begin], mix(start.astype(np.uint64) + np.uint64(batch.column(2)[0].as_py() & 0xFFFFFFFF))])
+        head = np.concatenate([at[begin], start])
+        row = np.searchsorted(first, head, side="right") - 1
         named = [batch.column(k).take(pa.array(row)) for k in (0, 2)]
-        return pa.RecordBatch.from_arrays([pa.array(seed[begin[:-1]].view(np.int64)), *named, pa.array((head - first[row]).astype(np.int32)), *lists], ["seed", *ROW, "a", "high", "low"])
+        gone = np.concatenate([np.full(len(begin), -1), end - first[row[len(begin) :]]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), *named, pa.array((head - first[row]).astype(np.int32)), *lists, pa.array(gone)], ["seed", *ROW, "a", "high", "low", "gone"])
 
-    return map_slices(df, rows, f"seed long, id {dict(df.dtypes)['id']}, key long, a int, high array<int>, low array<smallint>")
+    return map_slices(df, rows, f"seed long, id {dict(df.dtypes)['id']}, key long, a int, high array<int>, low array<smallint>, gone int")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, key, a and b (first and after-last word, from 0) of runs of PASSAGE words or more, each of whose runs of PASSAGE words isn't the first of its hash."""
-    found = block_rows(docs, id_col, text_col)
-    hot, place = heavy_values(found, "seed"), [*ROW, "a"]
-    dealt = _dealt(found, "seed", hot).withColumn("block", F.xxhash64("high", "low")).repartition("seed", "deal")
-    same_kind, same_seed = Window.partitionBy("seed", "deal", "block").orderBy(*place), Window.partitionBy("seed", "deal")
-    several: Column = F.min("block").over(same_seed) != F.max("block").over(same_seed)
-    if hot:
-        several |= F.col("seed").isin(hot)
-    kinds = dealt.withColumn("copy", F.rank().over(same_kind) > 1).withColumn("several", several)
-    # a copied block goes whole (k is null); the first of each kind is compared with the other kinds of its seed, run by run
-    whole = F.array(F.struct(F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("high"), F.lit(None).cast("smallint").alias("low")))
-    each = F.transform(F.arrays_zip("high", "low"), lambda x, k: F.struct(k.alias("k"), x["high"].alias("high"), x["low"].alias("low")))
-    parts = kinds.select("seed", "deal", *ROW, "a", F.size("high").alias("many"), F.explode(F.when(F.col("copy"), whole).when(F.col("several"), each)).alias("x"))
-    k = F.col("x.k")
-    parts = parts.select("seed", "deal", "x.high", "x.low", k.isNull().alias("whole"), *ROW, (F.col("a") + F.coalesce(k, F.lit(0))).alias("a"), (F.col("a") + F.when(k.isNull(), F.col("many") - 1).otherwise(k) + PASSAGE).alias("b"))
-    ranked = parts.withColumn("n", F.when(F.col("whole"), 0).otherwise(F.rank().over(Window.partitionBy("seed", "deal", "high", "low").orderBy(*place))))
-    gone = ranked.where(F.col("n") != 1).select(*ROW, "a", "b")
-    return _first_of_deals(ranked, gone, "seed", ["seed", "high", "low"], place, hot)
+    found = blocks(docs, id_col, text_col)
+    spark = docs.sparkSession
+    folder, tasks = shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, place = F.count(F.lit(1)), F.struct(*ROW, "a")
+    many = written(found.groupBy("seed").agg(n.alias("n")).where(F.col("n") > 1), folder, "seeds")
+    least = max((many.agg(F.sum("n")).first()[0] or 0) / HOT, HOT_ROWS)
+    hot = [r.seed for r in many.where(F.col("n") > least).collect()]  # at most HOT
+
+    def met(rows: DataFrame, seeds: DataFrame, by: list[str]) -> DataFrame:
+        """rows with `met` where their seed is among `seeds`; those of a hot seed are dealt by `by`."""
+        is_hot = F.col("seed").isin(hot)
+        deal = F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(tasks)).cast("int")).otherwise(0) if hot else F.lit(0)
+        every = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
+        return rows.withColumn("deal", deal).join(seeds.select("seed", every.alias("deal"), F.lit(True).alias("met")), ["seed", "deal"], "left").drop("deal")
+
+    kept = met(found, many, ROW).where(F.col("met") | (F.col("gone") >= 0)).drop("met")
+    again = written(kept.withColumn("block", F.xxhash64("high", "low")), folder, "blocks")
+    settled = again.where(F.col("gone") >= 0).select(*ROW, "a", F.col("gone").alias("b"))
+    again = again.where(F.col("gone") < 0)
+    kinds = written(again.groupBy("seed", "block").agg(F.min(place).alias("first"), n.alias("n"), F.first("high").alias("high"), F.first("low").alias("low")), folder, "kinds")
+    copies = again.select("seed", "block", *ROW, "a", (F.col("a") + F.size("high") + PASSAGE - 1).alias("b")).join(kinds.where(F.col("n") > 1).select("seed", "block", "first"), ["seed", "block"])
+    # a copied block goes whole; the first of each kind is compared with the other kinds of its seed
+    several = kinds.groupBy("seed").agg(n.alias("n")).where(F.col("n") > 1)
+    each = met(kinds, several, ["block"]).where("met").select("seed", "first", F.posexplode(F.arrays_zip("high", "low")).alias("k", "w"))
+    each = each.select("seed", "w.high", "w.low", *(F.col("first")[c].alias(c) for c in ROW), (F.col("first.a") + F.col("k")).alias("a"))
+    key = ["seed", "high", "low"]
+    first = each.groupBy(*key).agg(F.min(place).alias("first"), n.alias("n")).where(F.col("n") > 1).drop("n")
+    single = each.join(first, key).where(place != F.col("first")).select(*ROW, "a", (F.col("a") + PASSAGE).alias("b"))
+    return copies.where(place != F.col("first")).select(*ROW, "a", "b").unionByName(single).unionByName(settled)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:

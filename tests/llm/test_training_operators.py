@@ -461,17 +461,12 @@ def test_rows_that_share_an_id(spark):
         assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, passage), (2, ""), (2, own), (3, ""), (4, "End."), (4, "End.")])
 
 
-def test_hot_values_are_dealt(spark, docs, monkeypatch):
-    """The same rows whatever counts as hot."""
+def test_slices_and_hot_seeds(spark, docs, monkeypatch):
+    """The same rows whether repeats meet within a slice or not, and whatever counts as hot."""
     want = sorted(map(tuple, substring_dedup.without_repeats(docs, passages=True).collect()))
-    everything = lambda df, column, most=1000: [r[0] for r in df.groupBy(column).count().where("count > 1").select(column).collect()]
-    monkeypatch.setattr(substring_dedup, "heavy_values", everything)
-    assert sorted(map(tuple, substring_dedup.without_repeats(docs, passages=True).collect())) == want
-    monkeypatch.undo()
-    df = spark.range(5000).selectExpr("if(id % 3 = 0, 7, id) as v")
-    from noticeforge.llm.frames import heavy_values
-
-    assert heavy_values(df, "v") == [7] and heavy_values(df.limit(0), "v") == []
+    monkeypatch.setattr(substring_dedup, "HOT", 10**9)
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 2)
+    assert sorted(map(tuple, substring_dedup.without_repeats(docs.repartition(40), passages=True).collect())) == want
 
 
 def test_passages_that_start_and_end_within_sentences(spark, awkward):
