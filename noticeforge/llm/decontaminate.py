@@ -1,47 +1,89 @@
 """Benchmark decontamination: a broadcast hash set of the n-grams of test items, and a scan of all document windows.
 
 Test items are few beside the corpus, but nothing bounds them: their total size is measured, and they are dealt into blocks
-of at most BLOCK_BYTES of text (plus one item). Each block is one narrow pass over the documents with its hash set broadcast;
-documents are never shuffled. A window whose hash is in the set is compared word by word before it counts.
+of at most BLOCK_BYTES of text (plus one item). Each block is one narrow pass over the documents with its hash set broadcast, as sorted
+arrays of about 40 bytes a window; with several blocks each pass is written before the next begins. Documents are never shuffled. A window whose hash is
+in the set is compared word by word before it counts.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeforge.llm.frames import as_before, map_slices, rest_of
-from noticeforge.llm.words import ALNUM, LOWER_VALUES, Slice, runs, slices, span_hashes, windows
+from noticeforge.llm.frames import as_before, map_slices, rest_of, shared_folder, written
+from noticeforge.llm.words import ALNUM, LOWER_VALUES, Slice, mix, runs, slices, span_hashes, windows
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
 SPANS = "array<struct<start:long,length:long>>"
+#: Values of bytes for a second hash, which tells apart what shares the first, with A-Z read as a-z.
+_OTHER_VALUES = mix(LOWER_VALUES ^ np.uint64(0x6A09E667F3BCC909))
 
 
-def _words(s: Slice, starts: np.ndarray, ends: np.ndarray, at: int, n: int) -> bytes:
-    return b" ".join(s.buf[starts[k] : ends[k]].tobytes().lower() for k in range(at, at + n))
+class Windows(NamedTuple):
+    """The windows of one length: sorted hashes, of each the different windows with it, and of each of those its first word and its items."""
 
+    keys: np.ndarray
+    kinds: np.ndarray
+    word: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
 
-def item_windows(items: list[tuple[str, str]], window: int) -> dict[int, dict[int, dict[bytes, set[str]]]]:
-    """length -> hash -> the words -> item ids."""
-    found: dict = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+
+class Items(NamedTuple):
+    """Items as the bytes of their words one after another, and their windows by length."""
+
+    ids: list[str]
+    buf: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    windows: dict[int, Windows]
+
+
+def _words(buf: bytes | np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, n: int) -> bytes:
+    return b" ".join(bytes(buf[starts[k] : ends[k]]).lower() for k in range(at, at + n))
+
+
+def item_windows(items: list[tuple[str, str]], window: int) -> Items:
+    """All windows of the items: of `window` words, and of all words of a shorter item."""
     texts = pa.array([t or "" for _, t in items], pa.large_string())
+    bufs, starts_, ends_, n_words, n_bytes = [], [], [], 0, 0
+    parts: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
     for s in slices(texts):
         starts, ends, first = runs(s, ALNUM)
-        h = span_hashes(s.buf, starts, ends, LOWER_VALUES)
-        for i in range(len(s)):
-            n = min(window, int(first[i + 1] - first[i]))
-            if n:
-                part = h[first[i] : first[i + 1]]
-                hashes, at = windows(part, np.array([0, len(part)]), n)
-                for x, k in zip(hashes.tolist(), at.tolist()):
-                    found[n][x][_words(s, starts, ends, int(first[i]) + k, n)].add(items[s.first + i][0])
-    return {n: {x: dict(w) for x, w in by.items()} for n, by in found.items()}
+        sizes = np.minimum(np.diff(first), window)
+        one, two = (span_hashes(s.buf, starts, ends, values) for values in (LOWER_VALUES, _OTHER_VALUES))
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            hashes, at = windows(one, first, n)
+            row = np.searchsorted(first, at, side="right") - 1
+            own = sizes[row] == n
+            parts[n].append((hashes[own], windows(two, first, n)[0][own], s.first + row[own], n_words + at[own]))
+        bufs.append(s.buf)
+        starts_.append(starts + n_bytes)
+        ends_.append(ends + n_bytes)
+        n_words, n_bytes = n_words + len(starts), n_bytes + len(s.buf)
+    joined = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+    found = {}
+    for n, rows in parts.items():
+        one, two, item, word = (np.concatenate(x) for x in zip(*rows))
+        order = np.lexsort((item, two, one))
+        one, two, item, word = one[order], two[order], item[order], word[order]
+        kind = np.ones(len(one), bool)
+        kind[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        fresh = kind.copy()
+        fresh[1:] |= item[1:] != item[:-1]
+        at = np.flatnonzero(kind)
+        keys, kinds = np.unique(one[at], return_index=True)
+        first = np.searchsorted(np.flatnonzero(fresh), np.append(at, len(one)))
+        found[n] = Windows(keys, np.append(kinds, len(at)).astype(np.int32), word[at].astype(np.int32), first.astype(np.int32), item[fresh].astype(np.int32))
+    return Items([k for k, _ in items], b"".join(x.tobytes() for x in bufs), joined(starts_).astype(np.int32), joined(ends_).astype(np.int32), found)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: bool = False) -> DataFrame:
@@ -61,36 +103,39 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     state = state.select("id", "text", "n_words", "spans", "items", "rest")
     kinds = {f.name: f.dataType.simpleString() for f in state.schema}
     schema = f"id {kinds['id']}, text string, n_words long, spans {SPANS}, items array<string>, rest {kinds['rest']}"
+    folder = shared_folder(docs.sparkSession) if n_blocks > 1 else ""
     for block in range(n_blocks):
         part = bench.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block) if n_blocks > 1 else bench
         table = item_windows([tuple(r) for r in part.collect()], window)  # at most block_bytes, as measured above
         state = map_slices(state, _scan(docs.sparkSession.sparkContext.broadcast(table)), schema)
+        if block < n_blocks - 1:
+            state = written(state, folder, f"block{block}")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["length"])
     return state.select(F.col("id").alias("doc_id"), "text", "n_words", n_hit.alias("n_hit"), "spans", "items", *(["rest"] if keep else [])).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def _scan(shared):
-    sorted_keys: dict = {}
-
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
-        table = shared.value
+        table: Items = shared.value
         starts, ends, first = runs(s, ALNUM)
         h = span_hashes(s.buf, starts, ends, LOWER_VALUES)
         spans, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, by_hash in table.items():
-            if n not in sorted_keys:
-                sorted_keys[n] = np.sort(np.fromiter(by_hash, np.uint64, len(by_hash)))
-            keys, (w, at) = sorted_keys[n], windows(h, first, n)
-            near = keys[np.minimum(np.searchsorted(keys, w), len(keys) - 1)] == w
-            for x, k in zip(w[near].tolist(), at[near].tolist()):
-                if owners := by_hash[x].get(_words(s, starts, ends, k, n)):
-                    row = int(np.searchsorted(first, k, side="right")) - 1
-                    hits[row].append((k - int(first[row]), n))
-                    items[row] = [*items[row], *owners]
+        owners: dict[int, set[str]] = defaultdict(set)
+        for n, x in table.windows.items():
+            w, at = windows(h, first, n)
+            place = np.minimum(np.searchsorted(x.keys, w), len(x.keys) - 1)
+            near = np.flatnonzero(x.keys[place] == w)
+            for p, k in zip(place[near].tolist(), at[near].tolist()):
+                own = _words(s.buf, starts, ends, k, n)
+                for kind in range(x.kinds[p], x.kinds[p + 1]):
+                    if own == _words(table.buf, table.starts, table.ends, int(x.word[kind]), n):
+                        row = int(np.searchsorted(first, k, side="right")) - 1
+                        hits[row].append((k - int(first[row]), n))
+                        owners[row].update(table.ids[i] for i in x.item[x.first[kind] : x.first[kind + 1]])
         for row, found in hits.items():
             spans[row] = merged([*found, *((x["start"], x["length"]) for x in spans[row])])
-            items[row] = sorted(set(items[row]))
+            items[row] = sorted(owners[row].union(items[row]))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), batch.column(5)], ["id", "text", "n_words", "spans", "items", "rest"])
 
