@@ -26,6 +26,7 @@ from noticeforge.llm.words import ALNUM, LOWER_VALUES, Slice, mix, runs, span_ha
 RUN, RUN_WORDS = 3, 20
 #: Words of the shortest passage that is found wherever it starts and ends, and of the seeds by which it is found.
 PASSAGE, SEED = 50, 20
+RUN_BYTES = 6
 #: Words from which a sentence may be cut after a word whose hash says so, one in so many.
 LONG, CUT_ONE_IN = 24, 8
 #: A seed is hot with over one in HOT of the rows, and HOT_ROWS at least.
@@ -176,7 +177,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """seed, id, key, a (first word), high and low (48 bits of the hash of each run of PASSAGE words, which tell the runs of one seed apart) of every block of runs
+    """seed, id, key, a (first word) and runs (RUN_BYTES bytes of the hash of each run of PASSAGE words, which tell the runs of one seed apart) of every block of runs
     that aren't known to be repeated; of those that are, what they cover, with `gone` (the after-last word) and any seed."""
     df = _named(docs, id_col, text_col)
 
@@ -190,17 +191,17 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         new = np.ones(len(at), bool)
         new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
         begin = np.flatnonzero(new)
-        high, low = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32), (hashes & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
-        offsets = np.concatenate([begin, np.full(len(start) + 1, len(at))]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (high, low)]
+        data = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, -RUN_BYTES:])
+        offsets = (RUN_BYTES * np.concatenate([begin, np.full(len(start) + 1, len(at))])).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         seeds = np.concatenate([seed[begin], mix(start.astype(np.uint64) + np.uint64(batch.column(2)[0].as_py() & 0xFFFFFFFF))])
         head = np.concatenate([at[begin], start])
         row = np.searchsorted(first, head, side="right") - 1
         named = [batch.column(k).take(pa.array(row)) for k in (0, 2)]
         gone = np.concatenate([np.full(len(begin), -1), end - first[row[len(begin) :]]]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), *named, pa.array((head - first[row]).astype(np.int32)), *lists, pa.array(gone)], ["seed", *ROW, "a", "high", "low", "gone"])
+        return pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), *named, pa.array((head - first[row]).astype(np.int32)), packed, pa.array(gone)], ["seed", *ROW, "a", "runs", "gone"])
 
-    return map_slices(df, rows, f"seed long, id {dict(df.dtypes)['id']}, key long, a int, high array<int>, low array<smallint>, gone int")
+    return map_slices(df, rows, f"seed long, id {dict(df.dtypes)['id']}, key long, a int, runs binary, gone int")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,6 +210,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     folder, tasks = shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     n, place = F.count(F.lit(1)), F.struct(*ROW, "a")
+    size = F.floor(F.length("runs") / RUN_BYTES).cast("int")
     many = written(found.groupBy("seed").agg(n.alias("n")).where(F.col("n") > 1), folder, "seeds")
     least = max((many.agg(F.sum("n")).first()[0] or 0) / HOT, HOT_ROWS)
     hot = [r.seed for r in many.where(F.col("n") > least).collect()]  # at most HOT
@@ -221,16 +223,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return rows.withColumn("deal", deal).join(seeds.select("seed", every.alias("deal"), F.lit(True).alias("met")), ["seed", "deal"], "left").drop("deal")
 
     kept = met(found, many, ROW).where(F.col("met") | (F.col("gone") >= 0)).drop("met")
-    again = written(kept.withColumn("block", F.xxhash64("high", "low")), folder, "blocks")
+    again = written(kept.withColumn("block", F.xxhash64("runs")), folder, "blocks")
     settled = again.where(F.col("gone") >= 0).select(*ROW, "a", F.col("gone").alias("b"))
     again = again.where(F.col("gone") < 0)
-    kinds = written(again.groupBy("seed", "block").agg(F.min(place).alias("first"), n.alias("n"), F.first("high").alias("high"), F.first("low").alias("low")), folder, "kinds")
-    copies = again.select("seed", "block", *ROW, "a", (F.col("a") + F.size("high") + PASSAGE - 1).alias("b")).join(kinds.where(F.col("n") > 1).select("seed", "block", "first"), ["seed", "block"])
+    kinds = written(again.groupBy("seed", "block").agg(F.min(place).alias("first"), n.alias("n"), F.first("runs").alias("runs")), folder, "kinds")
+    copies = again.select("seed", "block", *ROW, "a", (F.col("a") + size + PASSAGE - 1).alias("b")).join(kinds.where(F.col("n") > 1).select("seed", "block", "first"), ["seed", "block"])
     # a copied block goes whole; the first of each kind is compared with the other kinds of its seed
     several = kinds.groupBy("seed").agg(n.alias("n")).where(F.col("n") > 1)
-    each = met(kinds, several, ["block"]).where("met").select("seed", "first", F.posexplode(F.arrays_zip("high", "low")).alias("k", "w"))
-    each = each.select("seed", "w.high", "w.low", *(F.col("first")[c].alias(c) for c in ROW), (F.col("first.a") + F.col("k")).alias("a"))
-    key = ["seed", "high", "low"]
+    each = met(kinds, several, ["block"]).where("met").select("seed", "first", F.posexplode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring("runs", i * RUN_BYTES + 1, F.lit(RUN_BYTES)))).alias("k", "run"))
+    each = each.select("seed", "run", *(F.col("first")[c].alias(c) for c in ROW), (F.col("first.a") + F.col("k")).alias("a"))
+    key = ["seed", "run"]
     first = each.groupBy(*key).agg(F.min(place).alias("first"), n.alias("n")).where(F.col("n") > 1).drop("n")
     single = each.join(first, key).where(place != F.col("first")).select(*ROW, "a", (F.col("a") + PASSAGE).alias("b"))
     return copies.where(place != F.col("first")).select(*ROW, "a", "b").unionByName(single).unionByName(settled)

@@ -104,15 +104,22 @@ def test_licenses_by_brute_force(spark, docs, texts, awkward):
         padded = f" {' '.join(ws)} "
         low = [w.translate(LOWER) for w in ws]
         base = sorted((k, label) for phrase, label in BASE for k in range(len(ws)) if low[k : k + len(phrase.split())] == phrase.split())
-        found = sorted((padded[: m.start()].count(" "), -(padded[: m.start()].count(" ") + m[1].count(" ") + 1), k, r.label) for k, r, x in compiled if r.keyword in padded.lower().split() for m in x.finditer(padded))
-        kept, reach = [], 0
+        found = sorted((padded[: m.start()].count(" "), -(padded[: m.start()].count(" ") + m[1].count(" ") + 1), k, r.label) for k, r, x in compiled if set(r.keywords) & set(padded.lower().split()) for m in x.finditer(padded))
+        clusters, reach = [], 0
         for start, minus, k, label in found:
-            if not kept or start >= reach:
-                kept.append((start, -minus, k, label))
-                reach = -minus
-            elif -minus > reach and kept[-1][2] > k:
-                kept[-1] = (start, -minus, k, label)
-                reach = -minus
+            if start >= reach:
+                clusters.append([])
+            clusters[-1].append((k, start, -minus, label))
+            reach = max(reach, -minus)
+        kept = []
+        for cluster in clusters:
+            stay = []
+            for x in sorted(cluster):
+                inside = [y for y in stay if x[1] <= y[1] and y[2] <= x[2] and x[1:3] != y[1:3]]
+                if not [y for y in stay if y not in inside and y[1] < x[2] and x[1] < y[2]]:
+                    stay = [y for y in stay if y not in inside] + [x]
+            assert all(any(y[1] < x[2] and x[1] < y[2] for y in stay) for x in cluster)
+            kept += sorted((start, end, k, label) for k, start, end, label in stay)
         return len(ws), base, kept
 
     made = "Licensed under the Apache License, Version 2.0. Mit License mit license; CC BY-NC 4.0 SPDX-License-Identifier: GPL-3.0-only or the GNU General Public License; Creative Commons Attribution-NonCommercial ShareAlike 4.0"
@@ -127,6 +134,60 @@ def test_licenses_by_brute_force(spark, docs, texts, awkward):
     assert row.first_word is not None and set(row.base_labels.split(",")) <= set(row.labels.split(",")) and 0 < row.score <= 1
 
 
+def examples(pattern):
+    """Texts that match a rule's pattern: every way through its optional parts and alternatives, one character of each set."""
+    from re import _parser
+
+    def walk(items):
+        out = [""]
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL":
+                options = [chr(value)]
+            elif name == "IN":
+                options = [chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])]
+            elif name == "MAX_REPEAT":
+                options = [x for n in {value[0], value[1]} for x in (walk(value[2]) if n else [""])]
+            elif name == "SUBPATTERN":
+                options = walk(value[3])
+            else:
+                assert name == "BRANCH", name
+                options = [x for branch in value[1] for x in walk(branch)]
+            out = [a + b for a in out for b in options]
+        return out
+
+    return walk(_parser.parse(pattern))
+
+
+def test_every_match_of_a_rule_holds_a_keyword():
+    for r in rules():
+        for text in examples(r.pattern):
+            assert set(r.keywords) & set(text.split()), (r.label, text)
+
+
+def test_licenses_as_they_are_written(spark):
+    told = {
+        "This is under the GPLv3 or LGPLv2.1+.": {"gpl-3.0", "lgpl-2.1"}, "Attribution Non Commercial 4.0": {"cc-by-nc"}, "Open RAIL-M": {"openrail"},
+        "MPL2, EPL v2.0": {"mpl-2.0", "epl-2.0"}, "Attribution-Non-Commercial-ShareAlike 4.0 International": {"cc-by-nc-sa"}, "licensed under Apache 2.0 license": {"apache-2.0"}, "no license here": set(),
+    }
+    df = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    got = {r.doc_id: {x.label for x in r.detections} for r in licenses.license_scan(df).collect()}
+    assert got == dict(enumerate(told.values()))
+
+
+def test_license_scan_is_linear(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "mit license, cc by; see the gpl 2 " * n)], "doc_id long, text string")
+        began = time.time()
+        assert licenses.license_scan(df).first().n_words == 8 * n
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(16000) < 60
+
+
 def luhn(digits):
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
@@ -180,6 +241,19 @@ def test_decontamination_blocks_and_cuts(spark, docs, bench):
     assert got == {1: (2, ["1", "4"]), 2: (13, ["5"]), 3: (0, [])}
 
 
+def test_item_windows_are_compact():
+    """8 MB of items: arrays of under 100 MB; windows that many items share are one."""
+    rng = np.random.default_rng(2)
+    vocabulary = np.array([f"w{k:05d}" for k in range(20000)])
+    items = [(str(k), " ".join(vocabulary[rng.integers(20000, size=1000)])) for k in range(1170)]
+    table = decontaminate.item_windows([*items, ("again", items[3][1].upper()), ("short", "w1 w2"), ("none", "..."), ("null", None)], 13)
+    size = len(table.buf) + table.starts.nbytes + table.ends.nbytes + sum(x.nbytes for w in table.windows.values() for x in w)
+    assert len(table.buf) > 8e6 and size < 100e6 and sorted(table.windows) == [2, 13]
+    w = table.windows[13]
+    owners = [sorted(table.ids[i] for i in w.item[w.first[k] : w.first[k + 1]]) for k in range(len(w.word))]
+    assert owners.count(["3", "again"]) == 988 and len(w.keys) == 1170 * 988
+
+
 def test_token_files_round_trip(spark, texts, folder):
     from tokenizers import Tokenizer
 
