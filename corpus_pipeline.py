@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeforge.llm import decontaminate, near_dup, packing, pii, toxicity
 from noticeforge.llm.frames import shared_folder, written
+from noticeforge.llm.queries import pii_key
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by pseudonyms."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = pii.pseudonymise(docs, keep=others)
+    done = pii.pseudonymise(docs, pii_key(spark), keep=others)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
