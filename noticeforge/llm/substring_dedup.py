@@ -139,13 +139,13 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-#: What tells rows apart and orders them: the id, and a hash of the text, as ids may repeat.
+#: What tells rows apart and orders them: the id, and 32 bits of a hash of the text, as ids may repeat.
 ROW = ["id", "key"]
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and key of the rows with an id."""
-    return keyed_text(docs, id_col, text_col).where(F.col("id").isNotNull()).withColumn("key", F.xxhash64("text"))
+    return keyed_text(docs, id_col, text_col).where(F.col("id").isNotNull()).withColumn("key", F.hash("text"))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -166,7 +166,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         gone = np.arange(len(a)) >= len(a) - len(start)
         return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *named, pa.array((a - first[row]).astype(np.int32)), pa.array((b - first[row]).astype(np.int32)), pa.array(gone)], ["hash", *ROW, "a", "b", "gone"])
 
-    return map_slices(df, rows, f"hash long, id {dict(df.dtypes)['id']}, key long, a int, b int, gone boolean")
+    return map_slices(df, rows, f"hash long, id {dict(df.dtypes)['id']}, key int, a int, b int, gone boolean")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +201,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         gone = np.concatenate([np.full(len(begin), -1), end - first[row[len(begin) :]]]).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), *named, pa.array((head - first[row]).astype(np.int32)), packed, pa.array(gone)], ["seed", *ROW, "a", "runs", "gone"])
 
-    return map_slices(df, rows, f"seed long, id {dict(df.dtypes)['id']}, key long, a int, runs binary, gone int")
+    return map_slices(df, rows, f"seed long, id {dict(df.dtypes)['id']}, key int, a int, runs binary, gone int")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +251,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if passages:
         spans = spans.unionByName(repeated_passages(docs, id_col, text_col).withColumn("words", F.lit(True)))
     spans = spans.groupBy(*ROW).agg(F.collect_list(F.struct("words", "a", "b")).alias("spans"))
-    df = keyed_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    df = keyed_text(docs, id_col, text_col).withColumn("key", F.hash("text"))
     kind = dict(df.dtypes)["id"]
 
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
