@@ -28,8 +28,22 @@ def canonical_url(url: Column, tracking: tuple[str, ...] = TRACKING) -> Column:
     return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), tail)).otherwise(url)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its segments "." and ".."."""
+    steps = F.split(path, "/")
+    step = lambda acc, x: F.when(x == "..", F.regexp_replace(acc, "/[^/]*$", "")).when(x == ".", acc).otherwise(F.concat(acc, F.lit("/"), x))
+    clean = F.concat(F.aggregate(F.slice(steps, 2, F.size(steps)), F.lit(""), step), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), clean).otherwise(path)
+
+
 def resolve_link(href: Column, base: Column) -> Column:
-    """href as an absolute URL, seen from the page at base."""
+    """href as an absolute URL, seen from the page at base; null for what isn't a web page (mailto:, javascript: and other schemes)."""
+    full = _joined(F.trim(href), base)
+    site, path, tail = (F.regexp_extract(full, "^([A-Za-z]+://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    return F.when(~F.trim(href).rlike("^(?i)(?!https?:)[a-z][a-z0-9+.-]*:"), F.concat(site, _without_dots(path), tail))
+
+
+def _joined(href: Column, base: Column) -> Column:
     scheme, host = F.regexp_extract(base, "^([A-Za-z]+)://", 1), F.regexp_extract(base, "^[A-Za-z]+://([^/?#]*)", 1)
     origin = F.concat(scheme, F.lit("://"), host)
     page = F.regexp_replace(base, "[?#].*$", "")
@@ -44,8 +58,9 @@ def resolve_link(href: Column, base: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    """All link targets of a page, in order."""
-    return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
+    """All link targets of a page, in order, in either kind of quotes."""
+    quoted = F.regexp_extract_all(html, F.lit(r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+    return F.transform(quoted, lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("&amp;"), F.lit("&")))
 
 
 def is_attachment(url: Column) -> Column:

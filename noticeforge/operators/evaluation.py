@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors of one block; a block is one pass over the vectors with the block broadcast.
 QUERY_BLOCK = 4096
+#: Vectors that are compared with a block at once.
+CHUNK = 512
 
 
 def golden_diff(expected: DataFrame, actual: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -83,26 +85,42 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _best(cos: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest of each row, of equal ones those with the smaller id."""
+    if cos.shape[1] > k:
+        least = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+        keep = int((cos >= least).sum(axis=1).max())  # more than k only with ties
+        some = np.argpartition(-cos, keep - 1, axis=1)[:, :keep]
+        cos, ids = np.take_along_axis(cos, some, 1), np.take_along_axis(ids, some, 1)
+    order = np.lexsort((ids, -cos), axis=1)[:, :k]
+    return np.take_along_axis(cos, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def _block_topk(spark, rows: list, vectors: DataFrame, k: int) -> DataFrame:
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     rows = [r for r in rows if any(r.v)]
     shared = spark.sparkContext.broadcast(([r.q for r in rows], unit(np.array([r.v for r in rows], np.float64)) if rows else np.zeros((0, 1))))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        names, q = shared.value
+        names = np.array(names, np.int64)
+        best_cos, best_id = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
         for batch in batches:
             batch = batch.filter(batch.column(1).is_valid())
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows or not len(names):
                 continue
-            m = np.array(batch.column(1).to_pylist(), np.float64)
+            m = batch.column(1).values.to_numpy(zero_copy_only=False)[batch.column(1).offsets[0].as_py() :].astype(np.float64).reshape(-1, q.shape[1])
             i = np.asarray(batch.column(0))
             some = np.linalg.norm(m, axis=1) > 0
             m, i = unit(m[some]), i[some]
-            for at, name in enumerate(ids):
-                cos = np.round(m @ q[at], 6)
-                order = np.lexsort((i, -cos))
-                order = order[i[order] != name][:k]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(order), pa.int64()), pa.array(i[order], pa.int64()), pa.array(cos[order])], ["query_id", "vec_id", "cosine"])
+            for at in range(0, len(i), CHUNK):
+                part = i[at : at + CHUNK]
+                cos = np.round(q @ m[at : at + CHUNK].T, 6)
+                cos[names[:, None] == part[None, :]] = -np.inf
+                best_cos, best_id = _best(np.hstack([best_cos, cos]), np.hstack([best_id, np.broadcast_to(part, cos.shape)]), k)
+        row, place = np.nonzero(best_cos > -np.inf)
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(best_id[row, place]), pa.array(best_cos[row, place])], ["query_id", "vec_id", "cosine"])
 
     return vectors.mapInArrow(step, "query_id long, vec_id long, cosine double")
 

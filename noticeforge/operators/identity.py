@@ -85,9 +85,9 @@ def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> Da
 
 
 def discover_links(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per link: keep, position, href, link (resolved and canonical)."""
+    """One row per link to a web page: keep, position, href, link (resolved and canonical)."""
     links = pages.select(*keep, "url", F.posexplode(hrefs(F.col("html"))).alias("position", "href"))
-    return links.withColumn("link", canonical_url(resolve_link(F.col("href"), F.col("url")))).drop("url")
+    return links.withColumn("link", canonical_url(resolve_link(F.col("href"), F.col("url")))).where(F.col("link").isNotNull()).drop("url")
 
 
 def attachment_links(links: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from noticeforge.operators.scoring import severe
 
 GROUPS = ("to_confirm", "closing_soon", "priority", "new_today")
 MIN_SCORE, CLOSING_HOURS = 60.0, 72
+#: Ranks of a group that a part of a report takes, and after which the packing of messages starts anew.
+LINES_PER_PART, LINES_PER_BLOCK = 1_000, 500
 
 
 def posts_with_positions(posts: DataFrame, positions: DataFrame) -> DataFrame:
@@ -102,28 +104,28 @@ def escape_html(x: Column) -> Column:
     return x
 
 
-def render_report(lines: DataFrame, form: str, keys: list[str] | None = None) -> DataFrame:
-    """One row per report (pref_id, report_date): format, content, item_count. A report's lines are one text by nature."""
+def render_report(lines: DataFrame, form: str, keys: list[str] | None = None, per_part: int = LINES_PER_PART) -> DataFrame:
+    """The parts of each report (pref_id, report_date): report_group, part, format, content, item_count; a part holds up to per_part ranks of a group, so that no row
+    holds a whole report. In order of group and part they are its text; the first one of a group has its title if it has the group's first line."""
     keys = keys or ["pref_id", "report_date"]
-    number = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("report_group"))
-    collected = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(number.alias("g"), "rank", "report_group", "line"))).alias("rows"))
-    first = lambda i: (i == 0) | (F.get(F.col("rows"), i - 1)["g"] != F.get(F.col("rows"), i)["g"])
+    part = F.floor((F.col("rank") - 1) / per_part).cast("int").alias("part")
+    collected = lines.groupBy(*keys, "report_group", part).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("rows"))
+    texts = F.transform("rows", lambda x: x["line"])
+    opens = F.col("part") == 0
     if form == "markdown":
-        text = F.transform("rows", lambda x, i: F.concat(F.when(first(i), F.concat(F.lit("## "), x["report_group"], F.lit("\n"))).otherwise(F.lit("")), F.lit("- "), x["line"]))
-        content = F.array_join(text, "\n")
+        title, content = F.concat(F.lit("## "), F.col("report_group"), F.lit("\n")), F.array_join(F.transform(texts, lambda x: F.concat(F.lit("- "), x)), "\n")
     elif form == "html":
-        text = F.transform("rows", lambda x, i: F.concat(F.when(first(i), F.concat(F.lit("<h2>"), escape_html(x["report_group"]), F.lit("</h2>"))).otherwise(F.lit("")), F.lit("<p>"), escape_html(x["line"]), F.lit("</p>")))
-        content = F.array_join(text, "")
+        title, content = F.concat(F.lit("<h2>"), escape_html(F.col("report_group")), F.lit("</h2>")), F.array_join(F.transform(texts, lambda x: F.concat(F.lit("<p>"), escape_html(x), F.lit("</p>"))), "")
     else:
         raise ValueError(f"unknown format {form}")
-    return collected.select(*keys, F.lit(form).alias("format"), content.alias("content"), F.size("rows").cast("long").alias("item_count"))
+    return collected.select(*keys, "report_group", "part", F.lit(form).alias("format"), F.concat(F.when(opens, title).otherwise(""), content).alias("content"), F.size("rows").cast("long").alias("item_count"))
 
 
 def report_spine(prefs: DataFrame, dates: DataFrame, rendered: DataFrame, forms: tuple[str, ...] = ("markdown", "html"), empty: str = "No positions today.") -> DataFrame:
-    """A report for each preference, date and format; without lines it says so."""
+    """The parts of a report for each preference, date and format; without lines there is one, which says so."""
     spine = prefs.select("pref_id").distinct().crossJoin(dates.select("report_date").distinct()).withColumn("format", F.explode(F.array(*map(F.lit, forms))))
     joined = spine.join(rendered, ["pref_id", "report_date", "format"], "left")
-    return joined.select("pref_id", "report_date", "format", F.coalesce("content", F.lit(empty)).alias("content"), F.coalesce("item_count", F.lit(0)).cast("long").alias("item_count"))
+    return joined.select("pref_id", "report_date", "format", "report_group", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("content", F.lit(empty)).alias("content"), F.coalesce("item_count", F.lit(0)).cast("long").alias("item_count"))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
@@ -139,20 +141,20 @@ def generate_report(scored: DataFrame, prefs: DataFrame, report_date: Column, as
     write_reports(report_spine(prefs, dates, rendered), path)
 
 
-def message_parts(lines: DataFrame, limit: int, keys: list[str], order: str, length: str) -> DataFrame:
-    """lines with `part`: each part takes lines in order while their lengths sum to at most `limit`.
+def message_parts(lines: DataFrame, limit: int, keys: list[str], length: str, rank: str = "rank", block: int = LINES_PER_BLOCK) -> DataFrame:
+    """lines with `part`, which orders the messages of each key: each takes lines by rank while their lengths sum to at most `limit`.
 
-    Packing is sequential within a message, whose lengths (no texts) are one array.
+    Packing is sequential; it starts anew every `block` ranks, so that what one row holds (lengths, no texts) is bounded.
     """
-    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(length).cast("long").alias("n")))).alias("rows"))
+    number = F.floor((F.col(rank) - 1) / block).cast("long")
+    rows = lines.groupBy(*keys, number.alias("_block")).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(length).cast("long").alias("n")))).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["n"] <= limit
-        part = F.when((F.size(acc["out"]) == 0) | fits, acc["part"]).otherwise(acc["part"] + 1)
-        used = F.when((F.size(acc["out"]) == 0) | ~fits, x["n"]).otherwise(acc["used"] + x["n"])
-        return F.struct(used.alias("used"), part.alias("part"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), part.alias("part")))).alias("out"))
-
-    kind = dict(lines.dtypes)[order]
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("part"), F.array().cast(f"array<struct<o:{kind},part:int>>").alias("out"))
-    parts = rows.select(*keys, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(*keys, F.col("x.o").alias(order), F.col("x.part").alias("part"))
-    return lines.join(parts, [*keys, order])
+        fits = (acc["used"] + x["n"] <= limit) | (F.size(acc["parts"]) == 0)
+        part = F.when(fits, acc["part"]).otherwise(acc["part"] + 1)
+        return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(x["n"]).alias("used"), part.alias("part"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("part"), F.array().cast("array<long>").alias("parts"))
+    numbered = rows.select(*keys, "_block", F.explode(F.arrays_zip(F.col("rows"), F.aggregate("rows", start, step)["parts"].alias("parts"))).alias("x"))
+    parts = numbered.select(*keys, F.col("x.rows.r").alias(rank), (F.col("_block") * block + F.col("x.parts")).alias("part"))
+    return lines.join(parts, [*keys, rank])

@@ -141,9 +141,13 @@ def match_results(scored: DataFrame) -> DataFrame:
 
 
 def rescore(spark, positions: DataFrame, prefs: DataFrame, as_of: Column, version: str, path: str, weights: dict[str, float] = WEIGHTS) -> None:
-    """Score all over again and replace only the partitions (pref_id, score_version) that come out."""
+    """Score all over again and replace the partitions (pref_id, score_version) of these preferences; one that comes out empty goes."""
     rows = match_results(score_positions(positions, prefs, as_of, version, weights))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pref_id", "score_version").parquet(path)
+    if positions.where(F.col("position_id").isNotNull()).isEmpty():  # all pairs are scored, so without a position no preference has a result
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for r in prefs.select("pref_id").distinct().toLocalIterator():
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/pref_id={r.pref_id}/score_version={version}"), True)
 
 
 def recommendable(positions: DataFrame, checks: DataFrame, key: str = "position_id") -> DataFrame:

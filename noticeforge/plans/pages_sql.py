@@ -25,9 +25,13 @@ def canonical(url: str) -> str:
 
 def resolved(href: str, base: str) -> str:
     scheme, origin = f"regexp_extract({base}, '^([A-Za-z]+)://', 1)", f"regexp_extract({base}, '^[A-Za-z]+://[^/?#]*')"
-    page = f"regexp_replace({base}, '[?#].*$', '')"
+    page, href = f"regexp_replace({base}, '[?#].*$', '')", f"trim({href})"
     folder = f"CASE WHEN regexp_matches({page}, '^[A-Za-z]+://[^/]*$') THEN {page} || '/' ELSE regexp_replace({page}, '[^/]*$', '') END"
-    return f"CASE WHEN regexp_matches({href}, '^[A-Za-z]+://') THEN {href} WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} WHEN starts_with({href}, '/') THEN {origin} || {href} WHEN regexp_matches({href}, '^[?#]') THEN {page} || {href} ELSE {folder} || regexp_replace({href}, '^\\./', '') END"
+    full = f"CASE WHEN regexp_matches({href}, '^[A-Za-z]+://') THEN {href} WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} WHEN starts_with({href}, '/') THEN {origin} || {href} WHEN regexp_matches({href}, '^[?#]') THEN {page} || {href} ELSE {folder} || regexp_replace({href}, '^\\./', '') END"
+    part = lambda k: f"regexp_extract({full}, '^([A-Za-z]+://[^/?#]*)([^?#]*)(.*)$', {k})"
+    path = part(2)
+    clean = f"list_reduce(list_concat([''], string_split({path}, '/')[2:]), lambda acc, x: CASE x WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || x END) || CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN '/' ELSE '' END"
+    return f"CASE WHEN regexp_matches({href}, '^(?i)[a-z][a-z0-9+.-]*:') AND NOT regexp_matches({href}, '^(?i)https?:') THEN NULL ELSE {part(1)} || CASE WHEN regexp_matches({path}, '/\\.\\.?(/|$)') THEN {clean} ELSE {path} END || {part(3)} END"
 
 
 def visible_text(html: str) -> str:
@@ -45,7 +49,7 @@ batch AS (SELECT page_id, url, canonical_url, content_hash FROM (SELECT *, row_n
   (SELECT page_id, url, {canonical('url')} AS canonical_url, {hashed('html')} AS content_hash FROM pages)) WHERE k = 1),
 store AS (SELECT page_id, canonical_url, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY page_id) AS k FROM
   (SELECT page_id, {canonical('url')} AS canonical_url, {hashed("CASE WHEN page_id % 10 = 0 THEN html || ' changed' ELSE html END")} AS content_hash FROM pages WHERE page_id % 2 = 0)) WHERE k = 1)"""
-_LINKS = "links AS (SELECT page_id, url, CAST(k - 1 AS INTEGER) AS position, h[k] AS href FROM (SELECT page_id, url, h, unnest(range(1, len(h) + 1)) AS k FROM (SELECT page_id, url, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages)))"
+_LINKS = "links AS (SELECT page_id, url, CAST(k - 1 AS INTEGER) AS position, h[k] AS href FROM (SELECT page_id, url, h, unnest(range(1, len(h) + 1)) AS k FROM (SELECT page_id, url, list_transform(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*(\"[^\"]*\"|''[^'']*'')', 1), lambda x: replace(x[2:-2], '&amp;', '&')) AS h FROM pages)))"
 _DOCS = f"docs AS (SELECT doc_id AS document_id, source AS source_id, lang, n_chars, {hashed('text')} AS content_hash FROM documents)"
 _TITLE = "nullif(trim(regexp_extract(html, '(?s)<{0}[^>]*>(.*?)</{0}>', 1)), '')"
 _MASKED = "regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9]{1,3}[ -]?\\(?[0-9]{3}\\)?[ -][0-9]{3}-[0-9]{4}', '[phone]', 'g'), '\\b[0-9]{15,17}[0-9Xx]\\b', '[id]', 'g')"
@@ -61,7 +65,7 @@ ORACLE_SQL = {
     "changed_pages": f"WITH {_KEYED} SELECT b.page_id, canonical_url, b.content_hash, s.content_hash AS current_hash FROM batch b JOIN store s USING (canonical_url) WHERE b.content_hash <> s.content_hash",
     "skip_unmodified": f"WITH {_KEYED} SELECT b.page_id, canonical_url FROM batch b LEFT JOIN store s USING (canonical_url) WHERE s.content_hash IS DISTINCT FROM b.content_hash",
     "resolved_links": f"WITH {_LINKS} SELECT page_id, position, {resolved('href', 'url')} AS link FROM links",
-    "discovered_links": f"WITH {_LINKS}, r AS (SELECT page_id, {resolved('href', 'url')} AS full_link FROM links) SELECT {canonical('full_link')} AS link, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM r GROUP BY 1",
+    "discovered_links": f"WITH {_LINKS}, r AS (SELECT page_id, {resolved('href', 'url')} AS full_link FROM links WHERE full_link IS NOT NULL) SELECT {canonical('full_link')} AS link, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM r GROUP BY 1",
     "page_text": f"SELECT page_id, {visible_text('html')} AS body FROM pages",
     "page_title": f"SELECT page_id, coalesce({_TITLE.format('title')}, {_TITLE.format('h1')}) AS title FROM pages",
     "boilerplate_lines": "SELECT source AS source_id, sha256(line) AS line_hash, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1, 2 HAVING count(*) >= 2",

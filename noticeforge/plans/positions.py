@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noticeforge import bindings as B
 from noticeforge.operators import evaluation, quality, reporting, scoring, search, validate
 from noticeforge.operators.identity import same_store
+from noticeforge.sources.store import work_folder
 
 def _as_of() -> Column:
     return B.at(B.AS_OF)
@@ -45,8 +46,7 @@ def top20_per_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = scoring.match_results(scored(spark, sf_dir)).where(F.col("score") >= 90)
-    return scoring.explain_match(best).select("position_id", "score", "rule", "part")
+    return scoring.explain_match(scoring.match_results(scored(spark, sf_dir))).select("position_id", "score", "rule", "part")
 
 
 def score_version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,12 @@ def score_version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rescore_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lambda: scoring.match_results(scored(spark, sf_dir)).select("position_id", "pref_id", "score", "score_version", F.array_join("matched_rules", "+").alias("rules"))
-    return same_store(rows(), rows())
+    """A table of results that was scored twice against one that was scored once."""
+    folder = work_folder(spark)
+    for name in ("twice", "once", "twice"):
+        scoring.rescore(spark, B.visible(spark, sf_dir), B.prefs(spark), _as_of(), "1", f"{folder}/{name}")
+    stored = lambda name: spark.read.parquet(f"{folder}/{name}").select("position_id", "pref_id", "score", "score_version", F.array_join("matched_rules", "+").alias("rules"))
+    return same_store(stored("twice"), stored("once")).withColumn("n_stored", F.lit(stored("twice").count()))
 
 
 def search_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +112,22 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).drop("pref_id")
 
 
+def _by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report lines with a region in place of the preference."""
+    return reporting.report_lines(grouped(spark, sf_dir).withColumn("pref_id", F.col("region")), F.col("link")).withColumnRenamed("pref_id", "region")
+
+
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grouped(spark, sf_dir).where(F.col("report_group").isin("closing_soon", "new_today"))
-    lines = reporting.report_lines(rows.withColumn("pref_id", F.col("region")), F.col("link")).withColumnRenamed("pref_id", "region")
-    return reporting.render_report(lines, "markdown", ["region"])
+    return reporting.render_report(_by_region(spark, sf_dir), "markdown", ["region"], 200)
+
+
+def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.render_report(_by_region(spark, sf_dir), "html", ["region"], 200)
 
 
 def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grouped(spark, sf_dir).where(F.col("report_group").isin("closing_soon", "new_today"))
-    lines = reporting.report_lines(rows.withColumn("pref_id", F.col("region")), F.col("link")).withColumn("o", F.concat_ws("/", "report_group", F.lpad(F.col("rank").cast("string"), 9, "0"))).withColumn("n", F.length("line"))
-    return reporting.message_parts(lines, 500, ["pref_id"], "o", "n").select(F.col("pref_id").alias("region"), "report_group", "rank", "n", "part")
+    lines = _by_region(spark, sf_dir).withColumn("n", F.length("line"))
+    return reporting.message_parts(lines, 500, ["region", "report_group"], "n").select("region", "report_group", "rank", "n", "part")
 
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +185,7 @@ QUERIES = {
     "empty_report": empty_report,
     "report_lines": report_lines,
     "report_markdown": report_markdown,
+    "report_html": report_html,
     "message_parts": message_parts,
     "completeness": completeness,
     "validation_issues": _checks,

@@ -45,9 +45,9 @@ ORACLE_SQL = {
     "score_components": f"WITH {SCORED} SELECT position_id, s_region AS region_score, s_keyword AS keyword_score, s_major AS major_score, s_organization AS organization_score, s_urgency AS urgency_score, s_completeness AS completeness_score, score FROM scored WHERE position_id IS NOT NULL",
     "hard_filter_reasons": f"WITH {SCORED} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split({_REASONS}, ',')) AS reason FROM scored WHERE NOT passed) GROUP BY reason",
     "top20_per_region": f"WITH {SCORED} SELECT region, rank, post_id, position_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY score DESC, deadline ASC NULLS LAST, post_id, part_id NULLS FIRST, supplier_id NULLS FIRST, line_number NULLS FIRST, price NULLS FIRST) AS INTEGER) AS rank FROM scored WHERE passed AND position_id IS NOT NULL) WHERE rank <= 20",
-    "explain_match": f"WITH {SCORED}, best AS (SELECT * FROM scored WHERE score >= 90 AND position_id IS NOT NULL) SELECT position_id, score, rule, part FROM (UNPIVOT (SELECT position_id, score, s_region AS region, s_keyword AS keyword, s_major AS major, s_organization AS organization, s_urgency AS urgency, s_completeness AS completeness FROM best) ON region, keyword, major, organization, urgency, completeness INTO NAME rule VALUE part)",
+    "explain_match": f"WITH {SCORED}, best AS (SELECT * FROM scored WHERE position_id IS NOT NULL) SELECT position_id, score, rule, part FROM (UNPIVOT (SELECT position_id, score, s_region AS region, s_keyword AS keyword, s_major AS major, s_organization AS organization, s_urgency AS urgency, s_completeness AS completeness FROM best) ON region, keyword, major, organization, urgency, completeness INTO NAME rule VALUE part)",
     "score_version_diff": f"WITH {SCORED}, two AS (SELECT position_id, score AS score_1, CASE WHEN passed THEN s_region + s_keyword * 0.5 + s_major * 2 + s_organization + s_urgency + s_completeness ELSE 0 END AS score_2 FROM scored WHERE position_id IS NOT NULL) SELECT position_id, score_1, score_2, score_2 - score_1 AS change, CAST(rank() OVER (ORDER BY score_1 DESC) - rank() OVER (ORDER BY score_2 DESC) AS BIGINT) AS rank_shift FROM two",
-    "rescore_idempotent": "SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second",
+    "rescore_idempotent": f"WITH {VISIBLE} SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second, count(*) AS n_stored FROM visible WHERE position_id IS NOT NULL",
     "search_jobs": f"WITH {SCORED} SELECT position_id, post_id, name, organization, region, deadline, score FROM scored WHERE region = 'ASIA' AND category = 'BUILDING' AND contains(name, 'gear') AND deadline > TIMESTAMP '1998-06-15' AND score >= 40 AND passed ORDER BY score DESC, deadline, position_id LIMIT 50",
     "search_capped": f"WITH {SCORED} SELECT position_id, score FROM scored WHERE passed AND position_id IS NOT NULL ORDER BY score DESC, deadline NULLS LAST, position_id LIMIT 100",
     "get_job_detail": f"WITH {VISIBLE} SELECT post_id, any_value(organization) AS organization, any_value(region) AS region, count(position_id) AS n_positions, coalesce(string_agg(position_id || ':' || name, ';' ORDER BY position_id), '') AS position_list FROM visible GROUP BY post_id",
@@ -56,8 +56,9 @@ ORACLE_SQL = {
     "to_confirm": f"WITH {GROUPED} SELECT post_id, position_id, CASE WHEN position_id IS NULL THEN 'no_position' WHEN deadline IS NULL THEN 'no_deadline' ELSE 'deadline_before_start' END AS reason FROM grouped WHERE report_group = 'to_confirm'",
     "empty_report": f"WITH {GROUPED}, spine AS (SELECT r_name AS region, g AS report_group FROM region, (SELECT unnest(['to_confirm', 'closing_soon', 'priority', 'new_today']) AS g)) SELECT s.region, s.report_group, count(x.post_id) AS n_items, CASE WHEN count(x.post_id) = 0 THEN 'empty' ELSE 'filled' END AS state FROM spine s LEFT JOIN grouped x ON s.region = x.region AND s.report_group = x.report_group GROUP BY ALL",
     "report_lines": f"WITH {GROUPED} SELECT report_group, rank, {_LINE} AS line FROM ranked",
-    "report_markdown": f"WITH {GROUPED}, l AS (SELECT region, report_group, list_position(['to_confirm', 'closing_soon', 'priority', 'new_today'], report_group) AS g, rank, {_LINE} AS line FROM ranked WHERE report_group IN ('closing_soon', 'new_today')), m AS (SELECT region, g, rank, CASE WHEN row_number() OVER (PARTITION BY region, g ORDER BY rank) = 1 THEN '## ' || report_group || chr(10) ELSE '' END || '- ' || line AS line FROM l) SELECT region, 'markdown' AS format, string_agg(line, chr(10) ORDER BY g, rank) AS content, count(*) AS item_count FROM m GROUP BY region",
-    "message_parts": f"WITH RECURSIVE {GROUPED}, l AS (SELECT region, report_group, rank, CAST(length({_LINE}) AS INTEGER) AS n, row_number() OVER (PARTITION BY region ORDER BY report_group, rank) AS k FROM ranked WHERE report_group IN ('closing_soon', 'new_today')), m AS (SELECT region, k, n AS used, 0 AS part FROM l WHERE k = 1 UNION ALL SELECT l.region, l.k, CASE WHEN used + n <= 500 THEN used + n ELSE n END, CASE WHEN used + n <= 500 THEN part ELSE part + 1 END FROM m JOIN l ON l.region = m.region AND l.k = m.k + 1) SELECT region, report_group, rank, n, CAST(part AS INTEGER) AS part FROM l JOIN m USING (region, k)",
+    "report_markdown": f"WITH {GROUPED}, l AS (SELECT region, report_group, CAST((rank - 1) // 200 AS INTEGER) AS part, rank, {_LINE} AS line FROM ranked) SELECT region, report_group, part, 'markdown' AS format, CASE WHEN part = 0 THEN '## ' || report_group || chr(10) ELSE '' END || string_agg('- ' || line, chr(10) ORDER BY rank) AS content, count(*) AS item_count FROM l GROUP BY region, report_group, part",
+    "report_html": f"WITH {GROUPED}, l AS (SELECT region, report_group, CAST((rank - 1) // 200 AS INTEGER) AS part, rank, '<p>' || replace(replace(replace(replace({_LINE}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>' AS line FROM ranked) SELECT region, report_group, part, 'html' AS format, CASE WHEN part = 0 THEN '<h2>' || report_group || '</h2>' ELSE '' END || string_agg(line, '' ORDER BY rank) AS content, count(*) AS item_count FROM l GROUP BY region, report_group, part",
+    "message_parts": f"WITH RECURSIVE {GROUPED}, l AS (SELECT region, report_group, rank, (rank - 1) // 500 AS b, CAST(length({_LINE}) AS INTEGER) AS n, row_number() OVER (PARTITION BY region, report_group, (rank - 1) // 500 ORDER BY rank) AS k FROM ranked), m AS (SELECT region, report_group, b, k, n AS used, 0 AS part FROM l WHERE k = 1 UNION ALL SELECT l.region, l.report_group, l.b, l.k, CASE WHEN used + n <= 500 THEN used + n ELSE n END, CASE WHEN used + n <= 500 THEN part ELSE part + 1 END FROM m JOIN l ON l.region = m.region AND l.report_group = m.report_group AND l.b = m.b AND l.k = m.k + 1) SELECT region, report_group, rank, n, CAST(b * 500 + part AS BIGINT) AS part FROM l JOIN m USING (region, report_group, b, k)",
     "completeness": f"WITH {VISIBLE}, rows AS (SELECT region AS part, organization, name, region, deadline FROM visible UNION ALL SELECT 'all', organization, name, region, deadline FROM visible) SELECT part, count(*) AS n_rows, round(sum((organization IS NOT NULL)::INT + (name IS NOT NULL)::INT + (region IS NOT NULL)::INT + (deadline IS NOT NULL)::INT + 1) / (5.0 * count(*)), 4) AS filled_share, count(*) FILTER (WHERE organization IS NOT NULL AND name IS NOT NULL AND region IS NOT NULL AND deadline IS NOT NULL) AS n_complete FROM rows GROUP BY part",
     "validation_issues": f"WITH {VISIBLE}, x AS (SELECT post_id, position_id, unnest(list_filter([CASE WHEN position_id IS NULL THEN 'missing_position:error' END, CASE WHEN deadline IS NULL THEN 'missing_deadline:error' END, CASE WHEN deadline < start_at THEN 'deadline_before_start:error' END, CASE WHEN headcount > 45 THEN 'large_headcount:warning' END], lambda r: r IS NOT NULL)) AS v FROM visible) SELECT post_id, position_id, string_split(v, ':')[1] AS reason, string_split(v, ':')[2] AS severity FROM x",
     "review_reasons": f"WITH {VISIBLE}, x AS (SELECT unnest(list_filter([CASE WHEN position_id IS NULL THEN 'missing_position:error' END, CASE WHEN deadline IS NULL THEN 'missing_deadline:error' END, CASE WHEN deadline < start_at THEN 'deadline_before_start:error' END, CASE WHEN headcount > 45 THEN 'large_headcount:warning' END], lambda r: r IS NOT NULL)) AS v FROM visible) SELECT string_split(v, ':')[1] AS reason, string_split(v, ':')[2] AS severity, count(*) AS n FROM x GROUP BY ALL",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,21 +12,37 @@ from noticeforge.operators.identity import KEY, current_versions, keyed
 from noticeforge.operators.runs import undelivered
 from noticeforge.schemas import SCHEMAS
 
+#: Sources of a batch up to which the stored partitions to read are named.
+SOURCES = 1_000
 VERSIONS = "source_id long, url string, canonical_url string, content_hash string, raw_html string, fetched_at timestamp"
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a local one where that is unset, with a local master only."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="spark-")
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Landed pages with their fixed schema, for replays without a network."""
     return spark.read.schema(SCHEMAS["snapshots"]).parquet(folder)
 
 
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path; an empty one before the first write."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def versions(spark: SparkSession, path: str) -> DataFrame:
     """All stored versions; an empty table before the first write."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], VERSIONS)
-    return spark.read.schema(VERSIONS).parquet(path)
+    return _stored(spark, path, VERSIONS)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +56,12 @@ def append_versions(batch: DataFrame, path: str) -> int:
     """
     spark = batch.sparkSession
     rows = keyed(batch).select("source_id", "url", "canonical_url", "content_hash", F.col("html").alias("raw_html"), "fetched_at", F.lit(False).alias("stored"))
-    known = versions(spark, path).join(rows.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "content_hash", "fetched_at", F.lit(True).alias("stored"))
+    # the batch's sources, where they are few, name the partitions to read
+    sources = [r[0] for r in batch.select("source_id").distinct().limit(SOURCES + 1).collect()]
+    stored = versions(spark, path)
+    if len(sources) <= SOURCES:
+        stored = stored.where(F.col("source_id").isin(sources))
+    known = stored.join(rows.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "content_hash", "fetched_at", F.lit(True).alias("stored"))
     w = Window.partitionBy(*KEY).orderBy("fetched_at", "content_hash", F.desc("stored"))
     same = lambda other: F.col("content_hash").eqNullSafe(other(F.col("content_hash")).over(w))
     changed = rows.unionByName(known, allowMissingColumns=True).withColumn("same", same(F.lag)).where(F.col("stored") | ~F.col("same"))
@@ -57,7 +81,11 @@ def backfill(spark: SparkSession, path: str, start: Column, end: Column, source_
 
 
 def outbox(reports: DataFrame, notifications: DataFrame, channels: list[str], path: str) -> DataFrame:
-    """Append the deliveries still to be made, and give them."""
-    out = undelivered(reports, notifications, channels)
-    out.write.mode("append").parquet(path)
-    return out
+    """Append the deliveries still to be made that the outbox doesn't hold yet, and give all that are open, as stored: a second call appends nothing."""
+    spark = reports.sparkSession
+    open_ = undelivered(reports, notifications, channels)
+    fresh = open_.join(_stored(spark, path, open_._jdf.schema().toDDL()), ["report_id", "channel"], "left_anti").persist()
+    if fresh.count():
+        fresh.write.mode("append").parquet(path)
+    fresh.unpersist()
+    return _stored(spark, path, open_._jdf.schema().toDDL()).join(open_, ["report_id", "channel"], "left_semi")

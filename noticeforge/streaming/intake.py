@@ -23,8 +23,10 @@ def apply_batch(batch: DataFrame, batch_id: int, store: str) -> int:
 
 
 def run_crawl(spark: SparkSession, folder: str, checkpoint: str, store: str, source_id: int | None = None) -> int:
-    """Take in what has landed (of one source), and give the number of versions added."""
+    """Take in what has landed (of one source, which has a cursor of its own, so that nothing of the others is passed over), and give the number of versions added."""
     added = 0
+    if source_id is not None:
+        checkpoint = f"{checkpoint}-source-{source_id}"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         nonlocal added

@@ -104,3 +104,20 @@ def test_next_attempt(spark):
     rows = [(datetime(2026, 1, 1), 503, 1), (datetime(2026, 1, 1), 503, 2), (datetime(2026, 1, 1), 503, 3), (datetime(2026, 1, 1), 404, 1)]
     df = spark.createDataFrame(rows, "t timestamp, s int, n int").select(fields.next_attempt(F.col("t"), F.col("s"), F.col("n")).alias("y"))
     assert [r.y for r in df.collect()] == [datetime(2026, 1, 1, 0, 1), datetime(2026, 1, 1, 0, 2), None, None]
+
+
+def test_links_as_a_url_library_joins_them(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://e.com/a/b/c.html?q=1", "http://e.com/", "https://e.com/x/y/"]
+    refs = ["../d", "../../d/./e", "./f?x=1#y", "g/../h", "/i/../j", "//o.org/l", "?q", "../", "..", "m/.", "https://p.org/r", "../../../s"]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "base string, ref string")
+    for r in df.withColumn("link", urls.resolve_link(F.col("ref"), F.col("base"))).collect():
+        assert r.link == urljoin(r.base, r.ref), (r.base, r.ref)
+    for other in ("mailto:a@e.com", "javascript:void(0)", "TEL:+1", "data:text/plain,x"):
+        assert one(spark, other, lambda x: urls.resolve_link(x, F.lit("https://e.com/a"))) is None
+
+
+def test_hrefs_in_both_quotes(spark):
+    html = """<a href="/a?x=1&amp;y=2">x</a> <A HREF = '/b"c'>y</A> <a data-href="no"> <a href=''>"""
+    assert one(spark, html, urls.hrefs)[:2] == ["/a?x=1&y=2", '/b"c']

@@ -72,31 +72,54 @@ def test_report_groups_order_and_texts(spark, folder):
         reporting.generate_report(scored, prefs, F.lit("2026-03-01").cast("date"), F.lit(NOW), ["position_id"], f"{folder}/r", F.col("link"))
     reporting.generate_report(scored, prefs, F.lit("2026-03-02").cast("date"), F.lit(NOW), ["position_id"], f"{folder}/r", F.col("link"))
     stored = spark.read.parquet(f"{folder}/r")
-    assert stored.count() == 8
-    text = {(r.pref_id, r.format): r for r in stored.where("report_date = '2026-03-01'").collect()}
-    assert text[2, "markdown"].content == "No positions today." and text[1, "markdown"].item_count == 5
-    assert text[1, "markdown"].content.startswith("## to_confirm\n- ") and "y<&>" in text[1, "markdown"].content
-    assert "y&lt;&amp;&gt;" in text[1, "html"].content
+    assert stored.count() == 2 * (2 * 4 + 2)  # four groups of one preference, one line for the other's empty report
+    text = {(r.pref_id, r.format, r.report_group): r for r in stored.where("report_date = '2026-03-01'").collect()}
+    assert text[2, "markdown", None].content == "No positions today." and sum(r.item_count for k, r in text.items() if k[:2] == (1, "markdown")) == 5
+    assert text[1, "markdown", "to_confirm"].content.startswith("## to_confirm\n- ") and "y<&>" in text[1, "markdown", "new_today"].content
+    assert "y&lt;&amp;&gt;" in text[1, "html", "new_today"].content
+    lines = spark.createDataFrame([(1, "priority", k, f"line {k}") for k in range(1, 8)], "pref_id long, report_group string, rank int, line string")
+    parts = reporting.render_report(lines, "markdown", ["pref_id"], 3).orderBy("part").collect()
+    assert [r.item_count for r in parts] == [3, 3, 1] and parts[0].content == "## priority\n- line 1\n- line 2\n- line 3" and parts[2].content == "- line 7"
 
 
 def test_message_parts(spark):
-    lines = spark.createDataFrame([(1, k, n) for k, n in enumerate([5, 6, 3, 9, 2, 2])], "report_id long, k int, n int")
-    parts = reporting.message_parts(lines, 10, ["report_id"], "k", "n")
-    assert [r.part for r in parts.orderBy("k").collect()] == [0, 1, 1, 2, 3, 3]
-
-
-def test_message_parts_query_by_brute_force(spark):
-    from noticeforge.plans.positions import message_parts
-
-    rows = message_parts(spark, "/root/testdata/sf0.001").collect()
-    order = {g: i for i, g in enumerate(("closing_soon", "new_today"))}
-    for region in {r.region for r in rows}:
-        used, part = 0, 0
-        for k, r in enumerate(sorted((r for r in rows if r.region == region), key=lambda r: (order[r.report_group], r.rank))):
-            if k and used + r.n > 500:
-                used, part = 0, part + 1
-            used += r.n
-            assert r.part == part
+    lines = spark.createDataFrame([(1, k + 1, n) for k, n in enumerate([5, 6, 3, 9, 2, 2, 11, 1])], "report_id long, rank int, n int")
+    parts = reporting.message_parts(lines, 10, ["report_id"], "n")
+    assert [r.part for r in parts.orderBy("rank").collect()] == [0, 1, 1, 2, 3, 3, 4, 5]
+    parts = reporting.message_parts(lines, 10, ["report_id"], "n", block=3)
+    assert [r.part for r in parts.orderBy("rank").collect()] == [0, 1, 1, 3, 4, 4, 6, 7]
+
+
+def test_rescore_drops_what_comes_out_empty(spark, folder):
+    df = spark.createDataFrame([position("a")], POSITION)
+    prefs = spark.createDataFrame([FULL], SCHEMAS["user_preferences"])
+    other = spark.createDataFrame([NEUTRAL], SCHEMAS["user_preferences"])
+    scoring.rescore(spark, df, prefs, F.lit(NOW), "1", f"{folder}/e")
+    scoring.rescore(spark, df, other, F.lit(NOW), "1", f"{folder}/e")
+    scoring.rescore(spark, df.limit(0), prefs, F.lit(NOW), "1", f"{folder}/e")
+    assert [r.pref_id for r in spark.read.parquet(f"{folder}/e").collect()] == [NEUTRAL[0]]
+
+
+def test_vectors_by_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from noticeforge.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "CHUNK", 7)
+    rng = np.random.default_rng(1)
+    m = rng.integers(-2, 3, (90, 3)).astype(float)  # many ties
+    rows = [(k, [float(v) for v in x] if k != 5 else None) for k, x in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = evaluation.vector_topk(df.where("vec_id % 9 = 0").withColumnRenamed("vec_id", "query_id"), df, 10)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.cosine)
+    for q in range(0, 90, 9):
+        if not m[q].any():
+            assert q not in found
+            continue
+        cos = sorted((-round(float(m[q] @ m[i] / np.linalg.norm(m[q]) / np.linalg.norm(m[i])), 6) + 0.0, i) for i in range(90) if i not in (5, q) and m[i].any())
+        assert [found[q][k + 1][0] for k in range(10)] == [i for _, i in cos[:10]]
 
 
 def test_merge_and_evidence(spark):

@@ -138,3 +138,21 @@ def test_outbox(spark, folder):
     assert listed == {(1, "wechat"): (0, "new", None), (2, "email"): (2, "retry", datetime(2026, 1, 2, 0, 2)), (2, "wechat"): (3, "permanent", None)}
     store.outbox(reports, sent, ["email"], f"{folder}/outbox")
     assert spark.read.parquet(f"{folder}/outbox").count() == 1
+    assert store.outbox(reports, sent, ["email"], f"{folder}/outbox").count() == 1
+    assert spark.read.parquet(f"{folder}/outbox").count() == 1
+
+
+def test_one_source_after_another(spark, folder):
+    landed, cursor, path = f"{folder}/landed1", f"{folder}/cursor1", f"{folder}/store1"
+    pages(spark, (1, "http://e.com/a", "one", T[0]), (2, "http://f.com/a", "two", T[0])).write.parquet(landed)
+    assert intake.run_crawl(spark, landed, cursor, path, source_id=2) == 1
+    assert intake.run_crawl(spark, landed, cursor, path) == 1
+    assert intake.run_crawl(spark, landed, cursor, path, source_id=2) == 0
+    assert sorted(r.source_id for r in store.versions(spark, path).collect()) == [1, 2]
+
+
+def test_deliveries_again_after_a_newer_version(spark, folder):
+    path = f"{folder}/again"
+    one, two = (pages(spark, (1, "http://e.com/a", body, at)) for body, at in (("v1", T[0]), ("v2", T[1])))
+    assert [store.append_versions(x, path) for x in (one, two, one, one, two)] == [1, 1, 0, 0, 0]
+    assert store.append_versions(pages(spark, (1, "http://e.com/b", "x", T[0]), (1, "http://e.com/b", "y", T[1]), (1, "http://e.com/b", "x", T[2])), path) == 3
