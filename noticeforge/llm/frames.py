@@ -48,13 +48,15 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch, Slice], pa.RecordBat
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset (tests), a local one is set."""
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset, a local one is set with a local master (tests), and others are refused."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not top:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             top = known.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             top = tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"

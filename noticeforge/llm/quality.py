@@ -22,7 +22,7 @@ MIN_WORDS, REPEAT_PER_CENT = 10, 20
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, dup_line_chars long, " + ", ".join(f"dup_{n}gram_chars long" for n in NGRAM_LIMITS) + ", base_failed boolean, kept boolean"
+SCHEMA = "doc_id {}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, dup_line_chars long, " + ", ".join(f"dup_{n}gram_chars long" for n in NGRAM_LIMITS) + ", base_failed boolean, kept boolean"
 
 
 def _per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -107,6 +107,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             bad |= 100 * m[f"dup_{n}gram_chars"] > limit * m["word_chars"]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         m |= {"base_failed": failed, "kept": ~bad}
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(m[k]) for k in names[1:])], names)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[k]) for k in names[1:])], names)
 
-    return map_slices(keyed_text(docs, id_col, text_col), rows, SCHEMA)
+    df = keyed_text(docs, id_col, text_col)
+    return map_slices(df, rows, SCHEMA.format(dict(df.dtypes)["id"]))

@@ -36,9 +36,10 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         flat, at = encoder(tokenizer_path).ids(s)
         ids = [np.append(flat[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4").tobytes() for i in range(len(s))]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return map_slices(keyed_text(docs, id_col, text_col), rows, "doc_id long, ids binary", store=True)
+    named = keyed_text(docs, id_col, text_col).select(F.col("id").try_cast("long").alias("id"), "text")
+    return map_slices(named, rows, "doc_id long, ids binary", store=True)
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> bytes:
@@ -58,7 +59,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", level: int = 3) -> None:
     """Write the shards of all rows to path/shards and the dictionary to path/dictionary.
 
-    A null text is an empty one and has the end id alone. Rows with a null id come before all others; repeated rows are
+    A null text is an empty one and has the end id alone. The index holds ids as 64-bit integers; what isn't one counts as null. Rows with a null id come before all others; repeated rows are
     written each, next to each other. An empty table gives a table without shards.
     """
     spark = docs.sparkSession
@@ -106,7 +107,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
     # texts, not ids, go through the shuffle, so that finding the ranges encodes nothing
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = keyed_text(docs, id_col, text_col)
-    dealt = keyed.select(F.col("id").cast("long").alias("id"), "text").repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    dealt = keyed.select(F.col("id").try_cast("long").alias("id"), "text").repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
     dealt.mapInArrow(shards, SHARD).write.parquet(f"{path}/shards")
 
 
@@ -127,7 +128,7 @@ def read(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame
     parts = table.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     if doc_id is not None:
-        table = table.where(F.lit(doc_id).between(F.col("first_id"), F.col("last_id")))
+        table = table.where(F.lit(doc_id).between(F.coalesce("first_id", F.lit(-(1 << 63))), F.col("last_id")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

@@ -336,6 +336,25 @@ def test_token_files_round_trip(spark, texts, folder):
     assert shard.dictionary == kept.dictionary == hashlib.sha256(bytes(kept.bytes)).hexdigest() and len(kept.bytes)
 
 
+def test_ids_that_are_null_or_no_numbers(spark, folder):
+    named = spark.createDataFrame([("a", "some words of a text"), ("b", None), (None, "x y z")], "doc_id string, text string")
+    assert {r.doc_id for r in quality.quality(named).collect()} == {"a", "b", None}
+    token_files.write(named, f"{folder}/named", BPE)
+    assert [r.doc_id for r in token_files.read(spark, f"{folder}/named").collect()] == [None] * 3
+    docs = spark.createDataFrame([(None, "x"), (5, "five words are in here"), (7, "seven")], "doc_id long, text string").coalesce(1)
+    token_files.write(docs, f"{folder}/nulls", BPE)
+    assert [r.doc_id for r in token_files.read(spark, f"{folder}/nulls", doc_id=5).collect()] == [5]
+
+
+def test_the_dictionary_makes_files_smaller(spark, docs, folder, monkeypatch):
+    short = docs.where("n_chars < 1000")
+    size = lambda path: sum(len(r.payload) for r in spark.read.parquet(f"{path}/shards").collect())
+    token_files.write(short, f"{folder}/with", BPE)
+    monkeypatch.setattr(token_files, "train_dictionary", lambda *a: b"")
+    token_files.write(short, f"{folder}/without", BPE)
+    assert size(f"{folder}/with") < size(f"{folder}/without")
+
+
 def test_token_counts_by_brute_force(spark, texts):
     scores = token_counts.vocabulary(P.path("piece_bpe_32k.model"))
     longest, least = max(map(len, scores)), min(scores.values()) - 10.0
