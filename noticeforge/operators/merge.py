@@ -36,7 +36,20 @@ def llm_usage(calls: DataFrame, by: list[str]) -> DataFrame:
 
 
 def admit_calls(calls: DataFrame, budget: float, day: str = "day", order: tuple[str, ...] = ("called_at", "call_id")) -> DataFrame:
-    """calls with spent_before (that day) and status: admitted while it is under the budget, else pending."""
-    before = Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("cost").over(before), F.lit(0))
-    return calls.withColumn("spent_before", spent).withColumn("status", F.when(F.col("spent_before") < budget, "admitted").otherwise("pending"))
+    """calls with spent_before (that day) and status: admitted while it is under the budget, else pending.
+
+    A day may hold most calls: those of each minute of order[0], a time, are summed by themselves, and the sums of earlier
+    minutes, over a small table of minutes, are added. Calls without a time come first.
+    """
+    time, *_ = order
+    # local times as text, since as moments they would jump at a change of clocks
+    minute = F.substring(F.col(time).cast("string"), 1, 16) if dict(calls.dtypes)[time] == "timestamp_ntz" else F.date_trunc("minute", F.col(time))
+    rows = calls.withColumn("_minute", minute)
+    sums = rows.groupBy(day, "_minute").agg(F.sum("cost").alias("_cost"))
+    earlier = Window.partitionBy(day).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col(day).alias("_day"), F.col("_minute").alias("_at"), F.coalesce(F.sum("_cost").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(day, "_minute").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("_inside", F.coalesce(F.sum("cost").over(inside), F.lit(0))).join(offsets, F.col(day).eqNullSafe(F.col("_day")) & F.col("_minute").eqNullSafe(F.col("_at")))
+    spent = (F.col("_before") + F.col("_inside")).cast(sums.schema["_cost"].dataType)
+    out = numbered.withColumn("spent_before", spent).withColumn("status", F.when(F.col("spent_before") < budget, "admitted").otherwise("pending"))
+    return out.drop("_minute", "_inside", "_day", "_at", "_before")

@@ -11,6 +11,8 @@ GROUPS = ("to_confirm", "closing_soon", "priority", "new_today")
 MIN_SCORE, CLOSING_HOURS = 60.0, 72
 #: Ranks of a group that a part of a report takes, and after which the packing of messages starts anew.
 LINES_PER_PART, LINES_PER_BLOCK = 1_000, 500
+#: Ids of the first tie-break that are ranked together.
+IDS_PER_SLICE = 1 << 16
 
 
 def posts_with_positions(posts: DataFrame, positions: DataFrame) -> DataFrame:
@@ -40,22 +42,25 @@ def report_groups(scored: DataFrame, as_of: Column, tie_breaks: list[str], min_s
     return ranked(in_groups(scored, as_of, min_score), ["pref_id", "report_group"], tie_breaks)
 
 
-def ranked(rows: DataFrame, partition: list[str], tie_breaks: list[str]) -> DataFrame:
+def ranked(rows: DataFrame, partition: list[str], tie_breaks: list[str], ids_per_slice: int = IDS_PER_SLICE) -> DataFrame:
     """rows with their rank in the stable order within each partition, without one task for a whole partition.
 
-    A partition may hold most rows. The rows of each (score, deadline) are numbered by themselves, and the numbers of rows
-    of better levels, summed over a small table of the levels, are added.
+    A partition may hold most rows, and so may one score and deadline in it (posts without a position). The rows of each (score,
+    deadline, slice of the first tie-break) are numbered by themselves, and the numbers of rows of better levels, summed over a
+    small table of the levels, are added. Slices need a whole number as first tie-break; another one is a single slice.
     """
-    level = [*partition, "score", "deadline"]
+    first = tie_breaks[0] if tie_breaks and dict(rows.dtypes)[tie_breaks[0]] in ("int", "bigint") else None
+    rows = rows.withColumn("_slice", F.floor(F.col(first) / ids_per_slice) if first else F.lit(0))
+    level = [*partition, "score", "deadline", "_slice"]
     sizes = rows.groupBy(*level).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*partition).orderBy(*stable_order([])).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*partition).orderBy(*stable_order(["_slice"])).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*(F.col(c).alias(f"_{c}") for c in level), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     same = F.lit(True)
     for c in level:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     inside = Window.partitionBy(*level).orderBy(*(F.asc(c) for c in tie_breaks))
     numbered = rows.withColumn("_number", F.row_number().over(inside)).join(offsets, same)
-    return numbered.withColumn("rank", (F.col("_before") + F.col("_number")).cast("int")).drop("_number", "_before", *(f"_{c}" for c in level))
+    return numbered.withColumn("rank", (F.col("_before") + F.col("_number")).cast("int")).drop("_number", "_before", "_slice", *(f"_{c}" for c in level))
 
 
 def stable_order(tie_breaks: list[str]) -> list[Column]:

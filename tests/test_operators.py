@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,7 +102,6 @@ def test_rescore_drops_what_comes_out_empty(spark, folder):
 
 
 def test_vectors_by_brute_force(spark, monkeypatch):
-    import numpy as np
 
     from noticeforge.operators import evaluation
 
@@ -137,6 +137,32 @@ def test_budget(spark):
     assert {r.call_id: r.status for r in merge.admit_calls(calls, 8).collect()} == {1: "admitted", 2: "admitted", 3: "pending", 4: "admitted"}
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_budget_over_minutes_equals_a_loop(spark, kind):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), NOW + timedelta(days=int(rng.integers(0, 3)), seconds=int(rng.integers(0, 900))) if k % 40 else None, int(c)) for k, c in zip(rng.permutation(400), rng.integers(0, 9, 400))]
+    calls = spark.createDataFrame(rows, f"call_id long, called_at {kind}, cost long").withColumn("day", F.to_date("called_at"))
+    spent, want = {}, {}
+    for r in sorted(calls.collect(), key=lambda r: (r.called_at is not None, r.called_at or NOW, r.call_id)):
+        want[r.call_id] = (spent.get(r.day, 0), "admitted" if spent.get(r.day, 0) < 300 else "pending")
+        spent[r.day] = spent.get(r.day, 0) + r.cost
+    got = merge.admit_calls(calls, 300)
+    assert got.columns == [*calls.columns, "spent_before", "status"] and {r.call_id: (r.spent_before, r.status) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("tie", ["long", "string"])
+def test_ranks_over_slices_equal_one_sort(spark, tie):
+    rng = np.random.default_rng(5)
+    rows = [(int(p), float(s), None if d == 2 else NOW + timedelta(days=int(d)), None if t < -95 else t, k) for k, (p, s, d, t) in enumerate(zip(rng.integers(0, 2, 500), rng.integers(0, 2, 500), rng.integers(0, 3, 500), map(int, rng.integers(-100, 100, 500))))]
+    df = spark.createDataFrame(rows, "pref_id int, score double, deadline timestamp, tie long, k int").withColumn("tie", F.col("tie").cast(tie))
+    got = reporting.ranked(df, ["pref_id"], ["tie", "k"], ids_per_slice=7)
+    assert got.columns == [*df.columns, "rank"]
+    key = lambda r: (-r.score, r.deadline is None, r.deadline or NOW, r.tie is not None, r.tie or type(r.tie or 0)(), r.k)
+    for p in (0, 1):
+        part = [r for r in got.collect() if r.pref_id == p]
+        assert [r["rank"] for r in sorted(part, key=key)] == list(range(1, len(part) + 1))
+
+
 def test_strict_extraction(spark):
     bodies = ['{"k": 1}', '{"k": 1', '{"k": "x"}', '{"j": 1}', '{"k": 1, "z": 2}', '{"k": null}', None]
     got = validate.parse_extraction(spark.createDataFrame(list(enumerate(bodies)), "id int, body string"), "body", "k int", ["k"])
