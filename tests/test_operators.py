@@ -102,7 +102,6 @@ def test_rescore_drops_what_comes_out_empty(spark, folder):
 
 
 def test_vectors_by_brute_force(spark, monkeypatch):
-
     from noticeforge.operators import evaluation
 
     monkeypatch.setattr(evaluation, "CHUNK", 7)
