@@ -2,8 +2,8 @@
 
 Every document is encoded and cut at multiples of the sequence length; full pieces are sequences of their own. The
 rests, shorter than a sequence, wait in the task that has read them, which fills one sequence after another: the
-longest piece left opens it, and a bitset subset-sum over the lengths left (as a multiset of (length, count), counts
-in binary parts) finds the total closest to the room that remains; walking the bitsets back gives how many pieces of
+longest piece left opens it, and a bitset subset-sum over all lengths left (as a multiset of (length, count), counts
+in binary parts, longest first until the room is filled) finds the total closest to the room that remains; walking the bitsets back gives how many pieces of
 each length make it. A task chooses from at most BLOCK pieces at once and keeps no more; what a block leaves
 under-filled goes on to the next. So packing is one narrow pass without a shuffle, and only the last sequences of
 a task can have much padding.
@@ -26,8 +26,8 @@ from noticeforge.llm.tokens import ENCODE_BYTES, encoder
 from noticeforge.llm.words import slices
 
 CAPACITY, END_ID = 4096, 2
-#: Pieces that a task chooses from and keeps at once; lengths that one subset-sum looks at.
-BLOCK, LENGTHS = 4096, 96
+#: Pieces that a task chooses from and keeps at once.
+BLOCK = 4096
 NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 PACKED = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -70,12 +70,9 @@ class Pool:
         longest = self.lengths[-1]
         out = [self._pop(longest)]
         room = self.capacity - longest
-        k = bisect_right(self.lengths, room)
-        # an even choice over all sizes that fit
-        names = self.lengths[:k] if k <= LENGTHS else [self.lengths[round(i * (k - 1) / (LENGTHS - 1))] for i in range(LENGTHS)]
-        if names:
-            for n, c in sorted(best_fill({n: len(self.rows[n]) for n in names}, room).items(), reverse=True):
-                out += [self._pop(n) for _ in range(c)]
+        fits = {n: len(self.rows[n]) for n in self.lengths[: bisect_right(self.lengths, room)]}
+        for n, c in sorted(best_fill(fits, room).items(), reverse=True):
+            out += [self._pop(n) for _ in range(c)]
         return out
 
     def _pop(self, length: int) -> tuple:

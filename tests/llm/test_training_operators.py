@@ -544,6 +544,26 @@ def test_packing(spark, texts):
     assert padding < 0.03 * sum(map(len, encoded.values()))
 
 
+def test_fill_is_the_closest_of_all_lengths():
+    rng = np.random.default_rng(5)
+    for lengths, room in ((rng.integers(1, 60, 7), 90), (rng.integers(20, 90, 9), 150), (np.arange(200, 500), 199), (np.arange(301, 600, 2), 601)):
+        lengths = lengths.tolist()
+        counts = collections.Counter(lengths)
+        chosen = packing.best_fill(counts, room)
+        reachable = {0}
+        for n in lengths:
+            reachable |= {a + n for a in reachable if a + n <= room}
+        assert all(c <= counts[n] for n, c in chosen.items()) and sum(n * c for n, c in chosen.items()) == max(reachable)
+
+
+def test_pool_looks_at_every_length():
+    pool = packing.Pool(4096)
+    for n in [*range(1500, 1800), 3000, 1095]:  # 3000 wants 1096: 1095 comes closest, alone among 301 lengths
+        pool.add((n, 0, n))
+    assert [row[2] for row in pool.take()] == [3000, 1095]
+    assert pool.size == 300 and all(1500 <= n < 1800 for n in pool.lengths)
+
+
 def split_sentences(text):
     """Sentences as tuples of words: after a mark between words, and in sentences of over LONG words after each word whose hash says so."""
     import pyarrow as pa
