@@ -125,14 +125,29 @@ def total_score(passed: Column, parts: list[Column]) -> Column:
     return F.when(passed, F.round(sum(parts[1:], parts[0]), 4)).otherwise(0.0)
 
 
-def score_positions(positions: DataFrame, prefs: DataFrame, as_of: Column, version: str = "1", weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """All pairs with reasons, passed, part_<rule>, score, components, matched_rules, score_version and generated_at (= as_of)."""
+def _checked(weights: dict[str, float]) -> dict[str, float]:
     if abs(sum(weights.values()) - 100) > 1e-9:
         raise ValueError("weights must sum to 100")
-    parts = part_scores(as_of, weights)
-    scored = hard_filter(with_prefs(positions, prefs), as_of).withColumns(parts)
+    return weights
+
+
+def _with_totals(scored: DataFrame, as_of: Column) -> DataFrame:
+    """scored, which has reasons, passed and the part columns, with score, components, matched_rules and generated_at."""
     matched = F.filter(F.array(*(F.when(F.col(f"part_{rule}") > 0, F.lit(rule)) for rule in WEIGHTS)), lambda r: r.isNotNull())
-    return scored.withColumns({"score": total_score(F.col("passed"), [F.col(c) for c in parts]), "components": components(), "matched_rules": matched, "score_version": F.lit(version), "generated_at": as_of})
+    return scored.withColumns({"score": total_score(F.col("passed"), [F.col(f"part_{rule}") for rule in WEIGHTS]), "components": components(), "matched_rules": matched, "generated_at": as_of})
+
+
+def score_positions(positions: DataFrame, prefs: DataFrame, as_of: Column, version: str = "1", weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """All pairs with reasons, passed, part_<rule>, score, components, matched_rules, score_version and generated_at (= as_of)."""
+    scored = hard_filter(with_prefs(positions, prefs), as_of).withColumns(part_scores(as_of, _checked(weights)))
+    return _with_totals(scored.withColumn("score_version", F.lit(version)), as_of)
+
+
+def score_versions(positions: DataFrame, prefs: DataFrame, as_of: Column, versions: dict[str, dict[str, float]]) -> DataFrame:
+    """The rows of score_positions() for several versions of the weights, from one reading and pairing of the positions."""
+    of = lambda version, weights: F.struct(F.lit(version).alias("score_version"), *(x.alias(c) for c, x in part_scores(as_of, _checked(weights)).items()))
+    pairs = hard_filter(with_prefs(positions, prefs), as_of).withColumn("_of", F.explode(F.array(*(of(*item) for item in versions.items()))))
+    return _with_totals(pairs.select("*", "_of.*").drop("_of"), as_of)
 
 
 def match_results(scored: DataFrame) -> DataFrame:

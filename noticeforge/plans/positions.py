@@ -51,9 +51,8 @@ def explain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = scoring.WEIGHTS | {"keyword": 15.0, "major": 30.0}
-    rows = B.visible(spark, sf_dir)
-    one, two = (scoring.match_results(scoring.score_positions(rows, B.prefs(spark), _as_of(), version, weights)) for version, weights in (("1", scoring.WEIGHTS), ("2", other)))
-    return evaluation.compare_versions(one.unionByName(two), "1", "2")
+    rows = scoring.score_versions(B.visible(spark, sf_dir), B.prefs(spark), _as_of(), {"1": scoring.WEIGHTS, "2": other})
+    return evaluation.compare_versions(scoring.match_results(rows), "1", "2")
 
 
 def rescore_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:

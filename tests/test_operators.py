@@ -53,6 +53,18 @@ def test_weights_must_sum_to_100(spark):
         score(spark, [position()], weights=scoring.WEIGHTS | {"region": 1.0})
 
 
+def test_versions_at_once_equal_versions_by_themselves(spark):
+    rows = [position("a"), position("b", 200, region="X"), position("c", education=9), position("d", None)]
+    df, prefs = spark.createDataFrame(rows, POSITION), spark.createDataFrame([FULL, NEUTRAL], SCHEMAS["user_preferences"])
+    other = scoring.WEIGHTS | {"keyword": 15.0, "major": 30.0}
+    both = scoring.score_versions(df, prefs, F.lit(NOW), {"1": scoring.WEIGHTS, "2": other})
+    alone = [score(spark, rows, (FULL, NEUTRAL), version=v, weights=w) for v, w in (("1", scoring.WEIGHTS), ("2", other))]
+    key = lambda d: sorted(map(repr, d.select(*alone[0].columns).collect()))
+    assert key(both) == key(alone[0].unionByName(alone[1])) and both.count() == 16
+    with pytest.raises(ValueError):
+        scoring.score_versions(df, prefs, F.lit(NOW), {"1": scoring.WEIGHTS | {"region": 1.0}})
+
+
 def test_rescore_replaces_only_its_partition(spark, folder):
     df = spark.createDataFrame([position("a"), position("b", 200)], POSITION)
     one, two = (spark.createDataFrame([p], SCHEMAS["user_preferences"]) for p in (FULL, NEUTRAL))
