@@ -506,9 +506,10 @@ def test_counterfactual_penalty_quiets_mentions(spark, monkeypatch):
         monkeypatch.setattr(toxicity, "COUNTERFACTUAL", weight)
         return {r.doc_id: r.score for r in toxicity.toxicity(probe, toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))).collect()}
 
-    plain, fair = scores(0.0), scores(20.0)
+    shipped = toxicity.COUNTERFACTUAL
+    plain, fair, strict = scores(0.0), scores(shipped), scores(20.0)
     gap = lambda s: np.log(s[1] / (1 - s[1])) - np.log(s[2] / (1 - s[2]))
-    assert gap(fair) < 0.5 * gap(plain) and fair[3] > 0.5
+    assert gap(fair) < 0.1 * gap(plain) and gap(strict) < 0.5 * gap(plain) and fair[3] > 0.5 and strict[3] > 0.5
     assert toxicity.swapped("Muslims and men") == "christians and woman" and toxicity.swapped("nobody") is None
 
 
