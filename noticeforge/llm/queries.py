@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import decontaminate, licenses, near_dup, packing, pii, quality, substring_dedup, token_counts, token_files, toxicity
+from noticeforge.llm import decontaminate, licenses, near_dup, packing, pii, quality, substring_dedup, token_counts, token_files, toxicity, variants
 from noticeforge.llm.frames import remainder_of_five, shared_folder
 from noticeforge.llm.sql import OP3, OP6, OP10
 
@@ -84,6 +84,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents")).drop("chars")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_pii": op2_pii,
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {"op3_decontamination": OP3, "op6_near_duplicates": OP6, "op10_quality": OP10}

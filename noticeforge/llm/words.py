@@ -39,6 +39,12 @@ NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, bool)
 for _low, _high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
     ALNUM[_low : _high + 1] = True
+#: Letters of ASCII; and these with everything outside ASCII.
+ASCII_LETTERS = np.zeros(256, bool)
+ASCII_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+LETTERS = ASCII_LETTERS | (np.arange(256) >= 0x80)
+#: Bytes with A-Z read as a-z.
+LOWER_BYTES = _lowered(np.arange(256, dtype=np.uint8))
 
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -103,7 +109,11 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
 
 def runs(s: Slice, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of a slice and, for each row, the number of its first word (len + 1 of them)."""
-    mask = inside[s.buf]
+    return marked_runs(s, inside[s.buf])
+
+
+def marked_runs(s: Slice, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """runs() of the bytes that the mask marks."""
     n = len(mask)
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     if n:
