@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import decontaminate, licenses, near_dup, packing, pii, quality, substring_dedup, token_counts, token_files, toxicity, variants
+from noticeforge.llm import decontaminate, divergence, graph_search, licenses, near_dup, packing, pii, quality, substring_dedup, token_counts, token_files, toxicity, variants
 from noticeforge.llm.frames import remainder_of_five, shared_folder
-from noticeforge.llm.sql import OP3, OP6, OP10
+from noticeforge.llm.sql import OP3, OP6, OP10, OP12
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents")).drop("chars")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=5, is_query=F.col("vec_id") % 50 == 0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -99,7 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_source_divergence": op12_source_divergence,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLE_SQL = {"op3_decontamination": OP3, "op6_near_duplicates": OP6, "op10_quality": OP10}
+ORACLE_SQL = {"op3_decontamination": OP3, "op6_near_duplicates": OP6, "op10_quality": OP10, "op12_source_divergence": OP12}

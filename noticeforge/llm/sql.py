@@ -72,3 +72,20 @@ root AS (SELECT node, min(seen) AS comp FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(comp, d.doc_id) AS component_id, coalesce(comp, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN root ON c.rep = root.node
 """
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWERED.format('text')}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, coalesce(t.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+s AS (SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * CAST(n + 5 AS HUGEINT)) // CAST(sum(n) OVER (PARTITION BY lang, source) + 5 * terms AS HUGEINT) AS p FROM c JOIN v USING (lang)),
+q AS (SELECT k.lang, term, 1 + (CAST(1000000000 AS HUGEINT) * CAST(k.n + 5 AS HUGEINT)) // CAST(total + 5 * terms AS HUGEINT) AS q FROM k JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT s.lang, s.source, 'term' AS part, s.term AS item, p - q AS value FROM s JOIN q ON q.lang = s.lang AND q.term = s.term WHERE s.n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 50
+"""
