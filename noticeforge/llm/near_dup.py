@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -143,17 +144,22 @@ def subset_keys(g: np.ndarray, at: np.ndarray, similarity: float) -> list[list[i
     return out
 
 
+def set_sums(g: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two sums of hashes of each set."""
+    return [np.diff(np.concatenate([[_U(0)], np.cumsum(mix(g ^ _U(salt)))])[at]).view(np.int64) for salt in (0xA5A5A5A5, 0x3C3C3C3C)]
+
+
 def sketches(docs: DataFrame, size: int, words: str, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """id, n (set size), k1 and k2 (a 128-bit hash of the set), registers and subset keys of every row."""
-    df = keyed_text(docs, id_col, text_col)
+    """id, t (a hash of the text), n (set size), node (a hash of the set), registers and subset keys of every row."""
+    df = keyed_text(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("t"))
 
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         g, at = shingle_sets(s, size, words)
-        sums = [np.diff(np.concatenate([[_U(0)], np.cumsum(mix(g ^ _U(salt)))])[at]).view(np.int64) for salt in (0xA5A5A5A5, 0x3C3C3C3C)]
-        regs = registers(g, at)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(subset_keys(g, at, similarity), pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "regs", "subsets"])
+        columns = [batch.column(0), batch.column(2), pa.array(np.diff(at)), *map(pa.array, set_sums(g, at)), pa.array([r.tobytes() for r in registers(g, at)], pa.binary()), pa.array(subset_keys(g, at, similarity), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "t", "n", "k1", "k2", "regs", "subsets"])
 
-    return map_slices(df, rows, f"id {dict(df.dtypes)['id']}, n long, k1 long, k2 long, regs binary, subsets array<long>")
+    made = map_slices(df, rows, f"id {dict(df.dtypes)['id']}, t long, n long, k1 long, k2 long, regs binary, subsets array<long>")
+    return made.select("id", "t", "n", F.xxhash64("k1", "k2", "n").alias("node"), "regs", "subsets")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -243,7 +249,8 @@ class _Work:
 
     def __init__(self, spark: SparkSession, similarity: float):
         self.spark, self.folder, self.count = spark, shared_folder(spark), 0
-        self.per_cent = round(100 * similarity)
+        #: The similarity as written, as a fraction.
+        self.part, self.whole = Fraction(str(similarity)).limit_denominator(10**6).as_integer_ratio()
         self.least = similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / BUCKETS)
         #: Sets of fewer shingles offer all their subsets and are verified whatever the estimate says.
         self.small = next(n for n in itertools.count(1) if sum(math.comb(n, k) for k in range(math.floor((1 - similarity) * n + 1e-9) + 1)) > SUBSETS)
@@ -269,7 +276,6 @@ class _Work:
     def estimated(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """The written table pairs (a, b) with an estimate, those that are small or may reach the threshold."""
         side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-        kind = dict(reps.dtypes)["node"]
 
         def rows(batches):
             for x in batches:
@@ -277,19 +283,44 @@ class _Work:
                     continue
                 n, m = np.asarray(x.column(2)), np.asarray(x.column(4))
                 e = estimate(_matrix(x.column(3)), _matrix(x.column(5)), n, m)
-                near = ((e >= self_least) | (np.minimum(n, m) < self_small)) & (np.minimum(n, m) * 100 >= self_cent * np.maximum(n, m))
+                near = ((e >= self_least) | (np.minimum(n, m) < self_small)) & (np.minimum(n, m) * whole >= part * np.maximum(n, m))
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(e)], ["a", "b", "e"]).filter(pa.array(near))
 
-        self_least, self_cent, self_small = self.least, self.per_cent, self.small
+        self_least, self_small, part, whole = self.least, self.small, self.part, self.whole
         joined = self.joined(pairs, side("a"), side("b")).select("a", "b", "n_a", "regs_a", "n_b", "regs_b")
-        return joined.mapInArrow(rows, f"a {kind}, b {kind}, e double")
+        return joined.mapInArrow(rows, "a long, b long, e double")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The written table's pairs (a, b) whose full sets reach the threshold."""
         side = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}"))
         both = F.size(F.array_intersect("items_a", "items_b"))
         sizes = F.size("items_a") + F.size("items_b")
-        return self.joined(pairs, side("a"), side("b")).where(100 * both >= self.per_cent * (sizes - both)).select("a", "b")
+        return self.joined(pairs, side("a"), side("b")).where(self.whole * both.cast("long") >= self.part * (sizes - both).cast("long")).select("a", "b")
+
+    def sets(self, docs: DataFrame, leaders: DataFrame, size: int, words: str, id_col: str, text_col: str) -> DataFrame:
+        """The written table node and items, the sets of the rows that the leaders (id, t) name, each node once."""
+
+        def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
+            g, at = shingle_sets(s, size, words)
+            items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(np.diff(at)), *map(pa.array, set_sums(g, at)), items], ["n", "k1", "k2", "items"])
+
+        texts = keyed_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text")).join(leaders, ["id", "t"], "left_semi").select("text")
+        found = self.written(map_slices(texts, rows, "n long, k1 long, k2 long, items array<long>").select(F.xxhash64("k1", "k2", "n").alias("node"), "items"))
+        if found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
+            return found
+        return self.written(found.groupBy("node").agg(F.first("items").alias("items")))  # rows that stand several times
+
+    def told(self, rows: DataFrame, firsts: DataFrame) -> DataFrame:
+        """The rows (id, t, n, node) with first_id and first_t of their node. Those of nodes that hold over one in HOT rows, at most HOT of them, and of none aren't shuffled."""
+        least = rows.count() / HOT
+        hot = [r[0] for r in firsts.where(F.col("copies") > max(least, HOT)).select("node").collect()]
+        is_hot, names = F.col("node").isin(hot), ["id", "t", "n", "first_id", "first_t"]
+        some, firsts = rows.where(F.col("n") > 0), firsts.drop("copies")
+        kind = firsts.schema["first_id"].dataType
+        out = rows.where(F.col("n") == 0).select("id", "t", "n", F.lit(None).cast(kind).alias("first_id"), F.lit(None).cast("long").alias("first_t"))
+        out = out.unionByName(some.where(~is_hot).join(firsts, "node", "left").select(*names))
+        return out.unionByName(some.where(is_hot).join(F.broadcast(firsts.where(is_hot)), "node", "left").select(*names)) if hot else out
 
     def links_in_blocks(self, open_: DataFrame, sets: DataFrame) -> DataFrame:
         """All links (a, b) between different components that share a bucket of open_.
@@ -303,8 +334,7 @@ class _Work:
         keep = ["key", "node", "comp", "size", "regs"]
         outer = open_.where(F.col("comp") != F.col("main")).withColumn("ob", number("out_blocks", 1)).withColumn("ab", every("all_blocks")).withColumn("side", F.lit(0))
         all_ = open_.withColumn("ab", number("all_blocks", 2)).withColumn("ob", every("out_blocks")).withColumn("side", F.lit(1))
-        kind = dict(open_.dtypes)["node"]
-        least, per_cent, small = self.least, self.per_cent, self.small
+        least, small, part, whole = self.least, self.small, self.part, self.whole
 
         def near(x: pa.Table) -> pa.Table | None:
             side = np.asarray(x.column("side"))
@@ -315,7 +345,7 @@ class _Work:
                 i = one[k : k + 32]
                 a, b = np.repeat(i, len(two)), np.tile(two, len(i))
                 e = estimate(regs[a], regs[b], n[a], n[b])
-                hit = ((e >= least) | (np.minimum(n[a], n[b]) < small)) & (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= per_cent * np.maximum(n[a], n[b]))
+                hit = ((e >= least) | (np.minimum(n[a], n[b]) < small)) & (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * whole >= part * np.maximum(n[a], n[b]))
                 used[a[hit]] = used[b[hit]] = True
             return x.filter(pa.array(used)).select(["key", "ob", "ab", "side", "node", "comp"]) if used.any() else None
 
@@ -326,15 +356,15 @@ class _Work:
             both = common(items, one, two)
             n = np.array([len(v) for v in items])
             union = n[one][:, None] + n[two][None, :] - both
-            i, j = np.nonzero((100 * both >= per_cent * union) & (comp[one][:, None] != comp[two][None, :]))
+            i, j = np.nonzero((whole * both >= part * union) & (comp[one][:, None] != comp[two][None, :]))
             return pa.table({"a": node.take(pa.array(one[i])), "b": node.take(pa.array(two[j]))}) if len(i) else None
 
         n = self.tasks
         place = ["key", "ob", "ab"]
         meet = outer.select(*place, "side", *keep[1:]).unionByName(all_.select(*place, "side", *keep[1:])).repartition(n, *place).sortWithinPartitions(*place)
-        may = self.written(meet.mapInArrow(_by_group(near, 3), f"key long, ob int, ab int, side int, node {kind}, comp {kind}"))
+        may = self.written(meet.mapInArrow(_by_group(near, 3), "key long, ob int, ab int, side int, node long, comp long"))
         full = may.join(sets, "node").select(*place, "side", "node", "comp", "items").repartition(n, *place).sortWithinPartitions(*place)
-        return full.mapInArrow(_by_group(linked, 3), f"a {kind}, b {kind}").distinct()
+        return full.mapInArrow(_by_group(linked, 3), "a long, b long").distinct()
 
     def components(self, edges: DataFrame) -> DataFrame:
         """node and comp, the smallest node that it reaches, for all nodes of the edges: every node moves to its smallest neighbour,
@@ -361,37 +391,23 @@ class _Work:
                 return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: str = "alnum", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest id that it reaches), kept (it is that one).
-
-    Words are runs of letters, digits and characters outside ASCII ("alnum") or of all but ASCII white space ("spaced"), with
-    A-Z lower-cased; a text of fewer words than a shingle is one shingle of all its words. Null texts and texts
-    without words have an empty set and stand alone. A null id gets a null component and is kept, as nothing can name it.
-    Rows with the same id are one node: their component is shared where their sets are equal or linked. An empty table
-    gives no rows; other columns are ignored. Links are documents whose sets have a Jaccard similarity of at least
-    `similarity`. Sets with up to SUBSETS subsets that reach the threshold (of up to 10 shingles at 0.8) lose no link; of the others a link at
-    the threshold is missed by the bands with a probability of at most MISSED, and by the estimate, at DEVIATIONS standard deviations, with one of about 1e-6.
-    """
+def _grouped(docs: DataFrame, similarity: float, size: int, words: str, id_col: str, text_col: str) -> DataFrame:
+    """id, t (a hash of the text), n, and of the first row (by id and t) of each one's component its id and t; these are null for empty sets and, where no row of a component has an id, for all of it."""
     work = _Work(docs.sparkSession, similarity)
     sigs = work.written(sketches(docs, size, words, id_col, text_col, similarity))
-    reps = work.written(sigs.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.max("regs").alias("regs"), F.first("subsets").alias("subsets")))
-    kind = dict(reps.dtypes)["node"]
+    # equal sets are one node, whatever their ids; a node is known by the hash of its set and led by its first row
+    first = F.min(F.struct("id", "t")).alias("first")
+    reps = work.written(sigs.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("regs").alias("regs"), F.first("subsets").alias("subsets")))
 
     # sets of up to 1 / (1 - similarity) - 1 shingles can only link with equal ones
     least = math.floor(1 / (1 - similarity) + 1e-9) - 1 if similarity < 1 else 0
     large = reps.where(F.col("n") >= least)
-    bands = large.select("node", "regs").mapInArrow(_bands(band_size(similarity)), f"key long, node {kind}").unionByName(large.select(F.explode("subsets").alias("key"), "node"))
+    bands = large.select("node", "regs").mapInArrow(_bands(band_size(similarity)), "key long, node long").unionByName(large.select(F.explode("subsets").alias("key"), "node"))
     shared = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where(F.col("pivot") != F.col("top")).select("key", "pivot")
     buckets = work.written(bands.join(shared, "key"))
 
-    def sets_of(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
-        g, at = shingle_sets(s, size, words)
-        items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), items], ["node", "items"])
-
     star = work.written(work.estimated(work.written(buckets.select(F.col("node").alias("a"), F.col("pivot").alias("b")).where(F.col("a") != F.col("b")).distinct()), reps))
-    nodes = buckets.select(F.col("node").alias("id")).distinct()
-    sets = work.written(map_slices(keyed_text(docs, id_col, text_col).join(nodes, "id", "left_semi"), sets_of, f"node {kind}, items array<long>"))
+    sets = work.sets(docs, reps.join(buckets.select("node").distinct(), "node", "left_semi").select("first.id", "first.t"), size, words, id_col, text_col)
 
     best = work.written(star.groupBy("a").agg(F.max_by("b", F.struct("e", -F.xxhash64("b"))).alias("b")))
     edges = work.written(work.verified(best, sets))
@@ -406,12 +422,43 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, wor
     open_ = work.written(held.join(largest, "key").join(reps.select("node", F.col("n").alias("size"), "regs"), "node"))
     labels = work.components(edges.unionByName(work.links_in_blocks(open_, sets)))
 
-    found = sigs.select("id", "n", "k1", "k2").join(reps.select("k1", "k2", "n", "node").where(F.col("n") > 0), ["k1", "k2", "n"], "left").join(labels, "node", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "node", "id"))
+    of_node = reps.select("node", "first", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of_comp = of_node.groupBy("comp").agg(F.min("first").alias("first"))
+    firsts = work.written(of_node.drop("first").join(of_comp, "comp").select("node", "copies", F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t")))
+    return work.told(sigs.select("id", "t", "n", "node"), firsts)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: str = "alnum", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (the smallest id that it reaches), kept (it is that one).
+
+    Words are runs of letters, digits and characters outside ASCII ("alnum") or of all but ASCII white space ("spaced"), with
+    A-Z lower-cased; a text of fewer words than a shingle is one shingle of all its words. Null texts and texts
+    without words have an empty set and stand alone. A null id gets a null component and is kept, as nothing can name it.
+    Rows with the same id are told apart by their texts: unlike ones are in components of their own. An empty table
+    gives no rows; other columns are ignored. Links are documents whose sets have a Jaccard similarity of at least
+    `similarity`. Sets with up to SUBSETS subsets that reach the threshold (of up to 10 shingles at 0.8) lose no link; of the others a link at
+    the threshold is missed by the bands with a probability of at most MISSED, and by the estimate, at DEVIATIONS standard deviations, with one of about 1e-6.
+    """
+    found = _grouped(docs, similarity, size, words, id_col, text_col)
+    component = F.when(F.col("id").isNotNull(), F.coalesce("first_id", "id"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates() keeps; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def one_of_each_group(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: str = "alnum", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, of each component: that with the smallest id, and of texts under that id the one with the smallest hash.
+
+    A row that stands several times stays once. Rows with a null id stay, as do texts without words, which are alike to nothing. Otherwise as near_duplicates().
+    """
+    found = _grouped(docs, similarity, size, words, id_col, text_col)
+    found = written(found.where(F.col("id").isNotNull() & (F.col("n") > 0)), shared_folder(docs.sparkSession), "told")
+    is_first = (F.col("id") == F.col("first_id")) & (F.col("t") == F.col("first_t"))
+    key = [x + "_" * max(map(len, docs.columns)) for x in ("id", "t")]  # longer than the names of docs
+    names = [F.col(c).alias(name) for c, name in zip(("id", "t"), key)]
+    gone = found.where(~is_first).select(*names).distinct()
+    again = found.where(is_first).groupBy("id", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*names)
+    same = (docs[id_col] == F.col(key[0])) & (F.xxhash64(docs[text_col].cast("string")) == F.col(key[1]))
+    left = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return left
+    once = left.join(again, same).dropDuplicates(key).select(*(docs[c] for c in docs.columns))
+    return left.join(again, same, "left_anti").unionByName(once)
