@@ -1,9 +1,9 @@
 """How far the sources of a language differ in their terms, from an index built in a single pass.
 
 Each task reads its documents once and keeps a block of postings - how often a source of a language has a term, and in how many documents -
-until BLOCK_POSTINGS of them fill it; the block is then spilled as a run sorted by language and term. Runs are dealt to shards by a hash of the
-term, as many shards as the runs need, and a task merges the sorted runs of a shard with a heap into one posting list a term. Terms that
-enough documents hold are kept as a table, from which everything else is counted.
+until BLOCK_POSTINGS of them fill it; the block is then spilled as a run sorted by language and term (terms go in the order of their hashes, which is
+the same everywhere and orders shards as well). The hashes are cut into as many shards as the runs need, and a task merges the sorted runs of a
+shard with a heap into one posting list a term. Terms that enough documents hold are kept as a table, from which everything else is counted.
 
 The distance of two sources is a sum over all kept terms, but a term that neither holds adds the same to it each time. So a narrow
 pass over the posting lists streams corrections only: for each source of a list, what its term adds beyond that. A task keeps
@@ -12,6 +12,7 @@ one matrix of the pairs of a block of sources, so no row is made for a pair and
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import math
@@ -29,10 +30,10 @@ from noticeforge.llm.words import LETTERS, LOWER_BYTES, LOWER_VALUES, Slice, mix
 
 #: Documents of a language that hold a kept term; what a share of a term is smoothed by; the whole of the shares; ranks of terms.
 MIN_DOCS, SMOOTHING, WHOLE, TERM_RANKS = 30, 5, 1_000_000_000, 50
-#: Postings that a task holds before it spills a run, and bytes of the terms with them.
-BLOCK_POSTINGS, BLOCK_TERM_BYTES = 1 << 18, 16 << 20
-#: Rows of runs that a shard has, about.
-SHARD_ROWS = 1 << 18
+#: Postings that fill a task's block, which is then spilled as a run; and bytes of the terms with them.
+BLOCK_POSTINGS, BLOCK_TERM_BYTES = 1 << 20, 16 << 20
+#: Terms of a piece of a run, which is a row; terms that a heap lets through at once; terms of all runs of a shard, about.
+PIECE, CHUNK, SHARD_TERMS = 4096, 4096, 1 << 18
 #: Sources that a pass pairs with as many others; more sources go in blocks, each pair of blocks a pass.
 SOURCES = 512
 #: Bytes of the matrices of pairs that a task holds.
@@ -40,17 +41,19 @@ PAIR_BYTES = 32 << 20
 #: Documents of a source are counted under this term, which no text has.
 NO_TERM = ""
 POSTINGS = "array<struct<source:string,n:long>>"
+#: A piece: terms parted by spaces, of each its documents and its number of postings, and the postings of all: sources (by their place in `sources`) and occurrences.
+PIECES = "lang string, terms string, n_docs array<long>, sizes array<int>, sources array<string>, codes array<int>, counts array<long>"
 
 
 class Block:
-    """Postings of the documents read so far: term hash, group, occurrences, documents."""
+    """Postings of the documents read so far: term hash, group, occurrences, documents; and the terms' letters."""
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
         self.groups: dict[tuple[str, str], int] = {}
-        self.terms: dict[int, str] = {}
+        self.terms: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = self.bytes = 0
 
@@ -64,20 +67,16 @@ class Block:
         h, row = h[order], row[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
-        for k in np.flatnonzero(new).tolist():
-            key = int(h[k])
-            if key not in self.terms:
-                at = order[k]
-                self.terms[key] = LOWER_BYTES[s.buf[starts[at] : ends[at]]].tobytes().decode()
-                self.bytes += len(self.terms[key])
+        at = np.flatnonzero(new)
+        self.terms.append((h[at], *spans_of(LOWER_BYTES[s.buf], starts[order[at]], (ends - starts)[order[at]])))
+        self.bytes += len(self.terms[-1][1])
         new[1:] |= row[1:] != row[:-1]
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(h)))
-        g, docs = np.unique(group, return_counts=True)
+        g, docs = np.unique(group, return_counts=True)  # all documents of a source stand under the hash 0
         self._keep(np.concatenate([h[at], np.zeros(len(g), np.uint64)]), np.concatenate([group[row[at]], g]), np.concatenate([n, np.zeros(len(g), np.int64)]), np.concatenate([np.ones(len(at), np.int64), docs]))
-        if self.size >= BLOCK_POSTINGS:  # what several slices hold becomes one posting
-            parts, self.parts, self.size = self.parts, [], 0
-            self._keep(*(np.concatenate(x) for x in zip(*parts)))
+        if self.size >= BLOCK_POSTINGS or self.bytes >= BLOCK_TERM_BYTES:  # what several slices hold becomes one
+            self._settle()
 
     def _keep(self, h: np.ndarray, g: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
         order = np.lexsort((g, h))
@@ -85,52 +84,85 @@ class Block:
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         at = np.flatnonzero(new)
-        if len(at):
-            self.parts.append((h[at], g[at], np.add.reduceat(n, at), np.add.reduceat(docs, at)))
-            self.size += len(at)
-
-    @property
-    def full(self) -> bool:
-        return self.size >= BLOCK_POSTINGS // 2 or self.bytes >= BLOCK_TERM_BYTES
+        self.parts.append((h[at], g[at], np.add.reduceat(n, at), np.add.reduceat(docs, at)))
+        self.size += len(at)
 
-    def run(self) -> pa.RecordBatch:
-        """The postings as a run, a row for each language and term in their order; the block is empty afterwards."""
+    def _settle(self) -> None:
         parts, self.parts, self.size = self.parts, [], 0
         self._keep(*(np.concatenate(x) for x in zip(*parts)))
-        ((h, g, n, docs),) = self.parts
-        keys = list(self.groups)
-        lang = np.array([{x: k for k, x in enumerate(sorted({x for x, _ in keys}))}[x] for x, _ in keys])[g]
-        langs, sources = sorted({x for x, _ in keys}), [x for _, x in keys]
-        order = np.lexsort((g, h, lang))
-        lang, h, g, n, docs = lang[order], h[order], g[order], n[order], docs[order]
+        hashes, bufs, sizes = (np.concatenate(x) for x in zip(*self.terms))
+        hashes, at = np.unique(hashes, return_index=True)
+        self.terms = [(hashes, *spans_of(bufs, (np.cumsum(sizes) - sizes)[at], sizes[at]))]
+        self.bytes = len(self.terms[0][1])
+
+    @property
+    def full(self) -> bool:
+        return self.size >= BLOCK_POSTINGS // 2 or self.bytes >= BLOCK_TERM_BYTES // 2
+
+    def run(self) -> list[dict]:
+        """The postings as a run, for each language its terms in the order of their keys, in pieces of PIECE of them; the block is empty afterwards."""
+        self._settle()
+        ((h, g, n, docs),), ((names, letters, sizes),) = self.parts, self.terms
+        langs, sources = sorted({x for x, _ in self.groups}), sorted({x for _, x in self.groups})
+        to_lang, to_source = ({x: k for k, x in enumerate(own)} for own in (langs, sources))
+        lang, source = (np.array([to[x[k]] for x in self.groups])[g] for k, to in enumerate((to_lang, to_source)))
+        key = mix(h ^ np.array([lang_salt(x) for x in langs], np.uint64)[lang])
+        order = np.lexsort((source, key, lang))
+        lang, key, h, source, n, docs = (x[order] for x in (lang, key, h, source, n, docs))
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (lang[1:] != lang[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (lang[1:] != lang[:-1])
         at = np.flatnonzero(new)
-        terms = [self.terms[x] if x else NO_TERM for x in h[at].tolist()]
-        place = sorted(range(len(at)), key=lambda k: (lang[at[k]], terms[k]))
-        ends = np.append(at[1:], len(h))
-        sizes = (ends - at)[place]
-        flat = np.repeat(at[place] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(h))
-        names = pa.DictionaryArray.from_arrays(pa.array(g[flat], pa.int32()), pa.array(sources, pa.string())).cast(pa.string())
-        postings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays([names, pa.array(n[flat])], ["source", "n"]))
-        deal = mix(h[at] ^ _lang_salt(langs)[lang[at]])[place].view(np.int64)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(deal), pa.array([langs[lang[at[k]]] for k in place], pa.string()), pa.array([terms[k] for k in place], pa.string()), pa.array(np.add.reduceat(docs, at)[place]), postings],
-            ["deal", "lang", "term", "n_docs", "postings"],
-        )
+        n_docs, per_term = np.add.reduceat(docs, at), np.diff(np.append(at, len(h)))
+        real = h[at] != 0
+        place = np.where(real, np.minimum(np.searchsorted(names, h[at]), max(len(names) - 1, 0)), 0)
+        begin = np.cumsum(sizes) - sizes
+        out = []
+        bounds = np.searchsorted(lang[at], np.arange(len(langs) + 1))
+        for k, name in enumerate(langs):
+            for a in range(bounds[k], bounds[k + 1], PIECE):
+                i = slice(a, min(a + PIECE, bounds[k + 1]))
+                own = slice(at[i.start], at[i.stop] if i.stop < len(at) else len(h))
+                size = np.where(real[i], sizes[place[i]], 0) if len(sizes) else np.zeros(i.stop - i.start, np.int64)
+                flat, _ = spans_of(letters, begin[place[i]] if len(sizes) else size, size, gap=True)
+                codes, used = np.unique(source[own], return_inverse=True)
+                out.append({"lang": name, "terms": flat.tobytes().decode(), "n_docs": n_docs[i], "sizes": per_term[i], "sources": [sources[c] for c in codes], "codes": used, "counts": n[own]})
         self.clear()
         return out
 
 
-def _lang_salt(langs: list[str]) -> np.ndarray:
-    """A hash of each language, so that equal terms of different languages are dealt by themselves."""
-    raw = [x.encode() for x in langs]
-    ends = np.cumsum([len(x) for x in raw])
-    return span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends)
+def spans_of(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gap: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after another, with a space after each but the last if `gap`, and their sizes."""
+    wide = sizes + gap
+    to = np.cumsum(wide) - wide
+    out = np.full(int(wide.sum()), 32, np.uint8)
+    inside = np.repeat(to - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    out[inside] = buf[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+    return (out[:-1] if gap else out), sizes
+
+
+def lang_salt(lang: str) -> int:
+    """A hash of a language, so that equal terms of different languages have keys of their own."""
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
+
+
+def keys_of(lang: str, terms: str) -> np.ndarray:
+    """The keys of terms that spaces part; NO_TERM has one too."""
+    buf = np.frombuffer(f"{terms} ".encode(), np.uint8)
+    ends = np.flatnonzero(buf == 32)
+    starts = np.append(0, ends[:-1] + 1)
+    h = np.where(ends > starts, span_hashes(buf, starts, ends, LOWER_VALUES), np.uint64(0))
+    return mix(h ^ np.uint64(lang_salt(lang)))
+
+
+def _pieces(rows: list[dict], more: dict[str, list]) -> pa.RecordBatch:
+    names = ["lang", "terms", "n_docs", "sizes", "sources", "codes", "counts"]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    extra = [pa.array(v, pa.int64()) for v in more.values()]
+    return pa.RecordBatch.from_arrays([*extra, *(pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds))], [*more, *names])
 
 
 def spilled_runs(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
-    """deal, run, place, lang, term, n_docs and postings: rows of term-sorted runs, each numbered in its run."""
+    """run, place and the columns of PIECES: pieces of sorted runs, numbered in their run."""
     named = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
     df = docs.select(named(lang).alias("lang"), named(source).alias("source"), named(text).alias("text"))
 
@@ -140,64 +172,133 @@ def spilled_runs(docs: DataFrame, lang: str, source: str, text: str) -> DataFram
         stores.free()
         number, block = itertools.count(TaskContext.get().partitionId() << 32), Block()
 
-        def spilled() -> pa.RecordBatch:
-            x = block.run()
-            return pa.RecordBatch.from_arrays([x.column(0), pa.array(np.full(x.num_rows, next(number))), pa.array(np.arange(x.num_rows)), *x.columns[1:]], ["deal", "run", "place", *x.schema.names[1:]])
+        def spilled() -> Iterator[pa.RecordBatch]:
+            run, made = next(number), block.run()
+            for k in range(0, len(made), 64):
+                part = made[k : k + 64]
+                yield _pieces(part, {"run": [run] * len(part), "place": list(range(k, k + len(part)))})
 
         for batch in batches:
             groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for s in slices(batch.column(2)):
                 block.add(s, groups[s.first : s.first + len(s)])
                 if block.full:
-                    yield spilled()
+                    yield from spilled()
         if block.parts:
-            yield spilled()
-
-    return df.mapInArrow(step, f"deal long, run long, place long, lang string, term string, n_docs long, postings {POSTINGS}")
-
-
-def merged_runs(table: pa.Table) -> pa.Table:
-    """One posting list a language and term from the sorted runs of a shard, merged by a heap."""
-    order = np.lexsort((table.column("place").to_numpy(), table.column("run").to_numpy()))
-    table = table.take(pa.array(order)).combine_chunks()
-    run = table.column("run").to_numpy()
-    cuts = np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(run)) if len(run) else np.zeros(1, int)
-    langs, terms = table.column("lang").to_pylist(), table.column("term").to_pylist()
-    stream = heapq.merge(*(zip(langs[a:b], terms[a:b], range(a, b)) for a, b in zip(cuts[:-1], cuts[1:])))
-    merged = np.zeros(len(run), np.int64)  # row in merged order
-    group, heads = np.zeros(len(run), np.int64), []
-    last = None
-    for k, (lang, term, row) in enumerate(stream):
-        if (lang, term) != last:
-            last = (lang, term)
-            heads.append(k)
-        merged[k], group[k] = row, len(heads) - 1
-    rows = table.take(pa.array(merged)).combine_chunks()
-    docs = rows.column("n_docs").to_numpy()
-    lists = rows.column("postings").combine_chunks()
-    of = np.repeat(group, np.diff(lists.offsets.to_numpy()))
-    source = lists.flatten().field("source").dictionary_encode()
-    names = np.array(source.dictionary.to_pylist(), object)
-    rank = np.empty(len(names), np.int64)
-    rank[np.array(sorted(range(len(names)), key=lambda k: names[k]), np.int64)] = np.arange(len(names))
-    code = rank[source.indices.to_numpy()] if len(of) else np.zeros(0, np.int64)
-    n = lists.flatten().field("n").to_numpy()
-    order = np.lexsort((code, of))
-    of, code, n = of[order], code[order], n[order]
-    at = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (code[1:] != code[:-1]))) if len(of) else np.zeros(0, int)
-    sums, owner = (np.add.reduceat(n, at) if len(at) else n), of[at]
-    postings = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(heads) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(np.sort(names)[code[at]].tolist(), pa.string()), pa.array(sums)], ["source", "n"]))
-    first = pa.array(np.array(heads, np.int64))
-    return pa.table({"lang": rows.column("lang").take(first), "term": rows.column("term").take(first), "n_docs": pa.array(np.add.reduceat(docs, heads) if heads else docs), "postings": postings})
-
-
-def frequencies(docs: DataFrame, folder: str, lang: str = "lang", source: str = "source", text: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The written table lang, term, n_docs and postings {source, n}, one row a term, and one of NO_TERM a language with all its sources."""
+            yield from spilled()
+
+    return df.mapInArrow(step, f"run long, place long, {PIECES}")
+
+
+def _dealt(bits: int):
+    """A step that cuts pieces where their keys pass from one of 2**bits shards to the next."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                rows, more = [], {"shard": [], "run": [], "place": []}
+                for r in batch.slice(at, 16).to_pylist():
+                    shard = (keys_of(r["lang"], r["terms"]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(r["sizes"]), np.int64)
+                    cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)).tolist()
+                    ends, terms = np.append(0, np.cumsum(r["sizes"])).tolist(), r["terms"].split(" ") if len(cuts) > 2 else None
+                    for a, b in zip(cuts[:-1], cuts[1:]):
+                        own = slice(ends[a], ends[b])
+                        rows.append({**r, "terms": " ".join(terms[a:b]) if terms else r["terms"], "n_docs": r["n_docs"][a:b], "sizes": r["sizes"][a:b], "codes": r["codes"][own], "counts": r["counts"][own]})
+                        for c, v in (("shard", int(shard[a])), ("run", r["run"]), ("place", r["place"])):
+                            more[c].append(v)
+                yield _pieces(rows, more)
+
+    return step
+
+
+class _Run:
+    """One sorted run of a language in a shard: keys, terms, and postings by the codes of the shard's sources."""
+
+    def __init__(self, lang: str, pieces: list[dict], code: dict[str, int]):
+        self.key = np.concatenate([keys_of(lang, p["terms"]) for p in pieces])
+        self.terms = [t for p in pieces for t in p["terms"].split(" ")]
+        self.n_docs = np.concatenate([np.array(p["n_docs"], np.int64) for p in pieces])
+        self.ends = np.append(0, np.cumsum(np.concatenate([np.array(p["sizes"], np.int64) for p in pieces])))
+        self.source = np.concatenate([np.array([code[x] for x in p["sources"]], np.int64)[np.array(p["codes"], np.int64)] for p in pieces])
+        self.counts = np.concatenate([np.array(p["counts"], np.int64) for p in pieces])
+        self.at = 0
+
+    def bound(self) -> int:
+        """The key up to which the next CHUNK terms go."""
+        return int(self.key[min(self.at + CHUNK, len(self.key)) - 1])
+
+    def upto(self, key: int) -> tuple[int, int]:
+        a, self.at = self.at, int(np.searchsorted(self.key, np.uint64(key), side="right"))
+        return a, self.at
+
+
+def merged_terms(own: list[_Run], min_docs: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+    """term, documents, codes of sources and occurrences of the terms that min_docs documents hold (and of NO_TERM), from the sorted runs of a language.
+
+    A heap holds for each run the key that its next terms end with. The least of these bounds what can be merged: all runs give their
+    terms up to it, and nothing later can belong to them.
+    """
+    heap = [(x.bound(), k) for k, x in enumerate(own)]
+    heapq.heapify(heap)
+    while heap:
+        bound = heap[0][0]
+        spans = [(x, *x.upto(bound)) for x in own]
+        while heap and heap[0][0] <= bound:
+            _, k = heapq.heappop(heap)
+            if own[k].at < len(own[k].key):
+                heapq.heappush(heap, (own[k].bound(), k))
+        spans = [(x, a, b) for x, a, b in spans if b > a]
+        key = np.concatenate([x.key[a:b] for x, a, b in spans])
+        docs = np.concatenate([x.n_docs[a:b] for x, a, b in spans])
+        names = list(itertools.chain.from_iterable(x.terms[a:b] for x, a, b in spans))
+        unique, first, group = np.unique(key, return_index=True, return_inverse=True)
+        n_docs = np.bincount(group, docs, len(unique)).astype(np.int64)
+        kept = np.flatnonzero((n_docs >= min_docs) | np.array([names[i] == NO_TERM for i in first.tolist()], bool))
+        if not len(kept):
+            continue
+        part = [(x.source[x.ends[a] : x.ends[b]], x.counts[x.ends[a] : x.ends[b]], np.diff(x.ends[a : b + 1])) for x, a, b in spans]
+        source, n = np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
+        of = np.repeat(group, np.concatenate([x[2] for x in part]))
+        some = np.isin(of, kept)
+        source, n, of = source[some], n[some], of[some]
+        order = np.lexsort((source, of))
+        source, n, of = source[order], n[order], of[order]
+        at = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (source[1:] != source[:-1])))
+        n, source, of = np.add.reduceat(n, at), source[at], of[at]
+        for k in kept.tolist():
+            a, b = np.searchsorted(of, [k, k + 1])
+            yield names[first[k]], int(n_docs[k]), source[a:b], n[a:b]
+
+
+def merged_runs(table: pa.Table, min_docs: int) -> pa.Table:
+    """lang, term, n_docs and postings of the kept terms of a shard."""
+    by_run: dict[tuple[str, int], list[tuple[int, dict]]] = defaultdict(list)
+    for r in table.to_pylist():
+        by_run[r["lang"], r["run"]].append((r["place"], r))
+    sources = sorted({x for pieces in by_run.values() for _, r in pieces for x in r["sources"]})
+    code = {x: k for k, x in enumerate(sources)}
+    by_lang: dict[str, list[_Run]] = defaultdict(list)
+    for (lang, _), pieces in sorted(by_run.items()):
+        by_lang[lang].append(_Run(lang, [r for _, r in sorted(pieces, key=lambda x: x[0])], code))
+    langs, terms, docs, lists, flat, counts = [], [], [], [0], [], []
+    for lang, own in by_lang.items():
+        for term, n_docs, source, n in merged_terms(own, min_docs):
+            langs.append(lang), terms.append(term), docs.append(n_docs), lists.append(lists[-1] + len(n))
+            flat.append(source), counts.append(n)
+    joined = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+    names = pa.DictionaryArray.from_arrays(pa.array(joined(flat), pa.int32()), pa.array(sources, pa.string())).cast(pa.string())
+    postings = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays([names, pa.array(joined(counts))], ["source", "n"]))
+    return pa.table({"lang": pa.array(langs, pa.string()), "term": pa.array(terms, pa.string()), "n_docs": pa.array(docs, pa.int64()), "postings": postings})
+
+
+def frequencies(docs: DataFrame, folder: str, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS, shard_terms: int = SHARD_TERMS) -> DataFrame:
+    """The written table lang, term, n_docs and postings {source, n} of the terms that min_docs documents of a language hold, and one row of NO_TERM a language with all its sources."""
     spilled = written(spilled_runs(docs, lang, source, text), folder, "runs")
-    spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(spilled.count() / shard_rows))
-    dealt = spilled.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int")).drop("deal").repartition(shards, "shard")
-    return written(dealt.groupBy("shard").applyInArrow(merged_runs, f"lang string, term string, n_docs long, postings {POSTINGS}"), folder, "frequencies")
+    total = spilled.agg(F.sum(F.size("n_docs"))).first()[0] or 0
+    least = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // shard_terms)
+    bits = max(1, (least - 1).bit_length())
+    dealt = spilled.mapInArrow(_dealt(bits), f"shard long, run long, place long, {PIECES}").repartition(1 << bits, "shard")
+    return written(dealt.groupBy("shard").applyInArrow(lambda table: merged_runs(table, min_docs), f"lang string, term string, n_docs long, postings {POSTINGS}"), folder, "frequencies")
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -302,7 +403,7 @@ def _paired(shared):
     return step
 
 
-def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS, ranks: int = TERM_RANKS, block: int = SOURCES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS, ranks: int = TERM_RANKS, block: int = SOURCES, shard_terms: int = SHARD_TERMS) -> DataFrame:
     """lang, source, part, item, value and rank: how far each source of a language is from its others (part pair) and which terms set it apart from the language (part term).
 
     Null texts, languages and sources read as ''. Terms are runs of letters of ASCII and of characters outside it, with A-Z
@@ -314,8 +415,8 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
     columns are ignored.
     """
     folder = shared_folder(docs.sparkSession)
-    index = frequencies(docs, folder, lang, source, text, shard_rows)
-    kept = index.where((F.col("term") != NO_TERM) & (F.col("n_docs") >= min_docs))
+    index = frequencies(docs, folder, lang, source, text, min_docs, shard_terms)
+    kept = index.where(F.col("term") != NO_TERM)
     flat = kept.select("lang", "term", F.explode("postings").alias("x")).select("lang", "term", "x.source", "x.n")
     per_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum(F.aggregate("postings", F.lit(0).cast("long"), lambda t, x: t + x["n"])).alias("lang_total"))
     per_source = flat.groupBy("lang", "source").agg(F.sum("n").alias("total"))

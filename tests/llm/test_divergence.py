@@ -68,28 +68,38 @@ def test_small_bounds_change_nothing(spark, monkeypatch, limit):
     """Many runs a task, sources in blocks that take a pass a pair, and many shards."""
     rows = invented(7, 300)
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
-    options = {"blocks": {"block": 4}, "shards": {"shard_rows": 20}}.get(limit, {})
+    options = {"blocks": {"block": 4}, "shards": {"shard_terms": 20}}.get(limit, {})
     assert found(df, **options) == expected(rows)
     block = divergence.Block()
     monkeypatch.setattr(divergence, "BLOCK_POSTINGS", 50)
-    tables = []
+    monkeypatch.setattr(divergence, "PIECE", 7)
+    monkeypatch.setattr(divergence, "CHUNK", 3)
+    made = []
     for k in range(0, len(rows), 10):
         part = rows[k : k + 10]
         (s,) = divergence.slices(pa.array([r[0] for r in part]))
         block.add(s, [r[1:] for r in part])
         if block.full:
-            tables.append(block.run())
+            made.append(block.run())
             assert not block.parts and not block.terms
     if block.parts:
-        tables.append(block.run())
-    assert len(tables) > 3 and all(t.num_rows < 150 for t in tables)
-    for t in tables:
-        keys = list(zip(t.column("lang").to_pylist(), t.column("term").to_pylist()))
-        assert keys == sorted(set(keys))
-    runs = pa.concat_tables(pa.table({"deal": t.column("deal"), "run": np.full(t.num_rows, k), "place": np.arange(t.num_rows), **{c: t.column(c) for c in ("lang", "term", "n_docs", "postings")}}) for k, t in enumerate(tables))
-    merged = divergence.merged_runs(runs.take(pa.array(np.random.default_rng(0).permutation(runs.num_rows)))).to_pylist()
-    want = collections.Counter((lang, source, t) for text, lang, source in rows for t in TERM.findall(text.translate(LOWER)))
-    assert collections.Counter({(m["lang"], x["source"], m["term"]): x["n"] for m in merged for x in m["postings"] if m["term"]}) == want
+        made.append(block.run())
+    assert len(made) > 3 and all(len(p["sizes"]) <= 7 for own in made for p in own)
+    for own in made:
+        for lang in {p["lang"] for p in own}:
+            keys = np.concatenate([divergence.keys_of(lang, p["terms"]) for p in own if p["lang"] == lang])
+            assert (np.diff(keys.astype(object)) > 0).all()
+    batches = [divergence._pieces(own, {"run": [k] * len(own), "place": list(range(len(own)))}) for k, own in enumerate(made)]
+    dealt = pa.Table.from_batches(list(divergence._dealt(3)(iter(batches))))
+    dealt = dealt.take(pa.array(np.random.default_rng(0).permutation(dealt.num_rows)))
+    shards = [divergence.merged_runs(dealt.filter(pa.array(dealt.column("shard").to_numpy() == k)), 2) for k in range(8)]
+    assert sum(t.num_rows > 0 for t in shards) > 4
+    merged = pa.concat_tables(shards).to_pylist()
+    found_in = lambda r: TERM.findall(r[0].translate(LOWER))
+    docs = collections.Counter((r[1], t) for r in rows for t in set(found_in(r)))
+    want = collections.Counter((r[1], r[2], t) for r in rows for t in found_in(r) if docs[r[1], t] >= 2)
+    assert {(m["lang"], x["source"], m["term"]): x["n"] for m in merged for x in m["postings"] if m["term"]} == want
+    assert {(m["lang"], m["term"]): m["n_docs"] for m in merged if m["term"]} == {k: n for k, n in docs.items() if n >= 2}
     assert {(m["lang"], x["source"]) for m in merged for x in m["postings"] if not m["term"]} == {r[1:] for r in rows}
 
 
