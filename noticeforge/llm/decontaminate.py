@@ -1,7 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of the n-grams of test items, and a scan of all document windows.
 
-Test items are few beside the corpus, but nothing bounds them: their total size is measured, and they are dealt into blocks
-of at most BLOCK_BYTES of text (plus one item). Each block is one narrow pass over the documents with its hash set broadcast, as sorted
+Test items are few beside the corpus, but nothing bounds them: their total size is measured. Beyond BLOCK_BYTES of text they are cut into parts of a
+sixteenth of that (parts of an item overlap by a window less a word, so no window is lost), whose sizes by bin of a random number tell which bins make up
+a block of at most BLOCK_BYTES. Each block is one narrow pass over the documents with its hash set broadcast, as sorted
 arrays of about 40 bytes a window; with several blocks each pass is written before the next begins. Documents are never shuffled. A window whose hash is
 in the set is compared word by word before it counts.
 """
@@ -14,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeforge.llm.frames import as_before, map_slices, rest_of, shared_folder, written
@@ -86,6 +87,49 @@ def item_windows(items: list[tuple[str, str]], window: int) -> Items:
     return Items([k for k, _ in items], b"".join(x.tobytes() for x in bufs), joined(starts_).astype(np.int32), joined(ends_).astype(np.int32), found)
 
 
+def item_parts(bench: DataFrame, window: int, part_bytes: int) -> DataFrame:
+    """item and text of the items, cut at words into parts of at most part_bytes, or of one window where that is longer; no window is lost and a whole item stays whole."""
+
+    def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch | None:
+        starts, ends, first = runs(s, ALNUM)
+        keys, items, texts = batch.column(0).to_pylist(), [], []
+        for i in range(len(s)):
+            at, last = int(first[i]), int(first[i + 1])
+            while at < last:
+                to = int(np.searchsorted(ends[:last], starts[at] + part_bytes, side="right"))
+                to = min(last, max(to, at + window))
+                items.append(keys[i])
+                texts.append(s.buf[starts[at] : ends[to - 1]].tobytes().decode("utf-8", "replace"))
+                if to == last:
+                    break
+                at = to - window + 1
+        return pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.string())], ["item", "text"])
+
+    return map_slices(bench, rows, "item string, text string")
+
+
+def item_blocks(bench: DataFrame, window: int, block_bytes: int, folder: str) -> list[DataFrame]:
+    """The items (item, text) in blocks of at most block_bytes; only a part that is one window can be larger, and then is a block of its own."""
+    numbered = item_parts(bench, window, max(1, block_bytes // 16)).withColumn("part", F.monotonically_increasing_id())
+    parts = written(numbered, folder, "parts")  # so that numbers last
+    size = F.octet_length("text")
+    total = parts.agg(F.sum(size)).first()[0] or 0
+    bins, blocks, room = max(1, 16 * math.ceil(total / block_bytes)), [], 0
+    held = parts.withColumn("bin", F.pmod(F.xxhash64("part"), F.lit(bins)))
+    for r in held.groupBy("bin").agg(F.sum(size).alias("n")).orderBy("bin").collect():  # a number of blocks, times 16
+        if r.n > block_bytes:  # by a rare chance, or for a window of very long words: its parts one by one
+            blocks += [[F.col("part") == x.part] for x in held.where(F.col("bin") == r.bin).select("part").toLocalIterator()]
+            room = 0
+            continue
+        if r.n > room:
+            blocks.append([])
+            room = block_bytes
+        blocks[-1].append(r.bin)
+        room -= r.n
+    pick = lambda b: b[0] if isinstance(b[0], Column) else F.col("bin").isin(b)
+    return [held.where(pick(b)).select("item", "text") for b in blocks]
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: bool = False) -> DataFrame:
     """One row per input row: doc_id, text, n_words, n_hit, spans (merged ranges of hit words), items (ids as strings, sorted), contaminated.
 
@@ -96,19 +140,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     """
     bench = items.select(F.coalesce(items[item_id].cast("string"), F.lit("null")).alias("item"), F.coalesce(items[item_text].cast("string"), F.lit("")).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / block_bytes))
+    folder = shared_folder(docs.sparkSession) if total > block_bytes else ""
+    blocks = item_blocks(bench, window, block_bytes, folder) if folder else [bench]
     state = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), rest_of(docs, id_col, text_col).alias("rest"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     if not keep:
         state = state.drop("rest").withColumn("rest", F.lit(0))
     state = state.select("id", "text", "n_words", "spans", "items", "rest")
     kinds = {f.name: f.dataType.simpleString() for f in state.schema}
     schema = f"id {kinds['id']}, text string, n_words long, spans {SPANS}, items array<string>, rest {kinds['rest']}"
-    folder = shared_folder(docs.sparkSession) if n_blocks > 1 else ""
-    for block in range(n_blocks):
-        part = bench.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block) if n_blocks > 1 else bench
-        table = item_windows([tuple(r) for r in part.collect()], window)  # at most block_bytes, as measured above
+    for block, part in enumerate(blocks):
+        table = item_windows([tuple(r) for r in part.collect()], window)  # at most block_bytes, as measured
         state = map_slices(state, _scan(docs.sparkSession.sparkContext.broadcast(table)), schema)
-        if block < n_blocks - 1:
+        if block < len(blocks) - 1:
             state = written(state, folder, f"block{block}")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["length"])
     return state.select(F.col("id").alias("doc_id"), "text", "n_words", n_hit.alias("n_hit"), "spans", "items", *(["rest"] if keep else [])).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -5,8 +5,9 @@ rests, shorter than a sequence, wait in the task that has read them, which fills
 longest piece left opens it, and a bitset subset-sum over all lengths left (as a multiset of (length, count), counts
 in binary parts, longest first until the room is filled) finds the total closest to the room that remains; walking the bitsets back gives how many pieces of
 each length make it. A task chooses from at most BLOCK pieces at once and keeps no more; what a block leaves
-under-filled goes on to the next. So packing is one narrow pass without a shuffle, and only the last sequences of
-a task can have much padding.
+under-filled goes on to the next. So packing is one narrow pass without a shuffle. At its end a task has no better company to
+wait for: it cuts pieces to fill the room that the sums leave, and the last tokens, fewer than a sequence, into
+sequences of powers of two, which need no padding. So padding doesn't grow with the number of tasks.
 """
 
 from __future__ import annotations
@@ -75,6 +76,9 @@ class Pool:
             out += [self._pop(n) for _ in range(c)]
         return out
 
+    def take_longest(self) -> tuple:
+        return self._pop(self.lengths[-1])
+
     def _pop(self, length: int) -> tuple:
         rows = self.rows[length]
         row = rows.pop()
@@ -85,11 +89,45 @@ class Pool:
         return row
 
 
+def cut(row: tuple, n: int) -> tuple[tuple, tuple]:
+    """The first n tokens of a waiting row and the rest."""
+    key, start, length, ids, whole = row
+    return (key, start, n, ids[: 4 * n], whole), (key, start + n, length - n, ids[4 * n :], whole)
+
+
+def last_groups(pool: Pool) -> Iterator[list[tuple]]:
+    """The rows of the last sequences of a task, which leave nothing waiting: full ones, then at most one of each power of two."""
+    while pool.size:
+        group = pool.take()
+        room = pool.capacity - sum(row[2] for row in group)
+        if room and pool.size:  # what is left is longer than the room
+            first, rest = cut(pool.take_longest(), room)
+            group.append(first)
+            pool.add(rest)
+            room = 0
+        if not room:
+            yield group
+            continue
+        left = pool.capacity - room
+        while left:
+            size, out = 1 << (left.bit_length() - 1), []
+            left -= size
+            while size:
+                row = group.pop(0)
+                if row[2] > size:
+                    row, rest = cut(row, size)
+                    group.insert(0, rest)
+                out.append(row)
+                size -= row[2]
+            yield out
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id and offset.
 
     Each document's ids end with end_id; a null text is an empty one, whose piece is that id alone. Each id of a document
-    lies in one piece; a sequence's pieces follow each other from offset 0 without gaps. Sequence ids are unique, not
+    lies in one piece; a sequence's pieces follow each other from offset 0 without gaps. A task's last tokens make sequences of powers of two, at most
+    one of each. Sequence ids are unique, not
     consecutive. Repeated rows are packed as documents of their own; a null id stays null; other columns are
     ignored; an empty table gives no rows. A task that runs again over the same rows makes the same sequences.
     """
@@ -146,9 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                                 out += filled()
                 if out:
                     yield batch_of(out)
-        out = []
-        while pool.size:
-            out += placed(pool.take())
+        out = [row for group in last_groups(pool) for row in placed(group)]
         if out:
             yield batch_of(out)
 

@@ -304,6 +304,29 @@ def test_decontamination_blocks_and_cuts(spark, docs, bench):
     assert got == {1: (2, ["1", "4"]), 2: (13, ["5"]), 3: (0, [])}
 
 
+@pytest.mark.parametrize("kind", ["null ids", "equal items", "one huge item", "long words"])
+def test_no_block_is_above_its_bytes(spark, folder, kind):
+    """Items with null and equal ids, equal texts, an item larger than a block and one of words that are: blocks keep their bytes, and hits are those of one block."""
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    one = text(40)
+    rows = {
+        "null ids": [(None, text(100)) for _ in range(400)], "equal items": [("a", one)] * 2000, "one huge item": [("h", text(60000)), ("s", "two words")],
+        "long words": [("l", " ".join("x" * 9000 + str(k) for k in range(40))), *[(str(k), text(50)) for k in range(200)]],
+    }[kind]
+    items = spark.createDataFrame(rows, "item_id string, text string").repartition(4)
+    bench = items.select(F.coalesce("item_id", F.lit("null")).alias("item"), "text")
+    limit = 40_000
+    blocks = decontaminate.item_blocks(bench, 13, limit, folder)
+    sizes = [(b.count(), sum(len(r.text) for r in b.collect())) for b in blocks]
+    assert len(blocks) > 3 and all(n <= limit or count == 1 for count, n in sizes)
+    words_ = [r[1].split() for r in rows]
+    own = [" ".join(["other", *w[k : k + 30], "end"]) for w in words_[:3] + words_[-3:] for k in (0, 5, len(w) // 2, max(0, len(w) - 30))]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    one_block, more = decontaminate.contamination(docs, items), decontaminate.contamination(docs, items, block_bytes=limit)
+    assert sorted(map(tuple, one_block.collect())) == sorted(map(tuple, more.collect())) and one_block.where("n_hit > 0").count() > len(own) // 2
+
+
 def test_item_windows_are_compact():
     """8 MB of items: arrays of under 100 MB; windows that many items share are one."""
     rng = np.random.default_rng(2)
@@ -555,7 +578,7 @@ def check_packing(rows, encoded):
             assert offset == at
             at += n
         assert at <= 4096
-        padding += (1 << (at - 1).bit_length()) - at
+        padding += 0 if at & (at - 1) == 0 else 4096 - at
     for k, ids in encoded.items():
         at = 0
         for r in sorted(pieces[k], key=lambda r: r.start):
@@ -572,7 +595,32 @@ def test_packing(spark, texts):
     library = Tokenizer.from_file(BPE)
     encoded = {k: np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4") for k, t in texts.items()}
     padding = check_packing(queries.op8_packing(spark, SF).collect(), encoded)
-    assert padding < 0.03 * sum(map(len, encoded.values()))
+    assert padding < 0.01 * sum(map(len, encoded.values()))
+
+
+@pytest.mark.parametrize("tasks", [1, 64, 256])
+def test_padding_does_not_grow_with_tasks(spark, tasks):
+    """By the contract: to 4096, except at a power of two."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(tasks, "doc_id")
+    sizes = [(r.n, r.total) for r in packing.pack(docs, BPE).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("total")).collect()]
+    assert sum(0 if n & (n - 1) == 0 else 4096 - n for n, _ in sizes) < 0.01 * sum(n for n, _ in sizes)
+    assert len(sizes) <= sum(n for n, _ in sizes) / 4096 + 13 * tasks
+
+
+def test_last_sequences_leave_nothing():
+    rng = np.random.default_rng(9)
+    for capacity, many in ((64, 40), (4096, 90), (4096, 1), (4096, 0)):
+        pool, rows = packing.Pool(capacity), []
+        for k in range(many):
+            n = int(rng.integers(1, capacity))
+            rows.append((k, 0, n, rng.integers(0, 256, 4 * n).astype(np.uint8).tobytes(), n))
+            pool.add(rows[-1])
+        groups = list(packing.last_groups(pool))
+        sizes = [sum(r[2] for r in g) for g in groups]
+        assert all(x == capacity for x in sizes[:-13]) and all(x & (x - 1) == 0 for x in sizes if x < capacity)
+        pieces = sorted(r for g in groups for r in g)
+        assert all(len(r[3]) == 4 * r[2] for r in pieces)
+        assert [(k, b"".join(r[3] for r in pieces if r[0] == k)) for k in range(many)] == [(r[0], r[3]) for r in rows]
 
 
 def test_fill_is_the_closest_of_all_lengths():
