@@ -11,6 +11,8 @@ from noticeforge.operators import extract, identity, quality, runs, tables, vali
 from noticeforge.plans.positions import _checks
 from noticeforge.sources import attachments
 
+#: Numbers of days as notices write them.
+CHINESE_NUMBERS = [f"{tens}{ones}" for tens in ("", "十", "二十", "三十") for ones in ("", *"一二三四五六七八九") if tens or ones][:31]
 PDF, XLSX = "application/pdf", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
 
 
@@ -23,12 +25,33 @@ def _case(number: Column, *values: Column) -> Column:
 
 
 def notice_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as notices that write a start and an end in two forms."""
+    """Orders as notices that write their times in fourteen ways."""
     day = F.to_date("o_orderdate")
-    text = F.concat(F.lit("公告。报名时间："), F.date_format(day, "yyyy年M月d日"), F.lit("至"), F.date_format(F.date_add(day, 13), "yyyy-MM-dd"), F.lit("。"))
-    notices = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"), text.alias("text"))
-    dates = times.start_deadline(F.col("text"))
-    return notices.select("post_id", F.size(times.extract_dates(F.col("text"))).alias("n_dates"), F.to_date(dates["start_at"]).alias("start_day"), F.to_date(dates["deadline"]).alias("last_day"))
+    last = F.date_add(day, 13)
+    written = lambda form, d=day: F.date_format(d, form)
+    name = lambda k: F.element_at(F.array(*map(F.lit, CHINESE_NUMBERS)), k)
+    digits = F.translate(F.year(day).cast("string"), "0123456789", "〇一二三四五六七八九")
+    text = _case(
+        F.col("o_orderkey") % 14,
+        F.concat(F.lit("公告。报名时间："), written("yyyy年M月d日"), F.lit("至"), written("yyyy-MM-dd", last), F.lit("。")),
+        F.concat(F.lit("报名时间："), written("yyyy年M月d日"), F.lit("9:00至"), written("M月d日", last), F.lit("17:00，逾期不候")),
+        F.concat(F.lit("截止时间："), written("yyyy年M月d日"), F.lit("24:00")),
+        F.concat(F.lit("报名"), written("yyyy年M月"), F.lit("1日-"), F.day(day).cast("string"), F.lit("日（工作日）")),
+        F.concat(F.lit("请于"), written("yyyy年M月d日"), F.lit("下午5点前报名，30日内答复")),
+        F.concat(F.lit("自"), written("yyyy年M月d日"), F.lit("上午9时起至下午3时30分止")),
+        F.concat(F.lit("报名时间："), digits, F.lit("年"), name(F.month(day)), F.lit("月"), name(F.day(day)), F.lit("日上午九时至十一时半")),
+        F.lit("报名时间另行通知，电话010-62751234，每天9:00-17:00"),
+        F.concat(F.lit("截止日期："), F.year(day).cast("string"), F.lit("年2月31日")),
+        F.translate(F.concat(F.lit("报名时间："), written("yyyy/M/d"), F.lit("～"), written("yyyy/M/d", last)), "0123456789/", "０１２３４５６７８９／"),
+        F.concat(F.lit("报名从即日起至"), written("M月d日"), F.lit("17时")),
+        F.concat(written("yyyy.M.d"), F.lit(" 14:30—17:00")),
+        F.concat(F.lit("发布时间"), written("yyyy年M月d日"), F.lit("。报名时间（第一批）："), written("M月d日"), F.lit("（周四）下午2点至5点，笔试时间"), written("M月d日", last)),
+        F.concat(written("yyyy-MM-dd"), F.lit("公布名单，"), written("yyyy-MM-dd", last), F.lit("体检")),
+    )
+    notices = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"), text.alias("text"), F.col("o_orderdate").alias("published_at"))
+    found = notices.select("post_id", F.size(times.extract_dates(F.col("text"), F.col("published_at"))).alias("n_dates"), times.start_deadline(F.col("text"), F.col("published_at")).alias("w"))
+    moment = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return found.select("post_id", "n_dates", moment("w.start_at").alias("start_at"), moment("w.deadline").alias("deadline"))
 
 
 def notice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

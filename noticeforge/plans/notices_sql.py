@@ -6,7 +6,16 @@ from noticeforge.plans.positions_sql import VISIBLE
 _XLSX = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
 
 ORACLE_SQL = {
-    "notice_dates": "SELECT o_orderkey AS post_id, CAST(2 AS INTEGER) AS n_dates, CAST(o_orderdate AS DATE) AS start_day, CAST(o_orderdate AS DATE) + 13 AS last_day FROM orders",
+    "notice_dates": """
+WITH d AS (SELECT o_orderkey AS post_id, o_orderkey % 14 AS form, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day, CAST(CAST(o_orderdate AS DATE) + 13 AS TIMESTAMP) AS last FROM orders),
+w AS (SELECT post_id, CASE form WHEN 7 THEN 0 WHEN 12 THEN 4 WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 8 THEN 1 WHEN 10 THEN 1 ELSE 2 END AS n_dates,
+  CASE form WHEN 0 THEN day WHEN 1 THEN day + INTERVAL 9 HOUR WHEN 3 THEN date_trunc('month', day) WHEN 5 THEN day + INTERVAL 9 HOUR WHEN 6 THEN day + INTERVAL 9 HOUR
+            WHEN 9 THEN day WHEN 11 THEN day + INTERVAL 870 MINUTE WHEN 12 THEN day + INTERVAL 14 HOUR WHEN 13 THEN day END AS start_at,
+  CASE form WHEN 0 THEN last + INTERVAL 86399 SECOND WHEN 1 THEN last + INTERVAL 17 HOUR WHEN 2 THEN day + INTERVAL 24 HOUR WHEN 3 THEN day + INTERVAL 86399 SECOND WHEN 4 THEN day + INTERVAL 17 HOUR
+            WHEN 5 THEN day + INTERVAL 930 MINUTE WHEN 6 THEN day + INTERVAL 690 MINUTE WHEN 9 THEN last + INTERVAL 86399 SECOND WHEN 10 THEN day + INTERVAL 17 HOUR
+            WHEN 11 THEN day + INTERVAL 17 HOUR WHEN 12 THEN day + INTERVAL 17 HOUR WHEN 13 THEN last + INTERVAL 86399 SECOND END AS deadline FROM d)
+SELECT post_id, CAST(n_dates AS INTEGER) AS n_dates, strftime(start_at, '%Y-%m-%d %H:%M:%S') AS start_at, strftime(deadline, '%Y-%m-%d %H:%M:%S') AS deadline FROM w
+""",
     "notice_fields": "SELECT c_custkey AS document_id, c_name AS organization, CAST(c_custkey % 40 + 1 AS INTEGER) AS headcount, CASE c_custkey % 3 WHEN 0 THEN 'bachelor' WHEN 1 THEN 'master' END AS education, CAST(CASE c_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 END AS INTEGER) AS education_order, 'https://jobs.example.org/' || c_custkey AS apply_url FROM customer",
     "notice_regions": "WITH names AS (SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 100, r_name FROM region), docs AS (SELECT s_suppkey AS document_id, CASE WHEN s_suppkey % 4 = 0 THEN 'somewhere in ' || r_name ELSE 'an office in ' || n_name || ', ' || r_name END AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT document_id, (SELECT name FROM names WHERE contains(text, name) ORDER BY length(name) DESC, id LIMIT 1) AS region FROM docs",
     "normalised_evidence": "SELECT c_custkey AS entity_id, 'segment' AS field_name, c_mktsegment AS raw_value, lower(c_mktsegment) AS norm_value FROM customer WHERE c_mktsegment IS NOT NULL UNION ALL SELECT c_custkey, 'balance', CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR), CAST(CAST(floor(c_acctbal) AS BIGINT) % 1000 AS VARCHAR) FROM customer WHERE c_acctbal > 0",

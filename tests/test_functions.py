@@ -82,6 +82,42 @@ def test_dates_of_notices(spark):
     assert (none.start_at, none.deadline) == (None, None)
 
 
+@pytest.mark.parametrize(
+    ("notice", "start", "deadline"),
+    [
+        ("截止时间：2026年3月18日24:00", None, "2026-03-19 00:00:00"),
+        ("报名时间：2026年3月5日-18日", "2026-03-05 00:00:00", "2026-03-18 23:59:59"),
+        ("2026年3月5日9:00至3月18日17:00", "2026-03-05 09:00:00", "2026-03-18 17:00:00"),
+        ("2026年3月18日下午5点截止", None, "2026-03-18 17:00:00"),
+        ("截止日期：2026-03-18", None, "2026-03-18 23:59:59"),
+        ("报名时间：2026年12月25日至1月5日", "2026-12-25 00:00:00", "2027-01-05 23:59:59"),
+        ("二〇二六年三月五日上午九时至三月十八日十七时三十分", "2026-03-05 09:00:00", "2026-03-18 17:30:00"),
+        ("２０２６／４／１　０９：００－１７：００", "2026-04-01 09:00:00", "2026-04-01 17:00:00"),
+        ("2026年3月5日下午2点至5点半", "2026-03-05 14:00:00", "2026-03-05 17:30:00"),
+        ("2026年3月5日中午12点前", None, "2026-03-05 12:00:00"),
+        ("2026年3月5日晚12点截止", None, "2026-03-06 00:00:00"),
+        ("自3月5日起至3月18日止", "2024-03-05 00:00:00", "2024-03-18 23:59:59"),
+        ("3月5日（周四）9:00—3月8日", "2024-03-05 09:00:00", "2024-03-08 23:59:59"),
+        ("发布时间2026年3月1日。报名时间：3月5日9:00至18日17:00。面试4月1日", "2026-03-05 09:00:00", "2026-03-18 17:00:00"),
+        ("报名从即日起至3月18日17时", None, "2024-03-18 17:00:00"),
+        ("截止日期：2026-02-31", None, None),
+        ("电话010-62751234，30日内答复，每天9:00-17:00", None, None),
+        ("2026-03-18公布，2026-03-05体检", "2026-03-05 00:00:00", "2026-03-18 23:59:59"),
+        (None, None, None),
+        ("", None, None),
+    ],
+)
+def test_times_as_notices_write_them(spark, notice, start, deadline):
+    got = one(spark, notice, lambda x: times.start_deadline(x, F.lit("2024-01-31").cast("timestamp")))
+    assert (got and got.start_at and str(got.start_at), got and got.deadline and str(got.deadline)) == (start, deadline)
+
+
+def test_a_year_that_nobody_knows(spark):
+    got = one(spark, "3月5日至3月18日，2027年4月1日起，5月2日止", times.extract_dates)
+    assert [d.at and str(d.at)[:10] for d in got] == [None, None, "2027-04-01", "2027-05-02"]
+    assert [d.role for d in got] == ["start", "end", "start", "end"]
+
+
 def test_zones(spark):
     day = datetime(2026, 3, 5, 17, 30)
     df = spark.createDataFrame([(day,)], "t timestamp_ntz")
