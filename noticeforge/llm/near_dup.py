@@ -170,18 +170,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _bands(size: int):
-    """A step that gives the key of each band of `size` registers of each node."""
+    """A step that gives the key of each band of `size` registers of each node, with the node and its id."""
 
     def step(batches):
         for batch in batches:
-            regs = _matrix(batch.column(1)).astype(np.uint64)
+            regs = _matrix(batch.column(2)).astype(np.uint64)
             many = BUCKETS // size
             bands = regs[:, : many * size].reshape(len(regs), many, size)
             key = np.broadcast_to(np.arange(1, many + 1, dtype=np.uint64), bands.shape[:2]).copy()
             for k in range(size):
                 key = mix(key * _U(65536) ^ bands[:, :, k])
-            node = batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), many)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), node], ["key", "node"])
+            owner = pa.array(np.repeat(np.arange(len(regs)), many))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner)], ["key", "node", "id"])
 
     return step
 
@@ -217,6 +217,25 @@ def common(items: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndar
     return out
 
 
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of some true cells of a matrix that connect the rows and columns which its true cells do; fewer cells than rows and columns."""
+    edges, seen = [], [np.zeros(n, bool) for n in linked.shape]
+    for start in np.flatnonzero(linked.any(axis=1)):
+        if seen[0][start]:
+            continue
+        seen[0][start] = True
+        front, side = np.array([start]), 0
+        while len(front):
+            cells = linked[front] if side == 0 else linked[:, front].T
+            new = np.flatnonzero(cells.any(axis=0) & ~seen[1 - side])
+            by = front[np.argmax(cells[:, new], axis=0)]
+            edges.append((by, new) if side == 0 else (new, by))
+            seen[1 - side][new] = True
+            front, side = new, 1 - side
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(e[0] for e in edges)]), np.concatenate([none, *(e[1] for e in edges)])
+
+
 def _by_group(fn, keys: int):
     """A step over batches whose rows come sorted by the first `keys` columns: fn of each whole group, as a table."""
 
@@ -274,8 +293,8 @@ class _Work:
         return dealt.join(every, ["b", "_deal"]).drop("_deal")
 
     def estimated(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """The written table pairs (a, b) with an estimate, those that are small or may reach the threshold."""
-        side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+        """The pairs of the written table (a, b), b the id of a first row, as pairs of nodes with an estimate, those that are small or may reach the threshold."""
+        side = lambda c, by: reps.select(by.alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"), F.col("node").alias(f"node_{c}"))
 
         def rows(batches):
             for x in batches:
@@ -287,7 +306,8 @@ class _Work:
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(e)], ["a", "b", "e"]).filter(pa.array(near))
 
         self_least, self_small, part, whole = self.least, self.small, self.part, self.whole
-        joined = self.joined(pairs, side("a"), side("b")).select("a", "b", "n_a", "regs_a", "n_b", "regs_b")
+        both = self.joined(pairs, side("a", F.col("node")), side("b", F.col("first.id"))).where(F.col("node_a") != F.col("node_b"))
+        joined = both.select("node_a", "node_b", "n_a", "regs_a", "n_b", "regs_b")
         return joined.mapInArrow(rows, "a long, b long, e double")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -323,11 +343,11 @@ class _Work:
         return out.unionByName(some.where(is_hot).join(F.broadcast(firsts.where(is_hot)), "node", "left").select(*names)) if hot else out
 
     def links_in_blocks(self, open_: DataFrame, sets: DataFrame) -> DataFrame:
-        """All links (a, b) between different components that share a bucket of open_.
+        """Links (a, b) between different components that share a bucket of open_: enough to connect whatever such links connect.
 
         The nodes outside a bucket's largest component, in blocks of about BLOCK, meet all its nodes, in such blocks as well: one
         pair of blocks is what a task holds at once. First the sizes and registers tell which nodes of two blocks may have a link at
-        all, then those bring their full sets. No row is made for a pair but for a link.
+        all, then those bring their full sets. All pairs are compared; of the links found, a task gives no more than connect its nodes.
         """
         number = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -356,7 +376,7 @@ class _Work:
             both = common(items, one, two)
             n = np.array([len(v) for v in items])
             union = n[one][:, None] + n[two][None, :] - both
-            i, j = np.nonzero((whole * both >= part * union) & (comp[one][:, None] != comp[two][None, :]))
+            i, j = spanning((whole * both >= part * union) & (comp[one][:, None] != comp[two][None, :]))
             return pa.table({"a": node.take(pa.array(one[i])), "b": node.take(pa.array(two[j]))}) if len(i) else None
 
         n = self.tasks
@@ -402,11 +422,13 @@ def _grouped(docs: DataFrame, similarity: float, size: int, words: str, id_col:
     # sets of up to 1 / (1 - similarity) - 1 shingles can only link with equal ones
     least = math.floor(1 / (1 - similarity) + 1e-9) - 1 if similarity < 1 else 0
     large = reps.where(F.col("n") >= least)
-    bands = large.select("node", "regs").mapInArrow(_bands(band_size(similarity)), "key long, node long").unionByName(large.select(F.explode("subsets").alias("key"), "node"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where(F.col("pivot") != F.col("top")).select("key", "pivot")
-    buckets = work.written(bands.join(shared, "key"))
+    kind = dict(sigs.dtypes)["id"]
+    bands = large.select("node", "first.id", "regs").mapInArrow(_bands(band_size(similarity)), f"key long, node long, id {kind}").unionByName(large.select(F.explode("subsets").alias("key"), "node", "first.id"))
+    # all nodes of a bucket meet the one of the smallest id, from which copies are likely made
+    shared = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.min("node").alias("low"), F.max("node").alias("top")).where(F.col("low") != F.col("top")).select("key", "pivot")
+    buckets = work.written(bands.join(shared, "key").select("key", "node", "pivot"))
 
-    star = work.written(work.estimated(work.written(buckets.select(F.col("node").alias("a"), F.col("pivot").alias("b")).where(F.col("a") != F.col("b")).distinct()), reps))
+    star = work.written(work.estimated(work.written(buckets.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()), reps))
     sets = work.sets(docs, reps.join(buckets.select("node").distinct(), "node", "left_semi").select("first.id", "first.t"), size, words, id_col, text_col)
 
     best = work.written(star.groupBy("a").agg(F.max_by("b", F.struct("e", -F.xxhash64("b"))).alias("b")))

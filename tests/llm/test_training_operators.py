@@ -513,6 +513,24 @@ def test_a_threshold_between_hundredths(spark):
     assert got == {1: 1, 2: 1, 11: 11, 12: 12}
 
 
+def test_spanning_links_connect_the_same():
+    rng = np.random.default_rng(3)
+    for share in (0.0, 0.02, 0.1, 0.9):
+        linked = rng.random((40, 60)) < share
+
+        def groups(cells):
+            names = {("r", k): {("r", k)} for k in range(40)} | {("c", k): {("c", k)} for k in range(60)}
+            for i, j in cells:
+                both = names["r", i] | names["c", j]
+                for x in both:
+                    names[x] = both
+            return {frozenset(map(tuple, x)) for x in names.values()}
+
+        i, j = near_dup.spanning(linked)
+        assert linked[i, j].all() and len(i) < 100
+        assert groups(zip(i.tolist(), j.tolist())) == groups(np.argwhere(linked).tolist())
+
+
 def test_subsets_by_brute_force():
     g = np.array([3, 5, 8, 9, 12, 3, 5, 8, 12], np.uint64)
     five, four = near_dup.subset_keys(g, np.array([0, 5, 9]), 0.8)
