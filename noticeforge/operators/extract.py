@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from noticeforge.functions.fields import extract_apply_url, extract_headcount, extract_org, normalize_enum
 from noticeforge.functions.text import html_text, page_title, published_at
 from noticeforge.functions.times import start_deadline
+from noticeforge.operators.dictionary import BLOCK_BYTES, with_names
 
-BROADCAST_REGIONS = 10_000
-
+NAMES_BYTES = BLOCK_BYTES
 
 def detail_fields(pages: DataFrame) -> DataFrame:
     """pages with title, published_at and body."""
@@ -21,20 +21,12 @@ def detail_fields(pages: DataFrame) -> DataFrame:
 def match_regions(docs: DataFrame, regions: DataFrame, text: str = "text") -> DataFrame:
     """docs with region: the longest dictionary name in the text, the smaller id of equal ones; null without any.
 
-    A dictionary of up to BROADCAST_REGIONS names is broadcast and looked for by containment; a larger one is joined on
-    the text's substrings of its names' lengths.
+    The names are looked for all at once, in one reading of the texts; large dictionaries go in blocks.
     """
-    names = regions.select("region_id", F.col("name").alias("region"))
-    keys = docs.select("document_id", F.col(text).alias("_text"))
-    if regions.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS:
-        hits = keys.join(F.broadcast(names), F.instr(F.col("_text"), F.col("region")) > 0)
-    else:
-        lengths = [r[0] for r in names.select(F.length("region")).distinct().collect()]  # a few
-        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_text"), i, F.lit(n)))
-        parts = keys.select("document_id", F.explode(F.array_distinct(F.flatten(F.array(*(grams(n) for n in lengths))))).alias("region"))
-        hits = parts.join(names, "region")
-    best = hits.groupBy("document_id").agg(F.max_by("region", F.struct(F.length("region"), -F.col("region_id"))).alias("region"))
-    return docs.join(best, "document_id", "left")
+    names = regions.select(F.col("region_id").alias("id"), F.col("name").cast("string").alias("name"))
+    found = with_names(docs, F.col(text), names, "_found", NAMES_BYTES)
+    best = F.array_max(F.transform("_found", lambda x: F.struct(F.length(x["name"]).alias("length"), (-x["id"]).alias("minus"), x["name"].alias("name"))))
+    return found.withColumn("region", best["name"]).drop("_found")
 
 
 def extract_fields(docs: DataFrame, text: str = "text", published: str = "published_at") -> DataFrame:

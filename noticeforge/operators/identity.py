@@ -46,11 +46,33 @@ def current_versions(docs: DataFrame, key: list[str], order: list[Column]) -> Da
     return unique_documents(docs, key, order)
 
 
-def version_history(docs: DataFrame, key: list[str], order: list[Column], hash_col: str = "content_hash") -> DataFrame:
-    """docs with version (counted from 1, one more at each changed hash) and changed."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    changed = F.lag(hash_col).over(w).isNull() | (F.lag(hash_col).over(w) != F.col(hash_col))
-    return docs.withColumn("changed", changed).withColumn("version", F.sum(F.col("changed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def version_history(docs: DataFrame, key: list[str], order: list[Column], hash_col: str = "content_hash", chunk: Column | None = None) -> DataFrame:
+    """docs with version (counted from 1, one more at each changed hash) and changed. A null hash is a change, as is the row after it.
+
+    chunk: something of a row that never falls along the order, such as its month. With it a key may hold most rows: those of each chunk are
+    counted by themselves, and what the chunks before end with and count, from a small table, is added.
+    """
+    if chunk is None:
+        w = Window.partitionBy(*key).orderBy(*order)
+        changed = F.lag(hash_col).over(w).isNull() | F.coalesce(F.lag(hash_col).over(w) != F.col(hash_col), F.lit(True))
+        return docs.withColumn("changed", changed).withColumn("version", F.sum(F.col("changed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    rows = docs.withColumn("_chunk", chunk).withColumns({"_number": F.row_number().over(w), "_lag": F.lag(hash_col).over(w)})
+    differs = F.col("_lag").isNull() | F.coalesce(F.col("_lag") != F.col(hash_col), F.lit(True))
+    rows = rows.withColumn("_changed", (F.col("_number") > 1) & differs)
+    ends = rows.groupBy(*key, "_chunk").agg(F.max_by(F.struct(hash_col), "_number").alias("_last"), F.min_by(F.struct(hash_col), "_number").alias("_first"), F.sum(F.col("_changed").cast("int")).alias("_inside"))
+    along = Window.partitionBy(*key).orderBy(F.asc_nulls_first("_chunk"))
+    before = F.lag(F.col("_last")[hash_col]).over(along)
+    opens = before.isNull() | F.coalesce(before != F.col("_first")[hash_col], F.lit(True))
+    counted = ends.withColumn("_opens", opens).withColumn("_before", F.coalesce(F.sum(F.col("_inside") + F.col("_opens").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    names = [*key, "_chunk"]
+    small = counted.select(*(F.col(c).alias(f"_of_{c}") for c in names), "_opens", "_before")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    joined = rows.join(small, same).withColumn("changed", F.when(F.col("_number") == 1, F.col("_opens")).otherwise(F.col("_changed")))
+    inside = F.sum(F.col("changed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn("version", F.col("_before") + inside).select(*docs.columns, "changed", "version")
 
 
 def duplicate_flags(docs: DataFrame, order: list[Column], source: str = "source_id", keys: tuple[str, ...] = ("canonical_url", "content_hash")) -> DataFrame:

@@ -44,10 +44,25 @@ def last_run_of_slot(slots: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def slots_in_window(slots: DataFrame, runs: DataFrame, interval: str) -> DataFrame:
-    """Planned slots (source_id, slot_at) with the runs that finished within the interval after them."""
-    r = runs.select(F.col("source_id").alias("r_source"), "run_id", "finished_at", "status")
-    inside = (F.col("source_id") == F.col("r_source")) & (F.col("finished_at") >= F.col("slot_at")) & (F.col("finished_at") < F.col("slot_at") + F.expr(f"INTERVAL {interval}"))
-    return slots.join(r, inside, "left").drop("r_source")
+    """Planned slots (source_id, slot_at) with the runs that finished within the interval after them, or once with nulls.
+
+    Times are cut into buckets as long as the interval: a run is in the bucket of a slot or in the next one, so it stands under its own and the one before, and
+    a source's slots meet only runs near them.
+    """
+    span = F.expr(f"unix_seconds(timestamp_seconds(0) + INTERVAL {interval})")
+    bucket = lambda df, c: F.floor(_seconds(df, c) / span).cast("long")
+    own = bucket(runs, "finished_at")
+    r = runs.select(F.col("source_id").alias("_source"), "run_id", "finished_at", "status", F.explode(F.array(own, own - 1)).alias("_of"))
+    inside = (F.col("source_id") == F.col("_source")) & (F.col("_bucket") == F.col("_of")) & (F.col("finished_at") >= F.col("slot_at")) & (F.col("finished_at") < F.col("slot_at") + F.expr(f"INTERVAL {interval}"))
+    return slots.withColumn("_bucket", bucket(slots, "slot_at")).join(r, inside, "left").drop("_source", "_bucket", "_of")
+
+
+def _seconds(df: DataFrame, column: str) -> Column:
+    """A time as seconds: of local times, by their own calendar, as moments would jump at a change of clocks."""
+    t = F.col(column)
+    if dict(df.dtypes)[column] != "timestamp_ntz":
+        return F.unix_seconds(t.cast("timestamp"))
+    return F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
 
 
 def source_availability(filled: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
@@ -69,11 +84,25 @@ def on_time_rate(filled: DataFrame, on_time: Column, n: int = 20) -> DataFrame:
 
 
 def streaks(runs: DataFrame, ok: Column, by: str = "source_id", order: tuple[str, ...] = ("started_at", "run_id")) -> DataFrame:
-    """Per source the longest run of failures and the one it ends with."""
-    w = Window.partitionBy(by).orderBy(*order)
-    islands = runs.withColumn("_ok", ok.cast("int")).withColumn("_island", F.sum("_ok").over(w))
-    sizes = islands.groupBy(by, "_island").agg(F.sum(1 - F.col("_ok")).alias("n"))
-    return sizes.groupBy(by).agg(F.max("n").alias("longest_failures"), F.max_by("n", "_island").alias("current_failures"))
+    """Per source the longest run of failures and the one it ends with; order begins with a time.
+
+    A source may hold most runs, so those of each hour are summed up by themselves - failures at the begin, at the end, the longest run of
+    them, whether any run succeeded - and the hours are put together in their order.
+    """
+    rows = runs.select(by, *order, ok.cast("int").alias("_ok")).withColumn("_hour", F.date_trunc("hour", order[0]))
+    w = Window.partitionBy(by, "_hour").orderBy(*order)
+    islands = rows.withColumn("_island", F.sum("_ok").over(w)).groupBy(by, "_hour", "_island").agg(F.sum(1 - F.col("_ok")).alias("n"))
+    n, island = F.coalesce("n", F.lit(0)), F.coalesce("_island", F.lit(0))
+    hours = islands.groupBy(by, "_hour").agg(F.max(island).alias("oks"), F.coalesce(F.max(F.when(island == 0, n)), F.lit(0)).alias("first"), F.max_by(n, island).alias("last"), F.max(n).alias("most"))
+    ordered = hours.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("_hour").isNotNull().alias("k"), "_hour", "oks", "first", "last", "most"))).alias("hours"))
+
+    def step(state: Column, x: Column) -> Column:
+        run = state["current"] + x["first"]
+        return F.struct(F.greatest(state["longest"], run, x["most"]).alias("longest"), F.when(x["oks"] == 0, run).otherwise(x["last"]).alias("current"))
+
+    zero = F.lit(0).cast("long")
+    told = ordered.select(by, F.aggregate("hours", F.struct(zero.alias("longest"), zero.alias("current")), step).alias("s"))
+    return told.select(by, F.col("s.longest").alias("longest_failures"), F.col("s.current").alias("current_failures"))
 
 
 def alerts(streaks_: DataFrame, least: int = STREAK_ALERT) -> DataFrame:
@@ -81,9 +110,18 @@ def alerts(streaks_: DataFrame, least: int = STREAK_ALERT) -> DataFrame:
 
 
 def overlapping_runs(runs: DataFrame) -> DataFrame:
-    """Runs that begin before an earlier one of their source has finished."""
-    w = Window.partitionBy("source_id").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("busy_until", F.max("finished_at").over(w)).where(F.col("busy_until") >= F.col("started_at"))
+    """Runs that begin before an earlier one of their source has finished, with busy_until, the latest end of those.
+
+    The latest end within the hour of a run's start, and that of all earlier hours, from a small table of hours: no task holds a source.
+    """
+    rows = runs.withColumn("_hour", F.date_trunc("hour", "started_at"))
+    ends = rows.groupBy("source_id", "_hour").agg(F.max("finished_at").alias("_end"))
+    earlier = Window.partitionBy("source_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.col("source_id").alias("_source"), F.col("_hour").alias("_at"), F.max("_end").over(earlier).alias("_before"))
+    inside = Window.partitionBy("source_id", "_hour").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("_inside", F.max("finished_at").over(inside)).join(before, F.col("source_id").eqNullSafe(F.col("_source")) & F.col("_hour").eqNullSafe(F.col("_at")))
+    busy = found.withColumn("busy_until", F.greatest("_before", "_inside")).where(F.col("busy_until") >= F.col("started_at"))
+    return busy.drop("_hour", "_source", "_at", "_before", "_inside")
 
 
 def unfinished_runs(runs: DataFrame, as_of: Column, timeout: str) -> DataFrame:

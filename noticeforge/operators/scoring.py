@@ -1,7 +1,7 @@
 """Matching positions against preferences: a hard filter with reasons, six weighted components with explanations, versions.
 
-Preferences are few rows, but users are not bounded: with_prefs() measures them and broadcasts only up to
-BROADCAST_PREFS; beyond that Spark pairs them by its own choice of join.
+Preferences are few rows, but users are not bounded: with_prefs(), which gives all pairs, measures them and broadcasts only up to
+BROADCAST_PREFS. Who asks only for scores from a threshold up takes pairing.score_matches(), which makes no other pairs.
 """
 
 from __future__ import annotations
@@ -139,7 +139,12 @@ def _with_totals(scored: DataFrame, as_of: Column) -> DataFrame:
 
 def score_positions(positions: DataFrame, prefs: DataFrame, as_of: Column, version: str = "1", weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """All pairs with reasons, passed, part_<rule>, score, components, matched_rules, score_version and generated_at (= as_of)."""
-    scored = hard_filter(with_prefs(positions, prefs), as_of).withColumns(part_scores(as_of, _checked(weights)))
+    return score_pairs(hard_filter(with_prefs(positions, prefs), as_of), as_of, version, weights)
+
+
+def score_pairs(pairs: DataFrame, as_of: Column, version: str = "1", weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """Pairs that hard_filter() gave, scored."""
+    scored = pairs.withColumns(part_scores(as_of, _checked(weights)))
     return _with_totals(scored.withColumn("score_version", F.lit(version)), as_of)
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeforge import bindings as B
-from noticeforge.operators import evaluation, quality, reporting, scoring, search, validate
+from noticeforge.operators import evaluation, pairing, quality, reporting, scoring, search, validate
 from noticeforge.operators.identity import same_store
-from noticeforge.sources.store import work_folder
+from noticeforge.sources.folders import work_folder
+
 
 def _as_of() -> Column:
     return B.at(B.AS_OF)
@@ -35,6 +36,29 @@ def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).where(F.col("position_id").isNotNull()).select("position_id", *parts, "score")
 
 
+def supplier_prefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as preferences: of their region or of none, with keywords, terms and exclusions by their number; some name next to nothing."""
+    placed = B.table(spark, sf_dir, "supplier").join(B.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(B.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("s_suppkey")
+    words = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    return placed.select(
+        k.alias("pref_id"),
+        F.when(k % 3 == 0, words()).otherwise(F.array("r_name")).alias("regions"),
+        (20 + k % 30).cast("int").alias("education"),
+        F.when(k % 4 == 0, words()).when(k % 4 == 1, words("PROMO", "ECONOMY")).otherwise(words("STANDARD")).alias("majors"),
+        F.when(k % 5 == 0, words("Gear", "anvil")).when(k % 5 == 1, words("widget")).when(k % 35 == 2, words()).otherwise(words("no such word")).alias("job_keywords"),
+        F.array(F.concat(F.lit("Brand#"), (k % 5 + 1).cast("string"))).alias("requirement_terms"),
+        F.when(k % 2 == 0, words("BUILDING", "MACHINERY")).otherwise(words("FURNITURE")).alias("organization_types"),
+        F.when(k % 7 == 0, words("anvil")).otherwise(words()).alias("exclusions"),
+    )
+
+
+def matches_of_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each preference wants with a score of 75 or more, without making all pairs."""
+    found = pairing.score_matches(B.visible(spark, sf_dir), supplier_prefs(spark, sf_dir), _as_of(), 75.0)
+    return found.where(F.col("position_id").isNotNull()).select("pref_id", "position_id", "score")
+
+
 def hard_filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = scoring.hard_filter(scoring.with_prefs(B.visible(spark, sf_dir), B.prefs(spark)), _as_of())
     return pairs.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -170,6 +194,7 @@ def major_match_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "report_daily": report_daily,
     "score_components": score_components,
+    "matches_of_preferences": matches_of_preferences,
     "hard_filter_reasons": hard_filter_reasons,
     "top20_per_region": top20_per_region,
     "explain_match": explain_match,

@@ -40,7 +40,22 @@ _RULES = "concat_ws('+', CASE WHEN s_region > 0 THEN 'region' END, CASE WHEN s_k
 _RISKS = "concat_ws(', ', CASE WHEN position_id IS NULL THEN 'no position' END, CASE WHEN deadline IS NULL THEN 'no deadline' END, CASE WHEN deadline < start_at THEN 'deadline before start' END, CASE WHEN region IS NULL THEN 'no region' END)"
 _LINE = f"concat_ws(' | ', coalesce(name, '?'), coalesce(organization, '?'), coalesce(region, '?'), coalesce(strftime(deadline, '%Y-%m-%d'), '?'), {_RULES}, CASE WHEN {_RISKS} <> '' THEN 'check: ' || {_RISKS} END, 'https://jobs.example.org/' || post_id)"
 
+_SUPPLIER_PREFS = """
+prefs AS (SELECT s_suppkey AS pref_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE r_name END AS wanted_region, 20 + s_suppkey % 30 AS least_education,
+                 CASE s_suppkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['PROMO', 'ECONOMY'] ELSE ['STANDARD'] END AS majors,
+                 CASE WHEN s_suppkey % 5 = 0 THEN 'gear|anvil' WHEN s_suppkey % 5 = 1 THEN 'widget' WHEN s_suppkey % 35 = 2 THEN NULL ELSE 'no such word' END AS keywords,
+                 'Brand#' || (s_suppkey % 5 + 1) AS term, CASE WHEN s_suppkey % 2 = 0 THEN ['BUILDING', 'MACHINERY'] ELSE ['FURNITURE'] END AS segments, s_suppkey % 7 = 0 AS no_anvil
+          FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
 ORACLE_SQL = {
+    "matches_of_preferences": f"""WITH {SCORED}, {_SUPPLIER_PREFS},
+pairs AS (SELECT pref_id, position_id, s_urgency + s_completeness
+                 + CASE WHEN wanted_region IS NULL OR wanted_region = region THEN 25 ELSE 0 END
+                 + CASE WHEN keywords IS NULL OR regexp_matches(name, keywords) THEN 30 WHEN requirements = term THEN 15 ELSE 0 END
+                 + CASE WHEN len(majors) = 0 OR list_contains(majors, major) THEN 15 ELSE 0 END
+                 + CASE WHEN list_contains(segments, category) THEN 10 ELSE 0 END AS score
+          FROM scored CROSS JOIN prefs WHERE position_id IS NOT NULL AND NOT expired AND coalesce(education <= least_education, true) AND NOT (no_anvil AND contains(name, 'anvil')))
+SELECT pref_id, position_id, score FROM pairs WHERE score >= 75""",
     "report_daily": f"WITH {GROUPED} SELECT report_group, rank, post_id, part_id, supplier_id, line_number, name AS title, organization, region, deadline, score FROM ranked",
     "score_components": f"WITH {SCORED} SELECT position_id, s_region AS region_score, s_keyword AS keyword_score, s_major AS major_score, s_organization AS organization_score, s_urgency AS urgency_score, s_completeness AS completeness_score, score FROM scored WHERE position_id IS NOT NULL",
     "hard_filter_reasons": f"WITH {SCORED} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split({_REASONS}, ',')) AS reason FROM scored WHERE NOT passed) GROUP BY reason",

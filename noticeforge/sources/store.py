@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeforge.operators.identity import KEY, current_versions, keyed
 from noticeforge.operators.runs import undelivered
 from noticeforge.schemas import SCHEMAS
+from noticeforge.sources.folders import work_folder
 
 #: Sources of a batch up to which the stored partitions to read are named.
 SOURCES = 1_000
 VERSIONS = "source_id long, url string, canonical_url string, content_hash string, raw_html string, fetched_at timestamp"
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one where that is unset, with a local master only."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="spark-")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Landed pages with their fixed schema, for replays without a network."""
     return spark.read.schema(SCHEMAS["snapshots"]).parquet(folder)

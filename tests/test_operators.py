@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeforge import bindings as B
-from noticeforge.operators import evaluation, extract, merge, reporting, runs, scoring, tables, validate
+from noticeforge.operators import dictionary, evaluation, extract, merge, reporting, runs, scoring, tables, validate
 from noticeforge.schemas import SCHEMAS
 
 NOW = datetime(2026, 3, 1)
@@ -210,12 +210,12 @@ def test_tables(spark):
 def test_regions_and_fields(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "work in New York City"), (2, "nowhere"), (3, None)], "document_id long, text string")
     regions = spark.createDataFrame([(1, "York"), (2, "New York"), (3, "City")], "region_id int, name string")
-    for limit in (extract.BROADCAST_REGIONS, 1):
-        monkeypatch.setattr(extract, "BROADCAST_REGIONS", limit)
+    for limit in (dictionary.BLOCK_BYTES, 3):
+        monkeypatch.setattr(extract, "NAMES_BYTES", limit)
         assert {r.document_id: r.region for r in extract.match_regions(docs, regions).collect()} == {1: "New York", 2: None, 3: None}
     notice = spark.createDataFrame([(1, "招聘单位：某某大学\n招聘3人，本科，报名时间：2026年3月5日至2026年3月18日 https://e.com/x", NOW)], "document_id long, text string, published_at timestamp")
     row = extract.extract_fields(notice).first()
-    assert (row.organization, row.headcount, row.education.norm, row.deadline, row.apply_url) == ("某某大学", 3, "bachelor", datetime(2026, 3, 18), "https://e.com/x")
+    assert (row.organization, row.headcount, row.education.norm, row.deadline, row.apply_url) == ("某某大学", 3, "bachelor", datetime(2026, 3, 18, 23, 59, 59), "https://e.com/x")
     assert extract.with_norm(notice, {"text": (F.col("text"), F.upper("text")), "none": (F.lit(None), F.lit("x"))}, "document_id").count() == 1
     page = extract.detail_fields(spark.createDataFrame([('<head><title>T</title></head><time datetime="2026-03-05"></time><p>b',)], "html string")).first()
     assert (page.title, page.body, page.published_at) == ("T", "b", datetime(2026, 3, 5))
