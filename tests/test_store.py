@@ -1,4 +1,5 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from noticeforge.operators import runs
 from noticeforge.operators.identity import attachment_links, discover_links, drop_boilerplate, duplicate_flags, same_store
 from noticeforge.plans import registry
 from noticeforge.schemas import SCHEMAS
-from noticeforge.sources import attachments, store
+from noticeforge.sources import attachments, keys, store
 from noticeforge.streaming import intake
 
 T = [datetime(2026, 1, d) for d in range(1, 10)]
@@ -156,3 +157,104 @@ def test_deliveries_again_after_a_newer_version(spark, folder):
     one, two = (pages(spark, (1, "http://e.com/a", body, at)) for body, at in (("v1", T[0]), ("v2", T[1])))
     assert [store.append_versions(x, path) for x in (one, two, one, one, two)] == [1, 1, 0, 0, 0]
     assert store.append_versions(pages(spark, (1, "http://e.com/b", "x", T[0]), (1, "http://e.com/b", "y", T[1]), (1, "http://e.com/b", "x", T[2])), path) == 3
+
+
+def test_pages_without_html_are_stored(spark, folder):
+    path = f"{folder}/nulls"
+    rows = pages(spark, (1, "http://e.com/a", None, T[0]), (1, "http://e.com/a", None, T[1]), (1, "http://e.com/a", "x", T[2]), (1, "http://e.com/a", None, T[3]))
+    assert store.append_versions(rows, path) == 3 and store.append_versions(rows, path) == 0
+    assert store.append_versions(pages(spark, (1, "http://e.com/a", None, T[4])), path) == 0
+    assert [r.fetched_at for r in store.versions(spark, path).orderBy("fetched_at").collect()] == [T[0], T[2], T[3]]
+
+
+def test_random_crawls_equal_one_pass(spark, folder):
+    """Batches of any size and order, late snapshots among them, against a plain reading of all snapshots in order."""
+    rng = random.Random(12)
+    rows = [(rng.randrange(2), f"http://e.com/{rng.randrange(4)}", rng.choice(["one", "two", None]), T[0] + timedelta(hours=k)) for k in range(60)]
+    path, at = f"{folder}/random", 0
+    while at < len(rows):
+        n = rng.randrange(5, 20)
+        store.append_versions(pages(spark, *rows[at : at + n]).repartition(3), path)
+        at += n
+    want, last = [], {}
+    for source, url, body, t in rows:
+        if last.get((source, url), "none yet") != body:
+            want.append((source, url, body, t))
+            last[source, url] = body
+    stored = lambda: [(r.source_id, r.canonical_url, r.raw_html, r.fetched_at) for r in store.versions(spark, path).collect()]
+    assert sorted(stored(), key=str) == sorted(want, key=str)
+    late = rng.sample(rows, 20)
+    store.append_versions(pages(spark, *late), path)
+    assert sorted(stored(), key=str) == sorted(want, key=str)
+
+
+def test_a_second_crawl_reads_no_texts(spark, folder):
+    """The plan reads the key table of the batch's sources, behind its filter; the versions only where a snapshot is late."""
+    path = f"{folder}/plans"
+    store.append_versions(pages(spark, *((k % 3, f"http://e.com/{k}", "x" * 100, T[0]) for k in range(300))), path)
+    table = keys.table(spark, path, store.versions(spark, path))
+    batch = pages(spark, (1, "http://e.com/1", "new", T[1]), (1, "http://e.com/999", "new", T[1]))
+    rows = store.keyed(batch)
+    probable = keys.probable(keys.read(spark, table).where("source_id = 1"), rows)
+    assert [r.canonical_url for r in probable.collect()] == ["http://e.com/1"]
+    plan = probable._jdf.queryExecution().executedPlan().toString()
+    assert "raw_html" not in plan and "PartitionFilters: [isnotnull(source_id" in plan and "BroadcastHashJoin" in plan
+    assert store.append_versions(batch, path) == 2
+    assert keys.latest(keys.read(spark, table)).count() == 301
+
+
+def test_the_filter_keeps_all_keys(spark):
+    pages_ = spark.range(5000).select((F.col("id") % 7).alias("source_id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("canonical_url"))
+    asked = pages_.where("canonical_url like '%3'")
+    for bits in (1 << 10, 1 << 17, keys.FILTER_BITS):
+        found = {r.canonical_url for r in keys.probable(pages_, asked, bits).collect()}
+        assert {r.canonical_url for r in asked.collect()} <= found
+    assert len(found) < 510
+
+
+def test_many_files_become_few(spark, folder, monkeypatch):
+    path = f"{folder}/files"
+    for k in range(4):
+        store.append_versions(pages(spark, (1, "http://e.com/a", f"v{k}", T[k]), (1, f"http://e.com/{k}", "x", T[k])), path)
+    monkeypatch.setattr(keys, "MOST_FILES", 3)
+    before = store.versions(spark, path).count()
+    assert store.append_versions(pages(spark, (1, "http://e.com/a", "v3", T[5])), path) == 0 and store.versions(spark, path).count() == before
+    table = keys.table(spark, path, store.versions(spark, path))
+    assert keys.read(spark, table).count() == 5 and keys._generations(spark, path)[0] > 1
+
+
+@pytest.mark.parametrize("step", ["versions", "states", "note"])
+def test_a_killed_batch_run_again(spark, folder, monkeypatch, step):
+    """Dead after the versions, after the states or after the note of the batch: the same batch again leaves the same store."""
+    path, cursor = f"{folder}/killed-{step}", "c"
+    first = pages(spark, (1, "http://e.com/a", "one", T[0]), (2, "http://e.com/b", "two", T[0]))
+    second = pages(spark, (1, "http://e.com/a", "three", T[1]), (2, "http://e.com/b", "two", T[1]))
+    assert intake.apply_batch(first, 0, path, cursor) == 2
+
+    def die(*a):
+        raise RuntimeError("killed")
+
+    place = {"versions": "append", "states": "note_batch", "note": "mark"}[step]
+    kept = getattr(keys, place)
+    monkeypatch.setattr(keys, place, die if step != "note" else lambda s, p, on: kept(s, p, on) if on else die())
+    with pytest.raises(RuntimeError):
+        intake.apply_batch(second, 1, path, cursor)
+    monkeypatch.setattr(keys, place, kept)
+    intake.apply_batch(second, 1, path, cursor)
+    assert sorted((r.source_id, r.raw_html) for r in store.versions(spark, path).collect()) == [(1, "one"), (1, "three"), (2, "two")]
+    assert intake.apply_batch(pages(spark, (1, "http://e.com/a", "three", T[2])), 2, path, cursor) == 0
+    assert keys.last_batch(spark, path, cursor) == 2 and not keys.exists(spark, f"{keys.beside(path)}/_appending")
+
+
+def test_bounded_batches_of_a_partitioned_folder(spark, folder):
+    """Two files a batch; of a folder in parts by source, only the part of the source is read."""
+    landed, cursor, path = f"{folder}/parts", f"{folder}/parts-cursor", f"{folder}/parts-store"
+    for k in range(5):
+        pages(spark, (1, f"http://e.com/{k}", "one", T[k]), (2, f"http://f.com/{k}", "two", T[k])).coalesce(1).write.mode("append").partitionBy("source_id").parquet(landed)
+    sizes = []
+    intake.intake(spark, landed, f"{folder}/look", lambda batch, k: sizes.append((k, batch.count(), len(batch.inputFiles()))), 2, files_per_batch=2)
+    assert [n for _, n, _ in sizes] == [2, 2, 1]
+    assert intake.run_crawl(spark, landed, cursor, path, source_id=2, files_per_batch=2) == 5
+    assert intake.run_crawl(spark, landed, cursor, path, source_id=2) == 0
+    assert intake.run_crawl(spark, landed, cursor, path, files_per_batch=3) == 5
+    assert {r.source_id for r in store.versions(spark, path).collect()} == {1, 2}
