@@ -11,12 +11,16 @@ RETRY_CAP, RETRY_BASE_S = 3, 60
 
 
 def normalize_enum(x: Column, names: tuple[tuple[str, str, int], ...] = EDUCATION) -> Column:
-    """{raw, norm, order} of the first name in order that the text holds; norm is null without any."""
-    norm, order = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for name, value, number in reversed(names):
-        hit = F.contains(x, F.lit(name))
-        norm, order = F.when(hit, value).otherwise(norm), F.when(hit, number).otherwise(order)
-    return F.struct(x.alias("raw"), norm.alias("norm"), order.alias("order"))
+    """{raw, norm, order} of the least of the names that the text asks for; norm is null without any.
+
+    Of names within names the longest counts. What is only preferred ("... 优先") isn't asked for, nor is the stage or school of a degree.
+    """
+    known = "|".join(sorted((n for n, _, _ in names), key=len, reverse=True))
+    asked = F.regexp_replace(x, f"(?:{known})[^，,。；;、\\n]{{0,8}}优先|(?:{known})(?:阶段|期间|院校|毕业院校|就读)", " ")
+    rank = F.create_map(*(F.lit(v) for n, _, number in names for v in (n, number)))
+    value = F.create_map(*(F.lit(v) for number, norm in {number: norm for _, norm, number in names}.items() for v in (number, norm)))
+    order = F.array_min(F.transform(F.regexp_extract_all(asked, F.lit(f"({known})"), F.lit(1)), lambda n: F.element_at(rank, n)))
+    return F.struct(x.alias("raw"), F.element_at(value, order).alias("norm"), order.alias("order"))
 
 
 def _labelled(x: Column, labels: str, value: str) -> Column:
@@ -31,8 +35,25 @@ def extract_apply_url(x: Column) -> Column:
     return F.nullif(F.regexp_extract(x, "(https?://[^\\s\"'<>，。；）)]+)", 1), F.lit(""))
 
 
+#: What stands before the number of people wanted.
+HEADCOUNT_LABELS = "招聘人数|招录人数|需求人数|计划人数|岗位数|人数|名额|招聘|招录|招收|录用|拟聘|引进"
+_COUNT = "[0-9零一二两三四五六七八九十百]+"
+
+
+def whole_number(x: Column) -> Column:
+    """Digits, or Chinese numerals below a thousand, as a number; else null."""
+    part = lambda unit: F.translate(F.regexp_extract(x, f"([一二两三四五六七八九]?){unit}", 1), "一二两三四五六七八九", "1223456789")
+    of = lambda unit, times: F.when(F.contains(x, F.lit(unit)), F.coalesce(part(unit).try_cast("int"), F.lit(1)) * times).otherwise(0)
+    ones = F.coalesce(F.translate(F.regexp_extract(x, "([一二两三四五六七八九])$", 1), "一二两三四五六七八九", "1223456789").try_cast("int"), F.lit(0))
+    return F.when(x.rlike("^[0-9]+$"), x.try_cast("int")).when(x.rlike("^[零一二两三四五六七八九十百]+$"), of("百", 100) + of("十", 10) + ones)
+
+
 def extract_headcount(x: Column) -> Column:
-    return F.regexp_extract(F.translate(x, "０１２３４５６７８９", "0123456789"), "([0-9]+)\\s*(?:人|名)", 1).try_cast("int")
+    """The number of people that a label names, else the first number of people that is no place in a ranking ("前3名")."""
+    plain = F.translate(x, "０１２３４５６７８９", "0123456789")
+    labelled = F.regexp_extract(plain, f"(?:{HEADCOUNT_LABELS})[^0-9零一二两三四五六七八九十百，,。；;\\n]{{0,10}}({_COUNT})\\s*(?:人|名|个)?(?![0-9零一二两三四五六七八九十百]|\\s*(?:年|月|日|号|元|岁|%))", 1)
+    other = F.regexp_extract(plain, f"(?<![前第0-9零一二两三四五六七八九十百])({_COUNT})\\s*(?:人|名)(?!次)", 1)
+    return F.coalesce(whole_number(F.nullif(labelled, F.lit(""))), whole_number(F.nullif(other, F.lit(""))))
 
 
 def classify_fetch(status: Column) -> Column:

@@ -7,13 +7,32 @@ from pyspark.sql import functions as F
 
 _FULL = "".join(chr(0xFF01 + k) for k in range(94))
 _HALF = "".join(chr(0x21 + k) for k in range(94))
-DROPPED_TAGS = ("script", "style", "nav", "footer", "head")
+#: Elements whose content is no text of the page: without tags inside, and with.
+RAW_TAGS, NESTED_TAGS = ("script", "style"), ("nav", "footer", "head")
 #: Entities that pages use.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}"
-ID_NUMBER = r"\b[0-9]{15,17}[0-9Xx]\b"
-SECRET = r"(?i)(token|secret|password|api_key|authorization)(\s*[=:]\s*)\"?[A-Za-z0-9._-]+\"?"
+#: Numbers stand by themselves; a Chinese character beside them is no part of them.
+_ALONE, _ENDS = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
+ID_NUMBER = f"{_ALONE}[0-9]{{15,17}}[0-9Xx]{_ENDS}"
+#: Phones: with country code and brackets; mobiles of 11 digits; landlines with area code, and an extension.
+PHONE = "|".join((
+    r"\+?[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}",
+    f"(?:(?:\\+|00)86[ -]?)?{_ALONE}1[3-9][0-9][ -]?[0-9]{{4}}[ -]?[0-9]{{4}}{_ENDS}",
+    f"{_ALONE}(?:\\(0[0-9]{{2,3}}\\)|（0[0-9]{{2,3}}）|0[0-9]{{2,3}}[ -]?)[ ]?[0-9]{{7,8}}(?:(?:-|转)[0-9]{{1,6}})?{_ENDS}",
+))
+#: What a secret is called: a name that holds one of these words, or is one.
+_NAMED = "[A-Za-z0-9_.-]*(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization)[A-Za-z0-9_.-]*|cookie|set-cookie|密码|口令|密钥"
+#: A name, in quotes or not, what follows it, a scheme of authorization, and its value: quoted with escapes, or up to the next space or mark.
+SECRET = f"(?i)((?:{_NAMED})[\"']?\\s*[=:：]\\s*)(?:(?:bearer|basic|digest|token)\\s+)?(?:\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'|[^\\s\"',;&，。；]+)"
+#: Secrets that are known by their form: tokens after "Bearer", of some services, of three parts; passwords in addresses; keys in armour.
+SHAPES = (
+    (r"(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]{8,}", "$1***"),
+    (r"(://[^/\s:@]+:)[^/\s]+@", "$1***@"),
+    (r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*)?", "***"),
+    (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[oprsu]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}", "***"),
+    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", "***"),
+)
 
 
 def normalize_text(x: Column) -> Column:
@@ -26,19 +45,39 @@ def fingerprint(x: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """The visible text of a page; the pages aren't well-formed, so tags are cut by patterns."""
-    x = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
-    for tag in DROPPED_TAGS:
-        x = F.regexp_replace(x, f"(?s)<{tag}[^>]*>.*?</{tag}>", " ")
-    x = F.regexp_replace(x, "<[^>]*>", " ")
+    """The visible text of a page; the pages aren't well-formed, so tags are cut by patterns.
+
+    Comments and elements without tags inside go first, in the order they stand; then what stands in elements that may hold others of their kind, by the
+    depth of each. An element that never ends reaches to the end of the page (the head to the body).
+    """
+    raw = "|".join(RAW_TAGS)
+    x = F.regexp_replace(html, f"(?is)<!--.*?(?:-->|\\z)|<({raw})\\b[^>]*>.*?(?:</\\1\\s*>|\\z)", " ")
+    x = F.regexp_replace(_outside(x), "</?[A-Za-z!?][^>]*>", " ")
     for entity, char in ENTITIES:
         x = F.replace(x, F.lit(entity), F.lit(char))
     return normalize_text(x)
 
 
+def _outside(x: Column) -> Column:
+    """x without what stands in NESTED_TAGS: cut at their tags, with a depth for each of them along the way."""
+    marked = F.regexp_replace(F.translate(x, "\x01\x02", "  "), f"(?i)<(/?)({'|'.join(NESTED_TAGS)}|body)\\b[^>]*>", "\x01$1$2\x02")
+    parts = F.split(F.concat(F.lit("\x02"), marked), "\x01")
+
+    def step(state: Column, part: Column) -> Column:
+        tag = F.lower(F.substring_index(part, "\x02", 1))
+        depth = {t: F.when(tag == t, state[t] + 1).when(tag == f"/{t}", F.greatest(state[t] - 1, F.lit(0))).otherwise(state[t]) for t in NESTED_TAGS}
+        depth["head"] = F.when(tag == "body", 0).otherwise(depth["head"])
+        inside = sum(depth.values(), F.lit(0))
+        text = F.when(inside == 0, F.array(F.substring_index(part, "\x02", -1))).otherwise(F.array(F.lit(" ")))
+        return F.struct(*(d.alias(t) for t, d in depth.items()), F.concat(state["out"], text).alias("out"))
+
+    start = F.struct(*(F.lit(0).alias(t) for t in NESTED_TAGS), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(parts, start, step, lambda state: F.array_join(state["out"], " "))
+
+
 def page_title(html: Column) -> Column:
     """The title, else the first heading, else null."""
-    first = lambda tag: F.nullif(F.trim(F.regexp_extract(html, f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
+    first = lambda tag: F.nullif(F.trim(F.regexp_extract(html, f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>", 1)), F.lit(""))
     return F.coalesce(first("title"), first("h1"))
 
 
@@ -50,10 +89,15 @@ def published_at(html: Column) -> Column:
 
 
 def mask_pii(x: Column) -> Column:
-    for pattern, mask in ((EMAIL, "[email]"), (PHONE, "[phone]"), (ID_NUMBER, "[id]")):
+    """x with e-mail addresses, numbers of identity cards and accounts, and phone numbers masked."""
+    for pattern, mask in ((EMAIL, "[email]"), (ID_NUMBER, "[id]"), (PHONE, "[phone]")):
         x = F.regexp_replace(x, pattern, mask)
     return x
 
 
 def mask_secrets(x: Column) -> Column:
-    return F.regexp_replace(x, SECRET, "$1$2***")
+    """x with the values of what is called a secret, and what has the form of one, masked."""
+    x = F.regexp_replace(x, SECRET, "$1***")
+    for pattern, mask in SHAPES:
+        x = F.regexp_replace(x, pattern, mask)
+    return x

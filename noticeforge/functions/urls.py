@@ -58,9 +58,10 @@ def _joined(href: Column, base: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    """All link targets of a page, in order, in either kind of quotes."""
-    quoted = F.regexp_extract_all(html, F.lit(r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
-    return F.transform(quoted, lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("&amp;"), F.lit("&")))
+    """All link targets of a page, in order, in either kind of quotes or without any."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`][^\s"'<>`]*)"""), F.lit(1))
+    bare = lambda x: F.when(x.rlike("^[\"']"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    return F.transform(found, lambda x: F.replace(bare(x), F.lit("&amp;"), F.lit("&")))
 
 
 def is_attachment(url: Column) -> Column:

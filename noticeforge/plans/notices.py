@@ -57,9 +57,13 @@ def notice_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as notices with organisation, headcount, education and address."""
     k = F.col("c_custkey")
-    degree = _case(k % 3, F.lit("本科及以上"), F.lit("硕士研究生"), F.lit("学历不限"))
-    text = F.concat(F.lit("招聘单位："), F.col("c_name"), F.lit("，招聘"), (k % 40 + 1).cast("string"), F.lit("人，"), degree, F.lit("，报名 https://jobs.example.org/"), k.cast("string"), F.lit(" 。"))
-    docs = B.table(spark, sf_dir, "customer").select(k.alias("document_id"), text.alias("text"), F.lit(None).cast("timestamp").alias("published_at"))
+    degree = _case(k % 6, F.lit("本科及以上"), F.lit("硕士研究生"), F.lit("学历不限"), F.lit("本科及以上学历，博士优先"), F.lit("硕士研究生，本科阶段须为全日制"), F.lit("有硕士学位者优先"))
+    number = F.col("n")
+    chinese = F.element_at(F.array(*map(F.lit, CHINESE_NUMBERS)), F.least(number, F.lit(31)).cast("int"))
+    people = F.when((k % 4 == 1) & (number <= 31), F.concat(F.lit("招聘"), chinese, F.lit("人，"))).when(k % 4 == 2, F.concat(F.lit("按成绩前3名进入面试，招聘"), number.cast("string"), F.lit("名，")))
+    people = people.when(k % 4 == 3, F.concat(F.lit("共"), number.cast("string"), F.lit("名，"))).otherwise(F.concat(F.lit("招聘人数："), number.cast("string"), F.lit("，")))
+    text = F.concat(F.lit("招聘单位："), F.col("c_name"), F.lit("，"), people, degree, F.lit("，报名 https://jobs.example.org/"), k.cast("string"), F.lit(" 。"))
+    docs = B.table(spark, sf_dir, "customer").withColumn("n", k % 40 + 1).select(k.alias("document_id"), text.alias("text"), F.lit(None).cast("timestamp").alias("published_at"))
     return extract.extract_fields(docs).select("document_id", "organization", "headcount", F.col("education.norm").alias("education"), F.col("education.order").alias("education_order"), "apply_url")
 
 
@@ -86,11 +90,12 @@ def attachment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attachment_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as files of six kinds: two good ones, a false type, an error page, a cut one, an empty one."""
-    kind, html = F.col("page_id") % 6, F.col("html").cast("binary")
+    """Pages as files of seven kinds: two good ones, a false type, an error page, a cut one, an empty one, one of another extension."""
+    kind, html = F.col("page_id") % 7, F.col("html").cast("binary")
     begun = lambda hex_: F.concat(F.unhex(F.lit(hex_)), html)
-    content = _case(kind, begun("25504446"), begun("504B0304"), begun("D0CF11E0"), F.concat(F.lit("<HTML>").cast("binary"), html), begun("25504446"))
-    files = B.table(spark, sf_dir, "pages").select("page_id", content.alias("content"), F.when(kind == 1, XLSX).when(kind == 5, "text/plain").otherwise(PDF).alias("mime_type"), kind.alias("kind"))
+    content = _case(kind, begun("25504446"), begun("504B0304"), begun("D0CF11E0"), F.concat(F.lit("<HTML>").cast("binary"), html), begun("25504446"), F.lit(None).cast("binary"), begun("25504446"))
+    path = F.concat(F.lit("files/"), F.col("page_id").cast("string"), F.when(kind == 1, ".xlsx").when(kind == 6, ".exe").otherwise(".PDF"))
+    files = B.table(spark, sf_dir, "pages").select("page_id", path.alias("path"), content.alias("content"), F.when(kind == 1, XLSX).when(kind == 5, "text/plain").otherwise(PDF).alias("mime_type"), kind.alias("kind"))
     files = files.withColumn("length", F.octet_length("content").cast("long")).withColumn("declared_length", F.col("length") + F.when(F.col("kind") == 4, 10).otherwise(0))
     checked = attachments.route(attachments.check_length(attachments.validate_attachment(files)))
     return checked.select("page_id", "real_mime", "status", "reason", "complete", "parser")

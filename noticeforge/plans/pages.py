@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeforge import bindings as B
 from noticeforge.functions import text, urls
-from noticeforge.operators import evaluation, identity, quality
+from noticeforge.operators import evaluation, identity, quality, reporting
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,15 @@ def discovered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("body"))
+    """Pages, of each five one as it is, in upper case, with a bar in its bar, with a script in a comment, with a foot that never ends."""
+    k, html = F.col("page_id") % 5, F.col("html")
+    upper = html
+    for tag in (*text.RAW_TAGS, *text.NESTED_TAGS):
+        upper = F.regexp_replace(upper, f"<(/?){tag}\\b([^>]*)>", f"<$1{tag.upper()}$2 >")
+    nested = F.regexp_replace(html, "(<nav\\b[^>]*>)", "$1<nav class=x>inner</nav>")
+    commented = F.concat(html, F.lit("<!-- <script> --><script>var a = '<!-- </p>';</script>"))
+    made = F.when(k == 1, upper).when(k == 2, nested).when(k == 3, commented).when(k == 4, F.concat(html, F.lit("<footer>never <b>closed</b>"))).otherwise(html)
+    return B.table(spark, sf_dir, "pages").select("page_id", text.html_text(made).alias("body"))
 
 
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +97,20 @@ def repeat_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.documents(spark, sf_dir).select("document_id", text.mask_pii(F.col("raw_text")).alias("masked"))
+    """Documents, with a line of numbers made of their own."""
+    k = F.col("document_id")
+    eight = F.lpad((k % 100000000).cast("string"), 8, "0")
+    forms = ["电话138{}。", "手机：+86 139-{}", "座机010-{}转12", "证件110101{}003X号", "call +1 (415) 555-1234", "订单{}", "mail a{}@b.example"]
+    line = F.array(*(F.concat(F.lit(f.partition("{}")[0]), F.when(F.lit("{}" in f), eight).otherwise(""), F.lit(f.partition("{}")[2])) for f in forms))
+    return B.documents(spark, sf_dir).select("document_id", text.mask_pii(F.concat_ws("\n", "raw_text", F.get(line, (k % len(forms)).cast("int")))).alias("masked"))
 
 
 def masked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.documents(spark, sf_dir).select("document_id", text.mask_secrets(F.col("raw_text")).alias("masked"))
+    """Documents, with a line that holds a secret made of their number."""
+    k = F.col("document_id")
+    forms = ["Authorization: Bearer eyJ{}.abcdef", '{"api_key": "k{}", "n": 1}', "X-Api-Key: {}x", 'password="p@ss!{}" ok', "postgres://user:p{}@db/x", "got Bearer abcdefgh{} back", "the secret is {}", "密码：p{}，完"]
+    line = F.array(*(F.concat_ws("", F.lit(a), k.cast("string"), F.lit(b)) for a, _, b in (f.rpartition("{}") for f in forms)))
+    return B.documents(spark, sf_dir).select("document_id", text.mask_secrets(F.concat_ws("\n", "raw_text", F.get(line, (k % len(forms)).cast("int")))).alias("masked"))
 
 
 def distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +119,8 @@ def distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.documents(spark, sf_dir).select("document_id", "n_chars").orderBy(F.desc("n_chars"), "document_id").limit(20)
+    rows = B.documents(spark, sf_dir).select("document_id", F.col("n_chars").alias("score"), F.lit(None).cast("timestamp").alias("deadline"))
+    return reporting.top_k(rows, 20, ["document_id"]).select("document_id", F.col("score").alias("n_chars"))
 
 
 def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,8 +74,9 @@ ORACLE_SQL = {
     "current_versions": f"WITH {_DOCS} SELECT source_id, lang, max(document_id) AS document_id, arg_max(content_hash, document_id) AS content_hash FROM docs GROUP BY source_id, lang",
     "version_history": f"WITH {_DOCS}, f AS (SELECT *, CAST(floor(log2(n_chars + 1)) AS INTEGER) AS c FROM docs), g AS (SELECT *, lag(content_hash) OVER w IS DISTINCT FROM content_hash AS changed FROM f WINDOW w AS (PARTITION BY source_id, lang, c ORDER BY document_id)) SELECT document_id, CAST(sum(changed::INT) OVER (PARTITION BY source_id, lang, c ORDER BY document_id) AS BIGINT) AS version, changed FROM g",
     "repeat_hashes": f"WITH {_DOCS} SELECT content_hash, count(*) AS n FROM docs GROUP BY content_hash HAVING count(*) > 1",
-    "masked_pii": f"SELECT doc_id AS document_id, {_MASKED} AS masked FROM documents",
-    "masked_secrets": "SELECT doc_id AS document_id, regexp_replace(text, '(?i)(token|secret|password|api_key|authorization)(\\s*[=:]\\s*)\"?[A-Za-z0-9._-]+\"?', '\\1\\2***', 'g') AS masked FROM documents",
+    "masked_pii": f"SELECT doc_id AS document_id, {_MASKED} || chr(10) || CASE doc_id % 7 WHEN 0 THEN '电话[phone]。' WHEN 1 THEN '手机：[phone]' WHEN 2 THEN '座机[phone]' WHEN 3 THEN '证件[id]号' WHEN 4 THEN 'call [phone]' WHEN 5 THEN '订单' || lpad(CAST(doc_id AS VARCHAR), 8, '0') ELSE 'mail [email]' END AS masked FROM documents",
+    "masked_secrets": """SELECT doc_id AS document_id, regexp_replace(text, 'token = "[0-9a-f]{40}"', 'token = ***', 'g') || chr(10) || CASE doc_id % 8 WHEN 0 THEN 'Authorization: ***' WHEN 1 THEN '{"api_key": ***, "n": 1}' WHEN 2 THEN 'X-Api-Key: ***'
+ WHEN 3 THEN 'password=*** ok' WHEN 4 THEN 'postgres://user:***@db/x' WHEN 5 THEN 'got Bearer *** back' WHEN 6 THEN 'the secret is ' || doc_id ELSE '密码：***，完' END AS masked FROM documents""",
     "distinct_urls": f"SELECT count(DISTINCT url) AS n_url, count(DISTINCT {canonical('url')}) AS n_canonical FROM pages",
     "top_documents": "SELECT doc_id AS document_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20",
     "golden_diff": "SELECT coalesce(l.doc_id, d.doc_id) AS document_id, CAST(quality AS INTEGER) AS expected_value, CAST(n_chars >= 200 AS INTEGER) AS actual_value, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN l.doc_id IS NULL THEN 'unexpected' WHEN CAST(quality AS INTEGER) IS NOT DISTINCT FROM CAST(n_chars >= 200 AS INTEGER) THEN 'equal' ELSE 'different' END AS kind FROM labels l FULL JOIN documents d ON l.doc_id = d.doc_id",

@@ -11,6 +11,10 @@ MAGIC = (("25504446", "application/pdf"), ("504B0304", "application/vnd.openxmlf
 PARSERS = {"application/pdf": "pdf_text", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/vnd.ms-excel": "xls"}
 
 
+#: Extensions of the formats.
+EXTENSIONS = {"application/pdf": ("pdf",), "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ("xlsx",), "application/vnd.ms-excel": ("xls",)}
+
+
 def scan_attachments(spark: SparkSession, folder: str, max_size: int = MAX_SIZE) -> DataFrame:
     """Files of a folder with their SHA-256; larger ones are left out by their listing, before they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length") <= max_size)
@@ -27,7 +31,10 @@ def real_mime(content: Column) -> Column:
 
 
 def validate_attachment(files: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
-    """files with real_mime, status (ok, rejected, incomplete) and reason; needs mime_type, length, declared_length, content."""
+    """files with real_mime, status (ok, rejected, incomplete) and reason; needs mime_type, length, declared_length, content.
+
+    A path, if there is one, must have an extension of the file's real format.
+    """
     mime = real_mime(F.col("content"))
     reason = (
         F.when(F.col("content").isNull() | (F.col("length") == 0), "empty")
@@ -36,6 +43,12 @@ def validate_attachment(files: DataFrame, max_size: int = MAX_SIZE) -> DataFrame
         .when(F.coalesce(F.octet_length("content") < F.col("declared_length"), F.lit(False)), "incomplete")
         .when(~F.coalesce(mime == F.col("mime_type"), F.lit(False)), "mime_mismatch")
     )
+    if "path" in files.columns:
+        extension = F.lower(F.regexp_extract(F.regexp_replace("path", "[?#].*$", ""), r"\.([A-Za-z0-9]+)$", 1))
+        known = F.lit(False)
+        for kind, names in EXTENSIONS.items():
+            known = known | ((mime == kind) & extension.isin(*names))
+        reason = reason.when(~F.coalesce(known, F.lit(False)), "wrong_extension")
     out = files.withColumn("real_mime", mime).withColumn("reason", reason)
     return out.withColumn("status", F.when(F.col("reason").isNull(), "ok").when(F.col("reason") == "incomplete", "incomplete").otherwise("rejected"))
 
