@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticeforge.operators import identity, merge, reporting
+
 #: "Now" for positions and for runs: operators never read the clock.
 AS_OF, RUNS_AS_OF = "1998-06-15 00:00:00", "2024-01-31 00:00:00"
 TIE_BREAKS = ["post_id", "part_id", "supplier_id", "line_number", "price"]
@@ -28,7 +30,7 @@ def prefs(spark: SparkSession) -> DataFrame:
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: table(spark, sf_dir, name)
     joined = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.select(F.col("o_orderkey").alias("post_id"), F.col("c_name").alias("organization"), F.col("c_mktsegment").alias("category"), F.col("r_name").alias("region"), F.col("o_orderdate").alias("start_at"), F.concat(F.lit("https://jobs.example.org/"), F.col("o_orderkey").cast("string")).alias("link"))
+    return joined.select(F.col("o_orderkey").alias("post_id"), F.col("c_name").alias("organization"), F.col("c_mktsegment").alias("category"), F.col("r_name").alias("region"), F.col("o_orderdate").alias("start_at"), F.concat(F.lit("https://jobs.example.org/"), F.col("o_orderkey").cast("string")).alias("link"), F.concat(F.lit("https://notices.example.org/"), F.col("o_orderkey").cast("string"), F.lit(".html")).alias("original"))
 
 
 def position_id() -> Column:
@@ -57,7 +59,35 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts that have begun, each with its positions or once without."""
     begun = posts(spark, sf_dir).where(F.col("start_at") <= at(AS_OF))
-    return begun.join(positions(spark, sf_dir), "post_id", "left")
+    return reporting.posts_with_positions(begun, positions(spark, sf_dir))
+
+
+def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as notices that were fetched up to two days before their start, and again five days later."""
+    begin = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"), F.explode(F.array(begin - F.make_dt_interval(days=(F.col("o_orderkey") % 3).cast("int")), begin + F.expr("INTERVAL 5 DAYS"))).alias("fetched_at"))
+
+
+def field_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules and tables say about a notice's field; one in 97 notices contradicts itself."""
+    k = F.col("o_orderkey")
+    of = lambda source, value: F.struct(F.lit(source).alias("source_type"), value.alias("norm_value"))
+    both = F.explode(F.array(of("rule", F.col("o_orderpriority")), of("table", F.when(k % 97 == 0, "another").otherwise(F.col("o_orderpriority")))))
+    return table(spark, sf_dir, "orders").select(k.alias("entity_id"), F.lit("category").alias("field_name"), both.alias("x")).select("entity_id", "field_name", "x.*")
+
+
+def post_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of positions of each notice; one in 89 couldn't be parsed."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("post_id"), F.lit("positions").alias("kind"), F.when(k % 89 == 0, "corrupt").otherwise("ok").alias("parse_status"))
+
+
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """visible() with what is known of the posts: when they were first seen, whether their fields contradict each other, whether a table of theirs failed."""
+    seen = identity.first_seen(fetches(spark, sf_dir), ["post_id"], "fetched_at")
+    conflicts = merge.conflicts(field_candidates(spark, sf_dir)).select(F.col("entity_id").alias("post_id"))
+    begun = posts(spark, sf_dir).where(F.col("start_at") <= at(AS_OF))
+    return reporting.posts_with_positions(reporting.with_facts(begun, seen, conflicts, reporting.failed_tables(post_attachments(spark, sf_dir))), positions(spark, sf_dir))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeforge.functions.once import with_once
+
 #: Query parameters that only track; a trailing star takes all with the prefix.
 TRACKING = ("utm_*", "ref", "spm", "from", "fbclid", "gclid")
+_SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*)://"
 ATTACHMENT = r"(?i)\.(pdf|xlsx?)$"
 
 
@@ -14,16 +17,31 @@ def _tracking_pattern(names: tuple[str, ...]) -> str:
     return "^(" + "|".join(n[:-1] + ".*" if n.endswith("*") else n for n in names) + ")$"
 
 
+def with_canonical(df: DataFrame, url: Column, out: str, tracking: tuple[str, ...] = TRACKING) -> DataFrame:
+    """df with canonical_url() of an address as the column `out`, each of its parts computed once."""
+    df = with_once(df, _url=url, _bare=F.regexp_replace(url, "#.*$", ""))
+    bare = F.col("_bare")
+    df = with_once(df, _scheme=F.lower(F.regexp_extract(bare, _SCHEME, 1)), _host=F.lower(F.regexp_extract(bare, "^[^:]+://([^/?]*)", 1)), _path=_path_of(bare), _pairs=_pairs_of(bare, tracking))
+    return df.withColumn(out, _whole(F.col("_scheme"), F.col("_host"), F.col("_path"), F.col("_pairs"), F.col("_url"))).drop("_url", "_bare", "_scheme", "_host", "_path", "_pairs")
+
+
 def canonical_url(url: Column, tracking: tuple[str, ...] = TRACKING) -> Column:
     """Lower-case scheme and host, no default port, fragment, tracking parameters or trailing slash, sorted query pairs."""
     bare = F.regexp_replace(url, "#.*$", "")
-    scheme = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(bare, "^[^:]+://([^/?]*)", 1))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_replace(F.regexp_extract(bare, "^[^:]+://[^/?]*([^?]*)", 1), "/+$", "")
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
+    return _whole(F.lower(F.regexp_extract(bare, _SCHEME, 1)), F.lower(F.regexp_extract(bare, "^[^:]+://([^/?]*)", 1)), _path_of(bare), _pairs_of(bare, tracking), url)
+
+
+def _path_of(bare: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(bare, "^[^:]+://[^/?]*([^?]*)", 1), "/+$", "")
+
+
+def _pairs_of(bare: Column, tracking: tuple[str, ...]) -> Column:
     pattern = _tracking_pattern(tracking)
-    pairs = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).rlike(pattern)))
+    return F.array_sort(F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).rlike(pattern)))
+
+
+def _whole(scheme: Column, host: Column, path: Column, pairs: Column, url: Column) -> Column:
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     tail = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
     return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), tail)).otherwise(url)
 
@@ -38,9 +56,23 @@ def _without_dots(path: Column) -> Column:
 
 def resolve_link(href: Column, base: Column) -> Column:
     """href as an absolute URL, seen from the page at base; null for what isn't a web page (mailto:, javascript: and other schemes)."""
-    full = _joined(F.trim(href), base)
-    site, path, tail = (F.regexp_extract(full, "^([A-Za-z]+://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
-    return F.when(~F.trim(href).rlike("^(?i)(?!https?:)[a-z][a-z0-9+.-]*:"), F.concat(site, _without_dots(path), tail))
+    return _cleared(F.trim(href), *_cut(_joined(F.trim(href), base)))
+
+
+def with_resolved(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
+    """df with resolve_link() of two columns as the column `out`, each of its steps computed once."""
+    df = with_once(df, _full=_joined(F.trim(F.col(href)), F.col(base)))
+    site, path, tail = _cut(F.col("_full"))
+    df = with_once(df, _site=site, _path=path, _tail=tail)
+    return df.withColumn(out, _cleared(F.trim(F.col(href)), F.col("_site"), F.col("_path"), F.col("_tail"))).drop("_full", "_site", "_path", "_tail")
+
+
+def _cut(full: Column) -> tuple[Column, ...]:
+    return tuple(F.regexp_extract(full, "^([A-Za-z]+://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+
+
+def _cleared(href: Column, site: Column, path: Column, tail: Column) -> Column:
+    return F.when(~href.rlike("^(?i)(?!https?:)[a-z][a-z0-9+.-]*:"), F.concat(site, _without_dots(path), tail))
 
 
 def _joined(href: Column, base: Column) -> Column:

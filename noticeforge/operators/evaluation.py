@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeforge.sources.folders import staged
+
 #: Query vectors of one block; a block is one pass over the vectors with the block broadcast.
 QUERY_BLOCK = 4096
 #: Vectors that are compared with a block at once.
@@ -43,7 +45,12 @@ def precision_at_k(ranked: DataFrame, labels: DataFrame, key: str, by: str, orde
 def compare_versions(matches: DataFrame, first: str, second: str) -> DataFrame:
     """Per position the scores of two versions, their change and the shift of rank; one aggregate, no self join."""
     pick = lambda v: F.max(F.when(F.col("score_version") == v, F.col("score")))
-    both = matches.groupBy("position_id").agg(pick(first).alias("score_1"), pick(second).alias("score_2"))
+    return compare_scores(matches.groupBy("position_id").agg(pick(first).alias("score_1"), pick(second).alias("score_2")))
+
+
+def compare_scores(both: DataFrame) -> DataFrame:
+    """The change and the shift of rank of rows position_id, score_1 and score_2, which are written once, as the ranks read them too."""
+    both = staged(both.select("position_id", "score_1", "score_2"))
     # ranks are counts of better scores: a small histogram instead of a window over all rows
     out = both.withColumn("change", F.col("score_2") - F.col("score_1"))
     for c in ("score_1", "score_2"):

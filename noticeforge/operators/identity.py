@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeforge.functions.text import fingerprint
-from noticeforge.functions.urls import canonical_url, hrefs, is_attachment, resolve_link
+from noticeforge.functions.urls import canonical_url, hrefs, is_attachment, with_canonical, with_resolved
 
 KEY = ["source_id", "canonical_url"]
 
@@ -109,7 +109,8 @@ def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> Da
 def discover_links(pages: DataFrame, keep: list[str]) -> DataFrame:
     """One row per link to a web page: keep, position, href, link (resolved and canonical)."""
     links = pages.select(*keep, "url", F.posexplode(hrefs(F.col("html"))).alias("position", "href"))
-    return links.withColumn("link", canonical_url(resolve_link(F.col("href"), F.col("url")))).where(F.col("link").isNotNull()).drop("url")
+    found = with_resolved(links, "href", "url", "_link").where(F.col("_link").isNotNull())
+    return with_canonical(found, F.col("_link"), "link").drop("url", "_link")
 
 
 def attachment_links(links: DataFrame) -> DataFrame:

@@ -27,6 +27,12 @@ def merge_fields(candidates: DataFrame, priority: tuple[str, ...] = EVIDENCE_RAN
     return candidates.withColumn("winner", F.row_number().over(order) == 1).withColumn("conflict", F.coalesce(low != high, F.lit(False)))
 
 
+def conflicts(candidates: DataFrame) -> DataFrame:
+    """entity_id and field_name of the fields for which sources give different values."""
+    both = candidates.groupBy("entity_id", "field_name").agg(F.min("norm_value").alias("low"), F.max("norm_value").alias("high"))
+    return both.where(F.col("low") != F.col("high")).select("entity_id", "field_name")
+
+
 def evidence_lists(evidence: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return evidence.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("evidence"))
 

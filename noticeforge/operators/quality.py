@@ -25,8 +25,16 @@ def parse_success(attachments: DataFrame) -> DataFrame:
     return attachments.where(readable).agg(F.count(F.lit(1)).alias("n_readable"), F.round(F.avg(ok), 4).alias("parse_success"))
 
 
-def quality_board(runs: DataFrame, flagged: DataFrame, filled: DataFrame) -> DataFrame:
-    """Per source: run success and total minutes, duplicate rate, completeness; sources of either side stay."""
+def parse_rates(attachments: DataFrame, source: str = "source_id") -> DataFrame:
+    """Per source the attachments that could be read and the share of them that were parsed."""
+    ok = (F.col("parse_status") == "ok").cast("int")
+    readable = attachments.where(~F.col("parse_status").isin(*UNREADABLE))
+    return readable.groupBy(source).agg(F.count(F.lit(1)).alias("n_readable"), F.round(F.avg(ok), 4).alias("parse_rate"))
+
+
+def quality_board(runs: DataFrame, flagged: DataFrame, filled: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
+    """Per source: run success and total minutes, duplicate rate, completeness and, with attachments (source_id, parse_status), parse rate; sources of any side stay."""
     r = runs.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_runs"), F.round(F.avg((F.col("status") == "success").cast("int")), 4).alias("success_rate"), F.sum("minutes").alias("minutes"))
     d = duplicate_rate(flagged).select("source_id", "n_rows", "duplicate_rate")
-    return r.join(d, "source_id", "full").join(filled, "source_id", "full")
+    board = r.join(d, "source_id", "full").join(filled, "source_id", "full")
+    return board if attachments is None else board.join(parse_rates(attachments), "source_id", "full")

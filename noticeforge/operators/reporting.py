@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeforge.operators.scoring import severe
+from noticeforge.sources.folders import staged
 
 GROUPS = ("to_confirm", "closing_soon", "priority", "new_today")
 MIN_SCORE, CLOSING_HOURS = 60.0, 72
@@ -20,26 +21,50 @@ def posts_with_positions(posts: DataFrame, positions: DataFrame) -> DataFrame:
     return posts.join(positions, "post_id", "left")
 
 
-def report_group(as_of: Column, min_score: float = MIN_SCORE, closing_hours: int = CLOSING_HOURS) -> Column:
-    """The first group that a scored row belongs to; null if none."""
+def with_facts(posts: DataFrame, first_seen: DataFrame, conflicts: DataFrame, failed_tables: DataFrame) -> DataFrame:
+    """posts with first_seen (post_id, first_seen), conflict and table_failed, for posts that the other tables name."""
+    named = lambda df, flag: df.select("post_id").distinct().withColumn(flag, F.lit(True))
+    out = posts.join(first_seen.select("post_id", "first_seen"), "post_id", "left")
+    for df, flag in ((conflicts, "conflict"), (failed_tables, "table_failed")):
+        out = out.join(named(df, flag), "post_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return out
+
+
+def failed_tables(attachments: DataFrame) -> DataFrame:
+    """post_id of attachments with a table of positions that couldn't be parsed."""
+    return attachments.where((F.col("kind") == "positions") & (F.col("parse_status") != "ok")).select("post_id").distinct()
+
+
+def report_group(as_of: Column, min_score: float = MIN_SCORE, closing_hours: int = CLOSING_HOURS, columns: list[str] | tuple[str, ...] = ()) -> Column:
+    """The first group that a scored row belongs to; null if none.
+
+    columns: those of the rows. With conflict and table_failed, such rows are to be confirmed; with first_seen, new is what was discovered on the day,
+    else what starts on it.
+    """
+    unsure = severe(F.col("position_id"), F.col("start_at"), F.col("deadline"))
+    for flag in ("conflict", "table_failed"):
+        if flag in columns:
+            unsure = unsure | F.coalesce(F.col(flag), F.lit(False))
+    discovered = F.col("first_seen" if "first_seen" in columns else "start_at")
     closing = (F.col("deadline") > as_of) & (F.col("deadline") <= as_of + F.expr(f"INTERVAL {closing_hours} HOURS"))
     window_open = (F.col("start_at") <= as_of) & (F.col("deadline") > as_of)
     return (
-        F.when(severe(F.col("position_id"), F.col("start_at"), F.col("deadline")), "to_confirm")
+        F.when(unsure, "to_confirm")
         .when(closing, "closing_soon")
         .when((F.col("score") >= min_score) & window_open, "priority")
-        .when(F.to_date("start_at") == F.to_date(as_of), "new_today")
+        .when(F.to_date(discovered) == F.to_date(as_of), "new_today")
     )
 
 
 def in_groups(scored: DataFrame, as_of: Column, min_score: float = MIN_SCORE) -> DataFrame:
     """Rows that the hard filter passed and that a group takes, with report_group."""
-    return scored.where(F.col("passed")).withColumn("report_group", report_group(as_of, min_score)).where(F.col("report_group").isNotNull())
+    return scored.where(F.col("passed")).withColumn("report_group", report_group(as_of, min_score, columns=scored.columns)).where(F.col("report_group").isNotNull())
 
 
 def report_groups(scored: DataFrame, as_of: Column, tie_breaks: list[str], min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of in_groups() with their rank in the group for each preference."""
-    return ranked(in_groups(scored, as_of, min_score), ["pref_id", "report_group"], tie_breaks)
+    """The rows of in_groups(), without components, with their rank in the group for each preference. They are written once, as ranks read them twice."""
+    rows = staged(in_groups(scored, as_of, min_score).drop("components"))
+    return ranked(rows, ["pref_id", "report_group"], tie_breaks)
 
 
 def ranked(rows: DataFrame, partition: list[str], tie_breaks: list[str], ids_per_slice: int = IDS_PER_SLICE) -> DataFrame:
@@ -82,10 +107,11 @@ def top_n(rows: DataFrame, partition: list[str], n: int, tie_breaks: list[str])
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def report_lines(grouped: DataFrame, link: Column) -> DataFrame:
-    """pref_id, report_group, rank and the line: title, organisation, region, deadline, reason, risks, link."""
+def report_lines(grouped: DataFrame, link: Column, original: Column | None = None) -> DataFrame:
+    """pref_id, report_group, rank and the line: title, organisation, region, deadline, reason, risks, the link to apply and, if there is one, that of the original."""
+    flagged = lambda flag, told: [F.when(F.col(flag), told)] if flag in grouped.columns else []
     unknown = lambda c: F.coalesce(c, F.lit("?"))
-    risks = F.filter(F.array(F.when(F.col("position_id").isNull(), "no position"), F.when(F.col("deadline").isNull(), "no deadline"), F.when(F.col("deadline") < F.col("start_at"), "deadline before start"), F.when(F.col("region").isNull(), "no region")), lambda r: r.isNotNull())
+    risks = F.filter(F.array(F.when(F.col("position_id").isNull(), "no position"), F.when(F.col("deadline").isNull(), "no deadline"), F.when(F.col("deadline") < F.col("start_at"), "deadline before start"), F.when(F.col("region").isNull(), "no region"), *flagged("conflict", "fields in conflict"), *flagged("table_failed", "table not parsed")), lambda r: r.isNotNull())
     line = F.concat_ws(
         " | ",
         unknown(F.col("name")),
@@ -95,6 +121,7 @@ def report_lines(grouped: DataFrame, link: Column) -> DataFrame:
         F.array_join("matched_rules", "+"),
         F.when(F.size(risks) > 0, F.concat(F.lit("check: "), F.array_join(risks, ", "))),
         link,
+        *([] if original is None else [F.concat(F.lit("original: "), original)]),
     )
     return grouped.select("pref_id", "report_group", "rank", line.alias("line"))
 
@@ -138,9 +165,9 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report_date", "format").parquet(path)
 
 
-def generate_report(scored: DataFrame, prefs: DataFrame, report_date: Column, as_of: Column, tie_breaks: list[str], path: str, link: Column) -> None:
+def generate_report(scored: DataFrame, prefs: DataFrame, report_date: Column, as_of: Column, tie_breaks: list[str], path: str, link: Column, original: Column | None = None) -> None:
     """Make the reports of a date from scored rows and write them; the same again for the same input."""
-    lines = report_lines(report_groups(scored, as_of, tie_breaks), link).withColumn("report_date", report_date)
+    lines = report_lines(report_groups(scored, as_of, tie_breaks), link, original).withColumn("report_date", report_date)
     rendered = render_report(lines, "markdown").unionByName(render_report(lines, "html"))
     dates = prefs.sparkSession.range(1).select(report_date.alias("report_date"))
     write_reports(report_spine(prefs, dates, rendered), path)

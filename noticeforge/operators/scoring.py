@@ -155,6 +155,24 @@ def score_versions(positions: DataFrame, prefs: DataFrame, as_of: Column, versio
     return _with_totals(pairs.select("*", "_of.*").drop("_of"), as_of)
 
 
+def compared_scores(positions: DataFrame, prefs: DataFrame, as_of: Column, first: dict[str, float], second: dict[str, float]) -> DataFrame:
+    """pref_id, position_id, score_1 and score_2 by two weightings, as columns of one row; position_id null without a position."""
+    pairs = hard_filter(with_prefs(positions, prefs), as_of)
+    total = lambda weights: total_score(F.col("passed"), list(part_scores(as_of, _checked(weights)).values()))
+    return pairs.select("pref_id", "position_id", total(first).alias("score_1"), total(second).alias("score_2"))
+
+
+SEARCHED = ["position_id", "post_id", "name", "organization", "region", "category", "deadline", "score", "components", "matched_rules", "generated_at"]
+
+
+def store_matches(scored: DataFrame, path: str) -> None:
+    """Write the positions that passed, with what searches ask for, in partitions of preference and version, near each other by region and score, so that
+    a search reads few row groups. Partitions that the rows name are replaced."""
+    rows = scored.where(F.col("passed") & F.col("position_id").isNotNull()).select(*SEARCHED, "pref_id", "score_version")
+    near = rows.repartitionByRange("pref_id", "score_version", "region", "score").sortWithinPartitions("pref_id", "score_version", "region", "score")
+    near.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pref_id", "score_version").parquet(path)
+
+
 def match_results(scored: DataFrame) -> DataFrame:
     """The rows to append to the results table, one per scored position."""
     return scored.where(F.col("position_id").isNotNull()).select("position_id", "pref_id", "score", "score_version", "components", "matched_rules", "generated_at")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_RESULTS = 200
@@ -27,6 +27,12 @@ def search_jobs(rows: DataFrame, *, region: str | None = None, category: str | N
     return cap_rows(rows.orderBy(F.desc("score"), F.asc_nulls_last("deadline"), "position_id"), n, max_results)
 
 
+def search_stored(spark: SparkSession, path: str, pref_id: int, version: str, **filters) -> DataFrame:
+    """search_jobs() over the stored matches of a preference and version: a read of their partition with the filters pushed down, without any scoring."""
+    stored = spark.read.option("basePath", path).parquet(path).where((F.col("pref_id") == pref_id) & (F.col("score_version") == version))
+    return search_jobs(stored, **filters)
+
+
 def get_job_detail(posts: DataFrame, positions: DataFrame, evidence: DataFrame | None = None, attachments: DataFrame | None = None, post_id: Column | None = None) -> DataFrame:
     """One row per post with its positions, evidence and attachments as sorted arrays; each child is aggregated before the join."""
     if post_id is not None:

@@ -21,6 +21,11 @@ def time_and_presence_rules(max_headcount: int = 45) -> dict[str, tuple[Column,
     }
 
 
+def post_rules(categories: list[str], link: str = "link") -> dict[str, tuple[Column, str]]:
+    """Rules on the link and the category of a post, and on fields in conflict (a column `conflict`)."""
+    return {"bad_link": (link_rule(link), "error"), "unknown_category": (enum_rule("category", categories), "warning"), "conflict": (F.col("conflict"), "error")}
+
+
 def enum_rule(column: str, known: list[str]) -> Column:
     return F.col(column).isNotNull() & ~F.col(column).isin(known)
 

@@ -82,6 +82,15 @@ def normalised_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.with_norm(c, {"segment": (F.col("c_mktsegment"), F.lower("c_mktsegment")), "balance": (F.col("balance"), F.col("balance") % 1000)}, "entity_id")
 
 
+def evidenced_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' organisations and balances, each only where its evidence stands."""
+    c = B.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    evidence = c.select(k.alias("entity_id"), F.when(k % 4 != 0, F.col("c_name")).alias("organization_quote"), F.when(k % 3 == 0, F.col("c_acctbal").cast("string")).alias("balance_quote"))
+    rows = c.join(evidence, k == F.col("entity_id"))
+    return rows.select("entity_id", validate.require_evidence(F.col("c_name"), F.col("organization_quote")).alias("organization"), validate.require_evidence(F.col("c_acctbal"), F.col("balance_quote")).alias("balance"))
+
+
 def attachment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages, each third one as the address of a file."""
     links = identity.discover_links(B.table(spark, sf_dir, "pages"), ["page_id"])
@@ -183,6 +192,7 @@ QUERIES = {
     "notice_regions": notice_regions,
     "normalised_evidence": normalised_evidence,
     "attachment_links": attachment_links,
+    "evidenced_fields": evidenced_fields,
     "attachment_checks": attachment_checks,
     "pdf_states": pdf_states,
     "parse_success": parse_success,

@@ -19,6 +19,7 @@ SELECT post_id, CAST(n_dates AS INTEGER) AS n_dates, strftime(start_at, '%Y-%m-%
     "notice_fields": "SELECT c_custkey AS document_id, c_name AS organization, CAST(c_custkey % 40 + 1 AS INTEGER) AS headcount, CASE WHEN c_custkey % 3 = 0 THEN 'bachelor' WHEN c_custkey % 3 = 1 THEN 'master' END AS education, CAST(CASE c_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 END AS INTEGER) AS education_order, 'https://jobs.example.org/' || c_custkey AS apply_url FROM customer",
     "notice_regions": "WITH names AS (SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 100, r_name FROM region), docs AS (SELECT s_suppkey AS document_id, CASE WHEN s_suppkey % 4 = 0 THEN 'somewhere in ' || r_name ELSE 'an office in ' || n_name || ', ' || r_name END AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT document_id, (SELECT name FROM names WHERE contains(text, name) ORDER BY length(name) DESC, id LIMIT 1) AS region FROM docs",
     "normalised_evidence": "SELECT c_custkey AS entity_id, 'segment' AS field_name, c_mktsegment AS raw_value, lower(c_mktsegment) AS norm_value FROM customer WHERE c_mktsegment IS NOT NULL UNION ALL SELECT c_custkey, 'balance', CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR), CAST(CAST(floor(c_acctbal) AS BIGINT) % 1000 AS VARCHAR) FROM customer WHERE c_acctbal > 0",
+    "evidenced_fields": "SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS organization, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS balance FROM customer",
     "attachment_links": f"WITH {_LINKS}, r AS (SELECT page_id, position, {resolved('href', 'url')} AS full_link FROM links), f AS (SELECT page_id, position, CASE WHEN position % 3 = 0 THEN {canonical('full_link')} || '.PDF?v=1' ELSE {canonical('full_link')} END AS link FROM r WHERE full_link IS NOT NULL) SELECT * FROM f WHERE regexp_matches(regexp_replace(link, '[?#].*$', ''), '(?i)\\.(pdf|xlsx?)$')",
     "attachment_checks": f"SELECT page_id, CASE page_id % 7 WHEN 1 THEN '{_XLSX}' WHEN 2 THEN 'application/vnd.ms-excel' WHEN 3 THEN 'text/html' WHEN 5 THEN 'unknown' ELSE 'application/pdf' END AS real_mime, CASE page_id % 7 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 4 THEN 'incomplete' ELSE 'rejected' END AS status, CASE page_id % 7 WHEN 2 THEN 'mime_mismatch' WHEN 3 THEN 'html_error_page' WHEN 4 THEN 'incomplete' WHEN 5 THEN 'empty' WHEN 6 THEN 'wrong_extension' END AS reason, page_id % 7 NOT IN (4, 5) AS complete, CASE page_id % 7 WHEN 1 THEN 'xlsx' WHEN 5 THEN 'unsupported' ELSE 'pdf_text' END AS parser FROM pages",
     "pdf_states": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'encrypted' ELSE 'corrupt' END AS parse_status, CASE page_id % 4 WHEN 1 THEN 'needs a password' WHEN 2 THEN 'no end of file' WHEN 3 THEN 'no PDF header' END AS diagnosis FROM pages",

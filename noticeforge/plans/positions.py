@@ -19,12 +19,16 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_positions(B.visible(spark, sf_dir), B.prefs(spark), _as_of())
 
 
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_positions(B.known(spark, sf_dir), B.prefs(spark), _as_of())
+
+
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.report_groups(scored(spark, sf_dir), _as_of(), B.TIE_BREAKS)
+    return reporting.report_groups(_known(spark, sf_dir), _as_of(), B.TIE_BREAKS)
 
 
 def unranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.in_groups(scored(spark, sf_dir), _as_of())
+    return reporting.in_groups(_known(spark, sf_dir), _as_of())
 
 
 def report_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +79,8 @@ def explain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = scoring.WEIGHTS | {"keyword": 15.0, "major": 30.0}
-    rows = scoring.score_versions(B.visible(spark, sf_dir), B.prefs(spark), _as_of(), {"1": scoring.WEIGHTS, "2": other})
-    return evaluation.compare_versions(scoring.match_results(rows), "1", "2")
+    both = scoring.compared_scores(B.visible(spark, sf_dir), B.prefs(spark), _as_of(), scoring.WEIGHTS, other)
+    return evaluation.compare_scores(both.where(F.col("position_id").isNotNull()))
 
 
 def rescore_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +97,14 @@ def search_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_jobs(rows, region="ASIA", category="BUILDING", keyword="gear", open_at=_as_of(), min_score=40).select("position_id", "post_id", "name", "organization", "region", "deadline", "score")
 
 
+def search_stored_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over matches that were stored before."""
+    path = work_folder(spark)
+    scoring.store_matches(scored(spark, sf_dir), path)
+    found = search.search_stored(spark, path, 1, "1", region="ASIA", category="BUILDING", keyword="gear", open_at=_as_of(), min_score=40)
+    return found.select("position_id", "post_id", "name", "organization", "region", "deadline", "score")
+
+
 def search_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).where(F.col("passed") & F.col("position_id").isNotNull())
     return search.search_jobs(rows, n=5000, max_results=100).select("position_id", "score")
@@ -114,30 +126,26 @@ def closing_soon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def to_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.when(F.col("position_id").isNull(), "no_position").when(F.col("deadline").isNull(), "no_deadline").otherwise("deadline_before_start")
+    reason = F.when(F.col("position_id").isNull(), "no_position").when(F.col("deadline").isNull(), "no_deadline").when(F.col("deadline") < F.col("start_at"), "deadline_before_start").when(F.col("conflict"), "conflict").otherwise("table_failed")
     return unranked(spark, sf_dir).where(F.col("report_group") == "to_confirm").select("post_id", "position_id", reason.alias("reason"))
 
 
 def empty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = F.explode(F.array(*map(F.lit, reporting.GROUPS)))
-    spine = B.table(spark, sf_dir, "region").select(F.col("r_name").alias("region")).withColumn("report_group", groups)
-    counts = unranked(spark, sf_dir).groupBy("region", "report_group").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    return spine.join(counts, ["region", "report_group"], "left").select("region", "report_group", n.alias("n_items"), F.when(n == 0, "empty").otherwise("filled").alias("state"))
-
-
-def _lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    rows = grouped(spark, sf_dir)
-    return reporting.report_lines(rows, F.col("link"))
+    """The report of each nation, read as a preference for the region of its name: most have no line, and say so."""
+    day = F.to_date(_as_of())
+    prefs = B.table(spark, sf_dir, "nation").select(F.col("n_name").alias("pref_id")).unionByName(B.table(spark, sf_dir, "region").select(F.col("r_name").alias("pref_id")))
+    rendered = reporting.render_report(_by_region(spark, sf_dir).withColumnRenamed("region", "pref_id"), "markdown", ["pref_id"], 200).withColumn("report_date", day)
+    whole = reporting.report_spine(prefs, spark.range(1).select(day.alias("report_date")), rendered, ("markdown",))
+    return whole.select("pref_id", "report_date", "format", "report_group", "part", "item_count", F.when(F.col("item_count") == 0, F.col("content")).alias("told"))
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).drop("pref_id")
+    return reporting.report_lines(grouped(spark, sf_dir), F.col("link"), F.col("original")).drop("pref_id")
 
 
 def _by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report lines with a region in place of the preference."""
-    return reporting.report_lines(grouped(spark, sf_dir).withColumn("pref_id", F.col("region")), F.col("link")).withColumnRenamed("pref_id", "region")
+    return reporting.report_lines(grouped(spark, sf_dir).withColumn("pref_id", F.col("region")), F.col("link"), F.col("original")).withColumnRenamed("pref_id", "region")
 
 
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +171,13 @@ def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(B.visible(spark, sf_dir), validate.time_and_presence_rules(), ["post_id", "position_id"])
 
 
+def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules, over posts of which some have a link that is none."""
+    rows = B.known(spark, sf_dir).withColumn("link", F.when(F.col("post_id") % 53 == 0, F.concat(F.lit("javascript:open("), F.col("post_id").cast("string"), F.lit(")"))).when(F.col("post_id") % 59 != 0, F.col("link")))
+    rules = validate.time_and_presence_rules() | validate.post_rules(["BUILDING", "MACHINERY", "FURNITURE", "AUTOMOBILE"])
+    return validate.validate(rows, rules, ["post_id", "position_id"])
+
+
 def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.review_reasons(_checks(spark, sf_dir))
 
@@ -201,6 +216,7 @@ QUERIES = {
     "score_version_diff": score_version_diff,
     "rescore_idempotent": rescore_idempotent,
     "search_jobs": search_jobs,
+    "search_stored_jobs": search_stored_jobs,
     "search_capped": search_capped,
     "get_job_detail": get_job_detail,
     "report_counts": report_counts,
@@ -212,7 +228,7 @@ QUERIES = {
     "report_html": report_html,
     "message_parts": message_parts,
     "completeness": completeness,
-    "validation_issues": _checks,
+    "validation_issues": validation_issues,
     "review_reasons": review_reasons,
     "severe_excluded": severe_excluded,
     "traceability": traceability,

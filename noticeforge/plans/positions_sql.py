@@ -29,16 +29,16 @@ scored AS (SELECT *, NOT (bad_education OR bad_word OR expired) AS passed,
 GROUPED = (
     SCORED
     + """,
-grouped AS (SELECT * FROM (SELECT *, CASE WHEN severe THEN 'to_confirm' WHEN deadline > TIMESTAMP '1998-06-15' AND deadline <= TIMESTAMP '1998-06-18' THEN 'closing_soon'
-      WHEN score >= 60 AND deadline > TIMESTAMP '1998-06-15' THEN 'priority' WHEN CAST(start_at AS DATE) = DATE '1998-06-15' THEN 'new_today' END AS report_group
+grouped AS (SELECT * FROM (SELECT *, CASE WHEN severe OR post_id % 97 = 0 OR post_id % 89 = 0 THEN 'to_confirm' WHEN deadline > TIMESTAMP '1998-06-15' AND deadline <= TIMESTAMP '1998-06-18' THEN 'closing_soon'
+      WHEN score >= 60 AND deadline > TIMESTAMP '1998-06-15' THEN 'priority' WHEN CAST(start_at AS DATE) - CAST(post_id % 3 AS INTEGER) = DATE '1998-06-15' THEN 'new_today' END AS report_group
     FROM scored WHERE passed) WHERE report_group IS NOT NULL),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY report_group ORDER BY score DESC, deadline ASC NULLS LAST, post_id, part_id NULLS FIRST, supplier_id NULLS FIRST, line_number NULLS FIRST, price NULLS FIRST) AS INTEGER) AS rank FROM grouped)"""
 )
 
 _REASONS = "concat_ws(',', CASE WHEN bad_education THEN 'education' END, CASE WHEN bad_word THEN 'exclusion' END, CASE WHEN expired THEN 'expired' END)"
 _RULES = "concat_ws('+', CASE WHEN s_region > 0 THEN 'region' END, CASE WHEN s_keyword > 0 THEN 'keyword' END, CASE WHEN s_major > 0 THEN 'major' END, CASE WHEN s_organization > 0 THEN 'organization' END, CASE WHEN s_urgency > 0 THEN 'urgency' END, CASE WHEN s_completeness > 0 THEN 'completeness' END)"
-_RISKS = "concat_ws(', ', CASE WHEN position_id IS NULL THEN 'no position' END, CASE WHEN deadline IS NULL THEN 'no deadline' END, CASE WHEN deadline < start_at THEN 'deadline before start' END, CASE WHEN region IS NULL THEN 'no region' END)"
-_LINE = f"concat_ws(' | ', coalesce(name, '?'), coalesce(organization, '?'), coalesce(region, '?'), coalesce(strftime(deadline, '%Y-%m-%d'), '?'), {_RULES}, CASE WHEN {_RISKS} <> '' THEN 'check: ' || {_RISKS} END, 'https://jobs.example.org/' || post_id)"
+_RISKS = "concat_ws(', ', CASE WHEN position_id IS NULL THEN 'no position' END, CASE WHEN deadline IS NULL THEN 'no deadline' END, CASE WHEN deadline < start_at THEN 'deadline before start' END, CASE WHEN region IS NULL THEN 'no region' END, CASE WHEN post_id % 97 = 0 THEN 'fields in conflict' END, CASE WHEN post_id % 89 = 0 THEN 'table not parsed' END)"
+_LINE = f"concat_ws(' | ', coalesce(name, '?'), coalesce(organization, '?'), coalesce(region, '?'), coalesce(strftime(deadline, '%Y-%m-%d'), '?'), {_RULES}, CASE WHEN {_RISKS} <> '' THEN 'check: ' || {_RISKS} END, 'https://jobs.example.org/' || post_id, 'original: https://notices.example.org/' || post_id || '.html')"
 
 _SUPPLIER_PREFS = """
 prefs AS (SELECT s_suppkey AS pref_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE r_name END AS wanted_region, 20 + s_suppkey % 30 AS least_education,
@@ -68,17 +68,21 @@ SELECT pref_id, position_id, score FROM pairs WHERE score >= 75""",
     "get_job_detail": f"WITH {VISIBLE} SELECT post_id, any_value(organization) AS organization, any_value(region) AS region, count(position_id) AS n_positions, coalesce(string_agg(position_id || ':' || name, ';' ORDER BY position_id), '') AS position_list FROM visible GROUP BY post_id",
     "report_counts": f"WITH {GROUPED} SELECT report_group, count(*) AS n_items FROM grouped GROUP BY report_group",
     "closing_soon": f"WITH {GROUPED} SELECT position_id, deadline, score FROM grouped WHERE report_group = 'closing_soon'",
-    "to_confirm": f"WITH {GROUPED} SELECT post_id, position_id, CASE WHEN position_id IS NULL THEN 'no_position' WHEN deadline IS NULL THEN 'no_deadline' ELSE 'deadline_before_start' END AS reason FROM grouped WHERE report_group = 'to_confirm'",
-    "empty_report": f"WITH {GROUPED}, spine AS (SELECT r_name AS region, g AS report_group FROM region, (SELECT unnest(['to_confirm', 'closing_soon', 'priority', 'new_today']) AS g)) SELECT s.region, s.report_group, count(x.post_id) AS n_items, CASE WHEN count(x.post_id) = 0 THEN 'empty' ELSE 'filled' END AS state FROM spine s LEFT JOIN grouped x ON s.region = x.region AND s.report_group = x.report_group GROUP BY ALL",
+    "to_confirm": f"WITH {GROUPED} SELECT post_id, position_id, CASE WHEN position_id IS NULL THEN 'no_position' WHEN deadline IS NULL THEN 'no_deadline' WHEN deadline < start_at THEN 'deadline_before_start' WHEN post_id % 97 = 0 THEN 'conflict' ELSE 'table_failed' END AS reason FROM grouped WHERE report_group = 'to_confirm'",
+    "empty_report": f"""WITH {GROUPED}, prefs AS (SELECT n_name AS pref_id FROM nation UNION SELECT r_name FROM region), cut AS (SELECT region, report_group, CAST((rank - 1) // 200 AS INTEGER) AS part, count(*) AS n FROM ranked GROUP BY ALL)
+SELECT pref_id, DATE '1998-06-15' AS report_date, 'markdown' AS format, report_group, coalesce(part, 0) AS part, coalesce(n, 0) AS item_count, CASE WHEN n IS NULL THEN 'No positions today.' END AS told FROM prefs LEFT JOIN cut ON pref_id = region""",
     "report_lines": f"WITH {GROUPED} SELECT report_group, rank, {_LINE} AS line FROM ranked",
     "report_markdown": f"WITH {GROUPED}, l AS (SELECT region, report_group, CAST((rank - 1) // 200 AS INTEGER) AS part, rank, {_LINE} AS line FROM ranked) SELECT region, report_group, part, 'markdown' AS format, CASE WHEN part = 0 THEN '## ' || report_group || chr(10) ELSE '' END || string_agg('- ' || line, chr(10) ORDER BY rank) AS content, count(*) AS item_count FROM l GROUP BY region, report_group, part",
     "report_html": f"WITH {GROUPED}, l AS (SELECT region, report_group, CAST((rank - 1) // 200 AS INTEGER) AS part, rank, '<p>' || replace(replace(replace(replace({_LINE}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>' AS line FROM ranked) SELECT region, report_group, part, 'html' AS format, CASE WHEN part = 0 THEN '<h2>' || report_group || '</h2>' ELSE '' END || string_agg(line, '' ORDER BY rank) AS content, count(*) AS item_count FROM l GROUP BY region, report_group, part",
     "message_parts": f"WITH RECURSIVE {GROUPED}, l AS (SELECT region, report_group, rank, (rank - 1) // 500 AS b, CAST(length({_LINE}) AS INTEGER) AS n, row_number() OVER (PARTITION BY region, report_group, (rank - 1) // 500 ORDER BY rank) AS k FROM ranked), m AS (SELECT region, report_group, b, k, n AS used, 0 AS part FROM l WHERE k = 1 UNION ALL SELECT l.region, l.report_group, l.b, l.k, CASE WHEN used + n <= 500 THEN used + n ELSE n END, CASE WHEN used + n <= 500 THEN part ELSE part + 1 END FROM m JOIN l ON l.region = m.region AND l.report_group = m.report_group AND l.b = m.b AND l.k = m.k + 1) SELECT region, report_group, rank, n, CAST(b * 500 + part AS BIGINT) AS part FROM l JOIN m USING (region, report_group, b, k)",
     "completeness": f"WITH {VISIBLE}, rows AS (SELECT region AS part, organization, name, region, deadline FROM visible UNION ALL SELECT 'all', organization, name, region, deadline FROM visible) SELECT part, count(*) AS n_rows, round(sum((organization IS NOT NULL)::INT + (name IS NOT NULL)::INT + (region IS NOT NULL)::INT + (deadline IS NOT NULL)::INT + 1) / (5.0 * count(*)), 4) AS filled_share, count(*) FILTER (WHERE organization IS NOT NULL AND name IS NOT NULL AND region IS NOT NULL AND deadline IS NOT NULL) AS n_complete FROM rows GROUP BY part",
-    "validation_issues": f"WITH {VISIBLE}, x AS (SELECT post_id, position_id, unnest(list_filter([CASE WHEN position_id IS NULL THEN 'missing_position:error' END, CASE WHEN deadline IS NULL THEN 'missing_deadline:error' END, CASE WHEN deadline < start_at THEN 'deadline_before_start:error' END, CASE WHEN headcount > 45 THEN 'large_headcount:warning' END], lambda r: r IS NOT NULL)) AS v FROM visible) SELECT post_id, position_id, string_split(v, ':')[1] AS reason, string_split(v, ':')[2] AS severity FROM x",
+    "validation_issues": f"""WITH {VISIBLE}, x AS (SELECT post_id, position_id, unnest(list_filter([CASE WHEN position_id IS NULL THEN 'missing_position:error' END, CASE WHEN deadline IS NULL THEN 'missing_deadline:error' END, CASE WHEN deadline < start_at THEN 'deadline_before_start:error' END, CASE WHEN headcount > 45 THEN 'large_headcount:warning' END,
+  CASE WHEN post_id % 53 = 0 OR post_id % 59 = 0 THEN 'bad_link:error' END, CASE WHEN category = 'HOUSEHOLD' THEN 'unknown_category:warning' END, CASE WHEN post_id % 97 = 0 THEN 'conflict:error' END], lambda r: r IS NOT NULL)) AS v FROM visible)
+SELECT post_id, position_id, string_split(v, ':')[1] AS reason, string_split(v, ':')[2] AS severity FROM x""",
     "review_reasons": f"WITH {VISIBLE}, x AS (SELECT unnest(list_filter([CASE WHEN position_id IS NULL THEN 'missing_position:error' END, CASE WHEN deadline IS NULL THEN 'missing_deadline:error' END, CASE WHEN deadline < start_at THEN 'deadline_before_start:error' END, CASE WHEN headcount > 45 THEN 'large_headcount:warning' END], lambda r: r IS NOT NULL)) AS v FROM visible) SELECT string_split(v, ':')[1] AS reason, string_split(v, ':')[2] AS severity, count(*) AS n FROM x GROUP BY ALL",
     "severe_excluded": f"WITH {SCORED} SELECT region, count(*) AS n_recommendable, max(score) AS best FROM scored WHERE NOT severe GROUP BY region",
     "traceability": f"WITH {GROUPED} SELECT report_group, count(*) AS n_lines, count(*) FILTER (WHERE o_orderkey IS NOT NULL) AS n_traced, round(avg((o_orderkey IS NOT NULL)::INT), 4) AS rate FROM grouped LEFT JOIN orders ON post_id = o_orderkey AND o_orderstatus <> 'P' GROUP BY report_group",
     "trace_lines": f"WITH {GROUPED} SELECT report_group, rank, post_id, CASE WHEN o_orderkey IS NOT NULL THEN 'https://jobs.example.org/' || o_orderkey END AS source_link FROM ranked LEFT JOIN orders ON post_id = o_orderkey AND o_orderstatus <> 'P'",
     "major_match_sets": f"WITH {VISIBLE} SELECT position_id, (contains(name, 'widget')::INT + contains(name, 'gear')::INT) AS n_hits, trim(concat_ws(',', CASE WHEN contains(name, 'gear') THEN 'gear' END, CASE WHEN contains(name, 'widget') THEN 'widget' END)) AS hits FROM visible WHERE contains(name, 'widget') OR contains(name, 'gear')",
 }
+ORACLE_SQL["search_stored_jobs"] = ORACLE_SQL["search_jobs"]

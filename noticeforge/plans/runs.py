@@ -181,7 +181,8 @@ def quality_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = identity.duplicate_flags(docs.select("document_id", "source_id", "content_hash"), [F.asc("document_id")], keys=("content_hash",))
     long_texts = docs.select("source_id", F.when(F.col("n_chars") >= 200, F.col("n_chars")).alias("n_chars"), "lang")
     filled = quality.completeness(long_texts, ["n_chars", "lang"], "source_id").where(F.col("source_id_key").isNotNull()).select(F.col("source_id_key").alias("source_id"), "filled_share")
-    return quality.quality_board(log, flagged, filled)
+    status = F.element_at(F.array(*map(F.lit, ("ok", "ok", "partial", "corrupt", "ok", "encrypted", "ok"))), (F.col("document_id") % 7 + 1).cast("int"))
+    return quality.quality_board(log, flagged, filled, docs.select("source_id", status.alias("parse_status")))
 
 
 QUERIES = {

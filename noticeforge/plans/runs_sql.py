@@ -40,5 +40,5 @@ ORACLE_SQL = {
     "field_conflicts": f"WITH {_MERGED} SELECT entity_id, bool_or(conflict) AS conflict, count(DISTINCT norm_value) AS n_values FROM merged GROUP BY entity_id",
     "evidence_lists": "SELECT conv_id, string_agg(turn || ':' || role || ':' || length(text), ';' ORDER BY turn, role, length(text)) AS evidence, count(*) AS n_evidence FROM conversations GROUP BY conv_id",
     "evidence_gaps": "SELECT conv_id, field_name FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest(['system', 'user', 'assistant']) AS field_name) WHERE (conv_id, field_name) NOT IN (SELECT (conv_id, role) FROM conversations)",
-    "quality_board": f"WITH r AS (SELECT 'src' || user_id % 20 AS source_id, count(*) AS n_runs, round(avg((event_type <> 'error')::INT), 4) AS success_rate, sum(CAST(value AS DECIMAL(12,2))) AS minutes FROM events GROUP BY 1), d AS (SELECT source AS source_id, n_chars, lang, row_number() OVER (PARTITION BY source, {hashed('text')} ORDER BY doc_id) > 1 AS dup FROM documents), q AS (SELECT source_id, count(*) AS n_rows, round(avg(dup::INT), 4) AS duplicate_rate, round(sum((n_chars >= 200)::INT + (lang IS NOT NULL)::INT) / (2.0 * count(*)), 4) AS filled_share FROM d GROUP BY source_id) SELECT source_id, n_runs, success_rate, minutes, n_rows, duplicate_rate, filled_share FROM r FULL JOIN q USING (source_id)",
+    "quality_board": f"WITH r AS (SELECT 'src' || user_id % 20 AS source_id, count(*) AS n_runs, round(avg((event_type <> 'error')::INT), 4) AS success_rate, sum(CAST(value AS DECIMAL(12,2))) AS minutes FROM events GROUP BY 1), d AS (SELECT source AS source_id, n_chars, lang, row_number() OVER (PARTITION BY source, {hashed('text')} ORDER BY doc_id) > 1 AS dup FROM documents), q AS (SELECT source_id, count(*) AS n_rows, round(avg(dup::INT), 4) AS duplicate_rate, round(sum((n_chars >= 200)::INT + (lang IS NOT NULL)::INT) / (2.0 * count(*)), 4) AS filled_share FROM d GROUP BY source_id) , a AS (SELECT source AS source_id, count(*) AS n_readable, round(avg((doc_id % 7 <> 2)::INT), 4) AS parse_rate FROM documents WHERE doc_id % 7 NOT IN (3, 5) GROUP BY 1) SELECT source_id, n_runs, success_rate, minutes, n_rows, duplicate_rate, filled_share, n_readable, parse_rate FROM r FULL JOIN q USING (source_id) FULL JOIN a USING (source_id)",
 }

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeforge import bindings as B
-from noticeforge.operators import dictionary, evaluation, extract, merge, reporting, runs, scoring, tables, validate
+from noticeforge.operators import dictionary, evaluation, extract, identity, merge, quality, reporting, runs, scoring, search, tables, validate
 from noticeforge.schemas import SCHEMAS
 
 NOW = datetime(2026, 3, 1)
@@ -95,6 +95,64 @@ def test_report_groups_order_and_texts(spark, folder):
     assert [r.item_count for r in parts] == [3, 3, 1] and parts[0].content == "## priority\n- line 1\n- line 2\n- line 3" and parts[2].content == "- line 7"
 
 
+def test_groups_by_discovery_conflict_and_failed_tables(spark):
+    """What was first seen today is new whenever it starts; fields in conflict and tables that failed are to be confirmed, before anything else."""
+    far = {"region": "X", "major": "X", "category": "X", "name": "clerk"}
+    rows = [
+        position("old start", 900, post_id=1, **far), position("new", 900, post_id=2, start_at=NOW - timedelta(days=30), **far), position("again", 900, post_id=3, start_at=NOW, **far),
+        position("conflict", 24, post_id=4), position("table", 500, post_id=5), position("close", 24, post_id=6), position("prio", 500, post_id=7), position("rejected", 24, post_id=4, name="bad dev"),
+    ]
+    posts = spark.createDataFrame(rows, POSITION)
+    day = timedelta(days=1)
+    fetched = spark.createDataFrame([(1, NOW - day), (2, NOW), (2, NOW + day), (3, NOW - 9 * day), (3, NOW), (4, NOW), (5, NOW), (6, NOW), (7, NOW)], "post_id long, fetched_at timestamp")
+    candidates = spark.createDataFrame([(4, "deadline", "rule", "a"), (4, "deadline", "table", "b"), (6, "deadline", "rule", "a"), (6, "deadline", "table", None), (6, "deadline", "llm", "a"), (4, "title", "rule", "x")], "entity_id long, field_name string, source_type string, norm_value string")
+    conflicts = merge.conflicts(candidates)
+    assert [tuple(r) for r in conflicts.collect()] == [(4, "deadline")]
+    files = spark.createDataFrame([(5, "positions", "corrupt"), (6, "positions", "ok"), (7, "notice", "corrupt")], "post_id long, kind string, parse_status string")
+    known = reporting.with_facts(posts, identity.first_seen(fetched, ["post_id"], "fetched_at"), conflicts.withColumnRenamed("entity_id", "post_id"), reporting.failed_tables(files))
+    assert known.count() == len(rows)
+    scored = scoring.score_positions(known, spark.createDataFrame([FULL], SCHEMAS["user_preferences"]), F.lit(NOW))
+    grouped = reporting.report_groups(scored, F.lit(NOW), ["position_id"])
+    assert {r.position_id: r.report_group for r in grouped.collect()} == {"new": "new_today", "conflict": "to_confirm", "table": "to_confirm", "close": "closing_soon", "prio": "priority"}
+    lines = {r.line.split(" | ")[-1]: r.line for r in reporting.report_lines(grouped, F.col("link"), F.concat(F.lit("o"), F.col("post_id").cast("string"))).collect()}
+    assert " | check: fields in conflict | l | " in lines["original: o4"] and "table not parsed | l" in lines["original: o5"] and "check" not in lines["original: o7"]
+
+
+def test_all_rules_of_posts(spark):
+    rows = [(1, "p", NOW, NOW, 3, "http://e.com/x", "A", False), (2, "q", NOW, None, 99, "javascript:x", "Z", True), (3, None, NOW, NOW - timedelta(1), None, None, None, None)]
+    df = spark.createDataFrame(rows, "post_id long, position_id string, start_at timestamp, deadline timestamp, headcount int, link string, category string, conflict boolean")
+    found = validate.validate(df, validate.time_and_presence_rules() | validate.post_rules(["A", "B"]), ["post_id"])
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (2, "bad_link", "error"), (2, "conflict", "error"), (2, "large_headcount", "warning"), (2, "missing_deadline", "error"), (2, "unknown_category", "warning"),
+        (3, "bad_link", "error"), (3, "deadline_before_start", "error"), (3, "missing_position", "error"),
+    ]
+
+
+def test_search_over_stored_matches(spark, folder):
+    """The same rows as a search over scores; the plan reads one partition with its filters, and joins nothing."""
+    rows = [position(f"p{k}", 24 * (k % 40 - 5), region="RST"[k % 3], name="dev" if k % 2 else "clerk", education=k % 5) for k in range(200)]
+    df, prefs = spark.createDataFrame(rows, POSITION), spark.createDataFrame([FULL, NEUTRAL], SCHEMAS["user_preferences"])
+    for version in ("1", "2"):
+        scoring.store_matches(scoring.score_positions(df, prefs, F.lit(NOW), version), f"{folder}/s")
+    options = {"region": "R", "keyword": "dev", "open_at": F.lit(NOW), "min_score": 50.0}
+    found = search.search_stored(spark, f"{folder}/s", 1, "2", **options)
+    want = search.search_jobs(scoring.score_positions(df, prefs, F.lit(NOW)).where("passed and pref_id = 1"), **options)
+    key = lambda df: [(r.position_id, r.score, r.region) for r in df.collect()]
+    assert key(found) == key(want) != []
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = search.search_stored(spark, f"{folder}/s", 1, "2", **options).select("position_id", "score")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(pref_id" in plan and "EqualTo(region,R)" in plan and "GreaterThanOrEqual(score,50.0)" in plan and "StringContains(name,dev)" in plan and "Join" not in plan
+
+
+def test_parse_rates_on_the_board(spark):
+    runs_ = spark.createDataFrame([("a", "success", 1.0), ("b", "failed", 2.0)], "source_id string, status string, minutes double")
+    flagged = spark.createDataFrame([("a", False)], "source_id string, duplicate boolean")
+    filled = spark.createDataFrame([("a", 1.0)], "source_id string, filled_share double")
+    files = spark.createDataFrame([("a", "ok"), ("a", "partial"), ("a", "encrypted"), ("c", "ok")], "source_id string, parse_status string")
+    board = {r.source_id: (r.success_rate, r.n_readable, r.parse_rate) for r in quality.quality_board(runs_, flagged, filled, files).collect()}
+    assert board == {"a": (1.0, 2, 0.5), "b": (0.0, None, None), "c": (None, 1, 1.0)}
+
+
 def test_message_parts(spark):
     lines = spark.createDataFrame([(1, k + 1, n) for k, n in enumerate([5, 6, 3, 9, 2, 2, 11, 1])], "report_id long, rank int, n int")
     parts = reporting.message_parts(lines, 10, ["report_id"], "n")

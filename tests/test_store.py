@@ -99,6 +99,8 @@ def test_attachments(spark, folder):
     assert {r.path[0]: r.parser for r in attachments.route(files, {"application/pdf": "p"}).collect()}["d"] == "unsupported"
     raw = spark.createDataFrame([(1, pdf), (2, b"%PDF /Encrypt %%EOF"), (3, b"%PDF cut"), (4, b"PK"), (5, None)], "id long, content binary")
     assert {r.id: r.parse_status for r in attachments.pdf_status(raw).collect()} == {1: "ok", 2: "encrypted", 3: "corrupt", 4: "corrupt", 5: "corrupt"}
+    named = spark.createDataFrame([(p, n, n, "application/pdf", pdf) for p, n in (("x/a.PDF", 19), ("b.exe", 19), ("c", 19), ("d.pdf?v=1", 19))], "path string, length long, declared_length long, mime_type string, content binary")
+    assert [r.reason for r in attachments.validate_attachment(named).collect()] == [None, "wrong_extension", "wrong_extension", None]
     pages_ = spark.createDataFrame([(1, 1, "x" * 80 + "\n\nsecond"), (2, 1, " "), (2, 2, None)], "attachment_id long, page int, text string")
     assert {r.attachment_id: r.parse_status for r in attachments.flag_scans(pages_).collect()} == {1: "ok", 2: "ocr_required"}
     assert [(r.block_no, r.text) for r in attachments.to_blocks(pages_).where("attachment_id = 1").collect()][1] == (1, "second")
