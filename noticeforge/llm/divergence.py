@@ -41,7 +41,7 @@ PAIR_BYTES = 32 << 20
 #: Documents of a source are counted under this term, which no text has.
 NO_TERM = ""
 POSTINGS = "array<struct<source:string,n:long>>"
-#: A piece: terms parted by spaces, of each its documents and its number of postings, and the postings of all: sources (by their place in `sources`) and occurrences.
+#: A piece: terms, each followed by a space, of each its documents and its number of postings, and the postings of all: sources (by their place in `sources`) and occurrences.
 PIECES = "lang string, terms string, n_docs array<long>, sizes array<int>, sources array<string>, codes array<int>, counts array<long>"
 
 
@@ -123,21 +123,21 @@ class Block:
                 i = slice(a, min(a + PIECE, bounds[k + 1]))
                 own = slice(at[i.start], at[i.stop] if i.stop < len(at) else len(h))
                 size = np.where(real[i], sizes[place[i]], 0) if len(sizes) else np.zeros(i.stop - i.start, np.int64)
-                flat, _ = spans_of(letters, begin[place[i]] if len(sizes) else size, size, gap=True)
+                flat = spans_of(letters, begin[place[i]] if len(sizes) else size, size, 1)[0]
                 codes, used = np.unique(source[own], return_inverse=True)
                 out.append({"lang": name, "terms": flat.tobytes().decode(), "n_docs": n_docs[i], "sizes": per_term[i], "sources": [sources[c] for c in codes], "codes": used, "counts": n[own]})
         self.clear()
         return out
 
 
-def spans_of(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gap: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the spans one after another, with a space after each but the last if `gap`, and their sizes."""
+def spans_of(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after another, each followed by `gap` spaces, and their sizes."""
     wide = sizes + gap
     to = np.cumsum(wide) - wide
     out = np.full(int(wide.sum()), 32, np.uint8)
-    inside = np.repeat(to - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    out[inside] = buf[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-    return (out[:-1] if gap else out), sizes
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(to, sizes) + inside] = buf[np.repeat(starts, sizes) + inside]
+    return out, sizes
 
 
 def lang_salt(lang: str) -> int:
@@ -145,13 +145,18 @@ def lang_salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def keys_of(lang: str, terms: str) -> np.ndarray:
-    """The keys of terms that spaces part; NO_TERM has one too."""
-    buf = np.frombuffer(f"{terms} ".encode(), np.uint8)
+def terms_of(column: pa.Array, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of terms, each followed by a space: all bytes, starts and ends of the terms, their keys, and the row of each. langs: of the rows."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    buf = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if len(column) and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
     ends = np.flatnonzero(buf == 32)
-    starts = np.append(0, ends[:-1] + 1)
+    starts = np.append(0, ends + 1)[:-1]
+    row = np.searchsorted(offsets - offsets[0], ends, side="right") - 1 if len(column) else ends
+    salts = {x: np.uint64(lang_salt(x)) for x in set(langs)}
     h = np.where(ends > starts, span_hashes(buf, starts, ends, LOWER_VALUES), np.uint64(0))
-    return mix(h ^ np.uint64(lang_salt(lang)))
+    return buf, starts, ends, mix(h ^ np.array([salts[x] for x in langs], np.uint64)[row]), row
 
 
 def _pieces(rows: list[dict], more: dict[str, list]) -> pa.RecordBatch:
@@ -191,102 +196,104 @@ def spilled_runs(docs: DataFrame, lang: str, source: str, text: str) -> DataFram
 
 
 def _dealt(bits: int):
-    """A step that cuts pieces where their keys pass from one of 2**bits shards to the next."""
+    """A step that cuts pieces where their keys pass from one of 2**bits shards to the next. Terms and postings stay where they are; only bounds are new."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                rows, more = [], {"shard": [], "run": [], "place": []}
-                for r in batch.slice(at, 16).to_pylist():
-                    shard = (keys_of(r["lang"], r["terms"]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(r["sizes"]), np.int64)
-                    cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)).tolist()
-                    ends, terms = np.append(0, np.cumsum(r["sizes"])).tolist(), r["terms"].split(" ") if len(cuts) > 2 else None
-                    for a, b in zip(cuts[:-1], cuts[1:]):
-                        own = slice(ends[a], ends[b])
-                        rows.append({**r, "terms": " ".join(terms[a:b]) if terms else r["terms"], "n_docs": r["n_docs"][a:b], "sizes": r["sizes"][a:b], "codes": r["codes"][own], "counts": r["counts"][own]})
-                        for c, v in (("shard", int(shard[a])), ("run", r["run"]), ("place", r["place"])):
-                            more[c].append(v)
-                yield _pieces(rows, more)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                of = {c: part.column(k) for k, c in enumerate(part.schema.names)}
+                buf, starts, _, key, row = terms_of(of["terms"], of["lang"].to_pylist())
+                shard = (key >> np.uint64(64 - bits)).astype(np.int64)
+                cut = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (row[1:] != row[:-1])))
+                bounds = np.append(cut, len(key))
+                postings = np.append(0, np.cumsum(of["sizes"].flatten().to_numpy()))[bounds]
+                text = np.append(starts[cut], len(buf))
+                lists = lambda c, to: pa.ListArray.from_arrays(pa.array(to, pa.int32()), of[c].flatten())  # noqa: E731, B023
+                rows = pa.array(row[cut])
+                terms = pa.StringArray.from_buffers(len(cut), pa.py_buffer(text.astype(np.int32).tobytes()), pa.py_buffer(buf.tobytes()))
+                columns = [pa.array(shard[cut]), of["run"].take(rows), of["place"].take(rows), of["lang"].take(rows), terms, lists("n_docs", bounds), lists("sizes", bounds), of["sources"].take(rows), lists("codes", postings), lists("counts", postings)]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "run", "place", "lang", "terms", "n_docs", "sizes", "sources", "codes", "counts"])
 
     return step
 
 
-class _Run:
-    """One sorted run of a language in a shard: keys, terms, and postings by the codes of the shard's sources."""
-
-    def __init__(self, lang: str, pieces: list[dict], code: dict[str, int]):
-        self.key = np.concatenate([keys_of(lang, p["terms"]) for p in pieces])
-        self.terms = [t for p in pieces for t in p["terms"].split(" ")]
-        self.n_docs = np.concatenate([np.array(p["n_docs"], np.int64) for p in pieces])
-        self.ends = np.append(0, np.cumsum(np.concatenate([np.array(p["sizes"], np.int64) for p in pieces])))
-        self.source = np.concatenate([np.array([code[x] for x in p["sources"]], np.int64)[np.array(p["codes"], np.int64)] for p in pieces])
-        self.counts = np.concatenate([np.array(p["counts"], np.int64) for p in pieces])
-        self.at = 0
-
-    def bound(self) -> int:
-        """The key up to which the next CHUNK terms go."""
-        return int(self.key[min(self.at + CHUNK, len(self.key)) - 1])
-
-    def upto(self, key: int) -> tuple[int, int]:
-        a, self.at = self.at, int(np.searchsorted(self.key, np.uint64(key), side="right"))
-        return a, self.at
-
-
-def merged_terms(own: list[_Run], min_docs: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
-    """term, documents, codes of sources and occurrences of the terms that min_docs documents hold (and of NO_TERM), from the sorted runs of a language.
-
-    A heap holds for each run the key that its next terms end with. The least of these bounds what can be merged: all runs give their
+class Shard:
+    """All runs of a shard: keys and bytes of terms, documents, and postings by the codes of the shard's sources; and where each run of a language begins and ends."""
+
+    def __init__(self, table: pa.Table):
+        names, lang = np.unique(np.array(table.column("lang").to_pylist(), object), return_inverse=True)
+        order = np.lexsort((table.column("place").to_numpy(), table.column("run").to_numpy(), lang))
+        table = table.take(pa.array(order)).combine_chunks()
+        of = {c: table.column(c).chunk(0) for c in table.column_names}
+        lang, run = lang[order], of["run"].to_numpy()
+        self.buf, self.starts, self.ends, self.key, row = terms_of(of["terms"], names[lang].tolist())
+        self.docs = of["n_docs"].flatten().to_numpy()
+        self.sizes = of["sizes"].flatten().to_numpy().astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.counts = of["counts"].flatten().to_numpy()
+        self.sources, code = np.unique(np.array(of["sources"].flatten().to_pylist(), object), return_inverse=True)
+        begin = of["sources"].offsets.to_numpy() - of["sources"].offsets[0].as_py()
+        self.source = code[np.repeat(begin[:-1][row], self.sizes) + of["codes"].flatten().to_numpy()]
+        new = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (run[1:] != run[:-1])))
+        bounds = np.searchsorted(row, np.append(new, table.num_rows))
+        self.runs: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for k, a, b in zip(new.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            self.runs[names[lang[k]]].append((a, b))
+
+    def term(self, k: int) -> str:
+        return self.buf[self.starts[k] : self.ends[k]].tobytes().decode()
+
+
+def merged_terms(shard: Shard, runs_: list[tuple[int, int]], min_docs: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Place, documents, codes of sources and occurrences of the terms that min_docs documents hold (and of NO_TERM), from the sorted runs of a language.
+
+    A heap holds for each run the key that its next CHUNK terms end with. The least of these bounds what can be merged: all runs give their
     terms up to it, and nothing later can belong to them.
     """
-    heap = [(x.bound(), k) for k, x in enumerate(own)]
+    at = [a for a, _ in runs_]
+    bound_of = lambda k: int(shard.key[min(at[k] + CHUNK, runs_[k][1]) - 1])
+    heap = [(bound_of(k), k) for k, (a, b) in enumerate(runs_) if b > a]
     heapq.heapify(heap)
     while heap:
-        bound = heap[0][0]
-        spans = [(x, *x.upto(bound)) for x in own]
+        bound, parts = heap[0][0], []
+        for k, (_, end) in enumerate(runs_):
+            to = at[k] + int(np.searchsorted(shard.key[at[k] : end], np.uint64(bound), side="right"))
+            parts.append(np.arange(at[k], to))
+            at[k] = to
         while heap and heap[0][0] <= bound:
             _, k = heapq.heappop(heap)
-            if own[k].at < len(own[k].key):
-                heapq.heappush(heap, (own[k].bound(), k))
-        spans = [(x, a, b) for x, a, b in spans if b > a]
-        key = np.concatenate([x.key[a:b] for x, a, b in spans])
-        docs = np.concatenate([x.n_docs[a:b] for x, a, b in spans])
-        names = list(itertools.chain.from_iterable(x.terms[a:b] for x, a, b in spans))
-        unique, first, group = np.unique(key, return_index=True, return_inverse=True)
-        n_docs = np.bincount(group, docs, len(unique)).astype(np.int64)
-        kept = np.flatnonzero((n_docs >= min_docs) | np.array([names[i] == NO_TERM for i in first.tolist()], bool))
-        if not len(kept):
-            continue
-        part = [(x.source[x.ends[a] : x.ends[b]], x.counts[x.ends[a] : x.ends[b]], np.diff(x.ends[a : b + 1])) for x, a, b in spans]
-        source, n = np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
-        of = np.repeat(group, np.concatenate([x[2] for x in part]))
-        some = np.isin(of, kept)
-        source, n, of = source[some], n[some], of[some]
+            if at[k] < runs_[k][1]:
+                heapq.heappush(heap, (bound_of(k), k))
+        place = np.concatenate(parts)
+        _, first, group = np.unique(shard.key[place], return_index=True, return_inverse=True)
+        n_docs = np.bincount(group, shard.docs[place], len(first)).astype(np.int64)
+        names = place[first]
+        kept = np.flatnonzero((n_docs >= min_docs) | (shard.starts[names] == shard.ends[names]))
+        some = np.isin(group, kept)
+        place, group = place[some], group[some]
+        sizes = shard.sizes[place]
+        flat = np.repeat(shard.first[place] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        of, source, n = np.repeat(group, sizes), shard.source[flat], shard.counts[flat]
         order = np.lexsort((source, of))
-        source, n, of = source[order], n[order], of[order]
-        at = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (source[1:] != source[:-1])))
-        n, source, of = np.add.reduceat(n, at), source[at], of[at]
-        for k in kept.tolist():
-            a, b = np.searchsorted(of, [k, k + 1])
-            yield names[first[k]], int(n_docs[k]), source[a:b], n[a:b]
+        of, source, n = of[order], source[order], n[order]
+        new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (source[1:] != source[:-1])))[: len(of)]
+        if len(new):
+            n, source, of = np.add.reduceat(n, new), source[new], of[new]
+        for k, a, b in zip(kept.tolist(), np.searchsorted(of, kept).tolist(), np.searchsorted(of, kept + 1).tolist()):
+            yield names[k], int(n_docs[k]), source[a:b], n[a:b]
 
 
 def merged_runs(table: pa.Table, min_docs: int) -> pa.Table:
     """lang, term, n_docs and postings of the kept terms of a shard."""
-    by_run: dict[tuple[str, int], list[tuple[int, dict]]] = defaultdict(list)
-    for r in table.to_pylist():
-        by_run[r["lang"], r["run"]].append((r["place"], r))
-    sources = sorted({x for pieces in by_run.values() for _, r in pieces for x in r["sources"]})
-    code = {x: k for k, x in enumerate(sources)}
-    by_lang: dict[str, list[_Run]] = defaultdict(list)
-    for (lang, _), pieces in sorted(by_run.items()):
-        by_lang[lang].append(_Run(lang, [r for _, r in sorted(pieces, key=lambda x: x[0])], code))
+    shard = Shard(table)
     langs, terms, docs, lists, flat, counts = [], [], [], [0], [], []
-    for lang, own in by_lang.items():
-        for term, n_docs, source, n in merged_terms(own, min_docs):
-            langs.append(lang), terms.append(term), docs.append(n_docs), lists.append(lists[-1] + len(n))
+    for lang, own in shard.runs.items():
+        for place, n_docs, source, n in merged_terms(shard, own, min_docs):
+            langs.append(lang), terms.append(shard.term(place)), docs.append(n_docs), lists.append(lists[-1] + len(n))
             flat.append(source), counts.append(n)
     joined = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-    names = pa.DictionaryArray.from_arrays(pa.array(joined(flat), pa.int32()), pa.array(sources, pa.string())).cast(pa.string())
+    names = pa.DictionaryArray.from_arrays(pa.array(joined(flat), pa.int32()), pa.array(shard.sources.tolist(), pa.string())).cast(pa.string())
     postings = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays([names, pa.array(joined(counts))], ["source", "n"]))
     return pa.table({"lang": pa.array(langs, pa.string()), "term": pa.array(terms, pa.string()), "n_docs": pa.array(docs, pa.int64()), "postings": postings})
 

@@ -87,7 +87,9 @@ def test_small_bounds_change_nothing(spark, monkeypatch, limit):
     assert len(made) > 3 and all(len(p["sizes"]) <= 7 for own in made for p in own)
     for own in made:
         for lang in {p["lang"] for p in own}:
-            keys = np.concatenate([divergence.keys_of(lang, p["terms"]) for p in own if p["lang"] == lang])
+            pieces = [p["terms"] for p in own if p["lang"] == lang]
+            keys = divergence.terms_of(pa.array(pieces), [lang] * len(pieces))[3]
+            assert all(p.endswith(" ") for p in pieces)
             assert (np.diff(keys.astype(object)) > 0).all()
     batches = [divergence._pieces(own, {"run": [k] * len(own), "place": list(range(len(own)))}) for k, own in enumerate(made)]
     dealt = pa.Table.from_batches(list(divergence._dealt(3)(iter(batches))))
