@@ -26,25 +26,25 @@ _OPT_V = "(?: version| v)?"
 
 # label, keywords of the title (one of several), its pattern, keywords of the identifier, its pattern
 LICENSES = [
-    ("apache-2.0", "apache", f"apache (?:software )?license {_V}2(?: 0)?", "apache|apachev2|apache2", "apache(?: version)? ?v?2(?: 0)?"),
-    ("apache-1.1", "apache", f"apache (?:software )?license {_V}1 1", "apache", "apache 1 1"),
-    ("apache-1.0", "apache", f"apache (?:software )?license {_V}1 0", "apache", "apache 1 0"),
-    ("gpl-1.0", "general", f"gnu general public license {_V}1(?: 0)?", "gpl|gplv1|gpl1", "gpl(?: version)? ?v?1(?: 0)?(?: only| or later)?"),
-    ("gpl-2.0", "general", f"gnu general public license {_V}2(?: 0)?(?: or later| only)?", "gpl|gplv2|gpl2", "gpl(?: version)? ?v?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3.0", "general", f"gnu general public license {_V}3(?: 0)?(?: or later| only)?", "gpl|gplv3|gpl3", "gpl(?: version)? ?v?3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.0", "library", f"gnu library general public license {_V}2(?: 0)?", "lgpl|lgplv2|lgpl2", "lgpl(?: version)? ?v?2 0(?: only| or later)?"),
-    ("lgpl-2.1", "lesser", f"gnu lesser general public license {_V}2 1", "lgpl|lgplv2|lgpl2", "lgpl(?: version)? ?v?2 1(?: only| or later)?"),
-    ("lgpl-3.0", "lesser", f"gnu lesser general public license {_V}3(?: 0)?", "lgpl|lgplv3|lgpl3", "lgpl(?: version)? ?v?3(?: 0)?(?: only| or later)?"),
-    ("agpl-3.0", "affero", f"gnu affero general public license(?: {_V}3(?: 0)?)?", "agpl|agplv3|agpl3", "agpl(?: version)? ?v?3(?: 0)?(?: only| or later)?"),
-    ("agpl-1.0", "affero", f"affero general public license {_V}1(?: 0)?", "agpl|agplv1|agpl1", "agpl(?: version)? ?v?1(?: 0)?"),
-    ("gfdl", "documentation", "gnu free documentation license(?: version 1 [123])?", "gfdl", "gfdl(?: 1 [123])?"),
+    ("apache-2.0", "apache", f"apache (?:software )?licen[sc]e {_V}2(?: 0)?", "apache|apachev2|apache2", "apache(?: version)? ?v?2(?: 0)?"),
+    ("apache-1.1", "apache", f"apache (?:software )?licen[sc]e {_V}1 1", "apache", "apache 1 1"),
+    ("apache-1.0", "apache", f"apache (?:software )?licen[sc]e {_V}1 0", "apache", "apache 1 0"),
+    ("gpl-1.0", "general", f"gnu general public licen[sc]e {_V}1(?: 0)?", "gpl|gplv1|gpl1", "gpl(?: version)? ?v?1(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", "general", f"gnu general public licen[sc]e {_V}2(?: 0)?(?: or later| only)?", "gpl|gplv2|gpl2", "gpl(?: version)? ?v?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "general", f"gnu general public licen[sc]e {_V}3(?: 0)?(?: or later| only)?", "gpl|gplv3|gpl3", "gpl(?: version)? ?v?3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.0", "library", f"gnu library general public licen[sc]e {_V}2(?: 0)?", "lgpl|lgplv2|lgpl2", "lgpl(?: version)? ?v?2 0(?: only| or later)?"),
+    ("lgpl-2.1", "lesser", f"gnu lesser general public licen[sc]e {_V}2 1", "lgpl|lgplv2|lgpl2", "lgpl(?: version)? ?v?2 1(?: only| or later)?"),
+    ("lgpl-3.0", "lesser", f"gnu lesser general public licen[sc]e {_V}3(?: 0)?", "lgpl|lgplv3|lgpl3", "lgpl(?: version)? ?v?3(?: 0)?(?: only| or later)?"),
+    ("agpl-3.0", "affero", f"gnu affero general public licen[sc]e(?: {_V}3(?: 0)?)?", "agpl|agplv3|agpl3", "agpl(?: version)? ?v?3(?: 0)?(?: only| or later)?"),
+    ("agpl-1.0", "affero", f"affero general public licen[sc]e {_V}1(?: 0)?", "agpl|agplv1|agpl1", "agpl(?: version)? ?v?1(?: 0)?"),
+    ("gfdl", "documentation", "gnu free documentation licen[sc]e(?: version 1 [123])?", "gfdl", "gfdl(?: 1 [123])?"),
     ("mit", "mit", "(?:the )?mit (?:x11 )?licen[sc]e", "mit", "mit"),
-    ("mit-0", "mit", "mit no attribution(?: license)?", "mit", "mit 0"),
+    ("mit-0", "mit", "mit no attribution(?: licen[sc]e)?", "mit", "mit 0"),
     ("x11", "x11", "x11 licen[sc]e", "x11", "x11"),
     ("bsd-2-clause", "bsd", "(?:simplified|freebsd|2 clause) bsd licen[sc]e", "bsd", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:new|modified|revised|3 clause) bsd licen[sc]e", "bsd", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original|old|4 clause) bsd licen[sc]e", "bsd", "bsd 4 clause"),
-    ("0bsd", "bsd", "zero clause bsd(?: license)?", "0bsd", "0bsd"),
+    ("0bsd", "bsd", "zero clause bsd(?: licen[sc]e)?", "0bsd", "0bsd"),
     ("isc", "isc", "isc licen[sc]e", "isc", "isc"),
     ("zlib", "zlib", "zlib (?:libpng )?licen[sc]e", "zlib", "zlib"),
     ("libpng", "libpng", "libpng licen[sc]e", "libpng", "libpng"),
@@ -85,7 +85,7 @@ LICENSES = [
     ("w3c", "w3c", "w3c software(?: notice)?(?: and document)? licen[sc]e", "w3c", "w3c"),
     ("vim", "vim", "vim licen[sc]e", "vim", "vim"),
     ("llama-community", "llama", "llama [23](?: [0-9])? community licen[sc]e(?: agreement)?", "llama", "llama [23](?: [0-9])?"),
-    ("openrail", "openrail|rail", "(?:creativeml |bigscience )?(?:bloom )?open ?rail(?: m)?(?: licen[sc]e)?", "openrail|rail", "(?:creativeml |bigscience )?(?:bloom )?open ?rail(?: m)?"),
+    ("openrail", "openrail|rail", "(?:creativeml |bigscience )?(?:bloom )?(?:openrail(?: m)?(?: licen[sc]e)?|open rail (?:m(?: licen[sc]e)?|licen[sc]e))", "openrail|rail", "(?:creativeml |bigscience )?(?:bloom )?(?:openrail(?: m)?|open rail m)"),
     ("cc0-1.0", "zero", "creative commons zero(?: v?1 0)?(?: universal)?", "cc0", "cc0(?: 1 0)?"),
     ("cc-by-nc-nd", "noncommercial|commercial", "attribution non ?commercial no ?deriv(?:ative)?s(?: works)?(?: [1-4] 0)?(?: international| unported)?", "cc", "cc by nc nd(?: [1-4] 0)?"),
     ("cc-by-nc-sa", "noncommercial|commercial", "attribution non ?commercial share ?alike(?: [1-4] 0)?(?: international| unported)?", "cc", "cc by nc sa(?: [1-4] 0)?"),
@@ -115,7 +115,7 @@ LICENSES = [
     ("ogl-uk-3.0", "government", "open government licen[sc]e(?: v?3(?: 0)?)?", "ogl", "ogl uk 3 0"),
     ("etalab-2.0", "ouverte", "licence ouverte(?: v?2 0)?", "etalab", "etalab 2 0"),
     ("dl-de-by-2.0", "datenlizenz", "datenlizenz deutschland namensnennung(?: (?:version )?2 0)?", "dl", "dl de by 2 0"),
-    ("cdla-permissive-2.0", "community", "community data license agreement permissive(?: (?:version )?2 0)?", "cdla", "cdla permissive 2 0"),
+    ("cdla-permissive-2.0", "community", "community data licen[sc]e agreement permissive(?: (?:version )?2 0)?", "cdla", "cdla permissive 2 0"),
     ("hippocratic-2.1", "hippocratic", "hippocratic licen[sc]e(?: (?:version )?2 1)?", "hippocratic", "hippocratic 2 1"),
     ("nposl-3.0", "profit", "non profit open software licen[sc]e(?: (?:version )?3 0)?", "nposl", "nposl 3 0"),
     ("beerware", "beerware|beer", "beer ?ware licen[sc]e", "beerware", "beerware"),
@@ -207,15 +207,18 @@ def rules() -> list[Rule]:
     """All rules in order of priority."""
     out: list[Rule] = []
     add = lambda keys, label, pattern, weight: out.append(Rule(tuple(keys.split("|")), label, pattern, weight))
-    tag, grant = "spdx license identifier ", "(?:licen[sc]ed|released|distributed|available|published|provided) (?:under|with|by) (?:the )?(?:terms of the )?"
+    tag, terms = "spdx license identifier ", "(?:the )?(?:terms of the )?"
+    under = f"(?:licen[sc]ed|released|distributed|available|published|provided) under {terms}"
+    by = f"(?:licen[sc]ed (?:with|by)|(?:released|distributed|available|published|provided) with) {terms}"
     for label, _, _, key, name in LICENSES:
         add(key, label, tag + name, 1.0)
     for label, key, address in ADDRESSES:
         add(key, label, address, 0.95)
     for label, key, title, _, _ in LICENSES:
-        add(key, label, grant + title, 0.95)
+        add(key, label, f"(?:{under}|{by})(?:{title})", 0.95)
     for label, _, _, key, name in LICENSES:
-        add(key, label, grant + name + "(?: licen[sc]e)?", 0.9)
+        # "by" and "with" also stand before other things that are called so: a bare word needs "license" behind it there
+        add(key, label, f"(?:{under}(?:{name})(?: licen[sc]e)?|{by}(?:{name})" + ("(?: licen[sc]e)?)" if " " in name else " licen[sc]e)"), 0.9)
     for label, key, text, weight in NOTICES:
         add(key, label, text, weight)
     for label, key, title, _, _ in LICENSES:

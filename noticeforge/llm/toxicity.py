@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from noticeforge.llm import stores
 from noticeforge.llm.frames import keyed_text, map_slices, remainder_of_five, shared_folder, written
-from noticeforge.llm.identity_terms import NEXT
+from noticeforge.llm.identity_terms import ADJECTIVE, NOUN, PERSONS
 from noticeforge.llm.words import ALNUM, LOWER_VALUES, Slice, mix, runs, slices, span_hashes
 
 TRAIN_ROWS = 24_000
@@ -30,6 +30,8 @@ PREFIXES = (5, 6, 7, 8)
 #: Rows of the sample in which a feature stands at least, and its least G statistic.
 MIN_ROWS, MIN_G = 4, 20.0
 COUNTERFACTUAL, L2, STEPS = 1.0, 1e-4, 400
+#: Counterfactuals of a row.
+TWINS = 2
 MODEL = "feature long, weight double"
 
 
@@ -51,17 +53,35 @@ def features(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(r, np.arange(len(s) + 1))
 
 
-def swapped(text: str) -> str | None:
-    """The text with every group mention swapped for the next of its kind; None without any."""
+def swapped(text: str, turn: int = 1) -> str | None:
+    """The text with each group mention swapped for the one `turn` places on in its set; None if nothing changes.
+
+    Sets hold terms of one language, number and part of speech; adjectives are mentions only before a word for persons.
+    """
     import re
 
-    out, n = re.subn(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lambda m: NEXT.get(m[0].lower(), m[0]), text)
-    return out if n and out != text else None
+    words = list(re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text))
+    out, at = [], 0
+    for k, m in enumerate(words):
+        word = m[0].lower()
+        others = NOUN.get(word)
+        if others is None and k + 1 < len(words) and words[k + 1][0].lower() in PERSONS and text[m.end() : words[k + 1].start()] in (" ", "-"):
+            others = ADJECTIVE.get(word)
+        if others and turn <= len(others):
+            out += [text[at : m.start()], others[turn - 1]]
+            at = m.end()
+    return "".join([*out, text[at:]]) if out else None
+
+
+def twins(text: str) -> list[str]:
+    """Up to TWINS different counterfactuals of a text."""
+    found = (swapped(text, k) for k in range(1, TWINS + 1))
+    return list(dict.fromkeys(x for x in found if x is not None))
 
 
 def _mentions(s: Slice) -> np.ndarray:
     """Rows that mention a group."""
-    names = next(slices(pa.array(sorted(NEXT), pa.string())))
+    names = next(slices(pa.array(sorted({*NOUN, *ADJECTIVE}), pa.string())))
     starts, ends, _ = runs(names, ALNUM)
     known = np.sort(span_hashes(names.buf, starts, ends, LOWER_VALUES))
     starts, ends, first = runs(s, ALNUM)
@@ -105,17 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, id_col: str
 
     def active(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         kept = shared.value
-        other = {int(i): swapped(s.text(int(i))) for i in _mentions(s)}
-        own = picked(s, kept)
-        twins = [None] * len(s)
-        for i, text in other.items():
-            if text is not None:
-                twins[i] = picked(next(slices(pa.array([text], pa.string()))), kept)[0]
-        return pa.RecordBatch.from_arrays([batch.column(2), pa.array(own, pa.list_(pa.int32())), pa.array(twins, pa.list_(pa.int32()))], ["y", "own", "twin"])
-
-    found = map_slices(rows.select("id", "text", "y"), active, "y int, own array<int>, twin array<int>").toPandas()  # at most TRAIN_ROWS rows of kept features
+        own, other = picked(s, kept), [[] for _ in range(len(s))]
+        for i in _mentions(s):
+            other[i] = [picked(next(slices(pa.array([text], pa.string()))), kept)[0] for text in twins(s.text(int(i)))]
+        return pa.RecordBatch.from_arrays([batch.column(2), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))], ["y", "own", "twins"])
+
+    found = map_slices(rows.select("id", "text", "y"), active, "y int, own array<int>, twins array<array<int>>").toPandas()  # at most TRAIN_ROWS rows of kept features
     order = sorted(range(len(found)), key=lambda i: (found["y"][i], list(found["own"][i])))  # the same sums whatever the order of arrival
-    w, bias = solve([found["own"][i] for i in order], [found["twin"][i] for i in order], np.array([found["y"][i] > 0 for i in order], float), len(kept))
+    w, bias = solve([found["own"][i] for i in order], [found["twins"][i] for i in order], np.array([found["y"][i] > 0 for i in order], float), len(kept))
     return [(0, float(bias)), *zip(kept.view(np.int64).tolist(), w.tolist())]
 
 
@@ -131,11 +148,11 @@ def picked(s: Slice, kept: np.ndarray) -> list[np.ndarray]:
     return [k[to[i] : to[i + 1]] for i in range(len(s))]
 
 
-def solve(own: list, twin: list, y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the logistic loss, L2 and the counterfactual penalty."""
+def solve(own: list, twins_: list, y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the logistic loss, L2 and the counterfactual penalty over each row and its twins."""
     flat = lambda rows: (np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in rows)]), np.repeat(np.arange(len(rows)), [len(x) for x in rows]))
     f, r = flat(own)
-    pairs = [(a, b) for a, b in zip(own, twin) if b is not None]
+    pairs = [(a, b) for a, others in zip(own, twins_) for b in others]
     fa, ra = flat([a for a, _ in pairs])
     fb, rb = flat([b for _, b in pairs])
     w, bias = np.zeros(n + 1), 0.0

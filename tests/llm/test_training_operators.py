@@ -169,6 +169,8 @@ def test_licenses_as_they_are_written(spark):
     told = {
         "This is under the GPLv3 or LGPLv2.1+.": {"gpl-3.0", "lgpl-2.1"}, "Attribution Non Commercial 4.0": {"cc-by-nc"}, "Open RAIL-M": {"openrail"},
         "MPL2, EPL v2.0": {"mpl-2.0", "epl-2.0"}, "Attribution-Non-Commercial-ShareAlike 4.0 International": {"cc-by-nc-sa"}, "licensed under Apache 2.0 license": {"apache-2.0"}, "no license here": set(),
+        "The book was published by MIT Press": set(), "released with Ruby 3": set(), "The open rail network grows": set(), "Apache licence, version 2.0": {"apache-2.0"}, "GNU General Public Licence version 3": {"gpl-3.0"},
+        "released under MIT": {"mit"}, "licensed by MIT license": {"mit"}, "provided with the Ruby license": {"ruby"}, "an Open RAIL license": {"openrail"}, "distributed with GPL 2.0": {"gpl-2.0"},
     }
     df = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
     got = {r.doc_id: {x.label for x in r.detections} for r in licenses.license_scan(df).collect()}
@@ -581,7 +583,37 @@ def test_counterfactual_penalty_quiets_mentions(spark, monkeypatch):
     plain, fair, strict = scores(0.0), scores(shipped), scores(20.0)
     gap = lambda s: np.log(s[1] / (1 - s[1])) - np.log(s[2] / (1 - s[2]))
     assert gap(fair) < 0.1 * gap(plain) and gap(strict) < 0.5 * gap(plain) and fair[3] > 0.5 and strict[3] > 0.5
-    assert toxicity.swapped("Muslims and men") == "christians and woman" and toxicity.swapped("nobody") is None
+    assert toxicity.swapped("Muslims and men") == "christians and women" and toxicity.swapped("nobody") is None
+
+
+def test_counterfactuals_keep_language_number_and_part_of_speech():
+    told = {
+        "mujeres y hombres": ["hombres y mujeres"], "the boys": ["the girls"], "teenagers here": ["adults here", "pensioners here"], "white paper, a straight line, old books, black holes": [],
+        "Black people and white women": ["white people and asian men", "asian people and african women"], "Die Frauen!": ["Die männer!"], "deaf-blind": [], "": [], "jewish folks": ["hindu folks", "buddhist folks"],
+    }
+    for text, want in told.items():
+        assert toxicity.twins(text) == want, text
+    for sets in (toxicity.NOUN, toxicity.ADJECTIVE):
+        assert all(term not in others and len(others) == len(set(others)) for term, others in sets.items())
+
+
+def test_solve_against_another_solver():
+    """The same loss by plain gradient descent with many small steps: scores agree."""
+    rng = np.random.default_rng(7)
+    n, m = 12, 200
+    own = [np.flatnonzero(rng.random(n) < 0.3) for _ in range(m)]
+    y = np.array([float((0 in x) or (1 in x and rng.random() < 0.8)) for x in own])
+    others = [[np.unique(np.where(x == 1, 2, x))] if 1 in x else [] for x in own]
+    w, _ = toxicity.solve(own, others, y, n)
+    dense = lambda rows: np.array([[k in x for k in range(n)] for x in rows], float)
+    a, pairs = dense(own), [(p, q) for p, qs in zip(own, others) for q in qs]
+    d = dense([p for p, _ in pairs]) - dense([q for _, q in pairs])
+    v = np.zeros(n + 1)
+    for _ in range(60000):
+        miss = (1 / (1 + np.exp(-(a @ v[:n] + v[n]))) - y) / m
+        grad = np.append(a.T @ miss + toxicity.COUNTERFACTUAL * d.T @ (d @ v[:n]) / len(pairs) + toxicity.L2 * v[:n], miss.sum())
+        v -= 0.5 * grad
+    assert abs(w[1] - w[2]) < 0.5 * abs(w[0]) and np.corrcoef(a @ w, a @ v[:n])[0, 1] > 0.99
 
 
 def check_packing(rows, encoded):
