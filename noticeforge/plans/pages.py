@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeforge import bindings as B
 from noticeforge.functions import text, urls
-from noticeforge.operators import evaluation, identity, quality, reporting
+from noticeforge.operators import evaluation, identity, quality, reporting, vectors
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +148,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.vector_topk(queries, vectors, 10)
 
 
+def vector_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each query as far as cells find them, and whether they stand among the exact ten."""
+    queries, vectors_ = _queries(spark, sf_dir)
+    found, exact = vectors.probed_topk(queries, vectors_, 10), evaluation.vector_topk(queries, vectors_, 10)
+    return found.join(exact.select("query_id", "vec_id", F.lit(True).alias("exact")), ["query_id", "vec_id"], "left").select("query_id", "rank", "vec_id", "cosine", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
 def _relevant(found: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
     labelled = found.join(queries.select("query_id", "query_label"), "query_id").join(vectors.select("vec_id", "label"), "vec_id")
     return labelled.select("query_id", (F.col("label") == F.col("query_label")).alias("relevant"))
@@ -192,6 +199,7 @@ QUERIES = {
     "golden_success": golden_success,
     "precision_at_20": precision_at_20,
     "vector_topk": vector_topk,
+    "vector_probed": vector_probed,
     "recall_gain": recall_gain,
     "rerank_capped": rerank_capped,
 }

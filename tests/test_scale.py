@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from test_operators import NOW, POSITION, position
 
-from noticeforge.operators import dictionary, extract, identity, pairing, runs, scoring
+from noticeforge.operators import dictionary, evaluation, extract, identity, pairing, runs, scoring, vectors
 from noticeforge.schemas import SCHEMAS
 
 
@@ -141,3 +141,33 @@ def test_versions_by_chunks_equal_whole_keys(spark):
     for chunk in (F.date_trunc("day", "fetched_at"), F.lit(1), F.col("fetched_at")):
         got = identity.version_history(docs, ["page"], order, chunk=chunk)
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("part_rows", [vectors.PART_ROWS, 50])
+def test_probed_vectors_reach_their_recall(spark, part_rows):
+    """The given vectors, in whole cells and in cells cut into many parts."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    queries = table.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = evaluation.vector_topk(queries, table, 10).cache()
+    cells = vectors.fit_cells(table, 10)
+    found = vectors.probed_topk(queries, table, 10, cells, part_rows=part_rows, query_rows=part_rows).cache()
+    row = vectors.recall_of(found, exact).first()
+    assert row.n == 1000 and row.recall >= 0.9 and cells.probes < len(cells.centres)
+    known = {(r.query_id, r.vec_id): r.cosine for r in exact.collect()}
+    rows = found.collect()
+    assert all(known.get((r.query_id, r.vec_id), r.cosine) == r.cosine for r in rows) and all(r.query_id != r.vec_id for r in rows)
+    assert sorted(r["rank"] for r in rows if r.query_id == 20) == list(range(1, 11))
+
+
+def test_all_cells_are_the_exact_way(spark):
+    """Probing every cell gives what the exact way gives; nulls, zeros and empty tables take no part."""
+    rng = random.Random(14)
+    rows = [(k, [float(rng.randint(-2, 2)) for _ in range(4)]) for k in range(300)] + [(900, None), (901, [0.0] * 4), (902, [1.0, None, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    queries = df.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
+    cells = vectors.fit_cells(df, 5)
+    key = lambda df: sorted((r.query_id, r["rank"], r.vec_id, r.cosine) for r in df.collect())
+    got = key(vectors.probed_topk(queries, df, 5, vectors.Cells(cells.centres, len(cells.centres)), part_rows=40, query_rows=9))
+    good = df.where("vec_id < 900")
+    assert got == key(evaluation.vector_topk(queries.where("query_id < 900"), good, 5)) and len(got) > 100
+    assert vectors.probed_topk(queries, df.limit(0), 5).count() == 0 and vectors.probed_topk(queries.limit(0), df, 5).count() == 0
