@@ -249,3 +249,11 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     found = F.coalesce(F.filter("new", lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,pseudonym:string>>"))
     done = computed_once(df, [*names.values(), "id"], text=F.when(F.size("new") > 0, joined).otherwise(F.col("text")), found=found)
     return done.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("id").alias("doc_id"), "text", "found")
+
+
+def rewritten(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with all their columns, whatever they are called, and the rewritten texts; otherwise as pseudonymise()."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    longer = "_" * max(map(len, docs.columns))  # names that docs doesn't have
+    done = pseudonymise(docs.select(*(docs[c].alias(f"{longer}{k}") if c in others else docs[c] for k, c in enumerate(docs.columns))), key, id_col, text_col, [f"{longer}{k}" for k, c in enumerate(docs.columns) if c in others])
+    return done.select(*(F.col({id_col: "doc_id", text_col: "text"}.get(c, f"{longer}{k}")).alias(c) for k, c in enumerate(docs.columns)))
