@@ -27,9 +27,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by pseudonyms."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = pii.pseudonymise(docs, pii_key(spark), keep=others)
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.rewritten(docs, pii_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
