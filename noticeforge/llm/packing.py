@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeforge.llm import stores
 from noticeforge.llm.frames import keyed_text
 from noticeforge.llm.tokens import ENCODE_BYTES, encoder
 from noticeforge.llm.words import slices
@@ -184,6 +185,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                                 out += filled()
                 if out:
                     yield batch_of(out)
+            stores.give_back()  # a batch leaves many arrays of its size behind
         out = [row for group in last_groups(pool) for row in placed(group)]
         if out:
             yield batch_of(out)

@@ -21,11 +21,11 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 def free() -> None:
-    """Drop the store of an earlier stage, if there is one."""
+    """Drop the store of an earlier stage, if there is one, and return what that stage has left unused."""
     if _KEPT:
         _KEPT.clear()
         gc.collect()
-        give_back()
+    give_back()
 
 
 def give_back() -> None:

@@ -18,8 +18,8 @@ from noticeforge.llm.words import VALUES, Slice, span_hashes
 
 #: Most pre-tokens that a Python worker keeps; the store then starts anew.
 STORE_SIZE = 500_000
-#: Bytes of text that are encoded at once: more than elsewhere, as larger slices repeat more of their pre-tokens.
-ENCODE_BYTES = 2 << 20
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 1 << 20
 #: Pre-tokens that the library encodes in one call.
 AT_ONCE = 512
 
