@@ -89,7 +89,7 @@ def current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a source's documents of a language and length class stand for the versions of one page
     rows = _hashed(spark, sf_dir).withColumn("length_class", F.floor(F.log2(F.col("n_chars") + 1)).cast("int"))
-    return identity.version_history(rows, ["source_id", "lang", "length_class"], [F.asc("document_id")]).select("document_id", "version", "changed")
+    return identity.version_history(rows, ["source_id", "lang", "length_class"], [F.asc("document_id")], chunk=F.floor(F.col("document_id") / 500)).select("document_id", "version", "changed")
 
 
 def repeat_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
