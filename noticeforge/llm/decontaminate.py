@@ -202,7 +202,10 @@ def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 
 def cut_spans(found: DataFrame) -> DataFrame:
-    """doc_id and text of all rows of contamination(), the hit words taken out of the text."""
+    """doc_id and text of all rows of contamination(), the hit words taken out of the text, with what stands between the words of a span.
+
+    Texts without hits, null and empty ones stay as they are; repeated rows give repeated results; a null id stays null; an empty table gives no rows.
+    """
 
     def rows(batch: pa.RecordBatch, s: Slice) -> pa.RecordBatch:
         starts, ends, first = runs(s, ALNUM)

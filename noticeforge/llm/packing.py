@@ -194,5 +194,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
 
 def crc32_of_ids(packed: DataFrame) -> DataFrame:
-    """packed with ids_crc32 in place of the ids."""
+    """The rows of pack() with ids_crc32 (unsigned, of the little-endian ids) in place of the ids, which are never null or empty; an empty table gives no rows."""
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
