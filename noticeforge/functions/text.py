@@ -24,13 +24,16 @@ PHONE = "|".join((
 #: What a secret is called: a name that holds one of these words, or is one.
 _NAMED = "[A-Za-z0-9_.-]*(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization)[A-Za-z0-9_.-]*|cookie|set-cookie|密码|口令|密钥"
 #: A name, in quotes or not, what follows it, a scheme of authorization, and its value: quoted with escapes, or up to the next space or mark.
-SECRET = f"(?i)((?:{_NAMED})[\"']?\\s*[=:：]\\s*)(?:(?:bearer|basic|digest|token)\\s+)?(?:\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'|[^\\s\"',;&，。；]+)"
+#: Loops over escapes are possessive: Java's others recurse, and a long value would end the JVM.
+SECRET = f"(?i)((?:{_NAMED})[\"']?\\s*[=:：]\\s*)(?:(?:bearer|basic|digest|token)\\s+)?(?:\"(?:[^\"\\\\]|\\\\.)*+\"|'(?:[^'\\\\]|\\\\.)*+'|[^\\s\"',;&，。；]+)"
 #: Secrets that are known by their form: tokens after "Bearer", of some services, of three parts; passwords in addresses; keys in armour.
+#: As with numbers, no letter beyond ASCII beside them is part of them; Java's \b takes those in, or not, by its version.
+_BEFORE, _AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 SHAPES = (
-    (r"(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]{8,}", "$1***"),
+    (_BEFORE + r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{8,}", "$1***"),
     (r"(://[^/\s:@]+:)[^/\s]+@", "$1***@"),
-    (r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*)?", "***"),
-    (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[oprsu]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}", "***"),
+    (_BEFORE + r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*)?", "***"),
+    (_BEFORE + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}" + _AFTER + r"|gh[oprsu]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})", "***"),
     (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", "***"),
 )
 
