@@ -53,6 +53,20 @@ def test_many_preferences_without_a_cartesian_product(spark):
     assert scored and all(r.score >= 60 for r in scored)
 
 
+def test_pairs_share_all_that_the_score_needs(spark):
+    """A pair that hits one rule of those that a score takes together is not made, nor one with a position that is over; equal wants are scored once."""
+    wants = (["R"], 5, ["M"], ["T"], ["O"], [])
+    positions = spark.createDataFrame([position("one", 100, name="clerk", region="R", major="Z", category="P"), position("two", 100, name="a DEV", region="R", major="Z", category="O"), position("over", -5, name="a dev", region="R", major="M", category="O")], POSITION)
+    prefs = lambda keywords: spark.createDataFrame([(k, *wants[:3], keywords, *wants[3:], NOW) for k in range(50)], SCHEMAS["user_preferences"])
+    assert {r.position_id for r in pairing.candidate_pairs(positions, prefs(["dev"]), 70.0).collect()} == {"two", "over"}
+    found = lambda df: sorted((r.pref_id, r.position_id, r.score) for r in df.collect())
+    for keywords, n in ((["dev"], 50), (["dev", ""], 100)):  # an empty keyword stands in every name
+        matched = pairing.score_matches(positions, prefs(keywords), F.lit(NOW), 70.0)
+        everything = scoring.score_positions(positions, prefs(keywords), F.lit(NOW))
+        assert matched.columns == everything.columns
+        assert found(matched) == found(everything.where("passed AND score >= 70")) and len(found(matched)) == n
+
+
 @pytest.mark.parametrize("block_bytes", [dictionary.BLOCK_BYTES, 200])
 def test_names_equal_containment(spark, block_bytes):
     """Names within names, one after another, repeated with other ids; in one block and in many."""
