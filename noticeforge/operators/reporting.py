@@ -176,17 +176,18 @@ def generate_report(scored: DataFrame, prefs: DataFrame, report_date: Column, as
 def message_parts(lines: DataFrame, limit: int, keys: list[str], length: str, rank: str = "rank", block: int = LINES_PER_BLOCK) -> DataFrame:
     """lines with `part`, which orders the messages of each key: each takes lines by rank while their lengths sum to at most `limit`.
 
-    Packing is sequential; it starts anew every `block` ranks, so that what one row holds (lengths, no texts) is bounded.
+    Packing is sequential; it starts anew every `block` ranks, so that what one row holds, up to that many lines, is bounded. The lines are carried
+    through and not joined back, so that what they come from is made once.
     """
     number = F.floor((F.col(rank) - 1) / block).cast("long")
-    rows = lines.groupBy(*keys, number.alias("_block")).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(length).cast("long").alias("n")))).alias("rows"))
+    line = F.struct(F.col(rank).alias("_r"), F.col(length).cast("long").alias("_n"), *(c for c in lines.columns if c not in keys))
+    rows = lines.groupBy(*keys, number.alias("_block")).agg(F.array_sort(F.collect_list(line)).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (acc["used"] + x["n"] <= limit) | (F.size(acc["parts"]) == 0)
+        fits = (acc["used"] + x["_n"] <= limit) | (F.size(acc["parts"]) == 0)
         part = F.when(fits, acc["part"]).otherwise(acc["part"] + 1)
-        return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(x["n"]).alias("used"), part.alias("part"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+        return F.struct(F.when(fits, acc["used"] + x["_n"]).otherwise(x["_n"]).alias("used"), part.alias("part"), F.concat(acc["parts"], F.array(part)).alias("parts"))
 
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("part"), F.array().cast("array<long>").alias("parts"))
     numbered = rows.select(*keys, "_block", F.explode(F.arrays_zip(F.col("rows"), F.aggregate("rows", start, step)["parts"].alias("parts"))).alias("x"))
-    parts = numbered.select(*keys, F.col("x.rows.r").alias(rank), (F.col("_block") * block + F.col("x.parts")).alias("part"))
-    return lines.join(parts, [*keys, rank])
+    return numbered.select(*(c if c in keys else F.col(f"x.rows.{c}").alias(c) for c in lines.columns), (F.col("_block") * block + F.col("x.parts")).alias("part"))

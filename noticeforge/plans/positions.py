@@ -157,7 +157,7 @@ def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _by_region(spark, sf_dir).withColumn("n", F.length("line"))
+    lines = _by_region(spark, sf_dir).withColumn("n", F.length("line")).drop("line")
     return reporting.message_parts(lines, 500, ["region", "report_group"], "n").select("region", "report_group", "rank", "n", "part")
 
 

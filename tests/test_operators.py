@@ -161,6 +161,13 @@ def test_message_parts(spark):
     assert [r.part for r in parts.orderBy("rank").collect()] == [0, 1, 1, 3, 4, 4, 6, 7]
 
 
+def test_message_parts_read_their_lines_once(spark, folder):
+    spark.createDataFrame([(1, k + 1, n, "x") for k, n in enumerate([5, 6, 3])] + [(None, 1, 4, None)], "report_id long, rank int, n int, more string").write.parquet(f"{folder}/lines")
+    parts = reporting.message_parts(spark.read.parquet(f"{folder}/lines"), 10, ["report_id"], "n")
+    assert parts._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(map(repr, map(tuple, parts.collect()))) == ["(1, 1, 5, 'x', 0)", "(1, 2, 6, 'x', 1)", "(1, 3, 3, 'x', 1)", "(None, 1, 4, None, 0)"]
+
+
 def test_rescore_drops_what_comes_out_empty(spark, folder):
     df = spark.createDataFrame([position("a")], POSITION)
     prefs = spark.createDataFrame([FULL], SCHEMAS["user_preferences"])
