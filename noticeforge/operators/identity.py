@@ -93,8 +93,10 @@ def repeats(docs: DataFrame, column: str) -> DataFrame:
 
 def same_store(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: how many rows only one of two stores has; zeros if a run changed nothing."""
-    one = before.exceptAll(after).agg(F.count(F.lit(1)).alias("only_first"))
-    return one.crossJoin(after.exceptAll(before).agg(F.count(F.lit(1)).alias("only_second")))
+    of = lambda df, n: df.select(*before.columns, F.lit(n).cast("long").alias("_n"))
+    surplus = of(before, 1).union(of(after, -1)).groupBy(*before.columns).agg(F.sum("_n").alias("_n"))
+    only = lambda n: F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).cast("long")
+    return surplus.agg(only(F.col("_n")).alias("only_first"), only(-F.col("_n")).alias("only_second"))
 
 
 def first_seen(docs: DataFrame, key: list[str], at: str) -> DataFrame:

@@ -168,6 +168,14 @@ def test_message_parts_read_their_lines_once(spark, folder):
     assert sorted(map(repr, map(tuple, parts.collect()))) == ["(1, 1, 5, 'x', 0)", "(1, 2, 6, 'x', 1)", "(1, 3, 3, 'x', 1)", "(None, 1, 4, None, 0)"]
 
 
+def test_stores_are_compared_in_one_pass(spark):
+    """Rows count as often as they stand; nulls are equal."""
+    of = lambda *rows: spark.createDataFrame([*rows], "a long, b string")
+    found = identity.same_store(of((1, "x"), (1, "x"), (2, None)), of((1, "x"), (2, None), (3, "z"), (3, "z")))
+    assert tuple(found.first()) == (1, 2) and tuple(identity.same_store(of(), of()).first()) == (0, 0)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Union") == 1
+
+
 def test_rescore_drops_what_comes_out_empty(spark, folder):
     df = spark.createDataFrame([position("a")], POSITION)
     prefs = spark.createDataFrame([FULL], SCHEMAS["user_preferences"])
