@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from test_operators import NOW, POSITION, position
 
+from noticeforge import bindings
 from noticeforge.operators import dictionary, evaluation, extract, identity, pairing, runs, scoring, vectors
 from noticeforge.schemas import SCHEMAS
 
@@ -67,6 +68,48 @@ def test_pairs_share_all_that_the_score_needs(spark):
         assert found(matched) == found(everything.where("passed AND score >= 70")) and len(found(matched)) == n
 
 
+def test_found_pairs_are_not_shuffled(spark, folder, monkeypatch):
+    """Positions are read once, also for preferences that reach the score with anything, and what is found gets its preferences where it is; beyond the bounds the rows are the same."""
+    rng = random.Random(8)
+    spark.createDataFrame(random_positions(rng, 120), POSITION).write.parquet(folder + "/p")
+    wants = random_prefs(rng, 60)
+    prefs = spark.createDataFrame([*wants, *((100 + r[0], *r[1:]) for r in wants), wants[0]], SCHEMAS["user_preferences"])
+    positions, found = spark.read.parquet(folder + "/p"), lambda df: sorted((r.position_id, r.pref_id, r.score) for r in df.collect())
+    want = found(scoring.score_positions(positions, prefs, F.lit(NOW)).where("passed AND score >= 60"))
+    assert pairing.indexed_prefs(prefs, 60.0).where("open").count() > 5
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        matched = pairing.score_matches(positions, prefs, F.lit(NOW), 60.0)
+        plan = matched.select("pref_id", "position_id", "score")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("FileScan parquet [position_id") == 1 and "SortMergeJoin [_id" not in plan
+    assert found(matched) == want and len(want) > 50
+    monkeypatch.setattr(pairing, "HELD_BYTES", 0)
+    monkeypatch.setattr(pairing, "BROADCAST_PREFS", 3)
+    assert found(pairing.score_matches(positions, prefs, F.lit(NOW), 60.0)) == want
+
+
+def test_open_positions_are_visible_and_not_over(spark, folder):
+    """Null and repeated keys, orphans, posts without lines, deadlines before the start or unknown."""
+    day = lambda n: None if n is None else datetime(1998, 6, 15) + timedelta(days=n)
+    tables = {
+        "region": ([(0, "ASIA"), (1, None)], "r_regionkey int, r_name string"),
+        "nation": ([(0, "A", 0), (1, "B", 1), (2, "C", None)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(1, "one", 0, "BUILDING"), (1, "twin", 1, None), (2, None, 1, "FURNITURE"), (3, "nowhere", 2, "BUILDING"), (None, "none", 0, "BUILDING")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        "orders": ([(k, c, day(d)) for k, c, d in ((1, 1, -9), (2, 2, -9), (2, 2, -3), (3, 1, 5), (4, 1, None), (5, 3, -9), (6, None, -9), (7, 2, 0), (None, 1, -9))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+        "part": ([(1, "red gear", "STANDARD", 3, "Brand#1"), (1, "anvil", None, None, "Brand#2"), (2, None, "PROMO", 9, None), (None, "x", "y", 1, "z")], "p_partkey long, p_name string, p_type string, p_size int, p_brand string"),
+        "lineitem": ([(k, p, 1, n, None if n == 3 else 2.0, 9.99, day(d)) for k in (1, 2, 2, 3, 4, 5, 6, 9, None) for p in (1, 2, 8, None) for n, d in enumerate((-20, -9, -4, 0, 1, 30, None))], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    key = lambda df: sorted(repr(sorted(r.asDict().items())) for r in df.collect())
+    visible = bindings.visible(spark, folder).where(F.col("position_id").isNotNull())
+    want = visible.where(~scoring.over(F.col("start_at"), F.col("deadline"), bindings.at(bindings.AS_OF)))
+    found = bindings.open_positions(spark, folder)
+    assert key(found) == key(want) and 50 < want.count() < visible.count() and set(found.columns) == set(visible.columns)
+
+
 @pytest.mark.parametrize("block_bytes", [dictionary.BLOCK_BYTES, 200])
 def test_names_equal_containment(spark, block_bytes):
     """Names within names, one after another, repeated with other ids; in one block and in many."""
